@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from matchspark.llm.language_id import op10_language_id
+from matchspark.llm.quality import op5_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
+    "op5_quality_rules": op5_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
