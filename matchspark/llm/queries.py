@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from matchspark.llm.language_id import op10_language_id
 from matchspark.llm.quality import op5_quality_rules
+from matchspark.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op5_quality_rules": op5_quality_rules,
+    "op6_toxicity": op6_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
