@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from matchspark.llm.language_id import op10_language_id
+from matchspark.llm.pii import op2_pii
 from matchspark.llm.quality import op5_quality_rules
 from matchspark.llm.toxicity import op6_toxicity
 
@@ -14,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op6_toxicity": op6_toxicity,
+    "op2_pii": op2_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
