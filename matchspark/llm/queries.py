@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from matchspark.llm.language_id import op10_language_id
 from matchspark.llm.pii import op2_pii
 from matchspark.llm.quality import op5_quality_rules
+from matchspark.llm.simhash import op1_simhash
 from matchspark.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_toxicity": op6_toxicity,
     "op2_pii": op2_pii,
+    "op1_simhash": op1_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
