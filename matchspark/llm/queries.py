@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from matchspark.llm.decontaminate import op4_decontaminate
 from matchspark.llm.language_id import op10_language_id
 from matchspark.llm.pii import op2_pii
 from matchspark.llm.quality import op5_quality_rules
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op2_pii": op2_pii,
     "op1_simhash": op1_simhash,
+    "op4_decontaminate": op4_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
