@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from matchspark.llm.decontaminate import op4_decontaminate
 from matchspark.llm.language_id import op10_language_id
+from matchspark.llm.packing import op3_packing
 from matchspark.llm.pii import op2_pii
 from matchspark.llm.quality import op5_quality_rules
 from matchspark.llm.simhash import op1_simhash
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op1_simhash": op1_simhash,
     "op4_decontaminate": op4_decontaminate,
+    "op3_packing": op3_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
