@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from matchspark.llm.chat import OP8_SQL, op8_chat_perspectives
 from matchspark.llm.decontaminate import op4_decontaminate
 from matchspark.llm.language_id import op10_language_id
 from matchspark.llm.packing import op3_packing
@@ -22,6 +23,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op4_decontaminate": op4_decontaminate,
     "op3_packing": op3_packing,
+    "op8_chat_perspectives": op8_chat_perspectives,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_chat_perspectives": OP8_SQL,
+}
