@@ -14,6 +14,7 @@ from matchspark.llm.pii import op2_pii
 from matchspark.llm.quality import op5_quality_rules
 from matchspark.llm.simhash import op1_simhash
 from matchspark.llm.toxicity import op6_toxicity
+from matchspark.llm.url_filter import op7_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op3_packing": op3_packing,
     "op8_chat_perspectives": op8_chat_perspectives,
+    "op7_url_filter": op7_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
