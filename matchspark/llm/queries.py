@@ -13,6 +13,7 @@ from matchspark.llm.packing import op3_packing
 from matchspark.llm.pii import op2_pii
 from matchspark.llm.quality import op5_quality_rules
 from matchspark.llm.simhash import op1_simhash
+from matchspark.llm.substring_dedup import op9_substring_dedup
 from matchspark.llm.toxicity import op6_toxicity
 from matchspark.llm.url_filter import op7_url_filter
 
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op8_chat_perspectives": op8_chat_perspectives,
     "op7_url_filter": op7_url_filter,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
