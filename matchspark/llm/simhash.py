@@ -9,7 +9,7 @@ word goes once to every block's value, which deals the trie out over the cluster
 part the words are sorted, which lays the binary trie out as ranges, and pairs of nodes are traversed together, level
 by level: the children's pairs inherit the bits that differ so far, pairs beyond the budget are pruned, and so are
 pairs whose leaves are all in one component already, which keeps clouds of near copies from being compared all with
-all. A part emits one link for each leaf it connected, to the first leaf of its component: never more links than
+all. A part emits a spanning forest of its links, nearest first: always fewer links than
 leaves. Texts with equal fingerprints are one leaf from the start, so copies cost nothing here.
 
 Components come from alternating star steps in Spark.
@@ -21,13 +21,14 @@ component of its own, and shows the component of the rows with its fingerprint (
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from matchspark.llm.common import Chunk, chunks, cut, table
 from matchspark.llm.components import components
@@ -94,17 +95,23 @@ class Forest:
 
     def __init__(self, n: int) -> None:
         self.label = np.arange(n)
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
         self._changes: np.ndarray | None = None
 
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+    def join(self, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> None:
+        """Connect each a with its b; of the links between two components the nearest is kept as an edge."""
         while len(a):
             la, lb = self.label[a], self.label[b]
             apart = la != lb
             if not apart.any():
                 return
-            a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+            a, b, far, la, lb = a[apart], b[apart], far[apart], la[apart], lb[apart]
+            high, low = np.maximum(la, lb), np.minimum(la, lb)
+            order = np.lexsort((low, far, high))
+            one = order[np.append(True, high[order][1:] != high[order][:-1])]
             root = np.arange(len(self.label))
-            np.minimum.at(root, np.maximum(la, lb), np.minimum(la, lb))
+            root[high[one]] = low[one]
+            self.edges.append((a[one], b[one]))
             while not np.array_equal(up := root[root], root):
                 root = up
             self.label = root[self.label]
@@ -117,13 +124,13 @@ class Forest:
         return self._changes[hi - 1] == self._changes[lo]
 
 
-def trie_join(key: np.ndarray, low: np.ndarray, levels: int, whole: np.ndarray, budget: int, limit: int) -> np.ndarray:
-    """Component labels of leaves sorted by (key, low): within each key, leaves link if low differs in at most
-    budget bits and whole in at most limit."""
+def trie_join(key: np.ndarray, low: np.ndarray, levels: int, whole: np.ndarray, budget: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (pairs of places) of the links between leaves sorted by (key, low): within each key, leaves
+    link if low differs in at most budget bits and whole in at most limit."""
     n = len(key)
     forest = Forest(n)
     if n < 2:
-        return forest.label
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     stop = np.append(begin[1:], n)
     many = stop - begin > 1
@@ -152,10 +159,9 @@ def trie_join(key: np.ndarray, low: np.ndarray, levels: int, whole: np.ndarray,
             a, b = a[apart], b[apart]
             near = np.bitwise_count(low[a] ^ low[b]) <= budget
             a, b = a[near], b[near]
-            if whole.shape[1] > 1:
-                near = sum(np.bitwise_count(whole[a, k] ^ whole[b, k]).astype(np.int32) for k in range(whole.shape[1])) <= limit
-                a, b = a[near], b[near]
-            forest.join(a, b)
+            far = np.bitwise_count(whole[a] ^ whole[b]).sum(axis=1, dtype=np.int32)
+            near = far <= limit
+            forest.join(a[near], b[near], far[near])
             s = e
 
     stack = [(0, roots[0], roots[1], roots[0], roots[1], np.zeros(len(roots[0]), np.int8))]
@@ -179,7 +185,7 @@ def trie_join(key: np.ndarray, low: np.ndarray, levels: int, whole: np.ndarray,
         al, ah, bl, bh, diff = (x[keep] for x in (al, ah, bl, bh, diff))
         for s in range(0, len(al), _PAIRS):
             stack.append((level + 1, *(x[s : s + _PAIRS] for x in (al, ah, bl, bh, diff))))
-    return forest.label
+    return tuple(np.concatenate([e[k] for e in forest.edges] or [np.zeros(0, np.int64)]) for k in (0, 1))
 
 
 def links(leaves: DataFrame, bits: int, word_bits: int, budget: int, limit: int) -> DataFrame:
@@ -211,23 +217,72 @@ def links(leaves: DataFrame, bits: int, word_bits: int, budget: int, limit: int)
         low = low.view(np.uint64)
         whole = np.frombuffer(b"".join(t.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, bits // 64)
         order = np.lexsort((low, key))
-        label = trie_join(key[order], low[order], word_bits - width, whole[order], budget, limit)
-        tied = np.flatnonzero(label != np.arange(len(label)))
-        yield pa.RecordBatch.from_arrays([pa.array(node[order][tied]), pa.array(node[order][label[tied]])], names=["a", "b"])
+        a, b = (node[order][x] for x in trie_join(key[order], low[order], word_bits - width, whole[order], budget, limit))
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
     dealt = leaves.where(F.col("node").isNotNull()).select("fp", F.col("node").cast("long").alias("node")).mapInArrow(deal, "key long, low long, fp binary, node long")
     return dealt.repartition("key").mapInArrow(join, "a long, b long").distinct()
 
 
-def group(fps: DataFrame, bits: int = 64, word_bits: int = 64, budget: int = 3, limit: int = 3, id_col: str = "doc_id") -> DataFrame:
-    """fps (id_col, fp) with component_id: the smallest id that can be reached over links."""
+def group(fps: DataFrame, bits: int = 64, word_bits: int = 64, budget: int = 3, limit: int = 3, id_col: str = "doc_id", check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """fps (id_col, fp) with component_id: the smallest id that can be reached over links; check may drop links."""
     leaves = fps.groupBy("fp").agg(F.min(id_col).cast("long").alias("node"))
     leaves = cut(leaves)
-    roots = components(links(leaves, bits, word_bits, budget, limit))
+    found = links(leaves, bits, word_bits, budget, limit)
+    roots = components(check(cut(found)) if check else found)
     named = leaves.join(roots, "node", "left").select(F.col("fp"), F.coalesce("root", "node").alias("component_id"))
     return fps.join(named, "fp")
 
 
+#: Near copies: five-word shingles, similarity 0.8 or more. That makes fingerprints differ in 15.2 % of their bits on
+#: average; candidates may differ in NEAR_LIMIT of NEAR_BITS (18.8 %), and the shingles themselves decide.
+NEAR_BITS = 256
+NEAR_WORD_BITS = 32
+NEAR_LIMIT = 48
+NEAR_SHINGLE = 5
+NEAR_SIMILARITY = 0.8
+
+
+def similar(found: DataFrame, docs: DataFrame, size: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """The links (a, b) between texts whose sets of shingles have that similarity (Jaccard) at least."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
+            each = [np.unique(shingle_hashes(t.lower().split(), size)).tobytes() for t in chunk.texts()]
+            yield pa.RecordBatch.from_arrays([chunk.batch.column(0), pa.array(each, pa.binary())], names=["node", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    nodes = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(nodes, "node", "left_semi")
+    held = cut(texts.mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles")))
+    pairs = found.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(held.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    return pairs.select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near copies, the one with the smallest id; one row of those that share
+    that id. Rows with null id take no part and stay.
+
+    Fingerprints of NEAR_BITS are joined word by word (NEAR_WORD_BITS, 3 errors); equal fingerprints are copies."""
+    named = docs.where(F.col(id_col).isNotNull())
+    fps = cut(fingerprints(named, NEAR_SHINGLE, NEAR_BITS, id_col, text_col))
+    check = lambda found: similar(found, named, NEAR_SHINGLE, NEAR_SIMILARITY, id_col, text_col)
+    first = group(fps, NEAR_BITS, NEAR_WORD_BITS, 3, NEAR_LIMIT, id_col, check).where(F.col(id_col) == F.col("component_id"))
+    first = first.select(F.col("component_id").alias("_first")).distinct()
+    copy = next(c for c in ("_copy", *(f"_copy{i}" for i in range(len(docs.columns) + 1))) if c not in docs.columns)
+    kept = named.join(first, F.col(id_col) == F.col("_first"), "left_semi")
+    kept = kept.withColumn(copy, F.row_number().over(W.partitionBy(id_col).orderBy(text_col))).where(F.col(copy) == 1).drop(copy)
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     fps = cut(fingerprints(table(spark, sf_dir, "documents"), size=3, bits=64))
     return group(fps).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

@@ -176,6 +176,18 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """docs without the rows that score 0.5 or more; nothing is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.bucket, model.weight, model.intercept))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = ToxicityModel(*sent.value)
+        for chunk in chunks(batches, text_col):
+            yield chunk.batch.filter(pa.array(own.score(chunk) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
     out = score(table(spark, sf_dir, "documents"), model)
