@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from matchspark.plans import market  # noqa: F401  each registers its queries
+from matchspark.plans import market, matching  # noqa: F401  each registers its queries
 from matchspark.plans.base import REGISTRY, Query
 
-FLAGSHIP = "skill_demand"
+FLAGSHIP = "recommend"
 
 
 def queries() -> dict[str, Query]:
