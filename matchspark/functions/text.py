@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,12 @@ _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 _PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over value, with value worked out once a row: inside a lambda a plain column would be worked out again for
+    each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fold_text(s: Column) -> Column:
     """Lower case without accents (of Latin letters) or dots; anything but letters, digits, + and # becomes one blank."""
     low = F.regexp_replace(F.translate(F.lower(s), _ACCENTED, _PLAIN), r"[̀-ͯ.]", "")
