@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchspark.plans import market, matching, parsing, ranking_eval  # noqa: F401  each registers its queries
+from matchspark.plans import market, matching, parsing, ranking_eval, upserts  # noqa: F401  each registers its queries
 from matchspark.plans.base import REGISTRY, Query
 
 FLAGSHIP = "recommend"
