@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +13,7 @@ from pyspark.sql.window import Window as W
 from matchspark.functions.scoring import skill_rarity
 from matchspark.functions.text import trigram_similarity, trigrams
 from matchspark.operators.demand import related_skills
+from matchspark.session import on_workers
 
 #: Anchors that are sent to the tasks at once; more go in further blocks, each a pass over the items.
 BLOCK_ANCHORS = 4096
@@ -42,8 +41,7 @@ def top_k_similar(anchors: DataFrame, items: DataFrame, k: int, anchor: str, ite
     Anchors go to the tasks in blocks of bounded size; a task keeps its own k best of each anchor, so at most k rows
     of an anchor and task are shuffled."""
     spark = items.sparkSession
-    here = str(Path(__file__).resolve().parents[2])
-    spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([here, *filter(None, spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep))]))
+    on_workers(spark)
     blocks = -(-anchors.count() // BLOCK_ANCHORS)
     schema = f"{anchor} long, {item} long, similarity double"
     found = spark.createDataFrame([], schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from matchspark.plans import market, matching, parsing, ranking_eval, upserts  # noqa: F401  each registers its queries
 from matchspark.plans.base import REGISTRY, Query
+from matchspark.streaming import plans as _streams  # noqa: F401
 
 FLAGSHIP = "recommend"
 
