@@ -122,7 +122,7 @@ def learn_trees(labelled: DataFrame, text_col: str = "text", lang_col: str = "la
     col = {x: i for i, x in enumerate(langs)}
     grams, at = np.unique(gram, return_inverse=True)
     counts = np.zeros((len(grams), len(langs)), np.int64)
-    counts[at, [col[x] for x in lang]] = n
+    counts[at, np.array([col[x] for x in lang], np.int64)] = n
     return ContextTrees(langs, grams, counts)
 
 

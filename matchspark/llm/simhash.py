@@ -278,7 +278,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = group(fps, NEAR_BITS, NEAR_WORD_BITS, 3, NEAR_LIMIT, id_col, check).where(F.col(id_col) == F.col("component_id"))
     first = first.select(F.col("component_id").alias("_first")).distinct()
     copy = next(c for c in ("_copy", *(f"_copy{i}" for i in range(len(docs.columns) + 1))) if c not in docs.columns)
-    kept = named.join(first, F.col(id_col) == F.col("_first"), "left_semi")
+    kept = named.join(first, named[id_col] == first["_first"], "left_semi")
     kept = kept.withColumn(copy, F.row_number().over(W.partitionBy(id_col).orderBy(text_col))).where(F.col(copy) == 1).drop(copy)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
 
