@@ -302,7 +302,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 at = s.at + base - chunk.starts[s.row]
                 yield pa.RecordBatch.from_arrays([pa.array(s.key), pa.array(s.context), pa.array(row[s.row]), pa.array((at << 16) | (s.before << 8) | s.after)], names=["key", "context", "row", "place"])
 
-    twice = keyed.select("text").mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # written before it is joined, so that the join deals out both sides itself and can split a hot key
+    twice = cut(keyed.select("text").mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     # place: where the suffix starts << 16 | bytes before it << 8 | bytes from it on
     found = keyed.select("text", "row").mapInArrow(places, "key long, context long, row long, place long")
     found = cut(found.join(twice, "key", "left_semi"))
