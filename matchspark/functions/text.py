@@ -108,4 +108,5 @@ def html_to_text(s: Column) -> Column:
     x = F.regexp_replace(x, r"<[^>]*>", "")
     for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         x = F.replace(x, F.lit(entity), F.lit(plain))
-    return F.trim(F.regexp_replace(F.regexp_replace(x, "[ \t]+", " "), r" ?\n[ \n]*", "\n"))
+    squeezed = F.regexp_replace(F.regexp_replace(x, "[ \t]+", " "), r" ?\n[ \n]*", "\n")
+    return F.regexp_replace(squeezed, r"^\s+|\s+$", "")

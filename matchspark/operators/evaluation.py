@@ -48,7 +48,7 @@ def recall_curve(ranked: DataFrame, keys: list[str], ks: list[int], label: str =
 
 def pearson(df: DataFrame, keys: list[str], a: str, b: str, name: str = "pearson") -> DataFrame:
     """Null where a side is constant: its correlation would be rounding dust."""
-    return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys).agg(F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.corr(a, b)).alias(name))
+    return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys).agg(F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))).alias(name))
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:

@@ -88,7 +88,7 @@ for _e, _p in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), (
     _HTML = f"replace({_HTML}, '{_e}', '{_p}')"
 
 
-@query("html_to_text", rf"SELECT page_id, sha256(trim(regexp_replace(regexp_replace({_HTML}, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'))) AS body FROM pages")
+@query("html_to_text", rf"SELECT page_id, sha256(regexp_replace(regexp_replace(regexp_replace({_HTML}, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS body FROM pages")
 def html_to_text(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select("page_id", F.sha2(T.html_to_text(F.col("html")), 256).alias("body"))
 
