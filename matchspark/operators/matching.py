@@ -91,7 +91,9 @@ def near_duplicate_pairs(postings: DataFrame, least: float = 0.97, least_title:
     own = postings.select("job_id", "company_id", F.col("title").alias("t"), "embedding")
     x, y = own.select(*(F.col(c).alias(f"x_{c}") for c in own.columns)), own.select(*(F.col(c).alias(f"y_{c}") for c in own.columns))
     both = pairs.join(x, F.col("a") == F.col("x_job_id")).join(y, F.col("b") == F.col("y_job_id"))
-    return both.select("a", "b", cosine(F.col("x_embedding"), F.col("y_embedding")).alias("cosine"), F.coalesce(F.col("x_company_id") == F.col("y_company_id"), F.lit(False)).alias("shares_company"), (trigram_similarity(F.col("x_t"), F.col("y_t")) >= least_title).alias("similar_title")).where(F.col("cosine") >= least)
+    near = both.withColumn("cosine", cosine(F.col("x_embedding"), F.col("y_embedding"))).where(F.col("cosine") >= least)
+    # titles are compared for the few pairs that are near
+    return near.select("a", "b", "cosine", F.coalesce(F.col("x_company_id") == F.col("y_company_id"), F.lit(False)).alias("shares_company"), F.coalesce(trigram_similarity(F.col("x_t"), F.col("y_t")) >= least_title, F.lit(False)).alias("similar_title"))
 
 
 def _similar_title_pairs(postings: DataFrame, least: float) -> DataFrame:
