@@ -17,6 +17,8 @@ The method is a sparse suffix array built by a distributed merge sort that knows
 4. Cover. Within a key, two suffixes that share r bytes forwards and l bytes backwards share the windows that start
    between 200 - r and l bytes before them. Forward prefixes come from the merge, backward ones from sorting the left
    contexts; the union over all partners says which of a suffix's windows repeat.
+   A key with more than MOST_OF_A_KEY different surroundings (the edge of a passage that very many texts share) would
+   be too much for one task: its windows are counted by their hashes instead, with the same result.
 5. Removal. Covers go back to their texts by row.
 
 Defined results: a null or empty text has no bytes; texts shorter than LENGTH lose nothing. Rows that are alike in id
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +45,8 @@ KEY = LENGTH - SPREAD
 _SEGMENT = 1 << 20
 _RUN_ENTRIES = 1 << 15
 _SMALL_GROUP = 12
+#: Suffixes of one key that one task merges at most. Keys with more go by their windows' hashes instead.
+MOST_OF_A_KEY = 20_000
 
 _rng = np.random.default_rng(20)
 _VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -309,10 +314,12 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = cut(found.join(twice, "key", "left_semi"))
 
     contexts = cut(found.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one")))
-    shared_keys = contexts.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
-    wanted = contexts.join(shared_keys, "key", "left_semi").select("key", "context", "one.row", "one.place")
-    by_row = wanted.groupBy("row").agg(F.collect_list(F.struct("key", "context", "place")).alias("wanted"))
-    merged = _merge(_packed(docs, id_col, text_col).join(by_row, "row").select("body", "wanted"), docs.sparkSession)
+    kinds = cut(contexts.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    packed = lambda: _packed(docs, id_col, text_col)
+    merged = _merge(_with_texts(contexts, kinds.where(F.col("kinds") <= MOST_OF_A_KEY), packed()), docs.sparkSession)
+    crowded = kinds.where(F.col("kinds") > MOST_OF_A_KEY)
+    if not crowded.isEmpty():
+        merged = merged.unionByName(_by_windows(_with_texts(contexts, crowded, packed())))
 
     whole = contexts.where("n > 1").select("key", "context", F.lit(None).cast("binary").alias("cover"))
     # a context that is found twice has all its windows repeated, whatever the merge says of it
@@ -321,6 +328,47 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return placed.groupBy("row").agg(F.collect_set(F.struct("place", "cover")).alias("ranges"))
 
 
+def _with_texts(contexts: DataFrame, keys: DataFrame, packed: DataFrame) -> DataFrame:
+    """(body, wanted): one suffix of each context of the keys, beside its text."""
+    wanted = contexts.join(keys.select("key"), "key", "left_semi").select("key", "context", "one.row", "one.place")
+    return packed.join(wanted.groupBy("row").agg(F.collect_list(F.struct("key", "context", "place")).alias("wanted")), "row").select("body", "wanted")
+
+
+def _suffix_bytes(body: bytes, place: int) -> tuple[bytes, bytes]:
+    """(from the suffix on, before it), as far as its context goes."""
+    at, before, after = place >> 16, place >> 8 & 255, place & 255
+    return body[at : at + after], body[at - before : at]
+
+
+def _by_windows(texts: DataFrame) -> DataFrame:
+    """(key, context, cover) for keys with very many surroundings: every window of every context is counted by its
+    hash (128 bits), a sum that is combined before the shuffle, so no key's rows have to meet in one task."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body, wanted in zip(batch.column(0), batch.column(1), strict=True):
+                body = _body(body.as_py())
+                for w in wanted.as_py():
+                    after, before = _suffix_bytes(body, w["place"])
+                    whole, far = before + after, range(LENGTH - len(after), len(before) + 1)
+                    hashes = [xxhash.xxh3_128_digest(whole[len(before) - d : len(before) - d + LENGTH]) for d in far]
+                    yield pa.RecordBatch.from_arrays([pa.array([w["key"]] * len(far)), pa.array([w["context"]] * len(far)), pa.array(far, pa.int32()), pa.array(hashes, pa.binary())], names=["key", "context", "distance", "hash"])
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            covers = []
+            for found in batch.column(2).to_pylist():
+                d = np.sort(np.array(found))
+                cuts = np.flatnonzero(np.diff(d) > 1)
+                covers.append(np.stack([d[np.append(0, cuts + 1)], d[np.append(cuts, len(d) - 1)]], axis=1).astype(np.int16).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(covers, pa.binary())], names=["key", "context", "cover"])
+
+    each = cut(texts.mapInArrow(windows, "key long, context long, distance int, hash binary"))
+    twice = cut(each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
+    met = each.join(twice, "hash", "left_semi").groupBy("key", "context").agg(F.collect_set("distance").alias("d"))
+    return met.mapInArrow(spans, "key long, context long, cover binary")
+
+
 def _merge(texts: DataFrame, spark: SparkSession) -> DataFrame:
     """texts: (body, wanted suffixes). (key, context, cover) of those that share windows."""
     owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -340,8 +388,7 @@ def _merge(texts: DataFrame, spark: SparkSession) -> DataFrame:
             for i in range(batch.num_rows):
                 body = _body(batch.column(0)[i].as_py())
                 for w in batch.column(1)[i].as_py():
-                    at, before, after = w["place"] >> 16, w["place"] >> 8 & 255, w["place"] & 255
-                    held[w["key"] % owners].append((body[at : at + after], body[at - before : at], w["key"], w["context"]))
+                    held[w["key"] % owners].append((*_suffix_bytes(body, w["place"]), w["key"], w["context"]))
                     count += 1
                 if count >= _RUN_ENTRIES:
                     yield flush()
