@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from matchspark.functions.text import bound
+
 #: Patterns whose first match decides; their order matters.
 WORK_MODES = (
     ("HYBRID", r"\b(hybrid|\d\s*days?\s+(?:a|per)\s+week\s+in\s+(?:the\s+)?office)\b"),
@@ -82,18 +86,30 @@ def salary_range(text: Column) -> Column:
     out = F.lit(None).cast("struct<low:double,high:double,currency:string,period:string>")
     for currency, mark in reversed(marks):
         window = F.regexp_extract(text, rf"(?is)(?:{mark})(.{{0,80}})", 1)
-        part = lambda g, w=window: F.regexp_extract(w, rf"(?is)^\s*{amount}(?:\s*(?:-|–|—|to)\s*(?:{mark})?\s*{amount})?", g)
-        unit = lambda u: F.when(u == "k", 1e3).when(u.startswith("l"), 1e5).when(u.startswith("c"), 1e7).when(u == "m", 1e6).otherwise(1.0)
-        high_unit = F.lower(part(4))
-        low_unit = F.coalesce(F.nullif(F.lower(part(2)), F.lit("")), high_unit)  # "80-100k": the unit is carried back
-        low = F.replace(part(1), F.lit(","), F.lit("")).try_cast("double") * unit(low_unit)
-        high = F.coalesce(F.replace(part(3), F.lit(","), F.lit("")).try_cast("double") * unit(high_unit), low)
-        period = F.when(window.rlike(r"(?i)hour|/\s*hr"), "HOURLY").when(window.rlike(r"(?i)month|/\s*mo"), "MONTHLY").otherwise("YEARLY")
-        found = F.struct(F.least(low, high).alias("low"), F.greatest(low, high).alias("high"), F.lit(currency).alias("currency"), period.alias("period"))
-        out = F.when((F.least(low, high) >= 1e3) & (F.greatest(low, high) <= 1e8), found).otherwise(out)
+        pattern = rf"(?is)^\s*{amount}(?:\s*(?:-|–|—|to)\s*(?:{mark})?\s*{amount})?"
+        found = bound(window, lambda w, p=pattern: F.struct(*(F.lower(F.regexp_extract(w, p, g)).alias(n) for g, n in enumerate(("low", "low_unit", "high", "high_unit"), 1)), w.alias("window")))
+        out = F.coalesce(bound(found, _amounts(currency)), out)
     return out
 
 
+def _amounts(currency: str) -> Callable[[Column], Column]:
+    unit = lambda u: F.when(u == "k", 1e3).when(u.startswith("l"), 1e5).when(u.startswith("c"), 1e7).when(u == "m", 1e6).otherwise(1.0)
+    number = lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double")
+
+    def ends(x: Column) -> Column:
+        # "80-100k": the unit is carried back
+        low = number(x["low"]) * unit(F.coalesce(F.nullif(x["low_unit"], F.lit("")), x["high_unit"]))
+        high = number(x["high"]) * unit(x["high_unit"])
+        period = F.when(x["window"].rlike(r"(?i)hour|/\s*hr"), "HOURLY").when(x["window"].rlike(r"(?i)month|/\s*mo"), "MONTHLY").otherwise("YEARLY")
+        return F.struct(low.alias("low"), F.coalesce(high, low).alias("high"), period.alias("period"))
+
+    def plausible(x: Column) -> Column:
+        low, high = F.least(x["low"], x["high"]), F.greatest(x["low"], x["high"])
+        return F.when((low >= 1e3) & (high <= 1e8), F.struct(low.alias("low"), high.alias("high"), F.lit(currency).alias("currency"), x["period"].alias("period")))
+
+    return lambda found: bound(ends(found), plausible)
+
+
 def labelled(text: Column, *labels: str) -> Column:
     """The value after "Label:" at a line's start in the opening, at most 120 characters."""
     value = F.trim(F.regexp_extract(F.substring(text, 1, HEADER_CHARS), rf"(?im)^[ \t*#-]*(?:{'|'.join(labels)})[ \t]*[:\-][ \t]*(.+)$", 1))
