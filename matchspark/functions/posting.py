@@ -87,11 +87,15 @@ def salary_range(text: Column) -> Column:
     for currency, mark in reversed(marks):
         window = F.regexp_extract(text, rf"(?is)(?:{mark})(.{{0,80}})", 1)
         pattern = rf"(?is)^\s*{amount}(?:\s*(?:-|–|—|to)\s*(?:{mark})?\s*{amount})?"
-        found = bound(window, lambda w, p=pattern: F.struct(*(F.lower(F.regexp_extract(w, p, g)).alias(n) for g, n in enumerate(("low", "low_unit", "high", "high_unit"), 1)), w.alias("window")))
+        found = bound(window, _pieces(pattern))
         out = F.coalesce(bound(found, _amounts(currency)), out)
     return out
 
 
+def _pieces(pattern: str) -> Callable[[Column], Column]:
+    return lambda w: F.struct(*(F.lower(F.regexp_extract(w, pattern, g)).alias(n) for g, n in enumerate(("low", "low_unit", "high", "high_unit"), 1)), w.alias("window"))
+
+
 def _amounts(currency: str) -> Callable[[Column], Column]:
     unit = lambda u: F.when(u == "k", 1e3).when(u.startswith("l"), 1e5).when(u.startswith("c"), 1e7).when(u == "m", 1e6).otherwise(1.0)
     number = lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double")
