@@ -236,9 +236,9 @@ def group(fps: DataFrame, bits: int = 64, word_bits: int = 64, budget: int = 3,
 
 #: Near copies: five-word shingles, similarity 0.8 or more. That makes fingerprints differ in 15.2 % of their bits on
 #: average; candidates may differ in NEAR_LIMIT of NEAR_BITS (18.8 %), and the shingles themselves decide.
-NEAR_BITS = 256
+NEAR_BITS = 384
 NEAR_WORD_BITS = 32
-NEAR_LIMIT = 48
+NEAR_LIMIT = 72
 NEAR_SHINGLE = 5
 NEAR_SIMILARITY = 0.8
 
