@@ -21,7 +21,8 @@ component of its own, and shows the component of the rows with its fingerprint (
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,9 +64,8 @@ def _further(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprints_of(chunk: Chunk, size: int, bits: int) -> np.ndarray:
-    """A row of bits/64 numbers for each text."""
-    each = [shingle_hashes(t.lower().split(), size) for t in chunk.texts()]
+def fingerprints_of(each: list[np.ndarray], bits: int) -> np.ndarray:
+    """A row of bits/64 numbers for each text, known by its shingles' hashes."""
     counts = np.array([len(h) for h in each])
     out = np.zeros((len(each), bits // 64), np.uint64)
     some = np.flatnonzero(counts)
@@ -84,12 +84,34 @@ def fingerprints(docs: DataFrame, size: int = 5, bits: int = 64, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, text_col):
-            fp = fingerprints_of(chunk, size, bits)
+            fp = fingerprints_of([shingle_hashes(t.lower().split(), size) for t in chunk.texts()], bits)
             yield pa.RecordBatch.from_arrays([chunk.batch.column(0), pa.array([x.tobytes() for x in fp.astype(">u8")], pa.binary())], names=[id_col, "fp"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, fp binary")
 
 
+def shingle_sets(chunk: Chunk, size: int) -> list[np.ndarray]:
+    """The distinct shingles of each text, sorted."""
+    return [np.unique(shingle_hashes(t.lower().split(), size)) for t in chunk.texts()]
+
+
+def set_key(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def set_fingerprints(docs: DataFrame, size: int, bits: int, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, shingle_set, fp): a hash of the set of shingles, and the fingerprint in which each counts once."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, text_col):
+            each = shingle_sets(chunk, size)
+            fp = fingerprints_of(each, bits)
+            yield pa.RecordBatch.from_arrays([chunk.batch.column(0), pa.array([set_key(x) for x in each], pa.binary()), pa.array([x.tobytes() for x in fp.astype(">u8")], pa.binary())], names=[id_col, "shingle_set", "fp"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, shingle_set binary, fp binary")
+
+
 class Forest:
     """Components of leaves 0 to n - 1; each is known by its first leaf."""
 
@@ -224,12 +246,11 @@ def links(leaves: DataFrame, bits: int, word_bits: int, budget: int, limit: int)
     return dealt.repartition("key").mapInArrow(join, "a long, b long").distinct()
 
 
-def group(fps: DataFrame, bits: int = 64, word_bits: int = 64, budget: int = 3, limit: int = 3, id_col: str = "doc_id", check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """fps (id_col, fp) with component_id: the smallest id that can be reached over links; check may drop links."""
+def group(fps: DataFrame, bits: int = 64, word_bits: int = 64, budget: int = 3, limit: int = 3, id_col: str = "doc_id") -> DataFrame:
+    """fps (id_col, fp) with component_id: the smallest id that can be reached over links."""
     leaves = fps.groupBy("fp").agg(F.min(id_col).cast("long").alias("node"))
     leaves = cut(leaves)
-    found = links(leaves, bits, word_bits, budget, limit)
-    roots = components(check(cut(found)) if check else found)
+    roots = components(links(leaves, bits, word_bits, budget, limit))
     named = leaves.join(roots, "node", "left").select(F.col("fp"), F.coalesce("root", "node").alias("component_id"))
     return fps.join(named, "fp")
 
@@ -243,13 +264,21 @@ NEAR_SHINGLE = 5
 NEAR_SIMILARITY = 0.8
 
 
-def similar(found: DataFrame, docs: DataFrame, size: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """The links (a, b) between texts whose sets of shingles have that similarity (Jaccard) at least."""
+def sets_of(leaves: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles) of leaves (node, shingle_set, first)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
-            each = [np.unique(shingle_hashes(t.lower().split(), size)).tobytes() for t in chunk.texts()]
-            yield pa.RecordBatch.from_arrays([chunk.batch.column(0), pa.array(each, pa.binary())], names=["node", "shingles"])
+            each = shingle_sets(chunk, size)
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in each], pa.binary()), pa.array([x.tobytes() for x in each], pa.binary())], names=["shingle_set", "shingles"])
+
+    texts = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text")).join(leaves.select("first").distinct(), "first", "left_semi")
+    held = texts.select("text").mapInArrow(sets, "shingle_set binary, shingles binary").groupBy("shingle_set").agg(F.min("shingles").alias("shingles"))
+    return leaves.select("node", "shingle_set").join(held, "shingle_set").select("node", "shingles")
+
+
+def similar(found: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """The links (a, b) between leaves whose sets of shingles have that similarity (Jaccard) at least."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,9 +289,6 @@ def similar(found: DataFrame, docs: DataFrame, size: int, least: float, id_col:
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    nodes = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(nodes, "node", "left_semi")
-    held = cut(texts.mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles")))
     pairs = found.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(held.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
     return pairs.select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long")
 
@@ -271,12 +297,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """docs with one row of each group of near copies, the one with the smallest id; one row of those that share
     that id. Rows with null id take no part and stay.
 
-    Fingerprints of NEAR_BITS are joined word by word (NEAR_WORD_BITS, 3 errors); equal fingerprints are copies."""
+    Texts with one set of shingles are copies and one leaf. Fingerprints of NEAR_BITS, in which each distinct shingle
+    counts once, are joined word by word (NEAR_WORD_BITS, 3 errors), and the shingles decide."""
     named = docs.where(F.col(id_col).isNotNull())
-    fps = cut(fingerprints(named, NEAR_SHINGLE, NEAR_BITS, id_col, text_col))
-    check = lambda found: similar(found, named, NEAR_SHINGLE, NEAR_SIMILARITY, id_col, text_col)
-    first = group(fps, NEAR_BITS, NEAR_WORD_BITS, 3, NEAR_LIMIT, id_col, check).where(F.col(id_col) == F.col("component_id"))
-    first = first.select(F.col("component_id").alias("_first")).distinct()
+    fps = set_fingerprints(named, NEAR_SHINGLE, NEAR_BITS, id_col, text_col)
+    leaves = cut(fps.groupBy("shingle_set").agg(F.min("fp").alias("fp"), F.min(id_col).alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    found = cut(links(leaves.select("fp", "node"), NEAR_BITS, NEAR_WORD_BITS, 3, NEAR_LIMIT))
+    ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    held = cut(sets_of(leaves.join(ends, "node", "left_semi"), named, NEAR_SHINGLE, id_col, text_col))
+    roots = components(similar(found, held, NEAR_SIMILARITY))
+    grouped = leaves.join(roots, "node", "left").groupBy(F.coalesce("root", "node"))
+    first = grouped.agg(F.min("first").alias("_first")).select("_first").distinct()
     copy = next(c for c in ("_copy", *(f"_copy{i}" for i in range(len(docs.columns) + 1))) if c not in docs.columns)
     kept = named.join(first, named[id_col] == first["_first"], "left_semi")
     kept = kept.withColumn(copy, F.row_number().over(W.partitionBy(id_col).orderBy(text_col))).where(F.col(copy) == 1).drop(copy)

@@ -101,6 +101,18 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept == set(range(40)) | set(range(200, 210))
 
 
+def test_repeated_lines_neither_make_copies_nor_hide_them(spark):
+    rng = random.Random(12)
+    line = " ".join(f"line{i}" for i in range(35))
+    own = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    texts = {0: f"{own('x', 100)} " + f"{line} " * 40, 1: f"{own('y', 100)} " + f"{line} " * 40}
+    once = f"{own('z', 115)} {line} {line}"
+    texts |= {2: once, 3: once + f" {line}" * 19}
+    texts |= {4: " ".join(rng.choices(line.split(), k=200))}
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert kept == {0, 1, 2, 4}
+
+
 # --- 2 personal data ----------------------------------------------------------------------------------------------
 
 
