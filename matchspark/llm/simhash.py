@@ -22,7 +22,7 @@ component of its own, and shows the component of the rows with its fingerprint (
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,8 +115,8 @@ def set_fingerprints(docs: DataFrame, size: int, bits: int, id_col: str, text_co
 class Forest:
     """Components of leaves 0 to n - 1; each is known by its first leaf."""
 
-    def __init__(self, n: int) -> None:
-        self.label = np.arange(n)
+    def __init__(self, n: int, label: np.ndarray | None = None) -> None:
+        self.label = np.arange(n) if label is None else label
         self.edges: list[tuple[np.ndarray, np.ndarray]] = []
         self._changes: np.ndarray | None = None
 
@@ -146,11 +146,12 @@ class Forest:
         return self._changes[hi - 1] == self._changes[lo]
 
 
-def trie_join(key: np.ndarray, low: np.ndarray, levels: int, whole: np.ndarray, budget: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def trie_join(key: np.ndarray, low: np.ndarray, levels: int, whole: np.ndarray, budget: int, limit: int, label: np.ndarray | None = None, new: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (pairs of places) of the links between leaves sorted by (key, low): within each key, leaves
-    link if low differs in at most budget bits and whole in at most limit."""
+    link if low differs in at most budget bits and whole in at most limit, and the pair is new. Leaves with one label
+    (the first such leaf's place) are connected from the start."""
     n = len(key)
-    forest = Forest(n)
+    forest = Forest(n, label)
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -183,6 +184,8 @@ def trie_join(key: np.ndarray, low: np.ndarray, levels: int, whole: np.ndarray,
             a, b = a[near], b[near]
             far = np.bitwise_count(whole[a] ^ whole[b]).sum(axis=1, dtype=np.int32)
             near = far <= limit
+            if new is not None:
+                near &= new(a, b)
             forest.join(a[near], b[near], far[near])
             s = e
 
@@ -210,31 +213,44 @@ def trie_join(key: np.ndarray, low: np.ndarray, levels: int, whole: np.ndarray,
     return tuple(np.concatenate([e[k] for e in forest.edges] or [np.zeros(0, np.int64)]) for k in (0, 1))
 
 
-def links(leaves: DataFrame, bits: int, word_bits: int, budget: int, limit: int) -> DataFrame:
-    """leaves: (fp, node), one row for each fingerprint. (a, b): enough links to connect what is linked."""
+def links(leaves: DataFrame, bits: int, word_bits: int, budget: int, limit: int, forests: int = 0) -> DataFrame:
+    """leaves: (fp, node), one row for each fingerprint. (a, b): enough links to connect what is linked.
+
+    With forests: leaves are (fp, node, comp, places). Where places is null, comp is the component that the leaf is
+    known to be in; else the row is a pair (node, comp) that was found before and counts as no link. (a, b, fp,
+    places): that many forests at most, each of links not in those before; fp is that of a, and places has a bit for
+    each word and block where the pair meets."""
     blocks, width = budget + 1, word_bits // (budget + 1)
     words = bits // word_bits
+    columns = ["fp", "node", "comp", "places"] if forests else ["fp", "node"]
+    # the last block takes what is left over
+    places = [(w, b * width, width if b < blocks - 1 else word_bits - b * width) for w in range(words) for b in range(blocks)]
+
+    def word_of(fp: np.ndarray, w: int) -> np.ndarray:
+        at = w * word_bits
+        return (fp[:, at // 64] >> np.uint64(at % 64)) & np.uint64((1 << word_bits) - 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each word and block: key is (word, block, the block's bits), low the other bits."""
         for batch in batches:
             fp = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">u8").astype(np.uint64).reshape(-1, bits // 64)
-            for w in range(words):
-                at = w * word_bits
-                word = (fp[:, at // 64] >> np.uint64(at % 64)) & np.uint64((1 << word_bits) - 1)
-                for b in range(blocks):
-                    # the last block takes what is left over
-                    from_, size = b * width, width if b < blocks - 1 else word_bits - b * width
-                    value = (word >> np.uint64(from_)) & np.uint64((1 << size) - 1)
-                    low = (word & np.uint64((1 << from_) - 1)) | ((word >> np.uint64(from_ + size)) << np.uint64(from_) if from_ + size < word_bits else np.uint64(0))
-                    key = np.uint64(w * blocks + b) << np.uint64(40) | value
-                    yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(low.view(np.int64)), *batch.columns], names=["key", "low", "fp", "node"])
+            of = batch.column(3).fill_null(-1).to_numpy() if forests else None
+            for k, (w, from_, size) in enumerate(places):
+                word = word_of(fp, w)
+                value = (word >> np.uint64(from_)) & np.uint64((1 << size) - 1)
+                low = (word & np.uint64((1 << from_) - 1)) | ((word >> np.uint64(from_ + size)) << np.uint64(from_) if from_ + size < word_bits else np.uint64(0))
+                key = np.uint64(k) << np.uint64(40) | value
+                out = pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(low.view(np.int64)), *batch.columns], names=["key", "low", *columns])
+                yield out.filter(pa.array((of >> k & 1).astype(bool))) if forests else out
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
+        if forests:
+            yield from join_new(t)
+            return
         key, low, node = (t.column(c).to_numpy() for c in ("key", "low", "node"))
         low = low.view(np.uint64)
         whole = np.frombuffer(b"".join(t.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, bits // 64)
@@ -242,7 +258,37 @@ def links(leaves: DataFrame, bits: int, word_bits: int, budget: int, limit: int)
         a, b = (node[order][x] for x in trie_join(key[order], low[order], word_bits - width, whole[order], budget, limit))
         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
-    dealt = leaves.where(F.col("node").isNotNull()).select("fp", F.col("node").cast("long").alias("node")).mapInArrow(deal, "key long, low long, fp binary, node long")
+    def join_new(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        gone, t = t.filter(t.column("places").is_valid()), t.filter(t.column("places").is_null())
+        key, low, node, comp = (t.column(c).to_numpy() for c in ("key", "low", "node", "comp"))
+        low = low.view(np.uint64)
+        raw = np.array(t.column("fp").to_pylist(), object)
+        order = np.lexsort((low, key))
+        key, low, node, comp, raw = (x[order] for x in (key, low, node, comp, raw))
+        whole = np.frombuffer(b"".join(raw), ">u8").astype(np.uint64).reshape(-1, bits // 64)
+        names, number = np.unique(np.concatenate([node, gone.column("node").to_numpy(), gone.column("comp").to_numpy()]), return_inverse=True)
+        code = lambda x, y: np.maximum(x, y) * len(names) + np.minimum(x, y)
+        n, m = len(node), len(gone)
+        known = np.unique(code(number[n : n + m], number[n + m :]))
+        _, first, of = np.unique(comp, return_index=True, return_inverse=True)
+        for _ in range(forests):
+            a, b = trie_join(key, low, word_bits - width, whole, budget, limit, first[of], lambda x, y, known=known: ~np.isin(code(number[x], number[y]), known))
+            if not len(a):
+                return
+            known = np.union1d(known, code(number[a], number[b]))
+            a, b = np.where(node[a] > node[b], a, b), np.where(node[a] > node[b], b, a)
+            apart, meet = whole[a] ^ whole[b], np.zeros(len(a), np.int64)
+            for k, (w, from_, size) in enumerate(places):
+                word = word_of(apart, w)
+                meets = (np.bitwise_count(word) <= budget) & ((word >> np.uint64(from_)) & np.uint64((1 << size) - 1) == 0)
+                meet |= meets.astype(np.int64) << k
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(raw[a].tolist(), pa.binary()), pa.array(meet)], names=["a", "b", "fp", "places"])
+
+    types = "key long, low long, fp binary, node long"
+    if forests:
+        dealt = leaves.select(*columns).mapInArrow(deal, f"{types}, comp long, places long")
+        return dealt.repartition("key").mapInArrow(join, "a long, b long, fp binary, places long").dropDuplicates(["a", "b"])
+    dealt = leaves.where(F.col("node").isNotNull()).select("fp", F.col("node").cast("long").alias("node")).mapInArrow(deal, types)
     return dealt.repartition("key").mapInArrow(join, "a long, b long").distinct()
 
 
@@ -277,20 +323,49 @@ def sets_of(leaves: DataFrame, docs: DataFrame, size: int, id_col: str, text_col
     return leaves.select("node", "shingle_set").join(held, "shingle_set").select("node", "shingles")
 
 
-def similar(found: DataFrame, held: DataFrame, least: float) -> DataFrame:
-    """The links (a, b) between leaves whose sets of shingles have that similarity (Jaccard) at least."""
+def judge(found: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """found (a, b, fp, places) with same: whether the sets of shingles have that similarity (Jaccard) at least."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            same = []
+            for x, y in zip(batch.column(4), batch.column(5), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                same.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(same, pa.bool_())], names=["a", "b", "fp", "places", "same"])
 
     pairs = found.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(held.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    return pairs.select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long")
+    return pairs.select("a", "b", "fp", "places", "of_a", "of_b").mapInArrow(compare, "a long, b long, fp binary, places long, same boolean")
+
+
+def verified(leaves: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, root): components of leaves (node, fp, shingle_set, first) over candidates that the shingles confirm.
+
+    A round judges a forest of the candidates between components; what passes is contracted, what fails is remembered,
+    and only leaves of components that had candidates go on. It ends when a round has no failure: then no candidate
+    is left between two components. Each round tries twice as many forests as the one before, so that a
+    crowd of candidates that all fail takes a logarithm of its size in rounds."""
+    active = leaves.select("fp", "node", F.col("node").alias("comp"), F.lit(None).cast("long").alias("places"))
+    held = passed = failed = None
+    forests = 1
+    while True:
+        found = cut(links(active.union(failed) if failed else active, NEAR_BITS, NEAR_WORD_BITS, 3, NEAR_LIMIT, forests))
+        ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+        if held is None:
+            held = cut(sets_of(leaves.join(ends, "node", "left_semi"), docs, NEAR_SHINGLE, id_col, text_col))
+        judged = cut(judge(found, held, NEAR_SIMILARITY))
+        good, bad = judged.where("same").select("a", "b"), judged.where("not same")
+        passed = passed.union(good) if passed else good
+        roots = components(passed)
+        if bad.isEmpty():
+            return roots
+        bad = bad.select("fp", F.col("a").alias("node"), F.col("b").alias("comp"), "places")
+        failed = failed.union(bad) if failed else bad
+        touched = active.join(ends, "node", "left_semi").select("comp").distinct()
+        going_on = active.join(touched, "comp", "left_semi").join(roots, "node", "left")
+        active = cut(going_on.select("fp", "node", F.coalesce("root", "node").alias("comp"), "places"))
+        forests *= 2
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,11 +377,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     named = docs.where(F.col(id_col).isNotNull())
     fps = set_fingerprints(named, NEAR_SHINGLE, NEAR_BITS, id_col, text_col)
     leaves = cut(fps.groupBy("shingle_set").agg(F.min("fp").alias("fp"), F.min(id_col).alias("first")).withColumn("node", F.monotonically_increasing_id()))
-    found = cut(links(leaves.select("fp", "node"), NEAR_BITS, NEAR_WORD_BITS, 3, NEAR_LIMIT))
-    ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-    held = cut(sets_of(leaves.join(ends, "node", "left_semi"), named, NEAR_SHINGLE, id_col, text_col))
-    roots = components(similar(found, held, NEAR_SIMILARITY))
-    grouped = leaves.join(roots, "node", "left").groupBy(F.coalesce("root", "node"))
+    grouped = leaves.join(verified(leaves, named, id_col, text_col), "node", "left").groupBy(F.coalesce("root", "node"))
     first = grouped.agg(F.min("first").alias("_first")).select("_first").distinct()
     copy = next(c for c in ("_copy", *(f"_copy{i}" for i in range(len(docs.columns) + 1))) if c not in docs.columns)
     kept = named.join(first, named[id_col] == first["_first"], "left_semi")

@@ -101,6 +101,48 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept == set(range(40)) | set(range(200, 210))
 
 
+def slow_near_copies(texts):
+    """The texts that stay by brute force over the candidates of equal-weight fingerprints: id -> smallest id reached."""
+    sets = {i: set(shingles_of(t, 5)) for i, t in texts.items()}
+    fp = {}
+    for i, x in sets.items():
+        h = np.array([xxhash.xxh64_intdigest(s.encode(), 42) for s in x], np.uint64)
+        n = simhash.NEAR_BITS // 64
+        bits = [[2 * int(((simhash._further(h, k) >> np.uint64(b)) & np.uint64(1)).sum()) > len(h) for b in range(64)] for k in range(n)]
+        fp[i] = [sum(bits[w // 2][w % 2 * 32 + b] << b for b in range(32)) for w in range(2 * n)]
+    pairs, failed = [], 0
+    for a, b in itertools.combinations(texts, 2):
+        apart = [(x ^ y).bit_count() for x, y in zip(fp[a], fp[b], strict=True)]
+        if sets[a] == sets[b] or (sum(apart) <= simhash.NEAR_LIMIT and min(apart) <= 3):
+            near = len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+            failed += not near
+            pairs += [(a, b)] * near
+    return slow_components(pairs, texts), failed
+
+
+def shingles_of(text, k):
+    w = text.lower().split()
+    return [" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))]
+
+
+def test_near_copies_are_all_that_verified_links_connect(spark):
+    """Clouds around the threshold: most candidates fail the check, and a pair that passes must be judged all the same."""
+    rng = random.Random(11)
+    texts = {}
+    for cloud in range(6):
+        base = [f"c{cloud}w{i}" for i in range(150)]
+        for _ in range(40):
+            w = list(base)
+            for at in rng.sample(range(150), rng.choice((2, 3, 4))):
+                w[at] = f"new{rng.randrange(10**9)}"
+            texts[len(texts)] = " ".join(w)
+    root, failed = slow_near_copies(texts)
+    assert failed > 1000
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert kept == set(root.values())
+    assert 6 < len(kept) < len(texts)
+
+
 def test_repeated_lines_neither_make_copies_nor_hide_them(spark):
     rng = random.Random(12)
     line = " ".join(f"line{i}" for i in range(35))
