@@ -6,7 +6,8 @@ their check (address parts, Luhn sum, digit count) are dropped without another t
 The field's nodes are, in the order of the text, the base spans (their labels are given) and the other words that
 hold a digit or an @. Neighbours share a chain potential; nodes whose forms are alike wherever they stand in the text
 (same last digits, same letters and digits, same part before the @) share a skip potential, each with the one before
-and the one after it of that form. Loopy belief propagation over this graph gives each free word its marginals, and a
+and the one after it of that form, and free words also with the nearest base span of that form on either side, however
+many stand between. Loopy belief propagation over this graph gives each free word its marginals, and a
 word whose likeliest label is a kind of personal data becomes a span of that kind. All other words can only be "none"
 and need no nodes.
 
@@ -35,7 +36,9 @@ from matchspark.llm.common import chunks, table
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)  # the label of what is no personal data
 N_LABELS = NONE + 1
-ROUNDS = 12
+#: Messages are passed until they stand still; at the most so many rounds, and two more for each node of the longest
+#: run of alike nodes.
+ROUNDS = 48
 #: What the skip potential of equal labels is taken to be until the counts say otherwise.
 ALIKE = 2.0
 
@@ -127,11 +130,23 @@ class Graph:
         self.looks = [look(f) for f in forms]
         self.links: list[tuple[int, int]] = []
         last: dict[str, int] = {}
-        for j, f in enumerate(forms):
-            for key in keys(f):
+        named = [keys(f) for f in forms]
+        for j, own in enumerate(named):
+            for key in own:
                 if key in last:
                     self.links.append((last[key], j))
                 last[key] = j
+        self.longest = max(Counter(key for own in named for key in own).values(), default=0)
+        linked = set(self.links)
+        for way in (range(len(nodes)), range(len(nodes) - 1, -1, -1)):
+            said: dict[str, int] = {}
+            for j in way:
+                for key in named[j]:
+                    if nodes[j][2] >= 0:
+                        said[key] = j
+                    elif key in said and (pair := (min(said[key], j), max(said[key], j))) not in linked:
+                        linked.add(pair)
+                        self.links.append(pair)
 
 
 def look(form: str) -> int:
@@ -197,7 +212,7 @@ class SkipChain:
         unary = self.emit[g.looks].copy()
         for j, (_, _, k) in enumerate(g.nodes):
             if k >= 0:
-                unary[j] = -1e4
+                unary[j] = -np.inf
                 unary[j, k] = 0.0
         pairs = [(j, j + 1) for j in range(n - 1)] + g.links
         if not pairs:
@@ -209,7 +224,7 @@ class SkipChain:
         pot = np.concatenate([table_[kind], table_[kind].transpose(0, 2, 1)])  # [message, label of src, label of dst]
         back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
         msg = np.zeros((len(src), N_LABELS))
-        for _ in range(ROUNDS):
+        for _ in range(ROUNDS + 2 * g.longest):
             belief = unary.copy()
             np.add.at(belief, dst, msg)
             cavity = belief[src] - msg[back]

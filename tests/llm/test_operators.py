@@ -205,6 +205,30 @@ def test_belief_propagation_is_exact_on_a_tree():
     assert np.allclose(got, want / want.sum(1, keepdims=True), atol=2e-3)
 
 
+def test_one_base_span_reaches_every_alike_mention():
+    """50 alike mentions after one base span, and before one, in a field that knows no neighbours: none is left out,
+    however far it stands from the span."""
+    emit = np.zeros((pii.N_LOOKS, pii.N_LABELS))
+    emit[:, pii.NONE] = 1.0
+    field = pii.SkipChain(emit, np.zeros((pii.N_LABELS, pii.N_LABELS)), np.diag([pii.ALIKE] * pii.NONE + [0.0]))
+    for between in ("please.", "in v7.0 please."):
+        many = " ".join([f"again 555-2748 {between}"] * 50)
+        for text in (f"call +1 (068) 555-2748 now. {many}", f"{many} call +1 (068) 555-2748 now."):
+            base = pii.base_spans(text)
+            assert len(base) == 1
+            more = field.added(text, base)
+            assert [text[a:b] for a, b, _ in more] == ["555-2748"] * 50
+            assert {k for _, _, k in more} == {pii.KINDS.index("phone")}
+            graph = pii.Graph(text, base)
+            assert len(graph.links) <= 4 * len(graph.nodes)
+
+
+def test_a_base_span_with_very_many_mentions_keeps_its_label():
+    field = pii.SkipChain(np.zeros((pii.N_LOOKS, pii.N_LABELS)), np.zeros((pii.N_LABELS, pii.N_LABELS)), np.diag([-30.0] * pii.N_LABELS))
+    text = "call +1 (068) 555-2748 now. " + " ".join(["again 555-2748 please."] * 600)
+    assert field.marginals(pii.Graph(text, pii.base_spans(text)))[0].argmax() == pii.KINDS.index("phone")
+
+
 # --- 3 packing ----------------------------------------------------------------------------------------------------
 
 
