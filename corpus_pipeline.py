@@ -1,5 +1,5 @@
 """A training corpus from the documents table: toxic texts and near copies go, so do texts that hold benchmark items;
-personal data is masked; what is left is packed into batches.
+personal data is masked; what is left is packed into batches of tokens.
 
 Each stage takes (spark, docs, sf_dir). All but the last return the columns of documents."""
 
@@ -36,7 +36,7 @@ def personal_data_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     on_workers(spark)
-    return packing.pack(cut(packing.sequences(docs)))
+    return packing.pack(cut(packing.sequences(docs, tokens=True)))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

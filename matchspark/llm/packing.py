@@ -9,8 +9,10 @@ Batches are filled without passing a bucket through one task: a bucket is dealt
 of about PART_BATCHES batches (their number follows from the histogram), sequences are numbered within their part, and
 each part's last batch may be short.
 
+The pipeline's sequences carry their tokens into the batches; the query op3_packing shows the layout only.
+
 Defined results: a null or empty text has no tokens and no sequences. Rows with equal ids are texts of their own;
-their sequences are told apart by their text. A null id is packed like any other.
+their sequences are told apart by row_key, a hash of id and text. A null id is packed like any other.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,24 +48,32 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
-def sequences(docs: DataFrame, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(id_col, part, first_token, n_tokens, salt): a row for each sequence of a text; salt is a hash of text and part."""
+def sequences(docs: DataFrame, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, tokens: bool = False) -> DataFrame:
+    """(id_col, part, first_token, n_tokens, row_key, salt): a row for each sequence of a text; row_key is a hash of id
+    and text, salt one of row_key and part. With tokens, the sequence's token ids besides."""
     kind = docs.schema[id_col].dataType.simpleString()
     path = vocabulary or f"{tokenizer_dir()}/byte_bpe_50k.tiktoken"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
         for chunk in chunks(batches, text_col):
-            n = np.array([len(enc.encode_ordinary(t.decode("utf-8", "replace"))) for t in chunk.texts()], np.int64)
+            each = [enc.encode_ordinary(t.decode("utf-8", "replace")) for t in chunk.texts()]
+            n = np.array([len(x) for x in each], np.int64)
             parts = -(-n // max_tokens)
             of = np.repeat(np.arange(len(n)), parts)
             part = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
             first = part * max_tokens
-            yield pa.RecordBatch.from_arrays([chunk.batch.column(0).take(pa.array(of)), pa.array(part.astype(np.int32)), pa.array(first), pa.array(np.minimum(max_tokens, n[of] - first).astype(np.int32)), chunk.batch.column(2).take(pa.array(of))], names=[id_col, "part", "first_token", "n_tokens", "salt"])
+            size = np.minimum(max_tokens, n[of] - first).astype(np.int32)
+            out = [chunk.batch.column(0).take(pa.array(of)), pa.array(part.astype(np.int32)), pa.array(first), pa.array(size), chunk.batch.column(2).take(pa.array(of))]
+            if tokens:
+                ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(each), np.int32, int(n.sum())))))
+            yield pa.RecordBatch.from_arrays(out, names=names)
 
-    rows = docs.select(id_col, text_col, F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("salt"))
-    cut_up = rows.mapInArrow(run, f"{id_col} {kind}, part int, first_token long, n_tokens int, salt long")
-    return cut_up.withColumn("salt", F.xxhash64("salt", "part"))
+    names = [id_col, "part", "first_token", "n_tokens", "row_key", *(["tokens"] if tokens else [])]
+    rows = docs.select(id_col, text_col, F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("row_key"))
+    cut_up = rows.mapInArrow(run, f"{id_col} {kind}, part int, first_token long, n_tokens int, row_key long" + (", tokens array<int>" if tokens else ""))
+    return cut_up.withColumn("salt", F.xxhash64("row_key", "part"))
 
 
 def optimal_boundaries(length: np.ndarray, count: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
@@ -89,7 +100,7 @@ def optimal_boundaries(length: np.ndarray, count: np.ndarray, buckets: int = BUC
 
 
 def pack(seqs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, grain: int = GRAIN, id_col: str = "doc_id") -> DataFrame:
-    """seqs with bucket, padded_length, batch_id ("bucket-part-number") and slot, the place in the batch."""
+    """seqs, with their tokens if they have them, with bucket, padded_length, batch_id ("bucket-part-number") and slot, the place in the batch."""
     padded = seqs.withColumn("_grain", (F.ceil(F.col("n_tokens") / grain) * grain).cast("int"))
     counted = padded.groupBy("_grain").count().orderBy("_grain").collect()
     length, count = (np.array([r[k] for r in counted], np.int64) for k in (0, 1))
@@ -110,7 +121,7 @@ def pack(seqs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDG
         dealt.withColumn("_place", place)
         .withColumn("batch_id", F.concat_ws("-", F.col("bucket"), F.col("_part"), F.floor(F.col("_place") / F.col("_fits"))))
         .withColumn("slot", (F.col("_place") % F.col("_fits")).cast("int"))
-        .select(id_col, "part", "first_token", "n_tokens", "bucket", "padded_length", "batch_id", "slot")
+        .select(id_col, "part", "first_token", "n_tokens", "bucket", "padded_length", "batch_id", "slot", "row_key", *(c for c in ("tokens",) if c in seqs.columns))
     )
 
 

@@ -256,6 +256,21 @@ def test_batches_hold_every_token_once(spark, sf, texts):
     assert got.groupby("batch_id").padded_length.nunique().max() == 1
 
 
+def test_batches_carry_the_tokens_of_each_row(spark, sf, texts):
+    twins = [(1, "one text under this id"), (1, "another text, same id"), (1, None), (None, "no id " * 3000), (2, "long " * 5000)]
+    docs = spark.createDataFrame([*twins, *((i + 10, t) for i, t in texts.items())], "doc_id long, text string").repartition(3)
+    got = packing.pack(packing.sequences(docs, tokens=True)).collect()
+    enc = packing.encoding("/opt/tokenizers/byte_bpe_50k.tiktoken")
+    assert all(len(r.tokens) == r.n_tokens for r in got)
+    whole = {}
+    for r in sorted(got, key=lambda r: r.part):
+        key, held = (r.doc_id, r.row_key), whole.setdefault((r.doc_id, r.row_key), [])
+        assert len(held) == r.first_token, key
+        held += r.tokens
+    back = Counter((i, enc.decode(x)) for (i, _), x in whole.items())
+    assert back == Counter((r.doc_id, r.text) for r in docs.collect() if r.text)
+
+
 # --- 4 decontamination --------------------------------------------------------------------------------------------
 
 

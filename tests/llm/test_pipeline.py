@@ -1,7 +1,7 @@
 """The pipeline's stages, each on what the one before kept."""
 
 import corpus_pipeline
-from matchspark.llm import decontaminate, pii, simhash
+from matchspark.llm import decontaminate, packing, pii, simhash
 
 
 def test_stages(spark, sf, tmp_path):
@@ -38,3 +38,10 @@ def test_odd_rows(spark, odd, odd_labels, sf):
         docs = stage(spark, docs, sf)
         assert docs.columns == odd.columns, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() > 0
+
+
+def test_run_ends_in_masked_tokens(spark, sf):
+    enc = packing.encoding("/opt/tokenizers/byte_bpe_50k.tiktoken")
+    docs = spark.createDataFrame([(1, "mail a.b@c.example.org now")], "doc_id long, text string")
+    masked = corpus_pipeline.personal_data_masked(spark, docs, sf)
+    assert enc.decode(corpus_pipeline.packed(spark, masked, sf).first().tokens) == "mail <EMAIL> now"
