@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -36,17 +37,25 @@ def fold(id_col: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The shared folder is the cluster's setting; only where none is set (tests) a local one is made."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder in the one that the driver and all executors share, which is the cluster's setting;
+    only in local mode (tests) one is made where none is set. It can be removed when the application has ended."""
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not shared:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(shared)
+    return f"{shared.rstrip('/')}/{sc.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to the shared folder as a table and go on from there: nothing before it runs again, whatever executors
+    are lost, and Spark knows its size, so that small tables are sent instead of shuffled."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def tokenizer_dir() -> str:

@@ -4,25 +4,30 @@ A text's fingerprint has `bits` bits: word shingles are hashed, and a bit is set
 have it. The fingerprint is used in words of `word_bits`; two texts are candidates if some word differs in at most
 `budget` bits, and are linked if, besides, the whole fingerprints differ in at most `limit` bits.
 
-The join of one word: split the word into budget + 1 blocks; words within the budget agree in some block, so each
-word goes once to every block's value, which deals the trie out over the cluster below its first levels. In each such
-part the words are sorted, which lays the binary trie out as ranges, and pairs of nodes are traversed together, level
-by level: the children's pairs inherit the bits that differ so far, pairs beyond the budget are pruned, and so are
-pairs whose leaves are all in one component already, which keeps clouds of near copies from being compared all with
-all. A part emits a spanning forest of its links, nearest first: always fewer links than
-leaves. Texts with equal fingerprints are one leaf from the start, so copies cost nothing here.
-
-Components come from alternating star steps in Spark.
-
-Defined results: a text without words (null, empty, blank) has fingerprint zero and is linked like any other; a
-text with fewer words than a shingle is one shingle. A row with null id gets its fingerprint, is no member of any
-component of its own, and shows the component of the rows with its fingerprint (null if none has an id).
+The join of one word: split the word into budget + 1 pieces; words within the budget agree in some piece, so each
+word goes once to every piece's value, which deals the trie out over the cluster below its first levels. Parts that
+are still crowded are dealt on by pieces of the bits that are left. In each part the words are sorted, which lays the
+binary trie out as ranges, and pairs of nodes are traversed together, level by level: the children's pairs inherit the
+bits that differ so far, pairs beyond the budget are pruned, and so are pairs whose leaves are all in one component
+already, which keeps clouds of near copies from being compared all with all. A part emits a spanning forest of its
+links, nearest first: always fewer links than leaves. Texts with equal fingerprints are one leaf from the start, so
+copies cost nothing here.
+
+Components of leaves come from alternating star steps in Spark; ids are looked up at the end.
+
+Defined results: a text without words (null, empty, blank) has fingerprint zero and is linked like any other; a text
+with fewer words than a shingle is one shingle; very long texts are read whole. Ids may be of any type that has an
+order. Rows with null id link, and are linked through, like any other; their component shows the smallest id that can
+be reached, null if there is none. Repeated ids and rows are rows of their own with the same result. An empty table
+gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +42,10 @@ from matchspark.llm.components import components
 _SEED = 42
 _PAIRS = 1 << 19
 _LEAF_PAIRS = 32
+#: Rows that a task takes up at once, and leaves of one part before it is dealt on by further bits. Neither changes
+#: what is found.
+_PART_ROWS = 1 << 17
+CROWD = 1 << 17
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -213,92 +222,172 @@ def trie_join(key: np.ndarray, low: np.ndarray, levels: int, whole: np.ndarray,
     return tuple(np.concatenate([e[k] for e in forest.edges] or [np.zeros(0, np.int64)]) for k in (0, 1))
 
 
-def links(leaves: DataFrame, bits: int, word_bits: int, budget: int, limit: int, forests: int = 0) -> DataFrame:
-    """leaves: (fp, node), one row for each fingerprint. (a, b): enough links to connect what is linked.
+def _piece_masks(free: int, pieces: int) -> list[int]:
+    """The set bits of free, low to high, cut into so many pieces of like size; the last takes what is left over."""
+    bits = [1 << i for i in range(64) if free >> i & 1]
+    size = len(bits) // pieces
+    return [sum(bits[k * size : (k + 1) * size if k < pieces - 1 else len(bits)]) for k in range(pieces)]
 
-    With forests: leaves are (fp, node, comp, places). Where places is null, comp is the component that the leaf is
-    known to be in; else the row is a pair (node, comp) that was found before and counts as no link. (a, b, fp,
-    places): that many forests at most, each of links not in those before; fp is that of a, and places has a bit for
-    each word and block where the pair meets."""
-    blocks, width = budget + 1, word_bits // (budget + 1)
-    words = bits // word_bits
-    columns = ["fp", "node", "comp", "places"] if forests else ["fp", "node"]
-    # the last block takes what is left over
-    places = [(w, b * width, width if b < blocks - 1 else word_bits - b * width) for w in range(words) for b in range(blocks)]
 
-    def word_of(fp: np.ndarray, w: int) -> np.ndarray:
-        at = w * word_bits
-        return (fp[:, at // 64] >> np.uint64(at % 64)) & np.uint64((1 << word_bits) - 1)
+def _squeezed(word: np.ndarray, fixed: int, width: int) -> tuple[np.ndarray, int]:
+    """The bits of the words that are not fixed, pushed together in their order; and how many these are."""
+    out, n, at = np.zeros(len(word), np.uint64), 0, 0
+    while at < width:
+        if fixed >> at & 1:
+            at += 1
+            continue
+        run = 1
+        while at + run < width and not fixed >> (at + run) & 1:
+            run += 1
+        out |= (word >> np.uint64(at) & np.uint64((1 << run) - 1)) << np.uint64(n)
+        n, at = n + run, at + run
+    return out, n
+
+
+_LEAF = "fp binary, node long, comp long, apart binary"
+_DEALT = f"word int, fixed long, value long, {_LEAF}"
+
+
+def _words(fp: np.ndarray, w: int, word_bits: int) -> np.ndarray:
+    at = w * word_bits
+    return (fp[:, at // 64] >> np.uint64(at % 64)) & np.uint64((1 << word_bits) - 1)
+
+
+def _as_words(column: pa.Array, bits: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, bits // 64)
+
+
+def _deal(leaves: DataFrame, bits: int, word_bits: int, budget: int) -> DataFrame:
+    """A row for each leaf and each part that it belongs to: the word, which bits of it are fixed, and their value. Two
+    words within the budget are alike in some piece, so they meet in a part. Parts that are crowded (over CROWD leaves)
+    are dealt on by pieces of the bits not fixed yet, by the same rule, so that no part has to hold what many leaves
+    have in common. A known pair goes where it meets."""
+    pieces = budget + 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each word and block: key is (word, block, the block's bits), low the other bits."""
         for batch in batches:
-            fp = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">u8").astype(np.uint64).reshape(-1, bits // 64)
-            of = batch.column(3).fill_null(-1).to_numpy() if forests else None
-            for k, (w, from_, size) in enumerate(places):
-                word = word_of(fp, w)
-                value = (word >> np.uint64(from_)) & np.uint64((1 << size) - 1)
-                low = (word & np.uint64((1 << from_) - 1)) | ((word >> np.uint64(from_ + size)) << np.uint64(from_) if from_ + size < word_bits else np.uint64(0))
-                key = np.uint64(k) << np.uint64(40) | value
-                out = pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(low.view(np.int64)), *batch.columns], names=["key", "low", *columns])
-                yield out.filter(pa.array((of >> k & 1).astype(bool))) if forests else out
+            if not batch.num_rows:
+                continue
+            first = batch.num_columns == 4  # leaves; else rows of crowded parts
+            own = batch if first else batch.select(["fp", "node", "comp", "apart"])
+            fp = _as_words(own.column(0), bits)
+            pair = np.asarray(own.column(3).is_valid())
+            apart = np.zeros_like(fp)
+            if pair.any():
+                apart[pair] = _as_words(own.column(3).filter(own.column(3).is_valid()), bits)
+            parts = [(w, 0, np.arange(len(fp))) for w in range(bits // word_bits)]
+            if not first:
+                word, fixed = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                parts = [(int(w), int(f) & 0xFFFFFFFFFFFFFFFF, np.flatnonzero((word == w) & (fixed == f))) for w, f in sorted(set(zip(word.tolist(), fixed.tolist(), strict=True)))]
+            for w, fixed, at in parts:
+                word, far = _words(fp[at], w, word_bits), _words(apart[at], w, word_bits)
+                near = np.bitwise_count(far) <= budget
+                for piece in _piece_masks(((1 << word_bits) - 1) & ~fixed, pieces):
+                    mask = np.uint64(fixed | piece)
+                    meets = np.flatnonzero(near & (far & mask == 0))
+                    value = (word[meets] & mask).view(np.int64)
+                    ids = [pa.array(np.full(len(meets), x)) for x in (np.int32(w), mask.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array(value), *own.take(pa.array(at[meets])).columns], names=["word", "fixed", "value", "fp", "node", "comp", "apart"])
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many leaves go to each part, summed over what is dealt at once."""
+        for out in deal(batches):
+            held = out.column(2).filter(out.column(6).is_null()).to_numpy()
+            value, n = np.unique(held, return_counts=True)
+            ids = [pa.array(np.full(len(value), out.column(k)[0].as_py() if len(held) else 0, t)) for k, t in ((0, np.int32), (1, np.int64))]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(value), pa.array(n)], names=["word", "fixed", "value", "size"])
+
+    key = ["word", "fixed", "value"]
+    rows, calm_parts = leaves.select("fp", "node", "comp", "apart"), []
+    while True:
+        dealt = rows.mapInArrow(deal, _DEALT)
+        size = rows.mapInArrow(sizes, "word int, fixed long, value long, size long").groupBy(*key).agg(F.sum("size").alias("size"))
+        crowded = cut(size.where((F.col("size") > CROWD) & (F.bit_count("fixed") + pieces <= word_bits)).select(*key))
+        if crowded.isEmpty():
+            return reduce(DataFrame.unionByName, calm_parts, dealt)
+        calm_parts.append(dealt.join(crowded, key, "left_anti"))
+        rows = cut(dealt.join(crowded, key, "left_semi"))
+
+
+def links(leaves: DataFrame, bits: int, word_bits: int, budget: int, limit: int, forests: int = 1) -> DataFrame:
+    """leaves: (fp, node, comp, apart). Where apart is null, comp is the component that the leaf is known to be in; else
+    the row is a pair (node, comp) that was found before and counts as no link, apart the bits in which it differs.
+
+    (a, b, fp, apart, comp_a, comp_b): the links of that many forests at most, each of links not in those before,
+    between leaves that are in no common component; fp is that of a. One forest is enough to connect whatever is
+    linked."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        if forests:
-            yield from join_new(t)
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            # parts come sorted; those that are complete go as soon as there are enough of them
+            for piece in (batch.slice(s, _PART_ROWS) for s in range(0, batch.num_rows, _PART_ROWS)):
+                held.append(piece)
+                rows += piece.num_rows
+                if rows >= _PART_ROWS:
+                    t = pa.Table.from_batches(held).combine_chunks()
+                    keys = [t.column(k).to_numpy() for k in range(3)]
+                    edge = np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1]))
+                    if len(edge):
+                        upto = int(edge[-1]) + 1
+                        yield from parts(t.slice(0, upto))
+                        t = t.slice(upto)
+                    held, rows = t.to_batches(), t.num_rows
+        if rows:
+            yield from parts(pa.Table.from_batches(held))
+
+    def parts(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Of whole parts: all that have the same word and fixed bits at once."""
+        word, fixed = t.column("word").to_numpy(), t.column("fixed").to_numpy()
+        edge = np.flatnonzero((word[1:] != word[:-1]) | (fixed[1:] != fixed[:-1])) + 1
+        for a, b in itertools.pairwise([0, *edge.tolist(), len(word)]):
+            yield from joined(t.slice(a, b - a), int(word[a]), int(fixed[a]) & 0xFFFFFFFFFFFFFFFF)
+
+    def joined(t: pa.Table, w: int, fixed: int) -> Iterator[pa.RecordBatch]:
+        gone, t = t.filter(t.column("apart").is_valid()), t.filter(t.column("apart").is_null())
+        if len(t) < 2:
             return
-        key, low, node = (t.column(c).to_numpy() for c in ("key", "low", "node"))
-        low = low.view(np.uint64)
-        whole = np.frombuffer(b"".join(t.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, bits // 64)
-        order = np.lexsort((low, key))
-        a, b = (node[order][x] for x in trie_join(key[order], low[order], word_bits - width, whole[order], budget, limit))
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
-
-    def join_new(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        gone, t = t.filter(t.column("places").is_valid()), t.filter(t.column("places").is_null())
-        key, low, node, comp = (t.column(c).to_numpy() for c in ("key", "low", "node", "comp"))
-        low = low.view(np.uint64)
+        value, node, comp = (t.column(c).to_numpy() for c in ("value", "node", "comp"))
         raw = np.array(t.column("fp").to_pylist(), object)
-        order = np.lexsort((low, key))
-        key, low, node, comp, raw = (x[order] for x in (key, low, node, comp, raw))
         whole = np.frombuffer(b"".join(raw), ">u8").astype(np.uint64).reshape(-1, bits // 64)
+        low, levels = _squeezed(_words(whole, w, word_bits), fixed, word_bits)
+        order = np.lexsort((node, low, value))
+        value, low, node, comp, raw, whole = (x[order] for x in (value, low, node, comp, raw, whole))
         names, number = np.unique(np.concatenate([node, gone.column("node").to_numpy(), gone.column("comp").to_numpy()]), return_inverse=True)
         code = lambda x, y: np.maximum(x, y) * len(names) + np.minimum(x, y)
         n, m = len(node), len(gone)
         known = np.unique(code(number[n : n + m], number[n + m :]))
         _, first, of = np.unique(comp, return_index=True, return_inverse=True)
         for _ in range(forests):
-            a, b = trie_join(key, low, word_bits - width, whole, budget, limit, first[of], lambda x, y, known=known: ~np.isin(code(number[x], number[y]), known))
+            a, b = trie_join(value, low, levels, whole, budget, limit, first[of], (lambda x, y, known=known: ~np.isin(code(number[x], number[y]), known)) if len(known) else None)
             if not len(a):
                 return
             known = np.union1d(known, code(number[a], number[b]))
             a, b = np.where(node[a] > node[b], a, b), np.where(node[a] > node[b], b, a)
-            apart, meet = whole[a] ^ whole[b], np.zeros(len(a), np.int64)
-            for k, (w, from_, size) in enumerate(places):
-                word = word_of(apart, w)
-                meets = (np.bitwise_count(word) <= budget) & ((word >> np.uint64(from_)) & np.uint64((1 << size) - 1) == 0)
-                meet |= meets.astype(np.int64) << k
-            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(raw[a].tolist(), pa.binary()), pa.array(meet)], names=["a", "b", "fp", "places"])
+            apart = [x.tobytes() for x in (whole[a] ^ whole[b]).astype(">u8")]
+            out = [pa.array(node[a]), pa.array(node[b]), pa.array(raw[a].tolist(), pa.binary()), pa.array(apart, pa.binary()), pa.array(comp[a]), pa.array(comp[b])]
+            yield pa.RecordBatch.from_arrays(out, names=["a", "b", "fp", "apart", "comp_a", "comp_b"])
+
+    key = ["word", "fixed", "value"]
+    dealt = _deal(leaves, bits, word_bits, budget).repartition(*key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(join, "a long, b long, fp binary, apart binary, comp_a long, comp_b long").dropDuplicates(["a", "b"])
+
 
-    types = "key long, low long, fp binary, node long"
-    if forests:
-        dealt = leaves.select(*columns).mapInArrow(deal, f"{types}, comp long, places long")
-        return dealt.repartition("key").mapInArrow(join, "a long, b long, fp binary, places long").dropDuplicates(["a", "b"])
-    dealt = leaves.where(F.col("node").isNotNull()).select("fp", F.col("node").cast("long").alias("node")).mapInArrow(deal, types)
-    return dealt.repartition("key").mapInArrow(join, "a long, b long").distinct()
+def leaves_of(fps: DataFrame, id_col: str, *more: str) -> DataFrame:
+    """One leaf for each fingerprint (and further columns): node, a number of its own, and first, the smallest id that
+    has it (null if none of its rows has one)."""
+    return cut(fps.groupBy("fp", *more).agg(F.min(id_col).alias("first")).withColumn("node", F.monotonically_increasing_id()))
 
 
 def group(fps: DataFrame, bits: int = 64, word_bits: int = 64, budget: int = 3, limit: int = 3, id_col: str = "doc_id") -> DataFrame:
-    """fps (id_col, fp) with component_id: the smallest id that can be reached over links."""
-    leaves = fps.groupBy("fp").agg(F.min(id_col).cast("long").alias("node"))
-    leaves = cut(leaves)
-    roots = components(links(leaves, bits, word_bits, budget, limit))
-    named = leaves.join(roots, "node", "left").select(F.col("fp"), F.coalesce("root", "node").alias("component_id"))
-    return fps.join(named, "fp")
+    """fps (id_col, fp) with component_id: the smallest id that can be reached over links, of whatever type ids are."""
+    leaves = leaves_of(fps, id_col)
+    nodes = leaves.select("fp", "node", F.col("node").alias("comp"), F.lit(None).cast("binary").alias("apart"))
+    roots = components(links(nodes, bits, word_bits, budget, limit))
+    rooted = leaves.join(roots, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("_root"))
+    least = rooted.groupBy("_root").agg(F.min("first").alias("component_id"))
+    return fps.join(rooted.join(least, "_root").select("fp", "component_id"), "fp")
 
 
 #: Near copies: five-word shingles, similarity 0.8 or more. That makes fingerprints differ in 15.2 % of their bits on
@@ -324,19 +413,20 @@ def sets_of(leaves: DataFrame, docs: DataFrame, size: int, id_col: str, text_col
 
 
 def judge(found: DataFrame, held: DataFrame, least: float) -> DataFrame:
-    """found (a, b, fp, places) with same: whether the sets of shingles have that similarity (Jaccard) at least."""
+    """found with same: whether the sets of shingles of a and b have that similarity (Jaccard) at least."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same = []
-            for x, y in zip(batch.column(4), batch.column(5), strict=True):
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 same.append(both >= least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(same, pa.bool_())], names=["a", "b", "fp", "places", "same"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(same, pa.bool_())], names=["a", "b", "same"])
 
-    pairs = found.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(held.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    return pairs.select("a", "b", "fp", "places", "of_a", "of_b").mapInArrow(compare, "a long, b long, fp binary, places long, same boolean")
+    pairs = found.select("a", "b").join(held.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(held.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    judged = pairs.select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long, same boolean")
+    return found.join(judged, ["a", "b"])
 
 
 def verified(leaves: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -344,28 +434,29 @@ def verified(leaves: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
 
     A round judges a forest of the candidates between components; what passes is contracted, what fails is remembered,
     and only leaves of components that had candidates go on. It ends when a round has no failure: then no candidate
-    is left between two components. Each round tries twice as many forests as the one before, so that a
+    is left between two components. Each round tries four times as many forests as the one before, so that a
     crowd of candidates that all fail takes a logarithm of its size in rounds."""
-    active = leaves.select("fp", "node", F.col("node").alias("comp"), F.lit(None).cast("long").alias("places"))
-    held = passed = failed = None
+    active = leaves.select("fp", "node", F.col("node").alias("comp"), F.lit(None).cast("binary").alias("apart"))
+    held = labels = failed = None
     forests = 1
     while True:
         found = cut(links(active.union(failed) if failed else active, NEAR_BITS, NEAR_WORD_BITS, 3, NEAR_LIMIT, forests))
-        ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
         if held is None:
+            ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
             held = cut(sets_of(leaves.join(ends, "node", "left_semi"), docs, NEAR_SHINGLE, id_col, text_col))
         judged = cut(judge(found, held, NEAR_SIMILARITY))
-        good, bad = judged.where("same").select("a", "b"), judged.where("not same")
-        passed = passed.union(good) if passed else good
-        roots = components(passed)
+        good, bad = judged.where("same"), judged.where("not same")
+        # what a round connects are components of those before it
+        roots = components(good.select("comp_a", "comp_b"), "comp_a", "comp_b").select(F.col("node").alias("comp"), "root")
+        renamed = lambda df, roots=roots: df.join(roots, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+        labels = cut(renamed(active.select("node", "comp") if labels is None else labels))
         if bad.isEmpty():
-            return roots
-        bad = bad.select("fp", F.col("a").alias("node"), F.col("b").alias("comp"), "places")
+            return labels.select("node", F.col("comp").alias("root"))
+        bad = bad.select("fp", F.col("a").alias("node"), F.col("b").alias("comp"), "apart")
         failed = failed.union(bad) if failed else bad
-        touched = active.join(ends, "node", "left_semi").select("comp").distinct()
-        going_on = active.join(touched, "comp", "left_semi").join(roots, "node", "left")
-        active = cut(going_on.select("fp", "node", F.coalesce("root", "node").alias("comp"), "places"))
-        forests *= 2
+        touched = judged.select(F.explode(F.array("comp_a", "comp_b")).alias("comp")).distinct()
+        active = cut(renamed(active.join(touched, "comp", "left_semi")).select("fp", "node", "comp", "apart"))
+        forests *= 4
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -376,7 +467,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     counts once, are joined word by word (NEAR_WORD_BITS, 3 errors), and the shingles decide."""
     named = docs.where(F.col(id_col).isNotNull())
     fps = set_fingerprints(named, NEAR_SHINGLE, NEAR_BITS, id_col, text_col)
-    leaves = cut(fps.groupBy("shingle_set").agg(F.min("fp").alias("fp"), F.min(id_col).alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    leaves = leaves_of(fps, id_col, "shingle_set")
     grouped = leaves.join(verified(leaves, named, id_col, text_col), "node", "left").groupBy(F.coalesce("root", "node"))
     first = grouped.agg(F.min("first").alias("_first")).select("_first").distinct()
     copy = next(c for c in ("_copy", *(f"_copy{i}" for i in range(len(docs.columns) + 1))) if c not in docs.columns)
@@ -386,5 +477,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of every row of documents."""
     fps = cut(fingerprints(table(spark, sf_dir, "documents"), size=3, bits=64))
     return group(fps).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
