@@ -3,36 +3,42 @@
 The method is a sparse suffix array built by a distributed merge sort that knows common prefixes.
 
 1. Suffixes. Every window of LENGTH bytes is represented by one suffix that starts in it: at the place, among the
-   first SPREAD places of the window, whose 8 bytes hash lowest. The choice depends on nothing but the window, so equal
-   windows are represented by suffixes at the same place in them, and about 2 in SPREAD suffixes are enough. A suffix
-   stands for a run of windows; its context is the bytes of all of them.
-2. Pruning. Equal windows share their suffix's first KEY = LENGTH - SPREAD bytes. Suffixes whose key (hashed) is found
-   once in the corpus are dropped, by a sum by key that is combined before it is shuffled. Suffixes whose whole context
-   is found twice or more need no sorting: all their windows repeat. So a passage or text that a third of all rows
-   share is one entry from here on, whatever its copies.
-3. Merge sort. One suffix for each context that shares its key with other contexts goes on: each task sorts its own
-   into a run, front-coded (what a suffix shares with the one before is left out), and sends the runs to the tasks
-   that own the keys. There a loser tree merges them; it compares suffixes from their known common prefix on, so no
-   byte is compared twice, and hands out each suffix with the prefix it shares with the one before.
+   first SPREAD places of the window, whose 8 bytes have the lowest hash (a bijection, so only equal bytes tie), the
+   leftmost of such. The choice depends on nothing but the window, so equal windows are represented by suffixes at the
+   same place in them, and about 2 in SPREAD suffixes are enough. A suffix stands for a run of windows; its context is
+   the bytes of all of them.
+2. Pruning. Equal windows share their suffix's first KEY = LENGTH - SPREAD bytes. Suffixes whose key is found once in
+   the corpus are dropped, by a sum by the key's hash that is combined before it is shuffled; two keys with one hash
+   only send more to the merge, which compares bytes. Suffixes with one context (128-bit hash) are one entry with a
+   count, so a passage or text that a third of all rows share is one entry from here on, whatever its copies.
+3. Merge sort. Entries that share their key with other entries go on: each task sorts its own into a run, front-coded
+   (what a suffix shares with the one before is left out), and sends the runs to the tasks that own the keys. There a
+   loser tree merges them as they are read; it compares suffixes from their known common prefix on, so no byte is
+   compared twice, and hands out each suffix with the prefix it shares with the one before.
 4. Cover. Within a key, two suffixes that share r bytes forwards and l bytes backwards share the windows that start
    between 200 - r and l bytes before them. Forward prefixes come from the merge, backward ones from sorting the left
-   contexts; the union over all partners says which of a suffix's windows repeat.
-   A key with more than MOST_OF_A_KEY different surroundings (the edge of a passage that very many texts share) would
-   be too much for one task: its windows are counted by their hashes instead, with the same result.
+   contexts; the union over all partners says which of a suffix's windows repeat. All windows of an entry that stands
+   for two or more suffixes repeat.
+   A key with more than CROWD entries (the edge of a passage that very many texts share) is split by more of its
+   bytes: windows at a distance of lo to hi - 1 before the suffix need lo bytes alike before it and 200 - hi + 1 from
+   it on, so the entries are dealt by the hash of these bytes (128 bits), for the lower and the upper half of the
+   distances each, and so on while a part is crowded. What is no longer crowded is merged like any other key. At a
+   single distance these bytes are the whole window: then whoever shares a part shares it.
 5. Removal. Covers go back to their texts by row.
 
-Defined results: a null or empty text has no bytes; texts shorter than LENGTH lose nothing. Rows that are alike in id
-and text are separate documents with the same result. Windows never cross texts.
+Defined results: a null or empty text has no bytes; texts shorter than LENGTH lose nothing; texts of any length are
+read whole, in overlapping segments. Rows that are alike in id and text are separate documents with the same result,
+null ids are ids like others. Windows never cross texts. An empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,14 +50,16 @@ SPREAD = 144
 KEY = LENGTH - SPREAD
 _SEGMENT = 1 << 20
 _RUN_ENTRIES = 1 << 15
+_OUT_ROWS = 1 << 13
 _SMALL_GROUP = 12
-#: Suffixes of one key that one task merges at most. Keys with more go by their windows' hashes instead.
-MOST_OF_A_KEY = 20_000
+#: Entries of one key that are merged together; a key with more is split by further bytes. No result depends on it.
+CROWD = 20_000
+_OWNER_ENTRIES = 1 << 18
 
 _rng = np.random.default_rng(20)
-_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Three polynomial hashes: of keys, and two of contexts.
+_VALUES = _rng.integers(0, 1 << 64, (3, 256), dtype=np.uint64)
+_BASES = [int(x) * 8 + 5 for x in _rng.integers(1 << 50, 1 << 60, 3)]
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -68,7 +76,7 @@ def _mix(z: np.ndarray) -> np.ndarray:
 
 class Suffixes:
     """The representative suffixes of texts laid end to end: row, at (in data), before and after (how many bytes of
-    context stand before at and from it on), key and context hashes."""
+    context stand before at and from it on) and key, a hash."""
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         n = len(data)
@@ -76,27 +84,18 @@ class Suffixes:
         windows = np.maximum(0, ends - starts - LENGTH + 1)
         if not windows.sum():
             self.row = self.at = self.before = self.after = np.zeros(0, np.int64)
-            self.key = self.context = np.zeros(0, np.int64)
+            self.key = np.zeros(0, np.int64)
             return
         of = np.repeat(np.arange(len(starts)), windows)
         first = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(starts, windows)
 
-        bits = np.uint64(max(1, int(n + 2 * SPREAD).bit_length()))
-        grams = np.zeros(-(-(n + SPREAD) // SPREAD) * SPREAD, np.uint64)
+        grams = np.full(-(-(n + SPREAD) // SPREAD) * SPREAD, 0xFFFFFFFFFFFFFFFF, np.uint64)
         word = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view(np.uint64)[:, 0]
         h = word * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         grams[: len(h)] = h
-        # the hash's high bits, then the place: the least is the leftmost of the lowest
-        grams >>= bits
-        grams <<= bits
-        grams |= np.arange(len(grams), dtype=np.uint64)
-        block = grams.reshape(-1, SPREAD)
-        ahead = np.minimum.accumulate(block, axis=1).ravel()
-        behind = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
-        low = np.minimum(behind[first], ahead[first + SPREAD - 1])
-        chosen = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        chosen = leftmost_least(grams, first)
 
         begin = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (of[1:] != of[:-1])))
         last = np.append(begin[1:], len(chosen)) - 1
@@ -104,11 +103,34 @@ class Suffixes:
         lo, hi = first[begin], first[last] + LENGTH
         self.before, self.after = self.at - lo, hi - self.at
 
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * _powers(_BASE, n), dtype=np.uint64)])
-        back = _powers(_INVERSE, n)
-        hashed = lambda a, b: _mix((total[b] - total[a]) * back[a])
-        self.key = hashed(self.at, self.at + KEY).view(np.int64)
-        self.context = (hashed(lo, hi) ^ _mix((self.before * 1024 + self.after).astype(np.uint64))).view(np.int64)
+        self.key = self.hashed(0, self.at, self.at + KEY)
+
+    def hashed(self, k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The k-th 64-bit hash of each data[a:b]."""
+        n = len(self.data)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[k][self.data] * _powers(_BASES[k], n), dtype=np.uint64)])
+        return _mix((total[b] - total[a]) * _powers(pow(_BASES[k], -1, 1 << 64), n)[a]).view(np.int64)
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of each suffix's context and of where in it the suffix starts."""
+        where = (self.before * 1024 + self.after).astype(np.uint64)
+        lo, hi = self.at - self.before, self.at + self.after
+        return tuple(self.hashed(k, lo, hi) ^ _mix(where + np.uint64(k)).view(np.int64) for k in (1, 2))
+
+
+def leftmost_least(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each i of first, the leftmost place of the least of grams[i : i + SPREAD]. grams is whole blocks of SPREAD."""
+    place = np.arange(len(grams)).reshape(-1, SPREAD)
+    block = grams.reshape(-1, SPREAD)
+    ahead = np.minimum.accumulate(block, axis=1)
+    behind = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1]
+    # a new least from the left on, and the nearest place to the right that is the least of what follows it
+    fresh = np.ones(block.shape, bool)
+    fresh[:, 1:] = block[:, 1:] < ahead[:, :-1]
+    at_ahead = np.maximum.accumulate(np.where(fresh, place, -1), axis=1).ravel()
+    at_behind = np.minimum.accumulate(np.where(block == behind, place, len(grams))[:, ::-1], axis=1)[:, ::-1].ravel()
+    last = first + SPREAD - 1
+    return np.where(behind.ravel()[first] <= ahead.ravel()[last], at_behind[first], at_ahead[last])
 
 
 def suffixes(chunk: Chunk) -> Iterator[tuple[Suffixes, int]]:
@@ -125,9 +147,10 @@ def suffixes(chunk: Chunk) -> Iterator[tuple[Suffixes, int]]:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, text, row): row names a document by id and text."""
+    """(doc, text, row): row names a document by 128 bits of its id and text."""
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))
-    return docs.select(F.col(id_col).alias("doc"), text.alias("text")).withColumn("row", F.xxhash64(F.coalesce(F.col("doc").cast("string"), F.lit("")), "text"))
+    named = F.concat(F.coalesce(F.col("doc").cast("string"), F.lit("")).cast("binary"), F.lit("\n").cast("binary"), F.col("text"))
+    return docs.select(F.col(id_col).alias("doc"), text.alias("text")).withColumn("row", F.unhex(F.md5(named)))
 
 
 def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -139,7 +162,7 @@ def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for chunk in chunks(batches):
             yield pa.RecordBatch.from_arrays([chunk.batch.column(0), chunk.batch.column(2), pa.array([squeeze.compress(t) for t in chunk.texts()], pa.binary())], names=["doc", "row", "body"])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, f"doc {kind}, row long, body binary")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, f"doc {kind}, row binary, body binary")
 
 
 def _body(packed: bytes) -> bytes:
@@ -148,7 +171,7 @@ def _body(packed: bytes) -> bytes:
 
 # --- front-coded runs ---------------------------------------------------------------------------------------------
 
-Entry = tuple[bytes, bytes, int, int]  # suffix, what stands before it, key, context
+Entry = tuple[bytes, bytes, int, int]  # suffix, what stands before it, the context's two hashes
 
 
 def shared(a: bytes, b: bytes, known: int = 0) -> int:
@@ -178,9 +201,9 @@ def decode_run(blob: bytes) -> Iterator[tuple[int, Entry]]:
     head = np.frombuffer(blob, np.uint16, 3 * n, 8).reshape(n, 3).tolist()
     ids = np.frombuffer(blob, np.uint8, 16 * n, 8 + 6 * n).view(np.int64).reshape(n, 2).tolist()
     at, last = 8 + 22 * n, b""
-    for (p, r, b), (key, context) in zip(head, ids, strict=True):
+    for (p, r, b), (c1, c2) in zip(head, ids, strict=True):
         last = last[:p] + blob[at : at + r]
-        yield p, (last, blob[at + r : at + r + b], key, context)
+        yield p, (last, blob[at + r : at + r + b], c1, c2)
         at += r + b
 
 
@@ -268,8 +291,9 @@ def cover(group: list[Entry], forward: list[int]) -> list[list[tuple[int, int]]]
     return [[(a, int(e)) for (a, _), e in zip(spans, ends[i], strict=True)] for i, spans in enumerate(out)]
 
 
-def _resolve(merged: Iterator[tuple[int, Entry]]) -> Iterator[tuple[int, int, bytes]]:
-    """(key, context, cover as pairs of int16) of the suffixes that share windows with others."""
+def _resolve(merged: Iterator[tuple[int, Entry]], lead: int = 0) -> Iterator[tuple[int, int, bytes]]:
+    """(context hashes, cover as pairs of int16) of the suffixes that share windows with others. Each suffix comes
+    after `lead` bytes that say which part it is in."""
     group: list[Entry] = []
     forward: list[int] = []
 
@@ -279,12 +303,12 @@ def _resolve(merged: Iterator[tuple[int, Entry]]) -> Iterator[tuple[int, int, by
                 if spans:
                     yield e[2], e[3], np.array(spans, np.int16).tobytes()
 
-    for lcp, entry in merged:
-        if group and lcp < KEY:
+    for lcp, (suffix, before, c1, c2) in merged:
+        if group and lcp < lead + KEY:
             yield from done()
             group, forward = [], []
-        group.append(entry)
-        forward.append(lcp)
+        group.append((suffix[lead:], before, c1, c2))
+        forward.append(lcp - lead)
     yield from done()
 
 
@@ -292,7 +316,7 @@ def _resolve(merged: Iterator[tuple[int, Entry]]) -> Iterator[tuple[int, int, by
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, ranges): for each document with repeated windows, the (start, end) byte ranges as pairs of int64."""
+    """(row, ranges): for each document with repeated windows, its suffixes' places and covers (null: all windows)."""
     keyed = _keyed(docs, id_col, text_col).where(F.length("text") >= LENGTH)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,94 +326,104 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
-            row = chunk.batch.column(1).to_numpy()
+            row = chunk.batch.column(1)
             for s, base in suffixes(chunk):
-                at = s.at + base - chunk.starts[s.row]
-                yield pa.RecordBatch.from_arrays([pa.array(s.key), pa.array(s.context), pa.array(row[s.row]), pa.array((at << 16) | (s.before << 8) | s.after)], names=["key", "context", "row", "place"])
+                if len(s.at):
+                    at = s.at + base - chunk.starts[s.row]
+                    c1, c2 = s.contexts()
+                    yield pa.RecordBatch.from_arrays([pa.array(s.key), pa.array(c1), pa.array(c2), row.take(pa.array(s.row)), pa.array((at << 16) | (s.before << 8) | s.after)], names=["key", "c1", "c2", "row", "place"])
 
     # written before it is joined, so that the join deals out both sides itself and can split a hot key
     twice = cut(keyed.select("text").mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     # place: where the suffix starts << 16 | bytes before it << 8 | bytes from it on
-    found = keyed.select("text", "row").mapInArrow(places, "key long, context long, row long, place long")
+    found = keyed.select("text", "row").mapInArrow(places, "key long, c1 long, c2 long, row binary, place long")
     found = cut(found.join(twice, "key", "left_semi"))
 
-    contexts = cut(found.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one")))
+    contexts = cut(found.groupBy("key", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one")))
     kinds = cut(contexts.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    calm = kinds.where(F.col("kinds") <= CROWD)
     packed = lambda: _packed(docs, id_col, text_col)
-    merged = _merge(_with_texts(contexts, kinds.where(F.col("kinds") <= MOST_OF_A_KEY), packed()), docs.sparkSession)
-    crowded = kinds.where(F.col("kinds") > MOST_OF_A_KEY)
+    entries = calm.agg(F.sum("kinds")).first()[0] or 0
+    merged = _merge(_with_texts(contexts, calm, packed()), 0, entries, _entries)
+    crowded = kinds.where(F.col("kinds") > CROWD)
     if not crowded.isEmpty():
-        merged = merged.unionByName(_by_windows(_with_texts(contexts, crowded, packed())))
+        merged = merged.unionByName(_split(cut(_with_texts(contexts, crowded, packed()).mapInArrow(_entries, _ENTRY).drop("part"))))
 
-    whole = contexts.where("n > 1").select("key", "context", F.lit(None).cast("binary").alias("cover"))
-    # a context that is found twice has all its windows repeated, whatever the merge says of it
-    some = merged.join(whole.select("key", "context"), ["key", "context"], "left_anti")
-    placed = found.join(whole.unionByName(some), ["key", "context"]).select("row", "place", "cover")
+    whole = contexts.where("n > 1").select("c1", "c2", F.lit(None).cast("binary").alias("cover"))
+    # an entry that stands for two suffixes has all its windows repeated, whatever the merge says of it
+    some = merged.join(whole.select("c1", "c2"), ["c1", "c2"], "left_anti")
+    placed = found.join(whole.unionByName(some), ["c1", "c2"]).select("row", "place", "cover")
     return placed.groupBy("row").agg(F.collect_set(F.struct("place", "cover")).alias("ranges"))
 
 
 def _with_texts(contexts: DataFrame, keys: DataFrame, packed: DataFrame) -> DataFrame:
     """(body, wanted): one suffix of each context of the keys, beside its text."""
-    wanted = contexts.join(keys.select("key"), "key", "left_semi").select("key", "context", "one.row", "one.place")
-    return packed.join(wanted.groupBy("row").agg(F.collect_list(F.struct("key", "context", "place")).alias("wanted")), "row").select("body", "wanted")
-
-
-def _suffix_bytes(body: bytes, place: int) -> tuple[bytes, bytes]:
-    """(from the suffix on, before it), as far as its context goes."""
-    at, before, after = place >> 16, place >> 8 & 255, place & 255
-    return body[at : at + after], body[at - before : at]
-
-
-def _by_windows(texts: DataFrame) -> DataFrame:
-    """(key, context, cover) for keys with very many surroundings: every window of every context is counted by its
-    hash (128 bits), a sum that is combined before the shuffle, so no key's rows have to meet in one task."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for body, wanted in zip(batch.column(0), batch.column(1), strict=True):
-                body = _body(body.as_py())
-                for w in wanted.as_py():
-                    after, before = _suffix_bytes(body, w["place"])
-                    whole, far = before + after, range(LENGTH - len(after), len(before) + 1)
-                    hashes = [xxhash.xxh3_128_digest(whole[len(before) - d : len(before) - d + LENGTH]) for d in far]
-                    yield pa.RecordBatch.from_arrays([pa.array([w["key"]] * len(far)), pa.array([w["context"]] * len(far)), pa.array(far, pa.int32()), pa.array(hashes, pa.binary())], names=["key", "context", "distance", "hash"])
-
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            covers = []
-            for found in batch.column(2).to_pylist():
-                d = np.sort(np.array(found))
-                cuts = np.flatnonzero(np.diff(d) > 1)
-                covers.append(np.stack([d[np.append(0, cuts + 1)], d[np.append(cuts, len(d) - 1)]], axis=1).astype(np.int16).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(covers, pa.binary())], names=["key", "context", "cover"])
-
-    each = cut(texts.mapInArrow(windows, "key long, context long, distance int, hash binary"))
-    twice = cut(each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
-    met = each.join(twice, "hash", "left_semi").groupBy("key", "context").agg(F.collect_set("distance").alias("d"))
-    return met.mapInArrow(spans, "key long, context long, cover binary")
-
-
-def _merge(texts: DataFrame, spark: SparkSession) -> DataFrame:
-    """texts: (body, wanted suffixes). (key, context, cover) of those that share windows."""
-    owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = contexts.join(keys.select("key"), "key", "left_semi").select("key", "c1", "c2", "one.row", "one.place")
+    return packed.join(wanted.groupBy("row").agg(F.collect_list(F.struct("key", "c1", "c2", "place")).alias("wanted")), "row").select("body", "wanted")
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, suffix, before, c1, c2) of the wanted suffixes, as far as their contexts go; part is the key's bytes."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            body, wanted = _body(batch.column(0)[i].as_py()), batch.column(1)[i].as_py()
+            place = [(w["place"] >> 16, w["place"] >> 8 & 255, w["place"] & 255) for w in wanted]
+            cols = [
+                pa.array([(w["key"] & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big") for w in wanted], pa.binary()),
+                pa.array([body[at : at + after] for at, _, after in place], pa.binary()),
+                pa.array([body[at - before : at] for at, before, _ in place], pa.binary()),
+                *(pa.array([w[c] for w in wanted], pa.int64()) for c in ("c1", "c2")),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=["part", "suffix", "before", "c1", "c2"])
+
+
+_ENTRY = "part binary, suffix binary, before binary, c1 long, c2 long"
+
+
+def _split(entries: DataFrame) -> DataFrame:
+    """(c1, c2, cover) of entries (suffix, before, c1, c2) of crowded keys, which are split by more of their bytes."""
+    todo, out = entries.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(SPREAD)), None
+    while True:
+        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = todo.withColumn("_half", F.explode(F.array(F.struct("lo", mid.alias("hi")), F.struct(mid.alias("lo"), "hi")))).select("suffix", "before", "c1", "c2", "_half.lo", "_half.hi")
+        # those that have a window at one of the distances
+        halves = halves.where(F.greatest("lo", F.lit(LENGTH) - F.length("suffix")) <= F.least(F.col("hi") - 1, F.length("before")))
+        shared_bytes = F.concat(F.concat_ws(":", "lo", "hi", F.lit("")).cast("binary"), F.expr("substring(before, length(before) - lo + 1, lo)"), F.expr(f"substring(suffix, 1, {LENGTH + 1} - hi)"))
+        halves = cut(halves.withColumn("part", F.unhex(F.md5(shared_bytes))))
+        size = halves.groupBy("part").agg(F.count("*").alias("size")).where("size > 1")
+        sized = halves.join(size, "part")
+        # the whole window is alike: a cover of that distance alone, as two int16 (least byte first)
+        one = F.unhex(F.concat(F.lpad(F.hex("lo"), 2, "0"), F.lit("00")))
+        alone = sized.where("hi - lo = 1").select("c1", "c2", F.concat(one, one).alias("cover"))
+        calm = sized.where((F.col("hi") - F.col("lo") > 1) & (F.col("size") <= CROWD))
+        n = calm.count()
+        merged = _merge(calm.select("part", "suffix", "before", "c1", "c2"), 16, n)
+        got = alone.unionByName(merged) if n else alone
+        out = got if out is None else out.unionByName(got)
+        todo = sized.where((F.col("hi") - F.col("lo") > 1) & (F.col("size") > CROWD)).drop("part", "size")
+        if todo.isEmpty():
+            return out
+
+
+def _merge(entries: DataFrame, lead: int, n: int, read: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter) -> DataFrame:
+    """entries: (part, suffix, before, c1, c2), n of them, or what read makes these of. (c1, c2, cover) of those that share windows with others of
+    their part; a part is known by `lead` bytes that are set before the suffix, or by the suffix's own first KEY."""
+    owners = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // _OWNER_ENTRIES))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[Entry]] = [[] for _ in range(owners)]
+        held: dict[int, list[Entry]] = {}
         count = 0
 
         def flush() -> pa.RecordBatch:
-            owner = [i for i, x in enumerate(held) if x]
+            owner = list(held)
             blobs = [encode_run(sorted(held[i])) for i in owner]
-            for x in held:
-                x.clear()
+            held.clear()
             return pa.RecordBatch.from_arrays([pa.array(owner, pa.int32()), pa.array(blobs, pa.binary())], names=["owner", "run"])
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                body = _body(batch.column(0)[i].as_py())
-                for w in batch.column(1)[i].as_py():
-                    held[w["key"] % owners].append((*_suffix_bytes(body, w["place"]), w["key"], w["context"]))
-                    count += 1
+        for batch in read(batches):
+            for part, suffix, before, c1, c2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(int.from_bytes(part[:8], "big") % owners, []).append((part[:lead] + suffix, before, c1, c2))
+                count += 1
                 if count >= _RUN_ENTRIES:
                     yield flush()
                     count = 0
@@ -401,13 +435,13 @@ def _merge(texts: DataFrame, spark: SparkSession) -> DataFrame:
         for batch in batches:
             for owner, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(owner, []).append(blob)
-        for blobs in by.values():
-            rows = list(_resolve(merge_runs([decode_run(b) for b in blobs])))
-            if rows:
-                key, context, spans = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(context, pa.int64()), pa.array(spans, pa.binary())], names=["key", "context", "cover"])
+        for owner in list(by):
+            rows = _resolve(merge_runs([decode_run(b) for b in by.pop(owner)]), lead)
+            while some := list(itertools.islice(rows, _OUT_ROWS)):
+                c1, c2, spans = zip(*some, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(spans, pa.binary())], names=["c1", "c2", "cover"])
 
-    return texts.mapInArrow(runs, "owner int, run binary").repartition(owners, "owner").mapInArrow(merge, "key long, context long, cover binary")
+    return entries.mapInArrow(runs, "owner int, run binary").repartition(owners, "owner").mapInArrow(merge, "c1 long, c2 long, cover binary")
 
 
 def _removed(size: int, ranges: list[dict]) -> np.ndarray:
@@ -450,4 +484,5 @@ def _finish(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> DataFr
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of documents."""
     return _finish(table(spark, sf_dir, "documents"), "doc_id", "text", True)
