@@ -4,16 +4,26 @@ Base rules count words, symbols, repeated lines and repeated five-word windows o
 judged by a linear-chain conditional random field over the text's lines: Viterbi decoding marks each line as content
 or boilerplate, and the share of words in content lines decides whether the text stays.
 
-The field is trained on a bounded sample of labelled rows (MAX_TRAIN_DOCS texts of at most MAX_TRAIN_LINES lines
-each; both bounds hold for training only): lines inherit the quality label of their text, the likelihood of the
-whole sequence is maximised, so a line's own look and its neighbours' labels both count.
+Labels say of whole texts whether they are good, not which of their lines are boilerplate, and most texts have both.
+So line labels are latent: training starts from lines on their own, then alternates between the labels that the field
+expects of each text's lines, given that at least GOOD_SHARE of a good text's words and at most BAD_SHARE of a bad
+text's words lie in content (the smallest change to the field's own view that meets this), and the field that makes
+these labels and their neighbourhoods likeliest. A text's lines may so differ from the text's label and from each
+other, and the chain learns how often they switch.
+
+The field is fitted on a bounded sample of labelled rows (about MAX_TRAIN_DOCS texts, chosen by a hash of the id),
+each read whole; lines are taken in runs of TRAIN_RUN, all of them.
 
 Defined results: a null text has no words, so the base rules reject it, as they reject empty texts. Without labelled
-rows of both classes the field has no weights and keeps what the base rules keep.
+rows of both classes the field has no weights and keeps what the base rules keep. Texts of any length are judged
+whole. A share of exactly the bound is kept; equal scores of two labels go to content; of repeated labels of an id the
+smallest counts. Rows with null or repeated ids are judged like others, a null id is never a training row. An empty
+table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,12 +34,17 @@ from pyspark.sql import functions as F
 
 from matchspark.llm.common import Chunk, chunks, segment_sums, table
 
-MAX_TRAIN_DOCS = 6000
-MAX_TRAIN_LINES = 200
+MAX_TRAIN_DOCS = 3000
+TRAIN_RUN = 256
+GOOD_SHARE = 0.8
+BAD_SHARE = 0.2
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MIN_CONTENT_SHARE = 0.5
 WINDOW = 5
+_TURNS = 4
+_MOST_LEAN = 30.0
+_LEAN_STEPS = 7
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -40,6 +55,7 @@ _UPPER, _LOWER, _DIGIT = (np.zeros(256, bool) for _ in range(3))
 _UPPER[65:91] = _LOWER[97:123] = _DIGIT[48:58] = True
 _PIPE, _BANG = np.zeros(256, bool), np.zeros(256, bool)
 _PIPE[124] = _BANG[33] = True
+_POWERS = np.random.default_rng(7).integers(1, 1 << 63, 1 << 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 #: Buckets of each measure; a line has one feature of each measure.
 _EDGES = {
@@ -101,18 +117,17 @@ class Lines:
         self.features = np.stack([_BASE[j] + np.digitize(measures[m], e) for j, (m, e) in enumerate(_EDGES.items())], axis=1)
 
     def _repeats(self, data: np.ndarray) -> np.ndarray:
-        """1 if most neighbouring words of the line are equal in length and first bytes, a cheap sign of stuttering."""
+        """The share of the line's words that are equal to the word before, a sign of stuttering."""
         at = np.flatnonzero(self.word_start)
         if len(at) < 2:
             return np.zeros(len(self.of))
-        size = np.diff(np.append(at, len(data)))
         line = np.searchsorted(self.ends, at, side="right")
-        padded = np.append(data, np.zeros(4, np.uint8))
-        same = np.zeros(len(at), np.int64)
-        alike = (size[1:] == size[:-1]) & (line[1:] == line[:-1])
-        for k in range(3):
-            alike &= padded[at[1:] + k] == padded[at[:-1] + k]
-        same[1:] = alike
+        inside = ~self.space
+        within = np.arange(len(data)) - np.repeat(np.append(0, at), np.diff(np.concatenate([[0], at, [len(data)]])))
+        code = np.where(inside, data.astype(np.uint64) + np.uint64(1), np.uint64(0)) * _POWERS[within % len(_POWERS)]
+        word = np.add.reduceat(code, at)
+        same = np.zeros(len(at))
+        same[1:] = (word[1:] == word[:-1]) & (line[1:] == line[:-1])
         out = np.bincount(np.minimum(line, len(self.of) - 1), weights=same, minlength=len(self.of))
         return out / np.maximum(1, self.words - 1)
 
@@ -168,34 +183,51 @@ class LineField:
     def unary(self, features: np.ndarray) -> np.ndarray:
         return self.emit[features].sum(axis=1)
 
-    def fit(self, features: np.ndarray, of: np.ndarray, labels: np.ndarray, rounds: int = 150, rate: float = 0.5, decay: float = 1e-4) -> None:
-        """Accelerated gradient ascent on the log likelihood of the sequences. of: the sequence of each line, ascending."""
-        if not len(of) or len(set(labels.tolist())) < 2:
-            return
-        first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-        onehot = np.eye(2)[labels]
-        steps = np.flatnonzero(of[1:] == of[:-1]) if len(of) > 1 else np.zeros(0, np.int64)
-        true = np.zeros((2, 2))
-        np.add.at(true, (labels[steps], labels[steps + 1]), 1)
+    def fit(self, features: np.ndarray, first: np.ndarray, node_target: np.ndarray, pair_target: np.ndarray | None, rounds: int = 40, rate: float = 0.5, decay: float = 1e-4) -> None:
+        """Accelerated gradient ascent on the expected log likelihood. node_target: P(label) of each line; pair_target:
+        how often each label follows each, or None to leave lines without neighbours."""
+        n = len(features)
+        chained = pair_target is not None
+        starts = first if chained else np.arange(n)
         before = [x.copy() for x in (self.emit, self.step, self.start)]
         for t in range(1, rounds + 1):
-            node, pair = self.marginals(features, first)
-            gap = onehot - node
+            node, pair = self.marginals(features, starts)
+            gap = node_target - node
             grad = np.stack([np.bincount(features.ravel(), weights=np.repeat(gap[:, y], features.shape[1]), minlength=N_FEATURES) for y in (0, 1)], axis=1)
-            now = [
-                self.emit + rate * (grad / len(of) - decay * self.emit),
-                self.step + rate * ((true - pair[steps + 1].sum(0)) / len(of) - decay * self.step),
-                self.start + rate * (gap[first].sum(0) / len(of) - decay * self.start),
-            ]
+            now = [self.emit + rate * (grad / n - decay * self.emit), self.step, self.start]
+            if chained:
+                now[1] = self.step + rate * ((pair_target - pair.sum(0)) / n - decay * self.step)
+                now[2] = self.start + rate * (gap[first].sum(0) / n - decay * self.start)
             ahead = (t - 1) / (t + 2)
             self.emit, self.step, self.start = (x + ahead * (x - y) for x, y in zip(now, before, strict=True))
             before = now
         self.emit, self.step, self.start = before
         self.trained = True
 
-    def marginals(self, features: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """P(label) of each line and P(last, label) of each step, by forward and backward sums over all sequences."""
-        u = self.unary(features)
+    def expected(self, features: np.ndarray, first: np.ndarray, text: np.ndarray, weight: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P(label) of each line and the sum of P(label, next label), each text's content leant on until its share of
+        the weight meets the text's label. text: the text of each line; weight: its share of that text's words."""
+        lines = np.bincount(text, minlength=len(good))
+        reach = (weight * lines[text])[:, None] * np.where(good, 1.0, -1.0)[text][:, None] * np.array([0.0, 1.0])
+
+        def at(lean: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            node, pair = self.marginals(features, first, reach * lean[text][:, None])
+            share = np.bincount(text, weights=node[:, 1] * weight, minlength=len(good))
+            return node, pair, np.where(good, share >= GOOD_SHARE, share <= BAD_SHARE)
+
+        low, high = np.zeros(len(good)), np.full(len(good), _MOST_LEAN)
+        high[at(low)[2]] = 0.0
+        for _ in range(_LEAN_STEPS):
+            mid = (low + high) / 2
+            met = at(mid)[2]
+            low, high = np.where(met, low, mid), np.where(met, mid, high)
+        node, pair, _ = at(high)
+        return node, pair.sum(0)
+
+    def marginals(self, features: np.ndarray, first: np.ndarray, more: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """P(label) of each line and P(last, label) of each step, by forward and backward sums over all sequences. more:
+        what is added to the lines' own scores."""
+        u = self.unary(features) + more
         n = len(u)
         size = np.diff(np.append(first, n))
         order = np.argsort(-size, kind="stable")
@@ -217,6 +249,20 @@ class LineField:
         node = np.exp(node - node.max(1, keepdims=True))
         return node / node.sum(1, keepdims=True), pair
 
+    def learn(self, features: np.ndarray, text: np.ndarray, words: np.ndarray, good: np.ndarray) -> None:
+        """Fit to texts that are good or not. text: the text of each line, ascending; words: how many each line has."""
+        if good.all() or not good.any():
+            return
+        counts = np.bincount(text, minlength=len(good))
+        within = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+        first = np.flatnonzero(within % TRAIN_RUN == 0)
+        weight = words / np.maximum(1, np.bincount(text, weights=words, minlength=len(good)))[text]
+        content = np.where(good[text], GOOD_SHARE, BAD_SHARE)
+        self.fit(features, first, np.stack([1 - content, content], axis=1), None)
+        for _ in range(_TURNS):
+            node, pair = self.expected(features, first, text, weight, good)
+            self.fit(features, first, node, pair)
+
     def viterbi(self, features: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The best label sequence of each run of lines that begins at first; equal scores go to content."""
         u = self.unary(features)
@@ -253,19 +299,20 @@ def train_field(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, text_col):
             lines = Lines(chunk)
-            within = np.arange(len(lines.of)) - np.repeat(np.cumsum(lines.counts) - lines.counts, lines.counts)
-            keep = within < MAX_TRAIN_LINES
-            f, of = lines.features[keep].astype(np.uint8), lines.of[keep]
-            cuts = np.searchsorted(of, np.arange(len(chunk) + 1))
-            yield pa.RecordBatch.from_arrays([pa.array([f[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), chunk.batch.column(1)], names=["features", "label"])
+            cuts = np.cumsum(np.append(0, lines.counts)).tolist()
+            looks, words = lines.features.astype(np.uint8), lines.words.astype(np.int64)
+            each = [[x[a:b].tobytes() for a, b in itertools.pairwise(cuts)] for x in (looks, words)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.binary()) for x in each), chunk.batch.column(1)], names=["features", "words", "label"])
 
-    rows = docs.select(id_col, text_col).join(picked, id_col).select(F.col(text_col), F.col("_label").alias("label")).mapInArrow(run, "features binary, label int").toArrow()
+    rows = docs.select(id_col, text_col).join(picked, id_col).select(F.col(text_col), F.col("_label").alias("label")).mapInArrow(run, "features binary, words binary, label int").toArrow()
     field = LineField()
     if rows.num_rows:
-        feats = [np.frombuffer(x, np.uint8).reshape(-1, len(_EDGES)) for x in rows.column("features").to_pylist()]
-        label = rows.column("label").to_numpy()
-        of = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-        field.fit(np.concatenate(feats).astype(np.int64), of, label[of].astype(np.int64))
+        features, words = ([np.frombuffer(x, t) for x in rows.column(c).to_pylist()] for c, t in (("features", np.uint8), ("words", np.int64)))
+        # an order that does not depend on how the rows came in
+        order = sorted(range(len(words)), key=lambda i: (features[i].tobytes(), words[i].tobytes()))
+        features, words = [features[i].reshape(-1, len(_EDGES)) for i in order], [words[i] for i in order]
+        text = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        field.learn(np.concatenate(features).astype(np.int64), text, np.concatenate(words), rows.column("label").to_numpy()[order] == 1)
     return field
 
 
@@ -290,5 +337,6 @@ def judge(docs: DataFrame, field: LineField, id_col: str = "doc_id", text_col: s
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the base counts, base_failed, content_share and kept of every row of documents."""
     docs = table(spark, sf_dir, "documents")
     return judge(docs, train_field(docs, table(spark, sf_dir, "labels")))
