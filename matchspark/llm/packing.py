@@ -1,7 +1,7 @@
 """Packing into optimal length buckets.
 
 Each text is cut into sequences of at most MAX_TOKENS tokens, so no token is lost. Spark counts how many sequences
-there are of each length, rounded up to GRAIN: a histogram of at most MAX_TOKENS / GRAIN entries over all texts.
+there are of each length: a histogram of at most MAX_TOKENS entries over all texts.
 Dynamic programming over it chooses the BUCKETS boundaries that make the padding least. A batch holds sequences of one
 bucket, padded to its boundary, and as many of them as fit into TOKEN_BUDGET.
 
@@ -11,8 +11,10 @@ each part's last batch may be short.
 
 The pipeline's sequences carry their tokens into the batches; the query op3_packing shows the layout only.
 
-Defined results: a null or empty text has no tokens and no sequences. Rows with equal ids are texts of their own;
-their sequences are told apart by row_key, a hash of id and text. A null id is packed like any other.
+Defined results: a null or empty text has no tokens and no sequences; a text of any length is packed whole. Rows with
+equal ids are texts of their own; their sequences are told apart by row_key, a hash of id and text, and repeated rows
+are packed as often as they are there. A null id is packed like any other. Of equally good sets of
+boundaries the one with the shorter first buckets is taken. An empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ from pyspark.sql.window import Window as W
 from matchspark.llm.common import chunks, cut, table, tokenizer_dir
 
 MAX_TOKENS = 2048
-GRAIN = 8
 BUCKETS = 16
 TOKEN_BUDGET = 32_768
 PART_BATCHES = 16
@@ -82,16 +83,16 @@ def optimal_boundaries(length: np.ndarray, count: np.ndarray, buckets: int = BUC
     if m <= buckets:
         return length
     n, tokens = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(count * length)])
-    # cost[i, j]: lengths i to j - 1 padded to length[j - 1]
-    i, j = np.arange(m + 1)[:, None], np.arange(1, m + 1)[None, :]
-    cost = np.full((m + 1, m + 1), np.inf)
-    cost[:, 1:] = np.where(i < j, length[j - 1] * (n[j] - n[i]) - (tokens[j] - tokens[i]), np.inf)
     best, came = np.full(m + 1, np.inf), []
     best[0] = 0
     for _ in range(buckets):
-        total = best[:, None] + cost
-        came.append(total.argmin(0))
-        best = total.min(0)
+        now, back = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64)
+        for j in range(1, m + 1):  # lengths i to j - 1 padded to length[j - 1]
+            total = best[:j] + length[j - 1] * (n[j] - n[:j]) - (tokens[j] - tokens[:j])
+            back[j] = total.argmin()
+            now[j] = total[back[j]]
+        best = now
+        came.append(back)
     out, j = [], m
     for back in reversed(came):
         out.append(length[j - 1])
@@ -99,10 +100,9 @@ def optimal_boundaries(length: np.ndarray, count: np.ndarray, buckets: int = BUC
     return np.array(out[::-1])
 
 
-def pack(seqs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, grain: int = GRAIN, id_col: str = "doc_id") -> DataFrame:
+def pack(seqs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, id_col: str = "doc_id") -> DataFrame:
     """seqs, with their tokens if they have them, with bucket, padded_length, batch_id ("bucket-part-number") and slot, the place in the batch."""
-    padded = seqs.withColumn("_grain", (F.ceil(F.col("n_tokens") / grain) * grain).cast("int"))
-    counted = padded.groupBy("_grain").count().orderBy("_grain").collect()
+    counted = seqs.groupBy("n_tokens").count().orderBy("n_tokens").collect()
     length, count = (np.array([r[k] for r in counted], np.int64) for k in (0, 1))
     edges = optimal_boundaries(length, count, buckets)
     which = np.searchsorted(edges, length)
@@ -114,8 +114,8 @@ def pack(seqs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDG
     rules = spark.createDataFrame(plan, "bucket int, padded_length int, _fits int, _parts int")
     bucket = F.lit(None).cast("int")
     for b, e, _, _ in reversed(plan):
-        bucket = F.when(F.col("_grain") <= e, b).otherwise(bucket)
-    dealt = padded.withColumn("bucket", bucket).join(F.broadcast(rules), "bucket").withColumn("_part", F.pmod("salt", "_parts"))
+        bucket = F.when(F.col("n_tokens") <= e, b).otherwise(bucket)
+    dealt = seqs.withColumn("bucket", bucket).join(F.broadcast(rules), "bucket").withColumn("_part", F.pmod("salt", "_parts"))
     place = F.row_number().over(W.partitionBy("bucket", "_part").orderBy("salt", id_col, "part")) - 1
     return (
         dealt.withColumn("_place", place)
@@ -126,4 +126,5 @@ def pack(seqs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDG
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layout of every sequence of documents: its bucket, batch and slot."""
     return pack(cut(sequences(table(spark, sf_dir, "documents"))))
