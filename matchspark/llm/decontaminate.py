@@ -6,11 +6,13 @@ all pieces of all items in a single pass over a text; each hit says where the it
 say about the same are taken together, and Myers' bit-parallel distance over that window decides.
 
 Texts and items are compared in lower case with white space squeezed to single blanks. The items are sent to the
-tasks in blocks of at most BLOCK_CHARS characters, each block a pass of its own over the texts, so what is sent has a
-bound whatever the size of the benchmark.
+tasks in blocks of about BLOCK_CHARS characters, each block a pass of its own over the texts. One block at a time goes
+through the driver, and its pass is written before the next begins, so what is sent and held has a bound whatever the
+size of the benchmark.
 
 Defined results: null or blank items match nothing, null or blank texts hold nothing; items with equal text match
-alike; rows with null ids are compared like others.
+alike; rows with null or repeated ids are compared like others; texts of any length are compared whole. Of equally
+near stretches the first counts. Empty tables give no rows, or leave the texts as they are; other columns stay.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from typing import Any
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from matchspark.llm.common import chunks, table
+from matchspark.llm.common import chunks, cut, table
 
 ERROR_RATE = 0.05
 BLOCK_CHARS = 4_000_000
@@ -134,13 +138,18 @@ class Matcher:
         return best
 
 
-def _blocks(items: DataFrame, item_col: str, text_col: str) -> list[list[tuple[Any, str]]]:
-    """The items in blocks that are sent one by one; their number follows the benchmark's size."""
+def _blocks(items: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[Broadcast, bool]]:
+    """The items in blocks, one at a time, and whether there are several; a block is sent when it is asked for and
+    given up when the next one is."""
     own = items.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-chars // BLOCK_CHARS)
     deal = F.pmod(F.xxhash64("text"), F.lit(n))
-    return [[tuple(r) for r in own.where(deal == b).orderBy("item", "text").collect()] for b in range(n)]
+    for b in range(n):
+        sent = items.sparkSession.sparkContext.broadcast([tuple(r) for r in own.where(deal == b).orderBy("item", "text").collect()])
+        yield sent, n > 1
+        if n > 1:
+            sent.unpersist()
 
 
 def _each(chunk, matcher: Matcher) -> Iterator[tuple[int, list[tuple[Any, int, int, int]]]]:  # noqa: ANN001
@@ -153,11 +162,10 @@ def find_matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, id
     """(id_col, item_col, edits, start, end): a row for each item that a text holds; code points, end exclusive."""
     spark: SparkSession = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
-    item_type = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
+    item_type = to_arrow_type(items.schema[item_col].dataType)
     schema = f"{id_col} {kind}, {item_col} {item_kind}, edits int, start long, end long"
     out = spark.createDataFrame([], schema)
-    for block in _blocks(items, item_col, item_text_col):
-        sent = spark.sparkContext.broadcast(block)
+    for sent, several in _blocks(items, item_col, item_text_col):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             matcher = Matcher(sent.value, rate)
@@ -167,14 +175,14 @@ def find_matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, id
                     at, item, edits, start, end = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([chunk.batch.column(0).take(pa.array(at)), pa.array(item, item_type), pa.array(edits, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=[id_col, item_col, "edits", "start", "end"])
 
-        out = out.unionAll(docs.select(id_col, text_col).mapInArrow(run, schema))
+        found = docs.select(id_col, text_col).mapInArrow(run, schema)
+        out = out.unionAll(cut(found) if several else found)
     return out
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs without the texts that hold an item; nothing is shuffled."""
-    for block in _blocks(items, item_col, item_text_col):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+    for sent, several in _blocks(items, item_col, item_text_col):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             matcher = Matcher(sent.value, rate)
@@ -184,8 +192,10 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RAT
                 yield chunk.batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
+        docs = cut(docs) if several else docs
     return docs
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, edits, start and end of every benchmark item that a text of documents holds."""
     return find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
