@@ -4,24 +4,29 @@ Base spans come from the four patterns of KINDS, each leftmost and non-overlappi
 their check (address parts, Luhn sum, digit count) are dropped without another try. They always stay.
 
 The field's nodes are, in the order of the text, the base spans (their labels are given) and the other words that
-hold a digit or an @. Neighbours share a chain potential; nodes whose forms are alike wherever they stand in the text
+hold a digit or an @. All other words can only be "none", so they need no nodes, but they are part of the chain: words
+that stand next to each other share a chain potential, and a node beside such a word shares it with the label "none".
+Nodes whose forms are alike wherever they stand in the text
 (same last digits, same letters and digits, same part before the @) share a skip potential, each with the one before
 and the one after it of that form, and free words also with the nearest base span of that form on either side, however
 many stand between. Loopy belief propagation over this graph gives each free word its marginals, and a
-word whose likeliest label is a kind of personal data becomes a span of that kind. All other words can only be "none"
-and need no nodes.
+word whose likeliest label is a kind of personal data becomes a span of that kind.
 
 The weights maximise the pseudo-likelihood: over all texts Spark counts how often each label came with each look of a
 node and each labels of its neighbours (the looks are a fixed, finite set, so the counts are a small table however
 large the corpus is), and a multinomial regression is fitted to that table. Free words count as "none", except those
 like a base span: whether they are one is what the field is asked.
 
-Defined results: a null text counts as empty and has no spans; spans are code points with the end exclusive.
+Defined results: a null text counts as empty and has no spans; spans are code points with the end exclusive. Equal
+marginals go to the kind first in KINDS. Rows are judged one by one, so null or repeated ids and repeated rows change
+nothing (but count in the weights); texts of any length are read whole, with messages in memory that grows with the
+text's nodes. An empty table gives no rows; other columns are not looked at, or kept where texts are masked.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -41,6 +46,7 @@ N_LABELS = NONE + 1
 ROUNDS = 48
 #: What the skip potential of equal labels is taken to be until the counts say otherwise.
 ALIKE = 2.0
+_MESSAGES = 1 << 16
 
 _MARKS = np.zeros(256, bool)
 _MARKS[[*range(48, 58), 64]] = True
@@ -52,6 +58,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _TRIM = "\"'`.,;:!?()[]{}<>|*#$%&="
+_BESIDE = _TRIM + " \t\n\v\f\r"
 
 Span = tuple[int, int, int]
 
@@ -126,6 +133,11 @@ class Graph:
                 nodes.append((a, b, -1))
         nodes.sort(key=lambda s: (s[0], s[1], s[2]))
         self.nodes = nodes
+        #: whether each node and the next stand side by side, and whether a plain word is before and after each node
+        between = [text[p[1] : q[0]].strip(_BESIDE) for p, q in itertools.pairwise(nodes)]
+        self.adjacent = [not x for x in between]
+        edges = [text[: nodes[0][0]].strip(_BESIDE), *between, text[max(n[1] for n in nodes) :].strip(_BESIDE)] if nodes else []
+        self.plain_before, self.plain_after = [bool(x) for x in edges[:-1]], [bool(x) for x in edges[1:]]
         forms = [text[a:b] for a, b, _ in nodes]
         self.looks = [look(f) for f in forms]
         self.links: list[tuple[int, int]] = []
@@ -190,11 +202,14 @@ def examples(text: str) -> Iterator[tuple[int, int, int, int, int]]:
         near = alike.get(j, set())
         if k < 0 and near - {NONE}:
             continue
-        yield g.looks[j], given[j - 1] if j else N_LABELS, given[j + 1] if j + 1 < len(given) else N_LABELS, min(near) if near else N_LABELS, given[j]
+        before = NONE if g.plain_before[j] else given[j - 1] if j else N_LABELS
+        after = NONE if g.plain_after[j] else given[j + 1] if j + 1 < len(given) else N_LABELS
+        yield g.looks[j], before, after, min(near) if near else N_LABELS, given[j]
 
 
 class SkipChain:
-    """Log potentials: emit[look, label], chain[label, next label], skip[label, label]."""
+    """Log potentials: emit[look, label], chain[label, next label], skip[label, label]. The last row and column of
+    chain stand for a text's ends, those of skip for no word alike."""
 
     def __init__(self, emit: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> None:
         self.emit, self.chain, self.skip = emit, chain, skip
@@ -209,28 +224,42 @@ class SkipChain:
     def marginals(self, g: Graph) -> np.ndarray:
         """Sum-product messages along chain and skip links, all at once in each round, averaged with the last round's."""
         n = len(g.nodes)
+        if not n:
+            return np.zeros((0, N_LABELS))
         unary = self.emit[g.looks].copy()
-        for j, (_, _, k) in enumerate(g.nodes):
-            if k >= 0:
-                unary[j] = -np.inf
-                unary[j, k] = 0.0
-        pairs = [(j, j + 1) for j in range(n - 1)] + g.links
+        for side, table_ in ((g.plain_before, self.chain[:, :N_LABELS]), (g.plain_after, self.chain.T[:, :N_LABELS])):
+            unary[np.array(side, bool)] += table_[NONE]
+        for end, plain, table_ in ((0, g.plain_before, self.chain[:, :N_LABELS]), (n - 1, g.plain_after, self.chain.T[:, :N_LABELS])):
+            if not plain[end]:
+                unary[end] += table_[N_LABELS]
+        given = np.array([k for _, _, k in g.nodes])
+        alone = np.ones(n, bool)
+        alone[[j for pair in g.links for j in pair]] = False
+        unary[alone] += self.skip[N_LABELS, :N_LABELS]
+        unary[given >= 0] = -np.inf
+        unary[given >= 0, given[given >= 0]] = 0.0
+        pairs = [(j, j + 1) for j in range(n - 1) if g.adjacent[j]]
+        chained = len(pairs)
+        pairs += g.links
         if not pairs:
             return _softmax(unary)
-        kind = np.repeat([0, 1], [n - 1, len(g.links)])
+        m = len(pairs)
         a, b = (np.array(x) for x in zip(*pairs, strict=True))
         src, dst = np.concatenate([a, b]), np.concatenate([b, a])
-        table_ = np.stack([self.chain, self.skip])
-        pot = np.concatenate([table_[kind], table_[kind].transpose(0, 2, 1)])  # [message, label of src, label of dst]
-        back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
-        msg = np.zeros((len(src), N_LABELS))
+        # runs of messages with one potential: forwards and backwards, along the chain and along skip links
+        chain, skip = np.exp(self.chain[:N_LABELS, :N_LABELS]), np.exp(self.skip[:N_LABELS, :N_LABELS])
+        runs = [(0, chained, chain), (chained, m, skip), (m, m + chained, chain.T), (m + chained, 2 * m, skip.T)]
+        runs = [(s, min(e, s + _MESSAGES), pot) for a, e, pot in runs for s in range(a, e, _MESSAGES)]
+        msg = np.zeros((2 * m, N_LABELS))
         for _ in range(ROUNDS + 2 * g.longest):
             belief = unary.copy()
             np.add.at(belief, dst, msg)
-            cavity = belief[src] - msg[back]
-            cavity -= cavity.max(1, keepdims=True)
-            new = np.log(np.maximum(1e-300, np.exp(cavity[:, :, None] + pot).sum(1)))
-            new -= new.max(1, keepdims=True)
+            new = np.empty_like(msg)
+            for s, e, pot in runs:
+                cavity = belief[src[s:e]] - (msg[s + m : e + m] if s < m else msg[s - m : e - m])
+                cavity -= cavity.max(1, keepdims=True)
+                out = np.log(np.maximum(1e-300, np.exp(cavity) @ pot))
+                new[s:e] = out - out.max(1, keepdims=True)
             if np.abs(new - msg).max() < 1e-4:
                 break
             msg = 0.5 * msg + 0.5 * new
@@ -250,7 +279,7 @@ def _fit(t: np.ndarray, n: np.ndarray, rounds: int = 400, ridge: float = 1e-3) -
     skip = prior = np.diag([ALIKE] * N_LABELS + [0.0])
     if not len(t):
         emit[:, NONE] = 1.0
-        return SkipChain(emit, chain[:N_LABELS, :N_LABELS], skip[:N_LABELS, :N_LABELS])
+        return SkipChain(emit, chain, skip)
     lk, before, after, alike, y = t.T
     weight = n / n.sum()
     onehot = np.eye(N_LABELS)[y]
@@ -273,7 +302,7 @@ def _fit(t: np.ndarray, n: np.ndarray, rounds: int = 400, ridge: float = 1e-3) -
         last = now
     emit, chain, skip = last
     emit[np.bincount(lk, weights=n, minlength=N_LOOKS) == 0, NONE] += 1.0  # a look never met is nothing, unless others say so
-    return SkipChain(emit, chain[:N_LABELS, :N_LABELS], skip[:N_LABELS, :N_LABELS])
+    return SkipChain(emit, chain, skip)
 
 
 def learn_field(docs: DataFrame, text_col: str = "text") -> SkipChain:
@@ -348,5 +377,6 @@ def find(docs: DataFrame, field: SkipChain, id_col: str | None = "doc_id", text_
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the counts by kind, base_sha256 and spans of every row of documents."""
     docs = table(spark, sf_dir, "documents")
     return find(docs, learn_field(docs))
