@@ -2,15 +2,18 @@
 
 A text's features are the byte n-grams (N_GRAMS long) of its lower-cased words with one blank on either side, hashed
 to BUCKETS; a feature is there or not. From the training texts each bucket gets the smoothed log ratio of the share
-of toxic texts that have it to the share of other texts that have it. Buckets whose ratio is no chance find
-(|z| >= MIN_Z) are kept; a logistic regression over presence times ratio gives the score.
+of toxic texts that have it to the share of other texts that have it. Every bucket whose ratio is no chance find
+(|z| >= MIN_Z) is a feature, however many these are; a logistic regression over presence times ratio gives the score.
+With MIN_Z = 0 all buckets that any text has are features; a test shows that this leaves the verdicts as they are.
 
 The classifier is fitted on a bounded sample of labelled rows: about MAX_TRAIN_DOCS, chosen by a hash of the id.
 Scoring reads every whole text.
 
 Defined results: a null or empty text has no features and gets the score of the intercept; without labelled rows of
 both classes every score is the smoothed base rate. Labels other than 0 and 1 are not used; of repeated labels of an
-id the smallest counts.
+id the smallest counts, and a null id is never a training row. Rows with null or repeated ids are scored like others,
+texts of any length whole; a score of exactly 0.5 is toxic. An empty table gives no rows; other columns are not looked
+at, or kept where texts are dropped.
 """
 
 from __future__ import annotations
@@ -22,12 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchspark.llm.common import Chunk, chunks, fold, table
+from matchspark.llm.common import Chunk, chunks, cut, fold, table
 
 N_GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 20
 MAX_TRAIN_DOCS = 16_000
-MAX_FEATURES = 8192
 MIN_Z = 4.0
 SMOOTH = 0.5
 
@@ -114,11 +116,13 @@ def _fit(rows: list[np.ndarray], label: np.ndarray, scale: np.ndarray, rounds: i
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", min_z: float = MIN_Z) -> ToxicityModel:
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.min(label_col).cast("int").alias("_label"))
     share = min(1.0, max_docs / max(1, known.count()))
     picked = known.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(picked, id_col).select(F.col(text_col).alias("text"), F.col("_label").alias("label")).repartition(6)
+    # the ids picked are about max_docs, whatever the size of the corpus, so they are sent to where the texts are
+    sample = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(F.broadcast(picked), id_col).select(F.col(text_col).alias("text"), F.col("_label").alias("label"))
+    sample = cut(sample.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64)
@@ -132,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, id
         # bucket -1: the texts of each class
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(held[0, some], seen[0]), pa.int64()), pa.array(np.append(held[1, some], seen[1]), pa.int64())], names=["bucket", "clean", "toxic"])
 
-    t = sample.mapInArrow(count, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("bucket < 0 or clean + toxic >= 3").toArrow()
+    t = sample.mapInArrow(count, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     bucket, clean, toxic = (t.column(c).to_numpy() for c in ("bucket", "clean", "toxic"))
     n0, n1 = (int(x[bucket < 0].sum()) for x in (clean, toxic))
     if not n0 or not n1:
@@ -141,25 +145,24 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, id
     ratio = np.log((toxic + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((clean + SMOOTH) / (n0 + 2 * SMOOTH))
     both = (clean + toxic) / (n0 + n1)
     z = (toxic / n1 - clean / n0) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n0 + 1 / n1))
-    keep = np.flatnonzero(np.abs(z) >= MIN_Z)
-    keep = keep[np.lexsort((bucket[keep], -np.abs(z[keep])))][:MAX_FEATURES]
+    keep = np.flatnonzero(np.abs(z) >= min_z)
     keep = keep[np.argsort(bucket[keep])]
     bucket, ratio = bucket[keep].astype(np.int64), ratio[keep]
-    chosen = np.full(BUCKETS, -1, np.int32)
-    chosen[bucket] = np.arange(len(bucket), dtype=np.int32)
-    sent = docs.sparkSession.sparkContext.broadcast((bucket, None))
+    sent = docs.sparkSession.sparkContext.broadcast(bucket)
 
     def list_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.full(BUCKETS, -1, np.int32)
-        own[sent.value[0]] = np.arange(len(sent.value[0]), dtype=np.int32)
+        own[sent.value] = np.arange(len(sent.value), dtype=np.int32)
         for chunk in chunks(batches):
             text, found = present(chunk, own)
             cuts = np.searchsorted(text, np.arange(len(chunk) + 1))
-            which = own[found].astype(np.uint16)
+            which = own[found]
             yield pa.RecordBatch.from_arrays([pa.array([which[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), chunk.batch.column(1)], names=["features", "label"])
 
     rows = sample.mapInArrow(list_features, "features binary, label int").toArrow()
-    w, b = _fit([np.frombuffer(x, np.uint16) for x in rows.column("features").to_pylist()], rows.column("label").to_numpy().astype(np.float64), ratio)
+    # an order that does not depend on how the rows came in
+    held = sorted(zip(rows.column("features").to_pylist(), rows.column("label").to_pylist(), strict=True))
+    w, b = _fit([np.frombuffer(x, np.int32) for x, _ in held], np.array([y for _, y in held], np.float64), ratio)
     return ToxicityModel(bucket, w * ratio, b)
 
 
@@ -189,6 +192,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row of documents; labels of held-out rows are not read."""
     model = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
     out = score(table(spark, sf_dir, "documents"), model)
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
