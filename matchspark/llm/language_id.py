@@ -11,8 +11,10 @@ The counts come from every training text. Contexts of two bytes and their follow
 language by construction, so the tree that is sent to the tasks has a bound that does not depend on the corpus
 (in practice some ten thousand rows).
 
-Defined results: null text or text without a letter gives ("und", 0.0); no training rows gives "und" for all;
-null ids are scored like any other; ties go to the language first in sort order.
+Defined results: null text or text without a letter gives ("und", 0.0); no training rows gives "und" for all; rows
+with null or repeated ids and repeated rows are scored like any other (and counted as often as they are there); texts
+of any length are read whole; ties go to the language first in sort order. An empty table gives no rows; other columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -157,6 +159,7 @@ def identify(docs: DataFrame, trees: ContextTrees, id_col: str = "doc_id", text_
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every row of documents; held-out rows' languages are not read."""
     docs = table(spark, sf_dir, "documents")
     trees = learn_trees(docs.where(fold("doc_id", 4) != 2))
     out = identify(docs.select("doc_id", "text"), trees)

@@ -7,11 +7,14 @@ difference of its log-likelihoods under the two, divided by its length, and is a
 threshold is calibrated on training urls that the models did not see (one fold in CALIBRATION_FOLDS): the one with the
 best mean of both classes' accuracies, read from a histogram of fixed size.
 
-Counts come from all training urls. Both models live in tables that are joined by gram, so nothing that grows with
-the corpus is collected or broadcast.
+Counts come from all training urls. Both models live in one table of the grams that are asked for. Where that is no
+more than SENT_GRAMS rows it is sent to the urls; else it is joined by gram, with the grams of each url counted first
+and common grams dealt to SALTS places. Nothing that grows with the corpus is collected or broadcast.
 
 Defined results: a null url, or one without "://", has an empty host and path, so no rule fits; a null or empty url
-has ratio 0. If only one class has training urls, its verdict is given to all; if none has, "allow".
+has ratio 0. If only one class has training urls, its verdict is given to all; if none has, "allow"; a ratio at the
+threshold is allowed. Repeated rows and null or repeated ids are rows of their own; urls of any length are judged
+whole. An empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,7 +34,10 @@ RULES = (
 )
 ORDER = 3
 CALIBRATION_FOLDS = 5
-ALPHABET = 256
+#: All code points, alike where nothing is known.
+ALPHABET = 0x110000
+SENT_GRAMS = 1_000_000
+SALTS = 64
 _BINS = 400
 _PER_UNIT = 50
 _PAD = "\u0001"
@@ -80,6 +86,15 @@ def _models(training: DataFrame, wanted: DataFrame, order: int) -> DataFrame:
     return out.select("gram", (F.log("p_allow") - F.log("p_block")).alias("ratio"))
 
 
+def _rated(places: DataFrame, model: DataFrame) -> DataFrame:
+    """places (url, cls, gram, times) with the model's ratio of each gram."""
+    if model.count() <= SENT_GRAMS:
+        return places.join(F.broadcast(model), "gram")
+    salt = F.pmod(F.xxhash64("url"), F.lit(SALTS))
+    salted = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return places.withColumn("salt", salt.cast("int")).join(salted, ["gram", "salt"])
+
+
 def _threshold(binned: list[tuple[int, int, int]]) -> float:
     """From (bin, allowed, blocked) urls: the lower edge of the bins to allow, midway between equally good ones."""
     allowed, blocked = sum(r[1] for r in binned), sum(r[2] for r in binned)
@@ -110,9 +125,9 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, ord
     training = known.where(fold != 0).select("url", *(F.when(F.col("ruled") == v, F.col("n")).otherwise(0).alias(v) for v in ("allow", "block")))
     # what is to be scored, each url once; cls is null for those that no rule decides
     todo = split.where("rule is null").select("url", F.lit(None).cast("string").alias("cls")).distinct().union(known.where(fold == 0).select("url", "ruled"))
-    places = _grams(todo, order, "url", "cls")
-    model = _models(training, places.select("gram").distinct(), order)
-    scored = cut(places.join(model, "gram").groupBy("url", "cls").agg((F.sum("ratio") / F.first(F.length("url"))).alias("ratio")))
+    places = _grams(todo, order, "url", "cls").groupBy("url", "cls", "gram").agg(F.count("*").alias("times"))
+    model = cut(_models(training, _grams(todo, order).distinct(), order))
+    scored = cut(_rated(places, model).groupBy("url", "cls").agg((F.sum(F.col("ratio") * F.col("times")) / F.first(F.length("url"))).alias("ratio")))
 
     slot = F.greatest(F.lit(-_BINS // 2), F.least(F.lit(_BINS // 2), F.floor(F.col("ratio") * _PER_UNIT).cast("int")))
     binned = scored.where("cls is not null").groupBy(slot.alias("bin")).agg(*(F.count_if(F.col("cls") == v).alias(v) for v in ("allow", "block"))).collect()
@@ -124,4 +139,5 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, ord
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict and ratio of every row of pages."""
     return judge(table(spark, sf_dir, "pages"))
