@@ -1,5 +1,7 @@
 """The ten operators against brute force, and on odd rows and empty tables."""
 
+import datetime
+import decimal
 import hashlib
 import itertools
 import random
@@ -84,6 +86,35 @@ def test_trie_join_finds_every_link():
     assert len(a) < len(words)
 
 
+def clouds(rng, clouds=5, size=40, bits=64):
+    seeds = [rng.getrandbits(bits) for _ in range(clouds)]
+    return sorted({s ^ sum(1 << b for b in rng.sample(range(bits), rng.randrange(6))) for s in seeds for _ in range(size)})
+
+
+@pytest.mark.parametrize("crowd", [1 << 17, 25])
+def test_components_go_through_rows_without_ids(spark, monkeypatch, crowd):
+    """Ids of any type, some null and some repeated; crowded parts are dealt on by further bits with the same result."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "_PART_ROWS", 50)
+    rng = random.Random(9)
+    words = clouds(rng)
+    rows = [(rng.choice([None, f"id{rng.randrange(500):03d}"]), w) for w in words] + [(None, words[0]), ("id000", words[-1]), ("id000", words[-1])]
+    low = rng.getrandbits(64)
+    rows += [("zz1", low), (None, low ^ 0b111), ("zz3", low ^ 0b111111), (None, low ^ (0b1011 << 60))]
+    nodes = range(len(rows))
+    root = slow_components([(a, b) for a, b in itertools.combinations(nodes, 2) if (rows[a][1] ^ rows[b][1]).bit_count() <= 3], nodes)
+    least = {}
+    for k in nodes:
+        if rows[k][0] is not None:
+            least[root[k]] = min(rows[k][0], least.get(root[k], rows[k][0]))
+    want = sorted((str(rows[k][0]), rows[k][1], str(least.get(root[k]))) for k in nodes)
+    df = spark.createDataFrame([(i, bytearray(w.to_bytes(8, "big"))) for i, w in rows], "doc_id string, fp binary")
+    got = simhash.group(df).collect()
+    assert sorted((str(r.doc_id), int.from_bytes(r.fp, "big"), str(r.component_id)) for r in got) == want
+    ends = {r.component_id for r in got if int.from_bytes(r.fp, "big") in (low, low ^ 0b111, low ^ 0b111111)}
+    assert ends == {"zz1"}
+
+
 def test_near_copies_go_and_others_stay(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(3000)]
@@ -143,6 +174,27 @@ def test_near_copies_are_all_that_verified_links_connect(spark):
     assert 6 < len(kept) < len(texts)
 
 
+def test_near_copies_are_found_at_the_similarity_asked_for(spark):
+    """Families around 0.8 against brute force over the shingles alone, without fingerprints: recall and no false copy."""
+    rng = random.Random(13)
+    texts = {}
+    for family in range(40):
+        base = [f"f{family}w{i}" for i in range(200)]
+        for _ in range(10):
+            w = list(base)
+            for at in rng.sample(range(200), rng.choice((1, 2, 3))):
+                w[at] = f"new{rng.randrange(10**9)}"
+            texts[len(texts)] = " ".join(w)
+    sets = {i: set(shingles_of(t, 5)) for i, t in texts.items()}
+    pairs = [(a, b) for a, b in itertools.combinations(texts, 2) if a // 10 == b // 10 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    near = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in pairs]
+    assert sum(x < 0.85 for x in near) > 50
+    copies = set(texts) - set(slow_components(pairs, texts).values())
+    gone = set(texts) - {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert gone <= copies
+    assert len(gone) >= 0.9 * len(copies)
+
+
 def test_repeated_lines_neither_make_copies_nor_hide_them(spark):
     rng = random.Random(12)
     line = " ".join(f"line{i}" for i in range(35))
@@ -193,16 +245,49 @@ def test_pii_keeps_base_and_adds_what_is_alike(spark, sf, texts):
 
 def test_belief_propagation_is_exact_on_a_tree():
     rng = np.random.default_rng(5)
-    field = pii.SkipChain(rng.normal(size=(pii.N_LOOKS, pii.N_LABELS)), rng.normal(size=(pii.N_LABELS, pii.N_LABELS)), rng.normal(size=(pii.N_LABELS, pii.N_LABELS)))
-    g = pii.Graph("ab12 cd34 ef56", [])
-    assert not g.links
-    got = field.marginals(g)
-    score = {y: sum(field.emit[lk, v] for lk, v in zip(g.looks, y, strict=True)) + field.chain[y[0], y[1]] + field.chain[y[1], y[2]] for y in itertools.product(range(pii.N_LABELS), repeat=3)}
-    want = np.zeros((3, pii.N_LABELS))
-    for y, s in score.items():
-        for k in range(3):
-            want[k, y[k]] += np.exp(s)
-    assert np.allclose(got, want / want.sum(1, keepdims=True), atol=2e-3)
+    k = pii.N_LABELS
+    field = pii.SkipChain(rng.normal(size=(pii.N_LOOKS, k)), rng.normal(size=(k + 1, k + 1)), rng.normal(size=(k + 1, k + 1)))
+    for text in ("ab12 cd34 ef56", "ab12 word cd34, ef56 words", "x ab12 cd34 y ef56"):
+        g = pii.Graph(text, [])
+        assert not g.links
+        assert np.allclose(field.marginals(g), enumerated(field, g), atol=2e-3), text
+
+
+def enumerated(field, g):
+    """Marginals by summing over all labellings of the graph's nodes; plain words are in the chain with label NONE."""
+    n, k = len(g.nodes), pii.N_LABELS
+    linked = {j for pair in g.links for j in pair}
+    want = np.zeros((n, k))
+    for y in itertools.product(range(k), repeat=n):
+        if any(given not in (-1, v) for (_, _, given), v in zip(g.nodes, y, strict=True)):
+            continue
+        s = sum(field.emit[g.looks[j], y[j]] for j in range(n) if g.nodes[j][2] < 0)
+        for j in range(n):
+            s += field.chain[pii.NONE if g.plain_before[j] else k, y[j]] if g.plain_before[j] or j == 0 else 0
+            s += field.chain[y[j], pii.NONE if g.plain_after[j] else k] if g.plain_after[j] or j == n - 1 else 0
+            s += field.chain[y[j], y[j + 1]] if j + 1 < n and g.adjacent[j] else 0
+            s += field.skip[k, y[j]] if j not in linked else 0
+        s += sum(field.skip[y[a], y[b]] for a, b in g.links)
+        for j in range(n):
+            want[j, y[j]] += np.exp(s)
+    return want / want.sum(1, keepdims=True)
+
+
+def test_loopy_messages_are_near_the_enumerated_marginals():
+    """A loop of chain and skip links, with and without a given span."""
+    rng = np.random.default_rng(6)
+    k = pii.N_LABELS
+    for text in ("call 5552748 code 77 and 5552748 code 88 and 5552748", "555-2748 5552748 555-2748", "a.bcd@x.org and abc12345 abc12345 or bcd@ now"):
+        g = pii.Graph(text, pii.base_spans(text))
+        assert g.links
+        for _ in range(5):
+            chain, skip = rng.normal(size=(k + 1, k + 1)) / 4, rng.normal(size=(k + 1, k + 1)) / 4
+            field = pii.SkipChain(rng.normal(size=(pii.N_LOOKS, k)), chain, (skip + skip.T) / 2)
+            got, want = field.marginals(g), enumerated(field, g)
+            assert np.abs(got - want).max() < 0.1
+            sure = np.sort(want, axis=1)
+            clear = sure[:, -1] - sure[:, -2] > 0.2
+            assert (got.argmax(1) == want.argmax(1))[clear].all()
 
 
 def test_one_base_span_reaches_every_alike_mention():
@@ -210,7 +295,7 @@ def test_one_base_span_reaches_every_alike_mention():
     however far it stands from the span."""
     emit = np.zeros((pii.N_LOOKS, pii.N_LABELS))
     emit[:, pii.NONE] = 1.0
-    field = pii.SkipChain(emit, np.zeros((pii.N_LABELS, pii.N_LABELS)), np.diag([pii.ALIKE] * pii.NONE + [0.0]))
+    field = pii.SkipChain(emit, np.zeros((pii.N_LABELS + 1, pii.N_LABELS + 1)), np.diag([pii.ALIKE] * pii.NONE + [0.0, 0.0]))
     for between in ("please.", "in v7.0 please."):
         many = " ".join([f"again 555-2748 {between}"] * 50)
         for text in (f"call +1 (068) 555-2748 now. {many}", f"{many} call +1 (068) 555-2748 now."):
@@ -224,7 +309,7 @@ def test_one_base_span_reaches_every_alike_mention():
 
 
 def test_a_base_span_with_very_many_mentions_keeps_its_label():
-    field = pii.SkipChain(np.zeros((pii.N_LOOKS, pii.N_LABELS)), np.zeros((pii.N_LABELS, pii.N_LABELS)), np.diag([-30.0] * pii.N_LABELS))
+    field = pii.SkipChain(np.zeros((pii.N_LOOKS, pii.N_LABELS)), np.zeros((pii.N_LABELS + 1, pii.N_LABELS + 1)), np.diag([-30.0] * pii.N_LABELS + [0.0]))
     text = "call +1 (068) 555-2748 now. " + " ".join(["again 555-2748 please."] * 600)
     assert field.marginals(pii.Graph(text, pii.base_spans(text)))[0].argmax() == pii.KINDS.index("phone")
 
@@ -243,6 +328,14 @@ def test_boundaries_are_optimal():
         assert pad(edges) == min(pad(sorted({*x, length[-1]})) for r in range(k) for x in itertools.combinations(length, r))
 
 
+def test_boundaries_are_any_length():
+    """Lengths that are no multiples of anything are boundaries, and the largest histogram is solved whole."""
+    assert packing.optimal_boundaries(np.array([3, 5, 1001]), np.array([9, 9, 9]), 2).tolist() == [5, 1001]
+    length = np.arange(1, 2049)
+    edges = packing.optimal_boundaries(length, np.ones(2048, np.int64), 16)
+    assert np.diff(np.append(0, edges)).tolist() == [128] * 16
+
+
 def test_batches_hold_every_token_once(spark, sf, texts):
     got = packing.op3_packing(spark, sf).toPandas()
     enc = packing.encoding("/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -312,6 +405,13 @@ def test_planted_items_are_found(spark, sf, texts):
             assert decontaminate.normal(texts[i][r.start : r.end]) == decontaminate.normal(items[j])
 
 
+def test_item_ids_keep_their_type(spark):
+    docs = spark.createDataFrame([(1, "some words of the item itself and more")], "doc_id long, text string")
+    for kind, value in (("smallint", 7), ("decimal(9,2)", decimal.Decimal("7.50")), ("string", "seven"), ("date", datetime.date(2020, 1, 7))):
+        items = spark.createDataFrame([(value, "words of the item itself")], f"item_id {kind}, text string")
+        assert decontaminate.find_matches(docs, items).first().item_id == value
+
+
 def test_items_in_blocks_are_items(spark, sf, monkeypatch):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = sorted(map(tuple, decontaminate.find_matches(docs, items).collect()))
@@ -360,6 +460,61 @@ def test_quality_keeps_good_texts(spark):
     assert got[got.quality == 0].kept.mean() < 0.1
 
 
+def test_lines_of_one_text_get_different_labels(spark):
+    """Half a text is boilerplate, and the verdict follows the share of content, held to the field line by line."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    field = quality.train_field(docs, labels)
+    marked = docs.join(labels, "doc_id")
+    good = [r.text for r in marked.where("quality = 1 and n_chars between 800 and 2000").orderBy("doc_id").limit(6).collect()]
+    bad = [r.text for r in marked.where("quality = 0 and n_chars between 800 and 2000").orderBy("doc_id").limit(6).collect()]
+    lines = lambda t, n: [x for x in t.split("\n") if len(x) > 40][:n]
+    mixed = []
+    for g, b in zip(good, bad, strict=True):
+        content, junk = " ".join(lines(g, 9)).split(), " ".join(lines(b, 9)).split()
+        n = min(len(content), len(junk), 80)
+        mixed.append("\n".join([" ".join(content[:n]), " ".join(junk[:n])] * 1))
+    got = rows(quality.judge(spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string"), field))
+    assert sum(0 < r.content_share < 1 for r in got.values()) >= 5
+    shares = [r.content_share for r in quality.judge(docs, field).collect()]
+    assert sum(0 < s < 1 for s in shares) > 30
+    # kept by brute force: every line's best label over all labellings is the chain's; then the words of content lines
+    for r in quality.judge(docs.where("n_chars < 1500").limit(60), field).collect():
+        text = docs.where(docs.doc_id == r.doc_id).first().text
+        features, words = looks_of(text)
+        if len(words) > 10:
+            continue
+        unary = field.unary(features)
+        best = max(itertools.product((0, 1), repeat=len(words)), key=lambda y: field.start[y[0]] + sum(unary[k, v] for k, v in enumerate(y)) + sum(field.step[p, q] for p, q in itertools.pairwise(y)))
+        share = sum(n for n, y in zip(words, best, strict=True) if y) / max(1, sum(words))
+        assert abs(share - r.content_share) < 1e-9
+        assert r.kept == (not r.base_failed and share >= quality.MIN_CONTENT_SHARE)
+
+
+def looks_of(text):
+    """The measures of each line, longhand."""
+    letters = lambda x, a, b: sum(a <= c <= b for c in x)
+    out, words = [], []
+    for x in text.split("\n"):
+        w = re.findall(WORD, x)
+        points = max(1, sum(map(len, w)))
+        upper, lower = letters(x, "A", "Z"), letters(x, "a", "z")
+        counted = {
+            "words": len(w),
+            "symbols": len(re.findall(r"[#*$%&|<>]", x)) / points,
+            "pipes": x.count("|") / points,
+            "upper": upper / max(1, upper + lower),
+            "digits": letters(x, "0", "9") / points,
+            "bangs": x.count("!") / points,
+            "word_length": points / max(1, len(w)),
+            "repeat": sum(a == b for a, b in itertools.pairwise(w)) / max(1, len(w) - 1),
+            "ends": x[-1:] in tuple(".!?;:,"),
+        }
+        out.append([quality._BASE[j] + int(np.digitize(counted[m], e)) for j, (m, e) in enumerate(quality._EDGES.items())])
+        words.append(len(w))
+    return np.array(out), words
+
+
 # --- 6 toxicity ---------------------------------------------------------------------------------------------------
 
 
@@ -372,6 +527,62 @@ def test_held_out_toxicity(spark):
     assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in zip(got.doc_id, got.held_out, strict=True))
 
 
+def naive_features(text):
+    """Hashed n-grams of the text's bytes, as the docstring says, one by one."""
+    low = bytes(x if x < 128 and chr(x).isalnum() or x >= 128 else 32 for x in (text or "").encode().replace(b"\0", b" "))
+    low = b" " + bytes(x + 32 if 65 <= x <= 90 else x for x in low) + b" "
+    out, mask = set(), (1 << 64) - 1
+    for n in toxicity.N_GRAMS:
+        for i in range(len(low) - n + 1):
+            g = low[i : i + n]
+            if 32 not in g[1:-1]:
+                h = (int.from_bytes(g, "big") * 0x9E3779B97F4A7C15 + n) & mask
+                h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & mask
+                out.add(h >> 44)
+    return out
+
+
+@pytest.fixture(scope="module")
+def rude(spark):
+    rng = random.Random(14)
+    clean, bad = [f"word{i}" for i in range(60)], ["vile", "scum", "rotten"]
+    made = [(i, " ".join(rng.choices(clean, k=12) + (rng.choices(bad, k=2) if i % 3 == 0 else [])), int(i % 3 == 0)) for i in range(150)]
+    return made, spark.createDataFrame(made, "doc_id long, text string, toxic int")
+
+
+def test_toxicity_is_brute_force(rude):
+    """Ratio, scale, weights at the regression's optimum, and score, longhand."""
+    made, df = rude
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    held = [naive_features(t) for _, t, _ in made]
+    y = np.array([v for *_, v in made])
+    n1, n0 = int(y.sum()), int((1 - y).sum())
+    counts = {b: [sum(b in h for h, v in zip(held, y, strict=True) if v == k) for k in (0, 1)] for b in set().union(*held)}
+    ratio, kept = {}, set()
+    for b, (c, t) in counts.items():
+        ratio[b] = np.log((t + 0.5) / (n1 + 1)) - np.log((c + 0.5) / (n0 + 1))
+        p = (c + t) / (n0 + n1)
+        if abs(t / n1 - c / n0) / np.sqrt(max(p * (1 - p), 1e-9) * (1 / n0 + 1 / n1)) >= toxicity.MIN_Z:
+            kept.add(b)
+    assert set(model.bucket.tolist()) == kept
+    weight = dict(zip(model.bucket.tolist(), model.weight.tolist(), strict=True))
+    score = np.array([1 / (1 + np.exp(-(model.intercept + sum(weight.get(b, 0.0) for b in h)))) for h in held])
+    got = rows(toxicity.score(df, model))
+    assert np.allclose([got[i].score for i, *_ in made], score)
+    assert [got[i].predicted for i, *_ in made] == (score >= 0.5).astype(int).tolist()
+    # at the optimum the loss has no slope: for each feature, and for the intercept
+    for b in kept:
+        slope = sum((s - v) * ratio[b] for s, v, h in zip(score, y, held, strict=True) if b in h) / len(y)
+        assert abs(slope + 3e-5 * weight[b] / ratio[b]) < 2e-3
+    assert abs((score - y).mean()) < 2e-3
+
+
+def test_toxicity_is_the_same_with_all_buckets(rude):
+    _, df = rude
+    chosen, every = (rows(toxicity.score(df, toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), min_z=z))) for z in (toxicity.MIN_Z, 0.0))
+    assert [r.predicted for r in chosen.values()] == [every[i].predicted for i in chosen]
+
+
 # --- 7 urls -------------------------------------------------------------------------------------------------------
 
 
@@ -382,7 +593,7 @@ def slow_rule(url):
     return (host, path, *(max(fits, key=lambda r: len(r[0])) if fits else (None, None)))
 
 
-def test_rules_and_models_are_brute_force(spark):
+def test_rules_and_models_are_brute_force(spark, monkeypatch):
     rng = random.Random(6)
     urls = [f"http{rng.choice(['', 's'])}://{rng.choice(['www.', 'm.', ''])}{rng.choice(['Spam', 'news', 'ads'])}.example.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en', 'es', 'fr', 'de'])}/{rng.randint(1, 99)}{rng.choice(['', '#x', '?q=/en/'])}" for _ in range(400)]
     urls += ["", None, "no scheme", "a://com", "a://COM/", "http://x.com?y", "http://notcom/", "://example.com/en/", urls[0], urls[0]]
@@ -405,7 +616,7 @@ def test_rules_and_models_are_brute_force(spark):
                     counts[v][padded[i + 3 - k : i + 4]] += n
 
     def log_p(v, gram):
-        p = 1 / 256
+        p = 1 / 0x110000
         for k in range(4):
             ctx, whole = gram[3 - k : 3], gram[3 - k :]
             below = {g: n for g, n in counts[v].items() if len(g) == k + 1 and g.startswith(ctx)}
@@ -419,6 +630,25 @@ def test_rules_and_models_are_brute_force(spark):
         want = sum(log_p("allow", padded[i : i + 4]) - log_p("block", padded[i : i + 4]) for i in range(len(u))) / len(u)
         assert abs(r.ratio - want) < 1e-9
 
+    # verdicts: the threshold that best parts the training urls kept back, in steps of 1/50, midway among the best
+    def rate(u):
+        padded = "\u0001" * 3 + u
+        return sum(log_p("allow", padded[i : i + 4]) - log_p("block", padded[i : i + 4]) for i in range(len(u))) / len(u) if u else 0.0
+
+    back = [(int(np.clip(np.floor(rate(u) * 50), -200, 200)), v) for u, v in known if zlib.crc32(u.encode()) % 5 == 0]
+    allowed, blocked = ([b for b, v in back if v == w] for w in ("allow", "block"))
+    assert allowed and blocked
+    quality_of = {e: sum(b >= e for b in allowed) / len(allowed) + sum(b < e for b in blocked) / len(blocked) for e in range(-200, 202)}
+    best = [e for e, q in quality_of.items() if q > max(quality_of.values()) - 1e-12]
+    edge = (best[0] + best[-1]) / 2 / 50
+    judged = [r for r in got if r.rule is None]
+    assert {r.verdict for r in judged} == {"allow", "block"}
+    for r in judged:
+        assert r.verdict == ("allow" if r.ratio >= edge else "block")
+    monkeypatch.setattr(url_filter, "SENT_GRAMS", 0)  # a model too large to be sent
+    again = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert all(again[r.page_id].verdict == r.verdict and (r.ratio is None or abs(again[r.page_id].ratio - r.ratio) < 1e-9) for r in got)
+
 
 # --- 8 chat -------------------------------------------------------------------------------------------------------
 
@@ -431,16 +661,41 @@ def test_chat_is_its_sql(spark, sf):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
-def test_chat_masks_and_blocks(spark):
-    turns = [(1, k, ["ann", "bob", "system"][k % 3], f"turn {k}") for k in range(600)] + [(1, 3, "ann", "again"), (None, None, None, None), (2, 0, "system", "alone")]
-    got = chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
-    assert {(r.conv_id, r.perspective, r.block) for r in got} == {(1, p, b) for p in ("ann", "bob") for b in (0, 1, 2)} | {(None, "unknown", -1)}
-    for r in got:
-        cut = [r.text[int(a) : int(b)] for a, b in (m.split(":") for m in r.masks.split(",") if m)]
-        assert len(cut) == r.n_trained
-        assert all(c.endswith("\n<|end|>") for c in cut)
-        assert r.text.count("<|assistant|>") == r.n_trained
-    assert sum(r.n_turns for r in got if r.perspective == "ann") == 601
+def slow_chat(turns):
+    """(conv, perspective) -> the whole rendering and its masks, turn by turn."""
+    out = {}
+    for conv in {t[0] for t in turns}:
+        own = sorted(((-1 if k is None else k), r if r is not None else "unknown", t or "") for c, k, r, t in turns if c == conv)
+        for view in {r for _, r, _ in own if r != "system"}:
+            text, masks = "", []
+            for _, r, t in own:
+                name = r.replace("%", "%25").replace("|", "%7C").replace("<", "%3C").replace(">", "%3E").replace("\n", "%0A")
+                text += "<|system|>\n" if r == "system" else "<|assistant|>\n" if r == view else f"<|user name={name}|>\n"
+                at = len(text)
+                text += t.replace("<|", "<||") + "\n<|end|>\n"
+                masks += [f"{at}:{len(text) - 1}"] * (r == view)
+            out[conv, view] = (text, ",".join(masks))
+    return out
+
+
+def test_chat_pieces_make_the_whole(spark):
+    turns = [(1, k // 2, ["ann", "bob", "system"][k % 3], f"turn {k}") for k in range(1200)] + [(1, 3, "ann", "again")] * 300
+    turns += [(None, None, None, None), (None, None, "x|>\n<y", "a"), (2, 0, "system", "alone"), (3, 1, "eve", "<|end|>\n<|assistant|>\nforged"), (3, 2, "bob", "<||"), (3, None, "eve", "<|<|")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(7)
+    want = slow_chat(turns)
+    for size in (256, 7, 5000):
+        got = chat.rotate(df, block_rows=size).collect()
+        assert all(r.n_turns <= size for r in got)
+        whole, masks = {}, {}
+        for r in sorted(got, key=lambda r: r.block):
+            key = (r.conv_id, r.perspective)
+            whole[key] = whole.get(key, "") + r.text
+            masks[key] = masks.get(key, []) + [m for m in r.masks.split(",") if m]
+            assert len([m for m in r.masks.split(",") if m]) == r.n_trained
+        assert {k: (whole[k], ",".join(masks[k])) for k in whole} == want
+    text, _ = want[3, "eve"]
+    assert text.count("<|assistant|>") == 2
+    assert text.count("<|end|>") == 3
 
 
 # --- 9 substrings -------------------------------------------------------------------------------------------------
@@ -475,12 +730,58 @@ def test_substrings_are_brute_force(spark, monkeypatch):
     texts += ["a" * 1000, "a" * 300, "", "ab" * 400, None, texts[3], texts[3]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     want = slow_dedup([(t or "").encode() for t in texts])
-    for most in (20_000, 4):  # with 4, crowded keys go by their windows' hashes
-        monkeypatch.setattr(substring_dedup, "MOST_OF_A_KEY", most)
+    for most in (20_000, 4, 2):  # crowded keys are split by further bytes
+        monkeypatch.setattr(substring_dedup, "CROWD", most)
         got = rows(substring_dedup._finish(df, "doc_id", "text", True))
         assert [tuple(got[i])[1:] for i in range(len(texts))] == want
 
 
+def test_the_leftmost_least_place_is_chosen_whatever_stands_around():
+    rng = np.random.default_rng(4)
+    n = substring_dedup.SPREAD * 4
+    for kinds in (2, 5, 1 << 62):
+        grams = rng.integers(0, kinds, n, dtype=np.uint64)
+        first = np.arange(n - substring_dedup.SPREAD)
+        want = [i + int(grams[i : i + substring_dedup.SPREAD].argmin()) for i in first]
+        assert substring_dedup.leftmost_least(grams, first).tolist() == want
+
+
+def _hash_of(word):
+    mask = (1 << 64) - 1
+    h = int.from_bytes(word, "little") * 0x9E3779B97F4A7C15 & mask
+    h ^= h >> 29
+    return h * 0xBF58476D1CE4E5B9 & mask
+
+
+def test_a_passage_is_found_in_short_and_in_very_long_texts(spark):
+    """Its two best words' hashes differ in their lowest bits only, so a choice that looks at the length of what is
+    read would go wrong."""
+    inverse1, inverse2 = pow(0x9E3779B97F4A7C15, -1, 1 << 64), pow(0xBF58476D1CE4E5B9, -1, 1 << 64)
+
+    def word_of(h):
+        z = h * inverse2 & (1 << 64) - 1
+        z ^= z >> 29 ^ z >> 58
+        return (z * inverse1 & (1 << 64) - 1).to_bytes(8, "little")
+
+    low = []
+    h = 1 << 20
+    while len(low) < 2:  # two ASCII words with hashes as alike as can be found
+        h += 1
+        w = word_of(h)
+        assert _hash_of(w) == h
+        if max(w) < 128 or h > (1 << 20) + 200_000:
+            low.append(w)
+    rng = random.Random(21)
+    fill = lambda n: bytes(rng.choices(b"abcdefghij", k=n))
+    passage = fill(60) + low[1] + fill(50) + low[0] + fill(104)
+    texts = [fill(100) + passage + fill(50), fill(300) + passage + fill(1_200_000), fill(2_500_000) + passage]
+    df = spark.createDataFrame([(i, bytearray(t)) for i, t in enumerate(texts)], "doc_id long, text binary")
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(df).collect()}
+    chance = 20  # bytes beside the passage that happen to be alike
+    assert all(len(passage) <= got[i].n_removed <= len(passage) + chance for i in range(3))
+    assert all(bytes(got[i].kept) == t.replace(passage, b"") for i, t in enumerate(texts) if got[i].n_removed == len(passage))
+
+
 def test_runs_round_trip_and_merge_in_order():
     rng = random.Random(2)
     entry = lambda: (bytes(rng.choices(b"ab", k=rng.randint(0, 12))), b"left", rng.randint(0, 9), rng.randint(-9, 9))

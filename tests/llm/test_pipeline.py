@@ -45,3 +45,22 @@ def test_run_ends_in_masked_tokens(spark, sf):
     docs = spark.createDataFrame([(1, "mail a.b@c.example.org now")], "doc_id long, text string")
     masked = corpus_pipeline.personal_data_masked(spark, docs, sf)
     assert enc.decode(corpus_pipeline.packed(spark, masked, sf).first().tokens) == "mail <EMAIL> now"
+
+
+def test_empty_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == columns, name
+        assert docs.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect() == []
+
+
+def test_no_labels_and_no_benchmark(spark, sf, tmp_path):
+    """Empty tables beside the documents: nothing is rejected for them."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.toxic_out(spark, docs, str(tmp_path)).count() in (0, docs.count())
+    assert corpus_pipeline.benchmark_out(spark, docs, str(tmp_path)).count() == docs.count()
