@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -14,6 +15,9 @@ LEGAL_SUFFIXES = (
 )
 #: Words of rank that are dropped from a title's grouping key.
 TITLE_NOISE = r"\b(sr|snr|senior|jr|junior|lead|principal|staff|chief|head|associate|assistant|entry[\s-]level|mid[\s-]level|i{1,3}|iv|v{1,3}|ix|x)\b"
+#: Bracketed text and posting numbers in a title.
+TITLE_BRACKETS = r"[\(\[\{][^\)\]\}]*[\)\]\}]"
+TITLE_NUMBER = r"\b(req(uisition)?|job|posting)?\s*#?\s*\d{3,}\b"
 #: Words that carry no signal among job adverts.
 STOPWORDS = (
     "a an the and or but if then than that this these those "
@@ -23,8 +27,21 @@ STOPWORDS = (
     "we you they it our your their its i me my he she his her them us"
 ).split()
 
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _decompositions() -> tuple[str, str]:
+    """Every letter that is an ASCII character with marks by its canonical decomposition, and that character; by rule,
+    from the Unicode tables."""
+    marked, plain = [], []
+    for c in map(chr, range(0x80, 0x10000)):
+        parts = unicodedata.normalize("NFD", c)
+        if parts != c and parts[0].isascii() and all(map(unicodedata.combining, parts[1:])):
+            marked.append(c)
+            plain.append(parts[0].lower())
+    return "".join(marked), "".join(plain)
+
+
+_MARKED, _PLAIN = _decompositions()
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -34,8 +51,8 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def fold_text(s: Column) -> Column:
-    """Lower case without accents (of Latin letters) or dots; anything but letters, digits, + and # becomes one blank."""
-    low = F.regexp_replace(F.translate(F.lower(s), _ACCENTED, _PLAIN), r"[̀-ͯ.]", "")
+    """Lower case without marks or dots; anything but ASCII letters, digits, + and # becomes one blank."""
+    low = F.regexp_replace(F.translate(F.lower(s), _MARKED, _PLAIN), r"[\p{Mn}.]", "")
     return F.trim(F.regexp_replace(low, "[^a-z0-9+#]+", " "))
 
 
@@ -47,7 +64,7 @@ def normalize_company(s: Column) -> Column:
 
 def normalize_title(s: Column) -> Column:
     """Folded, without bracketed text, posting numbers and words of rank, unless that leaves nothing."""
-    bare = F.regexp_replace(F.regexp_replace(s, r"[\(\[\{][^\)\]\}]*[\)\]\}]", " "), r"(?i)\b(req(uisition)?|job|posting)?\s*#?\s*\d{3,}\b", " ")
+    bare = F.regexp_replace(F.regexp_replace(s, TITLE_BRACKETS, " "), f"(?i){TITLE_NUMBER}", " ")
     folded = fold_text(bare)
     cut = F.trim(F.regexp_replace(F.regexp_replace(folded, f"(?i){TITLE_NOISE}", " "), r"\s+", " "))
     return F.coalesce(F.nullif(cut, F.lit("")), folded)

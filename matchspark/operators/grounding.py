@@ -7,32 +7,150 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from matchspark.functions.text import bound
-
-#: The kinds of claims that text can make in figures.
-CLAIMS = (
-    ("percent", r"(\d+(?:\.\d+)?)\s*%"),
-    ("year", r"\b((?:19|20)\d{2})\b"),
-    ("years", r"\b(\d{1,2})\+?\s*(?:years?|yrs?)\b"),
-    ("number", r"\b(\d+(?:[.,]\d+)*)\b"),
-)
+from matchspark.operators.sections import MOST_CONFIDENCE, REPEAT_BONUS, capped, skill_spans
+
+#: What a number can be followed or led by, how much its scale is, and numbers as words.
+QUANTITY = r"([$€£₹])?\s*(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*(%|percent(?:age)?\ points?|percent(?:age)?|(?:mm|bn|k|m|b)\b|thousand|million|billion|x\b)?"
+SCALES = (("thousand", 1_000), ("million", 1_000_000), ("billion", 1_000_000_000), ("k", 1_000), ("m", 1_000_000), ("mm", 1_000_000), ("b", 1_000_000_000), ("bn", 1_000_000_000))
+NUMBER_WORDS = (
+    ("zero", 0), ("one", 1), ("two", 2), ("three", 3), ("four", 4), ("five", 5), ("six", 6), ("seven", 7), ("eight", 8), ("nine", 9), ("ten", 10),
+    ("eleven", 11), ("twelve", 12), ("fifteen", 15), ("twenty", 20), ("thirty", 30), ("forty", 40), ("fifty", 50), ("sixty", 60), ("seventy", 70),
+    ("eighty", 80), ("ninety", 90), ("hundred", 100),
+)
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-#: Resume sections and how much a mention there is worth.
-RESUME_CONFIDENCE = {"SKILLS": 0.95, "EXPERIENCE": 0.80, "PROJECTS": 0.78, "CERTIFICATIONS": 0.75, "SUMMARY": 0.65, "UNKNOWN": 0.60, "EDUCATION": 0.55}
-
-
-def claims(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, kind, value): the distinct claims in figures that each text makes."""
-    kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), F.regexp_extract_all(F.lower(text), F.lit(pattern)).alias("values")) for kind, pattern in CLAIMS))
-    return docs.select(doc, F.inline(kinds)).select(doc, "kind", F.explode("values").alias("value")).distinct()
-
-
-def claim_grounding(suggestions: DataFrame, sources: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, n_claims, n_fabricated, passed): claims of a suggestion that its source does not make are fabricated."""
-    made, known = claims(suggestions, doc, text), claims(sources, doc, text)
-    judged = made.join(known.withColumn("_ok", F.lit(True)), [doc, "kind", "value"], "left")
-    counted = judged.groupBy(doc).agg(F.count("*").alias("n_claims"), F.count_if(F.col("_ok").isNull()).alias("n_fabricated"))
+MONTH_NAMES = (
+    "january february march april may june july august september october november december "
+    "jan feb mar apr jun jul aug sep sept oct nov dec"
+).split()
+#: Capitalised words that name nothing, and words and acronyms that make a credential of a name.
+NOT_NAMES = ("i", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "english", "agile", "scrum", "kanban")
+CREDENTIAL_WORDS = ("certified", "certification", "certificate", "licensed", "accredited", "chartered", "bachelor", "master", "mba", "phd", "doctorate", "degree", "diploma")
+CREDENTIAL_ACRONYMS = ("pmp", "cissp", "ccna", "ccnp", "cka", "ckad", "cfa", "cpa", "itil", "prince2", "csm", "pmi", "comptia", "oscp", "ceh")
+#: Words that may open a sentence with a capital and name nothing: these, and by rule any of four letters or more that
+#: ends in -ed. A caller with a list of its own hands it over instead.
+OPENERS = (
+    "a an the and or but if as at by for from in into of on to with within across over this that these those there here it its their his her our "
+    "your my i we they he she you built began cut drove found founded grew led made oversaw ran rebuilt rewrote set spoke sold taught undertook "
+    "underwent won worked wrote"
+).split()
+#: Resume sections and how much a mention there is worth; repeats add, general words in prose are held down.
+RESUME_CONFIDENCE = {"SKILLS": 0.95, "PROJECTS": 0.80, "EXPERIENCE": 0.78, "CERTIFICATIONS": 0.75, "SUMMARY": 0.65, "EDUCATION": 0.60, "UNKNOWN": 0.55}
+RESUME_CLAIM_SECTIONS, RESUME_GENERIC_IN_PROSE, REVIEW_BELOW = ("SKILLS", "CERTIFICATIONS"), 0.50, 0.60
+
+#: Characters that word processors put for plain ones.
+_TYPED, _PLAIN = "‘’“”–—−× ", "''\"\"---x "
+_TOKEN = r"[A-Za-z][\w&.+#'-]*"
+
+
+def plain_marks(text: Column) -> Column:
+    return F.translate(text, _TYPED, _PLAIN)
+
+
+def quantities(text: Column) -> Column:
+    """array of "value unit": scaled decimals with six places; the unit is %, x, a currency mark or nothing. Numbers as
+    words have no unit."""
+    one = lambda m, g: F.regexp_extract(m, f"(?i){QUANTITY}", g)
+
+    def value(m: Column) -> Column:
+        suffix = F.lower(one(m, 3))
+        scale = F.lit(1)
+        for name, times in SCALES:
+            scale = F.when(suffix == name, times).otherwise(scale)
+        digits = F.replace(one(m, 2), F.lit(","), F.lit(""))
+        number = F.coalesce((digits.try_cast("decimal(22,6)") * scale).cast("decimal(38,6)").cast("string"), digits)
+        unit = F.when((suffix == "%") | suffix.startswith("percent"), "%").when(suffix == "x", "x").otherwise(one(m, 1))
+        return F.concat_ws(" ", number, unit)
+
+    figures = F.transform(F.regexp_extract_all(text, F.lit(f"(?i){QUANTITY}"), 0), value)
+    low = F.lower(text)
+    words = F.filter(F.array(*(F.when(low.rlike(rf"\b{w}\b"), f"{n}.000000 ") for w, n in NUMBER_WORDS)), lambda x: x.isNotNull())
+    return F.concat(figures, words)
+
+
+def dates(text: Column) -> Column:
+    """array of the years from 1900 to 2099 and the months, in lower case, that a text names."""
+    years = F.filter(F.regexp_extract_all(text, F.lit(r"(\d+)")), lambda x: x.rlike(r"^(19|20)\d\d$"))
+    return F.concat(years, F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(\w+)")), lambda x: x.isin(MONTH_NAMES)))
+
+
+def names(text: Column, openers: tuple[str, ...] | None = None) -> Column:
+    """array of the capitalised words that look like names: not those that hang off a number, nor words that usually
+    open sentences where they open one (unless in capitals throughout)."""
+    found = F.regexp_extract_all(text, F.lit(f"[^A-Za-z]*{_TOKEN}"), 0)
+
+    def name(p: Column, before: Column) -> Column:
+        gap = F.regexp_extract(p, "^[^A-Za-z]*", 0)
+        token = F.regexp_replace(F.substring(p, F.length(gap) + 1, F.length(p)), r"[.'\-&+#]+$", "")
+        low = F.lower(token)
+        opens = (before.isNull() & (F.trim(F.translate(gap, "\n\t\r", "   ")) == "")) | F.concat(F.coalesce(before, F.lit("")), gap).rlike(r"[.!?:;\n]\s*$")
+        common = low.isin(list(openers)) if openers is not None else low.isin(OPENERS) | low.rlike("^[a-z]{2,}ed$")
+        acronym = (F.length(token) > 1) & (F.upper(token) == token)
+        keep = token.rlike("^[A-Z]") & ~gap.rlike("[0-9]$") & ~low.isin(*NOT_NAMES) & (~opens | acronym | ~common)
+        return F.when(keep, token)
+
+    paired = bound(found, lambda ps: F.transform(ps, lambda p, i: name(p, F.when(i > 0, F.get(ps, i - 1)))))
+    return F.filter(paired, lambda x: x.isNotNull())
+
+
+def spoken(text: Column) -> Column:
+    """array of a source's words, as names are looked up in it."""
+    return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\w%$€£₹+#.]+", " ")), " ")
+
+
+def claims(docs: DataFrame, doc: str, text: str, forms: DataFrame | None = None, openers: tuple[str, ...] | None = None) -> DataFrame:
+    """(doc, kind, value, accepted): the distinct claims of each text. Kinds: number, date, skill (of forms, if given),
+    organization and credential. accepted are the forms in which a source may make the claim."""
+    t = plain_marks(F.col(text))
+    own = docs.select(doc, t.alias("_t"))
+    credential = F.lower("_t").rlike(rf"\b({'|'.join(CREDENTIAL_WORDS)})\b")
+    each = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.array(v).alias("accepted")))
+
+    def named(v: Column) -> Column:
+        kind = F.when(F.lower(v).isin(*CREDENTIAL_ACRONYMS) | credential, "credential").otherwise("organization")
+        stem = F.regexp_replace(v, "('s|s)$", "")
+        return F.struct(kind.alias("kind"), v.alias("value"), F.filter(F.array_distinct(F.array(F.lower(v), F.lower(stem))), lambda x: x != "").alias("accepted"))
+
+    made = own.select(doc, F.inline(F.concat(each("number", quantities(F.col("_t"))), each("date", dates(F.col("_t"))), F.transform(names(F.col("_t"), openers), named))))
+    if forms is not None:
+        spans = skill_spans(own.select(doc, F.posexplode(F.split("_t", "\n")).alias("line_no", "line")), forms, doc)
+        made = made.union(spans.select(doc, F.lit("skill"), F.col("skill_id").cast("string").alias("v"), F.array(F.col("skill_id").cast("string"))))
+    return made.distinct()
+
+
+def grounds(docs: DataFrame, doc: str, text: str, forms: DataFrame | None = None) -> DataFrame:
+    """(doc, kind, accepted): what a source lets others claim; names are looked up among all its words."""
+    t = plain_marks(F.col(text))
+    own = docs.select(doc, t.alias("_t"))
+    each = lambda kind, values: F.transform(F.array_distinct(values), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("accepted")))
+    made = own.select(doc, F.inline(F.concat(each("number", quantities(F.col("_t"))), each("date", dates(F.col("_t"))), each("name", spoken(F.col("_t"))))))
+    if forms is not None:
+        spans = skill_spans(own.select(doc, F.posexplode(F.split("_t", "\n")).alias("line_no", "line")), forms, doc)
+        made = made.union(spans.select(doc, F.lit("skill"), F.col("skill_id").cast("string")).distinct())
+    return made
+
+
+def fabricated(suggestions: DataFrame, sources: DataFrame, doc: str, text: str, forms: DataFrame | None = None, key: str | None = None) -> DataFrame:
+    """(key, kind, value, fabricated) of every claim of the suggestions: fabricated if its doc's source makes it in no
+    accepted form. key names a suggestion where a doc has several."""
+    key = key or doc
+    made = claims(suggestions, key, text, forms)
+    if key != doc:
+        made = made.join(suggestions.select(key, doc), key)
+    look = F.when(F.col("kind").isin("organization", "credential"), "name").otherwise(F.col("kind"))
+    asked = made.select(*{key, doc}, "kind", "value", look.alias("_kind"), F.explode("accepted").alias("accepted"))
+    known = grounds(sources, doc, text, forms).withColumnRenamed("kind", "_kind").withColumn("_ok", F.lit(True))
+    return asked.join(known, [doc, "_kind", "accepted"], "left").groupBy(key, "kind", "value").agg((~F.bool_or(F.coalesce("_ok", F.lit(False)))).alias("fabricated"))
+
+
+def claim_grounding(suggestions: DataFrame, sources: DataFrame, doc: str, text: str, forms: DataFrame | None = None, key: str | None = None) -> DataFrame:
+    """(key, n_claims, n_fabricated, kinds, passed): a suggestion passes if its source makes all its claims; kinds are
+    those of what it does not make, in order."""
+    key = key or doc
+    judged = fabricated(suggestions, sources, doc, text, forms, key)
+    counted = judged.groupBy(key).agg(F.count("*").alias("n_claims"), F.count_if("fabricated").alias("n_fabricated"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("fabricated"), F.col("kind")))), ",").alias("kinds"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return suggestions.select(doc).join(counted, doc, "left").select(doc, zero("n_claims"), zero("n_fabricated"), (F.coalesce("n_fabricated", F.lit(0)) == 0).alias("passed"))
+    passed = (F.coalesce("n_fabricated", F.lit(0)) == 0).alias("passed")
+    return suggestions.select(key).join(counted, key, "left").select(key, zero("n_claims"), zero("n_fabricated"), F.coalesce("kinds", F.lit("")).alias("kinds"), passed)
 
 
 def fabrication_eval(judged: DataFrame, truth: str) -> DataFrame:
@@ -47,12 +165,39 @@ def fabrication_eval(judged: DataFrame, truth: str) -> DataFrame:
 
 
 def find_span(text: Column, needle: Column) -> Column:
-    """struct(start, end) of the needle's first place in text, any white space matching any; null if there is none.
-    Characters from 0, end exclusive."""
-    pattern = F.concat(F.lit(r"(?s)^(.*?)((?<!\w)\Q"), F.regexp_replace(F.regexp_replace(F.trim(needle), r"\\E", ""), r"\s+", r"\\E\\s+\\Q"), F.lit(r"\E(?!\w))"))
-    found = F.regexp_like(text, pattern) & (F.trim(needle) != "")
-    part = lambda g: F.length(F.call_function("regexp_extract", text, pattern, F.lit(g)))
-    return F.when(found, F.struct(part(1).alias("start"), (part(1) + part(2)).alias("end")))
+    """struct(start, end) of the first place where the needle's words stand in text in a row, any white space matching
+    any; null if there is none. Characters from 0, end exclusive."""
+    words = F.regexp_replace(needle, r"^\s+|\s+$", "")
+    pattern = F.concat(F.lit(r"(?s)^(.*?)(\Q"), F.regexp_replace(F.replace(words, F.lit(r"\E"), F.lit(r"\E\\E\Q")), r"\s+", r"\\E\\s+\\Q"), F.lit(r"\E)"))
+    part = lambda p, g: F.length(F.call_function("regexp_extract", text, p, F.lit(g)))
+    found = lambda p: F.when(F.regexp_like(text, p), F.struct(part(p, 1).alias("start"), (part(p, 1) + part(p, 2)).alias("end")))
+    return F.when(words != "", bound(pattern, found))
+
+
+def replace_span(text: Column, needle: Column, replacement: Column) -> Column:
+    """text with the needle's first place (see find_span) replaced; null if it has none."""
+    put = lambda at: F.when(at.isNotNull(), F.concat(F.substring(text, F.lit(1), at["start"]), replacement, F.substring(text, at["end"] + 1, F.length(text))))
+    return bound(find_span(text, needle), put)
+
+
+def anchor_suggestions(suggestions: DataFrame, sources: DataFrame, doc: str, text: str = "text", forms: DataFrame | None = None) -> DataFrame:
+    """suggestions (doc, place, original, suggested) against their sources (doc, text). (doc, place, original,
+    suggested, start, end, outcome, position): "dropped" where the original does not stand in the source, "rejected"
+    where the rewrite claims what the source does not, else "kept", numbered by place."""
+    placed = suggestions.join(sources.select(doc, F.col(text).alias("_source")), doc, "left").withColumn("_at", find_span(F.col("_source"), F.col("original")))
+    key = F.struct(doc, "place")
+    asked = placed.where(F.col("_at").isNotNull()).select(key.alias("_key"), doc, F.col("suggested").alias(text))
+    passed = claim_grounding(asked, sources.join(asked.select(doc).distinct(), doc, "left_semi"), doc, text, forms, "_key").select("_key", "passed")
+    judged = placed.withColumn("_key", key).join(passed, "_key", "left")
+    outcome = F.when(F.col("_at").isNull(), "dropped").when(F.col("passed"), "kept").otherwise("rejected")
+    out = judged.select(doc, "place", "original", "suggested", "_at.start", "_at.end", outcome.alias("outcome"))
+    position = F.row_number().over(W.partitionBy(doc, "outcome").orderBy("place"))
+    return out.withColumn("position", F.when(F.col("outcome") == "kept", position))
+
+
+def anchor_counts(anchored: DataFrame, *keys: str) -> DataFrame:
+    """(keys, kept, rejected, dropped)."""
+    return anchored.groupBy(*keys).agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("kept", "rejected", "dropped")))
 
 
 def unfence_json(s: Column, schema: str) -> Column:
@@ -108,12 +253,18 @@ def date_range(line: Column, this_year: int) -> Column:
     return F.when(start.isNotNull() & (end.isNotNull() | now), both)
 
 
+#: What a bullet line begins with.
+BULLET = r"^[ \t]*(?:(?:[•●▪◦‣∙·*+>»\-–—]|\d+[.)])\s*|o\s+)"
+
+
 def section_bullets(text: Column, most: int = 30) -> Column:
     """A section's bullet lines of two words and more, else its sentences; at most 300 characters each."""
-    fits = lambda x: (F.length(x) <= 300) & (F.size(F.split(x, r"\s+")) >= 2)
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\s*[-*•]\s+"))
-    bullets = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"^\s*[-*•]\s+", ""))), fits)
-    sentences = F.filter(F.transform(F.split(text, r"(?<=[.!?])(?=[ \t]+[A-Z]|[A-Z])"), F.trim), fits)
+    bare = lambda x: F.regexp_replace(x, r"^[ .;]+|[ .;]+$", "")
+    fits = lambda x: (F.length(x) <= 300) & (F.size(F.split(F.trim(x), r"\s+")) >= 2)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(BULLET))
+    bullets = F.filter(F.transform(lines, lambda x: bare(F.regexp_replace(x, BULLET, ""))), fits)
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    sentences = F.filter(F.transform(F.split(flat, r"(?<=[.!?])(?= +[A-Z]|[A-Z])"), bare), fits)
     return bound(F.struct(bullets.alias("b"), sentences.alias("s")), lambda x: F.slice(F.when(F.size(x["b"]) > 0, x["b"]).otherwise(x["s"]), 1, most))
 
 
@@ -132,13 +283,18 @@ def infer_skills(sentences: DataFrame, rules: DataFrame, found: DataFrame, doc:
     return hits.join(found.select(doc, "skill"), [doc, "skill"], "left_anti")
 
 
-def resume_skills(spans: DataFrame, lines: DataFrame, doc: str) -> DataFrame:
-    """(doc, skill_id, confidence, needs_review): the best section a skill is named in counts."""
+def resume_skills(spans: DataFrame, lines: DataFrame, doc: str, generic: DataFrame | None = None) -> DataFrame:
+    """(doc, skill_id, confidence, n_mentions, section, needs_review): the best section a skill is named in counts (the
+    first of equals), repeats add a little; generic words (skill_id) outside of lists of skills are held down."""
     sure = F.lit(RESUME_CONFIDENCE["UNKNOWN"])
     for section, value in RESUME_CONFIDENCE.items():
         sure = F.when(F.col("section") == section, value).otherwise(sure)
-    best = spans.join(lines, [doc, "line_no"]).groupBy(doc, "skill_id").agg(F.max(sure).alias("confidence"))
-    return best.withColumn("needs_review", F.col("confidence") < 0.60)
+    each = spans.join(lines, [doc, "line_no"]).select(doc, "skill_id", "section", "line_no", "first", sure.alias("_sure"))
+    best = F.max_by(F.struct("_sure", "section"), F.struct("_sure", (-F.col("line_no")).alias("l"), (-F.col("first")).alias("f")))
+    summed = each.groupBy(doc, "skill_id").agg(best.alias("_best"), F.count("*").alias("n_mentions"))
+    summed = summed.withColumn("section", F.col("_best.section")).withColumn("confidence", F.least(F.lit(MOST_CONFIDENCE), F.col("_best._sure") + REPEAT_BONUS * (F.col("n_mentions") - 1)))
+    rated = capped(summed, generic, RESUME_CLAIM_SECTIONS, RESUME_GENERIC_IN_PROSE).withColumn("confidence", F.round("confidence", 3))
+    return rated.select(doc, "skill_id", "confidence", "n_mentions", "section", (F.col("confidence") < REVIEW_BELOW).alias("needs_review"))
 
 
 def job_document(title: Column, skills: Column, description: Column, most: int = 6000) -> Column:
@@ -149,7 +305,7 @@ def job_document(title: Column, skills: Column, description: Column, most: int =
 def hashing_embed(docs: DataFrame, doc: str, tokens: str, dims: int = 64) -> DataFrame:
     """(doc, embedding): a unit bag-of-words vector by hashed tokens; the first unit vector for texts without any."""
     each = docs.select(doc, F.explode_outer(tokens).alias("t"))
-    counts = each.groupBy(doc, F.when(F.col("t").isNotNull(), F.pmod(F.xxhash64("t"), F.lit(dims))).alias("slot")).agg(F.count("t").alias("n"))
+    counts = each.groupBy(doc, F.when(F.col("t").isNotNull(), (F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("long") % dims)).alias("slot")).agg(F.count("t").alias("n"))
     maps = counts.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "n")))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     slots = F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long"))
     vector = F.transform(slots, lambda i: F.when(F.col("norm") > 0, F.coalesce(F.col("m")[i], F.lit(0)) / F.col("norm")).otherwise(F.when(i == 0, 1.0).otherwise(0.0)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -39,48 +41,112 @@ def section_lines(docs: DataFrame, headings: DataFrame, doc: str = "doc_id", tex
     return marked.withColumn("section", section).where("_head is null and trim(line) <> ''").select(doc, "line_no", "line", "section")
 
 
-def skill_spans(lines: DataFrame, forms: DataFrame, doc: str = "doc_id", most_words: int = 3) -> DataFrame:
-    """(doc, line_no, first, last, skill_id): mentions of forms (form, skill_id) as runs of words, longest first,
-    without overlaps. Word n-grams are joined with the forms by equality, whatever the number of forms."""
-    tokens = F.regexp_extract_all(F.lower("line"), F.lit(r"([\w+#]+(?:\.\w+)*)"))
+#: A word (letters, digits, + and #, with dots inside or before it), or a run of what parts phrases. Blanks, hyphens,
+#: underscores and slashes between words count for nothing.
+_PIECE = r"(\.?[\p{L}\p{N}+#]+(?:\.[\p{L}\p{N}+#]+)*|[^\p{L}\p{N}+#\s\-_/]+)"
+
+
+def pieces(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(_PIECE))
+
+
+def skill_spans(lines: DataFrame, forms: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, line_no, first, last, form, skill_id): mentions of forms (form, skill_id) as runs of a line's pieces
+    (words and punctuation, from 1). Longer forms claim their places first, then those further left; a mention stands
+    if no place of it is claimed. Of forms that are alike the smallest skill_id counts.
+
+    Runs of pieces, as long as some form is, are joined with the forms by equality, whatever their number; claims are
+    settled among mentions that overlap, which are few, never over a whole text."""
+    known = forms.select(F.array_join(pieces(F.col("form")), " ").alias("form"), "skill_id").where("form <> ''").groupBy("form").agg(F.min("skill_id").alias("skill_id"))
+    sizes = [r[0] for r in known.select(F.size(F.split("form", " "))).distinct().collect()]  # as many as the longest form has words, at most
     nowhere = F.array().cast("array<int>")
 
     def runs(w: Column) -> Column:
         of = lambda n: F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(nowhere), lambda i: F.struct(i.alias("first"), (i + n - 1).alias("last"), F.array_join(F.slice(w, i, n), " ").alias("form")))
-        return F.flatten(F.array(*(of(n) for n in range(1, most_words + 1))))
+        return F.flatten(F.array(*(of(n) for n in sorted(sizes)))) if sizes else F.array().cast("array<struct<first:int,last:int,form:string>>")
+
+    grams = lines.select(doc, "line_no", F.explode(bound(pieces(F.col("line")), runs)).alias("g")).select(doc, "line_no", "g.*")
+    hits = grams.join(known, "form")
+    before = W.partitionBy(doc, "line_no").orderBy("first", "last").rowsBetween(W.unboundedPreceding, -1)
+    upto = W.partitionBy(doc, "line_no").orderBy("first", "last").rowsBetween(W.unboundedPreceding, 0)
+    apart = (F.col("first") > F.coalesce(F.max("last").over(before), F.lit(0))).cast("int")
+    islands = hits.withColumn("_apart", apart).withColumn("_island", F.sum("_apart").over(upto))
+    hit = F.struct((-F.length("form")).alias("rank"), "first", "last", "form", "skill_id")
+    none = F.array().cast(f"array<struct<rank:int,first:int,last:int,form:string,skill_id:{dict(known.dtypes)['skill_id']}>>")
+    overlaps = lambda x: lambda o: (o["first"] <= x["last"]) & (o["last"] >= x["first"])
+    claim = lambda taken, x: F.when(F.exists(taken, overlaps(x)), taken).otherwise(F.concat(taken, F.array(x)))
+    settled = islands.groupBy(doc, "line_no", "_island").agg(F.array_sort(F.collect_list(hit)).alias("_hits"))
+    return settled.select(doc, "line_no", F.inline(F.aggregate("_hits", none, claim))).select(doc, "line_no", "first", "last", "form", "skill_id")
 
-    grams = lines.select(doc, "line_no", F.explode(bound(tokens, runs)).alias("g")).select(doc, "line_no", "g.*")
-    hits = grams.join(forms, "form")
-    # a hit stands if no longer hit, nor an equally long one further left, covers part of it; runs of most_words
-    # words can be blocked by neighbours within that distance only
-    near = W.partitionBy(doc, "line_no").orderBy("first").rangeBetween(-most_words + 1, most_words - 1)
-    own = F.struct("first", "last")
-    rivals = F.filter(F.collect_list(own).over(near), lambda o: (o["first"] <= F.col("last")) & (o["last"] >= F.col("first")) & ((o["last"] - o["first"] > F.col("last") - F.col("first")) | ((o["last"] - o["first"] == F.col("last") - F.col("first")) & (o["first"] < F.col("first")))))
-    return hits.withColumn("_rivals", F.size(rivals)).where("_rivals = 0").select(doc, "line_no", "first", "last", "skill_id")
 
+#: A number of years on the line of a mention, and the most that is believed.
+SKILL_YEARS = r"(?i)(\d{1,2})\s*\+?\s*(?:-|–|to)?\s*(?:\d{1,2})?\s*\+?\s*(?:years?|yrs?)"
+MOST_SKILL_YEARS = 30
+#: Where naming a general word is asking for it, and what it is worth elsewhere.
+CLAIM_SECTIONS, GENERIC_IN_PROSE = ("REQUIREMENTS", "NICE_TO_HAVE"), 0.40
 
-def job_skills(spans: DataFrame, lines: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, skill_id, requirement, confidence): required wins, the best section counts, repeats add a little."""
+
+def job_skills(spans: DataFrame, lines: DataFrame, doc: str = "doc_id", generic: DataFrame | None = None) -> DataFrame:
+    """(doc, skill_id, requirement, confidence, min_years, section): required mentions win over preferred ones; among
+    those that win the best section counts (the first of equals), repeats add a little, and the first line that names
+    years gives the minimum. generic (skill_id): general words, worth little outside of what is asked for."""
     placed = spans.join(lines, [doc, "line_no"])
     section, requirement, confidence = F.col("section"), F.lit("REQUIRED"), F.lit(0.6)
     for name, (need, sure) in SECTION_RULES.items():
         requirement, confidence = F.when(section == name, need).otherwise(requirement), F.when(section == name, sure).otherwise(confidence)
     requirement = F.when(F.col("line").rlike(HEDGE), "PREFERRED").otherwise(requirement)
-    summed = placed.groupBy(doc, "skill_id").agg(
-        F.when(F.bool_or(requirement == "REQUIRED"), "REQUIRED").otherwise("PREFERRED").alias("requirement"),
-        F.least(F.lit(MOST_CONFIDENCE), F.max(confidence) + REPEAT_BONUS * (F.count("*") - 1)).alias("confidence"),
+    years = F.regexp_extract("line", SKILL_YEARS, 1).try_cast("int")
+    each = placed.select(doc, "skill_id", "section", (requirement == "REQUIRED").alias("_required"), confidence.alias("_sure"), F.when(years.between(1, MOST_SKILL_YEARS), years).alias("_years"), F.struct("line_no", "first").alias("_at"))
+    required = F.bool_or("_required")
+    best = lambda which: F.max_by(F.struct("_sure", "section"), F.when(which, F.struct("_sure", (-F.col("_at.line_no")).alias("l"), (-F.col("_at.first")).alias("f"))))
+    first_years = lambda which: F.min_by("_years", F.when(which & F.col("_years").isNotNull(), F.col("_at")))
+    any_ = F.lit(True)
+    summed = each.groupBy(doc, "skill_id").agg(
+        F.when(required, "REQUIRED").otherwise("PREFERRED").alias("requirement"),
+        F.when(required, best(F.col("_required"))).otherwise(best(any_)).alias("_best"),
+        F.when(required, first_years(F.col("_required"))).otherwise(first_years(any_)).alias("min_years"),
+        F.count("*").alias("_n"),
     )
-    return summed.where(F.col("confidence") >= MIN_CONFIDENCE).withColumn("confidence", F.round("confidence", 3))
+    sure = F.least(F.lit(MOST_CONFIDENCE), F.col("_best._sure") + REPEAT_BONUS * (F.col("_n") - 1))
+    summed = summed.withColumn("confidence", sure).withColumn("section", F.col("_best.section"))
+    summed = capped(summed, generic, CLAIM_SECTIONS, GENERIC_IN_PROSE)
+    return summed.where(F.col("confidence") >= MIN_CONFIDENCE).select(doc, "skill_id", "requirement", F.round("confidence", 3).alias("confidence"), "min_years", "section")
+
+
+def capped(skills: DataFrame, generic: DataFrame | None, claims: tuple[str, ...], worth: float) -> DataFrame:
+    """skills with the confidence of generic ones (skill_id) outside the sections that claim them held down."""
+    if generic is None:
+        return skills
+    marked = skills.join(generic.select("skill_id").distinct().withColumn("_generic", F.lit(True)), "skill_id", "left")
+    held = F.col("_generic") & ~F.col("section").isin(*claims)
+    return marked.withColumn("confidence", F.when(held, F.least("confidence", F.lit(worth))).otherwise(F.col("confidence"))).drop("_generic")
+
+
+#: Passages whose first runs of words are sent to the texts; more are joined instead.
+SENT_PASSAGES = 200_000
 
 
 def contaminated_passages(docs: DataFrame, passages: DataFrame, words: int = 8, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
     """(doc, item) where the passage's words stand in the text in a row: candidates share the passage's first run of
-    `words` words, found by an equal join of n-grams, then the whole passage is looked for."""
+    `words` words, found by an equal join of hashed runs, then the whole passage is looked for.
+
+    A benchmark of up to SENT_PASSAGES passages is sent to the texts, so that only texts with a candidate leave their
+    place; a larger one is joined by hash, texts following by id."""
     squeezed = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     norm_docs, norm_items = docs.select(doc, squeezed(text).alias("_text")), passages.select(item, squeezed(text).alias("_passage")).where("_passage <> ''")
     at = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1)))
     hashes = bound(F.split("_text", " "), lambda w: F.transform(at(w), lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " "))))
-    grams = norm_docs.select(doc, F.explode(F.array_distinct(hashes)).alias("_gram"))
-    keyed = norm_items.withColumn("_gram", F.xxhash64(F.array_join(F.slice(F.split("_passage", " "), 1, words), " ")))
-    pairs = grams.join(keyed, "_gram").select(doc, item, "_passage")
-    return pairs.join(norm_docs, doc).where(F.contains(F.concat(F.lit(" "), F.col("_text"), F.lit(" ")), F.concat(F.lit(" "), F.col("_passage"), F.lit(" ")))).select(doc, item).distinct()
+    # passages shorter than a run can begin anywhere in it, so they are met by their first word
+    size = F.size(F.split("_passage", " "))
+    keyed = norm_items.withColumn("_gram", F.xxhash64(F.array_join(F.slice(F.split("_passage", " "), 1, words), " "))).withColumn("_short", size < words)
+    whole = F.contains(F.concat(F.lit(" "), F.col("_text"), F.lit(" ")), F.concat(F.lit(" "), F.col("_passage"), F.lit(" ")))
+    n = keyed.count()
+    found = []
+    for short, key in ((False, hashes), (True, F.split("_text", " "))):
+        own = keyed.where(F.col("_short") == short).withColumn("_key", F.split("_passage", " ")[0] if short else F.col("_gram")).select(item, "_passage", "_key")
+        if n <= SENT_PASSAGES:
+            pairs = norm_docs.select(doc, "_text", F.explode(key).alias("_key")).join(F.broadcast(own), "_key")
+        else:
+            pairs = norm_docs.select(doc, F.explode(F.array_distinct(key)).alias("_key")).join(own, "_key").join(norm_docs, doc)
+        found.append(pairs.where(whole).select(doc, item))
+    return reduce(DataFrame.union, found).distinct()

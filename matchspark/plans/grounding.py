@@ -10,7 +10,7 @@ from matchspark.operators import grounding as G
 from matchspark.plans import base as B
 from matchspark.plans.base import query, table
 from matchspark.plans.market import TARGETS_SQL
-from matchspark.plans.parsing import STOP_SQL, _lines, skill_spans
+from matchspark.plans.parsing import GENERIC, SPANS_SQL, STOP_SQL, _asked, _chosen, forms_of, generic_of, skill_spans, spans_sql
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
@@ -23,28 +23,63 @@ def _numbers(df: DataFrame) -> DataFrame:
 
 
 _ASCII = r"regexp_replace({}, '[^\x00-\x7F]', 'x', 'g')"
-_CLAIMS = " UNION ".join(rf"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(lower({_ASCII.format('{text}')}), '{p}', 1)) AS value FROM documents" for k, p in G.CLAIMS)
-#: A suggestion is the text with a figure added to every third; its source is the text itself.
-_SUGGESTED = "(text || CASE WHEN doc_id % 3 = 0 THEN ' Raised sales by 37 % in 1987.' ELSE '' END)"
-CLAIMS_SQL = f", made AS ({_CLAIMS.replace('{text}', _SUGGESTED)}), known AS ({_CLAIMS.replace('{text}', 'text')}), judged AS (SELECT doc_id, count(*) AS n_claims, count(*) FILTER ((doc_id, kind, value) NOT IN (SELECT (doc_id, kind, value) FROM known)) AS n_fabricated FROM made GROUP BY ALL), grounded AS (SELECT doc_id, coalesce(n_claims, 0) AS n_claims, coalesce(n_fabricated, 0) AS n_fabricated, coalesce(n_fabricated, 0) = 0 AS passed FROM documents LEFT JOIN judged USING (doc_id))"
+#: A suggestion is the text with a claim added, by the id; its source is the text itself, or a sentence of its own.
+ADDED = (" Raised sales by 37 % in 1987.", " Worked at Stripe on AWS in March.", " Certified PMP who saved $2M with license, version two.", "", " Reduced the cost of two things.", " The the of the work at Acme's took 12 years")
+SAID = " Acme had two hundred people in March 1999, $2M and 12 things, License, Version."
+_SUGGESTED = f"({_ASCII.format('text')} || {list(ADDED)!r}[doc_id % 6 + 1])".replace('"', "'").replace("Acme's", "Acme''s")
+_SOURCE = f"({_ASCII.format('text')} || CASE WHEN doc_id % 2 = 0 THEN '{SAID}' ELSE '' END)"
+_Q = "(?i)" + G.QUANTITY.replace("'", "''")
+_IN = lambda xs: "('" + "', '".join(xs) + "')"
+_TOKEN = G._TOKEN.replace("'", "''")
+
+
+def _claims_sql(text: str, name: str) -> str:
+    """SQL parts that end in {name}_n (number), {name}_d (date), {name}_p (names) and {name} spans (skills) of docs."""
+    scale = "CASE lower(m3) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in G.SCALES) + " ELSE 1 END"
+    words = " UNION ALL ".join(f"SELECT doc_id, '{n}.000000 ' AS value FROM {name}_t WHERE regexp_matches(t, '(?i)\\b{w}\\b')" for w, n in G.NUMBER_WORDS)
+    return rf""", {name}_t AS (SELECT doc_id, {text} AS t FROM documents),
+{name}_m AS (SELECT doc_id, regexp_extract(m, '{_Q}', 1) AS m1, replace(regexp_extract(m, '{_Q}', 2), ',', '') AS m2, lower(regexp_extract(m, '{_Q}', 3)) AS m3 FROM (SELECT doc_id, unnest(regexp_extract_all(t, '{_Q}')) AS m FROM {name}_t)),
+{name}_n AS (SELECT doc_id, coalesce(CAST(TRY_CAST(m2 AS DECIMAL(22, 6)) * {scale} AS DECIMAL(38, 6))::VARCHAR, m2) || ' ' || CASE WHEN m3 = '%' OR starts_with(m3, 'percent') THEN '%' WHEN m3 = 'x' THEN 'x' ELSE m1 END AS value FROM {name}_m UNION ALL {words}),
+{name}_d AS (SELECT doc_id, v AS value FROM (SELECT doc_id, unnest(regexp_extract_all(t, '\d+')) AS v FROM {name}_t) WHERE regexp_matches(v, '^(19|20)\d\d$') UNION ALL SELECT doc_id, v FROM (SELECT doc_id, unnest(regexp_extract_all(lower(t), '\w+')) AS v FROM {name}_t) WHERE v IN {_IN(G.MONTH_NAMES)}),
+{name}_c AS (SELECT doc_id, regexp_matches(t, '(?i)\b({'|'.join(G.CREDENTIAL_WORDS)})\b') AS credential, regexp_extract_all(t, '[^A-Za-z]*{_TOKEN}') AS p FROM {name}_t),
+{name}_g AS (SELECT doc_id, credential, i, regexp_extract(p[i], '^[^A-Za-z]*') AS gap, CASE WHEN i > 1 THEN p[i - 1] END AS before, p[i] AS piece FROM {name}_c, unnest(generate_series(1, len(p))) u(i)),
+{name}_w AS (SELECT *, regexp_replace(piece[length(gap) + 1:], '[.''\-&+#]+$', '') AS token FROM {name}_g),
+{name}_p AS (SELECT doc_id, token AS value, CASE WHEN credential OR lower(token) IN {_IN(G.CREDENTIAL_ACRONYMS)} THEN 'credential' ELSE 'organization' END AS kind FROM {name}_w WHERE regexp_matches(token, '^[A-Z]') AND NOT regexp_matches(gap, '[0-9]$') AND lower(token) NOT IN {_IN(G.NOT_NAMES)}
+  AND NOT (((before IS NULL AND regexp_matches(gap, '^\s*$')) OR regexp_matches(coalesce(before, '') || gap, '[.!?:;\n]\s*$')) AND NOT (length(token) > 1 AND upper(token) = token) AND (lower(token) IN {_IN(G.OPENERS)} OR regexp_matches(lower(token), '^[a-z]{{2,}}ed$')))),
+{name}_l AS (SELECT doc_id, i AS line_no, x[i] AS line FROM (SELECT doc_id, string_split(t, chr(10)) AS x FROM {name}_t), unnest(generate_series(1, len(x))) u(i)){spans_sql(f'{name}_l', 'doc_id', f'{name}_s')}"""
+
+
+CLAIMS_SQL = rf"""{_claims_sql(_SUGGESTED, 'made')}{_claims_sql(_SOURCE, 'known')},
+words_ AS (SELECT DISTINCT doc_id, unnest(string_split(trim(regexp_replace(lower(t), '[^\w%$€£₹+#.]+', ' ', 'g')), ' ')) AS w FROM known_t),
+judged AS (SELECT doc_id, 'number' AS kind, value, (doc_id, value) NOT IN (SELECT (doc_id, value) FROM known_n) AS bad FROM made_n UNION SELECT doc_id, 'date', value, (doc_id, value) NOT IN (SELECT (doc_id, value) FROM known_d) FROM made_d
+  UNION SELECT doc_id, 'skill', CAST(skill_id AS VARCHAR), (doc_id, skill_id) NOT IN (SELECT (doc_id, skill_id) FROM known_s) FROM made_s
+  UNION SELECT doc_id, kind, value, (doc_id, lower(value)) NOT IN (SELECT (doc_id, w) FROM words_) AND (doc_id, lower(regexp_replace(value, '(''s|s)$', ''))) NOT IN (SELECT (doc_id, w) FROM words_) FROM made_p),
+counted AS (SELECT doc_id, count(*) AS n_claims, count(*) FILTER (bad) AS n_fabricated, string_agg(DISTINCT kind, ',' ORDER BY kind) FILTER (bad) AS kinds FROM judged GROUP BY ALL),
+grounded AS (SELECT doc_id, coalesce(n_claims, 0) AS n_claims, coalesce(n_fabricated, 0) AS n_fabricated, coalesce(kinds, '') AS kinds, coalesce(n_fabricated, 0) = 0 AS passed FROM documents LEFT JOIN counted USING (doc_id))"""
+
+
+def _suggested(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = _numbers(_docs(s, d)).select("doc_id", "text")
+    added = docs.withColumn("text", F.concat("text", F.element_at(F.array(*map(F.lit, ADDED)), (F.col("doc_id") % 6 + 1).cast("int"))))
+    return added, docs.withColumn("text", F.concat("text", F.when(F.col("doc_id") % 2 == 0, SAID).otherwise("")))
 
 
 @query("claim_grounding", f"{CLAIMS_SQL} SELECT * FROM grounded")
 def claim_grounding(s: SparkSession, d: str) -> DataFrame:
-    docs = _docs(s, d).select("doc_id", "text")
-    added = docs.withColumn("text", F.concat("text", F.when(F.col("doc_id") % 3 == 0, " Raised sales by 37 % in 1987.").otherwise("")))
-    return G.claim_grounding(_numbers(added), _numbers(docs), "doc_id", "text")
+    return G.claim_grounding(*_suggested(s, d), "doc_id", "text", forms_of(s))
 
 
-@query("fabrication_eval", f"{CLAIMS_SQL} SELECT round(count(*) FILTER (doc_id % 3 = 0 AND NOT passed) / count(*) FILTER (doc_id % 3 = 0), 6) AS recall, round(count(*) FILTER (doc_id % 3 <> 0 AND passed) / count(*) FILTER (doc_id % 3 <> 0), 6) AS honest_pass_rate, round(count(*) FILTER (doc_id % 3 = 0 AND NOT passed) / count(*) FILTER (NOT passed), 6) AS rejection_precision FROM grounded")
+@query("fabrication_eval", f"{CLAIMS_SQL} SELECT round(count(*) FILTER (doc_id % 6 < 3 AND NOT passed) / count(*) FILTER (doc_id % 6 < 3), 6) AS recall, round(count(*) FILTER (doc_id % 6 >= 3 AND passed) / count(*) FILTER (doc_id % 6 >= 3), 6) AS honest_pass_rate, round(count(*) FILTER (doc_id % 6 < 3 AND NOT passed) / count(*) FILTER (NOT passed), 6) AS rejection_precision FROM grounded")
 def fabrication_eval(s: SparkSession, d: str) -> DataFrame:
-    out = G.fabrication_eval(claim_grounding(s, d).withColumn("honest", F.col("doc_id") % 3 != 0), "honest")
+    out = G.fabrication_eval(claim_grounding(s, d).withColumn("honest", F.col("doc_id") % 6 >= 3), "honest")
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
-@query("find_span", "SELECT doc_id, CASE WHEN k > 0 THEN k - 1 END::INTEGER AS start FROM (SELECT doc_id, strpos(text, 'Licensed under') AS k FROM documents)")
+@query("find_span", "SELECT doc_id, CASE WHEN k > 0 THEN k - 1 END::INTEGER AS start, CASE WHEN k > 0 THEN k + 13 END::INTEGER AS end_, CASE WHEN k > 0 THEN sha256(replace(left(text, k + 13), 'Licensed under', 'x') || text[k + 14:]) END AS replaced FROM (SELECT doc_id, text, strpos(text, 'Licensed under') AS k FROM documents)")
 def find_span(s: SparkSession, d: str) -> DataFrame:
-    return _docs(s, d).select("doc_id", G.find_span(F.col("text"), F.lit("Licensed  under")).alias("x")).select("doc_id", "x.start")
+    needle = F.lit("Licensed \n under ")
+    found = _docs(s, d).select("doc_id", G.find_span(F.col("text"), needle).alias("x"), F.sha2(G.replace_span(F.col("text"), needle, F.lit("x")), 256).alias("replaced"))
+    return found.select("doc_id", "x.start", F.col("x.end").alias("end_"), "replaced")
 
 
 MARKS = ("relevance", "depth", "clarity", "accuracy", "structure")
@@ -67,10 +102,24 @@ def suggestion_parse(s: SparkSession, d: str) -> DataFrame:
     return G.suggestion_parse(_docs(s, d).select("doc_id", reply.alias("reply")), "doc_id", "reply")
 
 
-@query("anchor_suggestions", "SELECT lang, count(*) AS n, count(*) FILTER (contains(text, 'of the')) AS kept FROM documents GROUP BY lang")
+#: Three suggestions for each text: words of its own with a claim of theirs, with one of nobody's, and words it lacks.
+ANCHOR_SQL = rf""", own AS (SELECT doc_id, {_ASCII.format('text')} AS t, regexp_extract_all({_ASCII.format('text')}, '[a-z]+ [a-z]+')[1] AS o FROM documents),
+asked_ AS (SELECT doc_id, 0 AS place, o AS original, o AS suggested, t FROM own WHERE o IS NOT NULL UNION ALL SELECT doc_id, 1, o, o || ' by 12345678 %', t FROM own WHERE o IS NOT NULL UNION ALL SELECT doc_id, 2, 'never said 0', 'x', t FROM own)
+SELECT doc_id, place, CASE WHEN place < 2 THEN strpos(t, original) - 1 END::INTEGER AS start, CASE WHEN place < 2 THEN strpos(t, original) - 1 + length(original) END::INTEGER AS end_, ['kept', 'rejected', 'dropped'][place + 1] AS outcome, CASE place WHEN 0 THEN 1 END AS position FROM asked_"""
+
+
+@query("anchor_suggestions", ANCHOR_SQL)
 def anchor_suggestions(s: SparkSession, d: str) -> DataFrame:
-    anchored = _docs(s, d).select("lang", F.contains("text", F.lit("of the")).alias("ok"))
-    return anchored.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("ok").alias("kept"))
+    docs = _numbers(_docs(s, d)).select("doc_id", "text")
+    words = F.regexp_extract("text", "[a-z]+ [a-z]+", 0)
+    made = lambda place, original, suggested: docs.where((words != "") | F.lit(place == 2)).select("doc_id", F.lit(place).alias("place"), original.alias("original"), suggested.alias("suggested"))
+    asked = made(0, words, words).union(made(1, words, F.concat(words, F.lit(" by 12345678 %")))).union(made(2, F.lit("never said 0"), F.lit("x")))
+    return G.anchor_suggestions(asked, docs, "doc_id").select("doc_id", "place", "start", F.col("end").alias("end_"), "outcome", "position")
+
+
+@query("anchor_counts", f"SELECT lang, count(*) FILTER (regexp_matches({_ASCII.format('text')}, '[a-z]+ [a-z]+')) AS kept, count(*) FILTER (regexp_matches({_ASCII.format('text')}, '[a-z]+ [a-z]+')) AS rejected, count(*) AS dropped FROM documents GROUP BY lang")
+def anchor_counts(s: SparkSession, d: str) -> DataFrame:
+    return G.anchor_counts(anchor_suggestions(s, d).join(_docs(s, d).select("doc_id", "lang"), "doc_id"), "lang")
 
 
 @query("contact_fields", rf"SELECT doc_id, nullif(regexp_extract({_ASCII.format('text')}, '[\w.+-]+@[\w-]+(?:\.[\w-]+)+'), '') AS email FROM documents")
@@ -87,9 +136,19 @@ def date_range(s: SparkSession, d: str) -> DataFrame:
     return r.select("job_id", F.date_format("r.start", "yyyy-MM-dd").alias("start"), F.date_format("r.end", "yyyy-MM-dd").alias("end_"), "r.is_current")
 
 
-@query("section_bullets")
+#: Every second text has a list in front of it.
+LIST = "* first of the work;\n2) second  thing.\no third one here\n-\n- x\nor not\n"
+_LISTED = f"(CASE WHEN doc_id % 2 = 0 THEN '{LIST}' ELSE '' END || text)"
+_FITS = r"lambda x: length(x) <= 300 AND len(string_split_regex(trim(x), '\s+')) >= 2"
+_BARE = r"'^[ .;]+|[ .;]+$', '', 'g'"
+
+
+@query("section_bullets", rf"""SELECT doc_id, unnest((CASE WHEN len(b) > 0 THEN b ELSE z END)[1:30]) AS bullet FROM (SELECT doc_id,
+  list_filter(list_transform(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{G.BULLET}')), lambda x: regexp_replace(regexp_replace(x, '{G.BULLET}', ''), {_BARE})), {_FITS}) AS b,
+  list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(t, '\s+', ' ', 'g')), '([.!?])( *[A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, {_BARE})), {_FITS}) AS z FROM (SELECT doc_id, {_LISTED} AS t FROM documents))""")
 def section_bullets(s: SparkSession, d: str) -> DataFrame:
-    return _docs(s, d).select("doc_id", F.explode(G.section_bullets(F.col("text"))).alias("bullet"))
+    text = F.concat(F.when(F.col("doc_id") % 2 == 0, LIST).otherwise(""), "text")
+    return _docs(s, d).select("doc_id", F.explode(G.section_bullets(text)).alias("bullet"))
 
 
 @query("skill_list_terms", r"""SELECT DISTINCT doc_id, lower(trim(t)) AS term FROM (SELECT doc_id, unnest(string_split_regex(lang || ', ' || source || '; Two words', '[,;|•/]|\s{3,}')) AS t FROM documents) WHERE trim(t) <> ''""")
@@ -106,9 +165,19 @@ def infer_skills(s: SparkSession, d: str) -> DataFrame:
     return G.infer_skills(_docs(s, d).select("doc_id", F.col("text").alias("sentence")), rules, found, "doc_id").drop("evidence")
 
 
-@query("resume_skills")
+#: Resume sections for the posting sections that the given prose has.
+RESUME_SECTIONS = {"REQUIREMENTS": "SKILLS", "BENEFITS": "PROJECTS", "NICE_TO_HAVE": "EXPERIENCE", "RESPONSIBILITIES": "EDUCATION", "ABOUT": "SUMMARY", "UNKNOWN": "OTHER"}
+
+
+@query("resume_skills", f"""{SPANS_SQL}, mine AS (SELECT doc_id, skill_id, line_no, first, {_chosen({k: f"'{v}'" for k, v in RESUME_SECTIONS.items()}, 'section', 'section')} AS section FROM spans JOIN asked USING (doc_id, line_no)),
+rated AS (SELECT *, {_chosen(G.RESUME_CONFIDENCE, 'section', '0.55')}::DOUBLE AS sure FROM mine), best_ AS (SELECT doc_id, skill_id, arg_max(section, (sure, -line_no, -first)) AS section, least(0.99, max(sure) + 0.03 * (count(*) - 1)) AS c, count(*) AS n_mentions FROM rated GROUP BY ALL),
+done_ AS (SELECT doc_id, skill_id, round(CASE WHEN skill_id IN {GENERIC} AND section NOT IN ('SKILLS', 'CERTIFICATIONS') THEN least(c, 0.5) ELSE c END, 3) AS confidence, n_mentions, section FROM best_)
+SELECT *, confidence < 0.6 AS needs_review FROM done_""")
 def resume_skills(s: SparkSession, d: str) -> DataFrame:
-    return G.resume_skills(skill_spans(s, d), _lines(s, d), "doc_id")
+    section = F.col("section")
+    for own, theirs in RESUME_SECTIONS.items():
+        section = F.when(F.col("section") == own, theirs).otherwise(section)
+    return G.resume_skills(skill_spans(s, d), _asked(s, d).withColumn("section", section), "doc_id", generic_of(s))
 
 
 @query("job_document", """SELECT doc_id, sha256(substring('Title: ' || source || chr(10) || 'Skills: ' || lang || '; ' || source || chr(10) || text, 1, 6000)) AS document FROM documents""")
@@ -116,11 +185,12 @@ def job_document(s: SparkSession, d: str) -> DataFrame:
     return _docs(s, d).select("doc_id", F.sha2(G.job_document(F.col("source"), F.array("lang", "source"), F.col("text")), 256).alias("document"))
 
 
-@query("hashing_embed", f"SELECT doc_id, true AS is_unit FROM documents WHERE len(list_filter(regexp_extract_all(lower(text), '[a-z0-9+#.]+'), lambda w: NOT list_contains({STOP_SQL}, w))) >= 0")
+@query("hashing_embed", rf"""SELECT doc_id, slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM (SELECT doc_id, CAST(('0x' || md5(w)[1:8])::UBIGINT % 64 AS INTEGER) AS slot, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest(t) AS w FROM
+  (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9+#.]+'), lambda w: NOT list_contains({STOP_SQL}, w)) AS t FROM documents)) GROUP BY ALL)
+  UNION ALL SELECT doc_id, 0, 1.0 FROM documents WHERE len(list_filter(regexp_extract_all(lower(text), '[a-z0-9+#.]+'), lambda w: NOT list_contains({STOP_SQL}, w))) = 0""")
 def hashing_embed(s: SparkSession, d: str) -> DataFrame:
     vectors = G.hashing_embed(_docs(s, d).select("doc_id", T.tokenize(F.col("text")).alias("t")), "doc_id", "t")
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    return vectors.select("doc_id", (F.abs(norm - 1) < 1e-9).alias("is_unit"))
+    return vectors.select("doc_id", F.posexplode("embedding").alias("slot", "x")).where("x > 0").select("doc_id", "slot", F.round("x", 6).alias("weight"))
 
 
 FORMS_SQL = ", forms AS (SELECT name AS form, skill_id, true AS is_name FROM skills UNION ALL SELECT p_brand, p_partkey, false FROM part), best AS (SELECT form, arg_min(skill_id, (NOT is_name, skill_id)) AS skill_id FROM forms GROUP BY ALL), labels_ AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_brand ELSE p_type END AS label FROM part)"

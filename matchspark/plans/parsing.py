@@ -17,12 +17,15 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents")
 
 
-FOLD = r"trim(regexp_replace(regexp_replace(translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\x{{300}}-\x{{36f}}.]', '', 'g'), '[^a-z0-9+#]+', ' ', 'g'))"
+FOLD = r"trim(regexp_replace(regexp_replace(strip_accents(lower({})), '[\p{{Mn}}.]', '', 'g'), '[^a-z0-9+#]+', ' ', 'g'))"
+#: Letters of many alphabets, one line for each remainder of the id, before the given text.
+ACCENTS = ("Škoda Łódź ", "Ångström naïve ", "Dvořák ți ", "Việt Nam Ǖ ", "Ħal Ġgantija ", "İzmir ẞ ")
 
 
-@query("fold_text", f"SELECT doc_id, sha256({FOLD.format('text')}) AS folded FROM documents")
+@query("fold_text", f"SELECT doc_id, sha256({FOLD.format(f'{list(ACCENTS)}[doc_id % 6 + 1] || text')}) AS folded FROM documents")
 def fold_text(s: SparkSession, d: str) -> DataFrame:
-    return _docs(s, d).select("doc_id", F.sha2(T.fold_text(F.col("text")), 256).alias("folded"))
+    before = F.element_at(F.array(*map(F.lit, ACCENTS)), (F.col("doc_id") % 6 + 1).cast("int"))
+    return _docs(s, d).select("doc_id", F.sha2(T.fold_text(F.concat(before, "text")), 256).alias("folded"))
 
 
 @query("normalize_company", rf"SELECT c_custkey AS user_id, regexp_replace({FOLD.format('x')}, '( (private limited|incorporated|corporation|holdings|limited|pvt ltd|group|gmbh|llp|llc|plc|inc|corp|ltd|srl|spa|pte|pty|co|sa|ag|bv|nv|oy|ab|as))+$', '') AS company FROM (SELECT c_custkey, c_name || ['', ', Inc.', ' Pvt. Ltd', ' S.A.', ' Holdings Group'][c_custkey % 5 + 1] AS x FROM customer)")
@@ -179,13 +182,27 @@ def contaminated_passages(s: SparkSession, d: str) -> DataFrame:
 
 
 HEADINGS = (("the", "REQUIREMENTS"), ("of", "BENEFITS"), ("is and", "NICE_TO_HAVE"), ("le", "RESPONSIBILITIES"))
-_FORMS = "(VALUES ('the of', 1), ('the', 2), ('and', 3), ('of the', 4), ('was', 5))"
+FORMS = (("the of", 1), ("the", 2), ("and", 3), ("of the", 4), ("was", 5), ("the of the and", 6), ("to-the", 7), ("license", 8), ("License, Version", 9), ("years", 10))
+GENERIC = (2, 8)
 
 
 def _lines(s: SparkSession, d: str) -> DataFrame:
     return X.section_lines(_docs(s, d), s.createDataFrame(list(HEADINGS), "phrase string, section string"))
 
 
+def _asked(s: SparkSession, d: str) -> DataFrame:
+    """The lines of section_lines, with years asked for in every third, as the given prose names none."""
+    return _lines(s, d).withColumn("line", F.concat("line", F.when(F.col("line_no") % 3 == 1, F.concat(F.lit(", "), F.col("doc_id") % 35, F.lit("+ years"))).otherwise("")))
+
+
+def forms_of(s: SparkSession) -> DataFrame:
+    return s.createDataFrame(list(FORMS), "form string, skill_id int")
+
+
+def generic_of(s: SparkSession) -> DataFrame:
+    return s.createDataFrame([(g,) for g in GENERIC], "skill_id int")
+
+
 SECTIONS_SQL = r""", lines AS (SELECT doc_id, i - 1 AS line_no, x[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), unnest(generate_series(1, len(x))) u(i)),
 folded AS (SELECT *, regexp_replace(line, '^[\s#*_•\-–—>\d.)\]]+|[\s:*_#]+$', '', 'g') AS b FROM lines),
 headed AS (SELECT *, CASE WHEN len(string_split_regex(trim(b), '\s+')) <= 7 THEN trim(regexp_replace(regexp_replace(lower(trim(b)), '[^a-z0-9'' ]+', ' ', 'g'), '\s+', ' ', 'g')) END AS f FROM folded),
@@ -199,15 +216,42 @@ def section_lines(s: SparkSession, d: str) -> DataFrame:
     return _lines(s, d).select("doc_id", "line_no", "section")
 
 
-@query("skill_spans")
+def spans_sql(lines: str, key: str, name: str = "spans") -> str:
+    """SQL parts that end in `name` (key, line_no, first, last, form, skill_id): the forms' mentions in `lines`."""
+    piece = X._PIECE.replace("'", "''")
+    cut = lambda x: f"regexp_extract_all(lower({x}), '{piece}', 1)"
+    sizes = sorted({len(f.replace("-", " ").replace(",", " ,").split()) for f, _ in FORMS})
+    values = ", ".join(f"('{f}', {i})" for f, i in FORMS)
+    return f""", {name}_forms AS (SELECT array_to_string({cut('f')}, ' ') AS form, min(i) AS skill_id FROM (VALUES {values}) v(f, i) GROUP BY ALL),
+{name}_pieces AS (SELECT {key}, line_no, {cut('line')} AS p FROM {lines}),
+{name}_hits AS (SELECT {key}, line_no, i AS first, i + n - 1 AS last, form, skill_id FROM (SELECT *, unnest(generate_series(1, len(p) - n + 1)) AS i FROM {name}_pieces, (VALUES {', '.join(f'({n})' for n in sizes)}) z(n)) JOIN {name}_forms ON form = array_to_string(p[i:i + n - 1], ' ')),
+{name}_lines AS (SELECT {key}, line_no, list({{'rank': -length(form), 'first': first, 'last': last, 'form': form, 'skill_id': skill_id}} ORDER BY -length(form), first, last) AS h FROM {name}_hits GROUP BY ALL),
+{name} AS (SELECT {key}, line_no, CAST(x.first AS INTEGER) AS first, CAST(x.last AS INTEGER) AS last, x.form AS form, x.skill_id AS skill_id FROM (SELECT {key}, line_no, unnest(list_reduce(list_transform(h, lambda y: [y]), lambda acc, z: CASE WHEN len(list_filter(acc, lambda o: o.first <= z[1].last AND o.last >= z[1].first)) > 0 THEN acc ELSE list_concat(acc, z) END)) AS x FROM {name}_lines))"""
+
+
+SPANS_SQL = f"""{SECTIONS_SQL}, asked AS (SELECT doc_id, line_no, line || CASE WHEN line_no % 3 = 1 THEN ', ' || CAST(doc_id % 35 AS VARCHAR) || '+ years' ELSE '' END AS line, section FROM sections WHERE head IS NULL AND trim(line) <> ''){spans_sql('asked', 'doc_id')}"""
+
+
+@query("skill_spans", f"{SPANS_SQL} SELECT * FROM spans")
 def skill_spans(s: SparkSession, d: str) -> DataFrame:
-    forms = s.createDataFrame([("the of", 1), ("the", 2), ("and", 3), ("of the", 4), ("was", 5)], "form string, skill_id int")
-    return X.skill_spans(_lines(s, d), forms)
+    return X.skill_spans(_asked(s, d), forms_of(s))
+
+
+def _chosen(pairs: dict[str, object], column: str, other: str) -> str:
+    return "CASE " + " ".join(f"WHEN {column} = '{k}' THEN {v}" for k, v in pairs.items()) + f" ELSE {other} END"
+
+
+JOB_SKILLS_SQL = f"""{SPANS_SQL}, mentions AS (SELECT doc_id, skill_id, line_no, first, section,
+  NOT regexp_matches(line, '{X.HEDGE}') AND {_chosen({k: f"'{r}'" for k, (r, _) in X.SECTION_RULES.items()}, 'section', "'REQUIRED'")} = 'REQUIRED' AS required,
+  {_chosen({k: c for k, (_, c) in X.SECTION_RULES.items()}, 'section', '0.6')}::DOUBLE AS sure, TRY_CAST(regexp_extract(line, '{X.SKILL_YEARS}', 1) AS INTEGER) AS y FROM spans JOIN asked USING (doc_id, line_no)),
+won AS (SELECT *, count(*) OVER (PARTITION BY doc_id, skill_id) AS n FROM mentions), pool AS (SELECT * FROM won QUALIFY required = bool_or(required) OVER (PARTITION BY doc_id, skill_id)),
+merged AS (SELECT doc_id, skill_id, CASE WHEN bool_or(required) THEN 'REQUIRED' ELSE 'PREFERRED' END AS requirement, arg_max(section, (sure, -line_no, -first)) AS section, least(0.99, max(sure) + 0.03 * (any_value(n) - 1)) AS c, arg_min(y, (line_no, first)) FILTER (y BETWEEN 1 AND {X.MOST_SKILL_YEARS}) AS min_years FROM pool GROUP BY ALL),
+job_mentions AS (SELECT doc_id, skill_id, requirement, round(CASE WHEN skill_id IN {GENERIC} AND section NOT IN {X.CLAIM_SECTIONS} THEN least(c, {X.GENERIC_IN_PROSE}) ELSE c END, 3) AS confidence, min_years, section FROM merged)"""
 
 
-@query("job_skills")
+@query("job_skills", f"{JOB_SKILLS_SQL} SELECT * FROM job_mentions WHERE confidence >= 0.55")
 def job_skills(s: SparkSession, d: str) -> DataFrame:
-    return X.job_skills(skill_spans(s, d), _lines(s, d))
+    return X.job_skills(skill_spans(s, d), _asked(s, d), generic=generic_of(s))
 
 
 @query("flatten_provider_postings", "SELECT substring(sha256(CAST(doc_id AS VARCHAR)), 1, 32) AS external_id, source AS title, lang AS location, upper(lang) AS country_code FROM documents WHERE trim(text) <> ''")

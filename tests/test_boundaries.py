@@ -13,6 +13,7 @@ from matchspark.functions import scoring as S
 from matchspark.functions import text as T
 from matchspark.operators import demand as D
 from matchspark.operators import evaluation as V
+from matchspark.operators import grounding as G
 from matchspark.operators import matching as M
 from matchspark.operators import merges
 from matchspark.operators import planning as N
@@ -96,6 +97,7 @@ def test_all_ones_are_a_hundred(spark):
 def test_text(spark):
     f = lambda col, v: one(spark, col(F.lit(v)))
     assert f(T.fold_text, "Ñandú S.A. / C++") == "nandu sa c++"
+    assert f(T.fold_text, "Škoda Dvořák, Việt Ṩ ǖ") == "skoda dvorak viet s u"
     assert f(T.normalize_company, "Zeta Labs Private Limited") == "zeta labs"
     assert f(T.normalize_company, "Group") == "group"
     assert f(T.normalize_company, "Acme Technologies Pvt Ltd") == "acme technologies"
@@ -196,6 +198,35 @@ def test_sections_and_mentions(spark):
     assert skills[2, 1] == ("REQUIRED", 0.6)
 
 
+def test_longer_forms_claim_first(spark):
+    """Longest first, leftmost among equals, whatever falls; forms of any number of words; general words held down."""
+    lines = spark.createDataFrame([(1, 0, "alpha beta gamma delta", "ABOUT"), (1, 1, "a b c d", "ABOUT"), (1, 2, "one two three four, machine_learning React, Native react native", "REQUIREMENTS"), (1, 3, "3+ years of delta", "REQUIREMENTS")], "doc_id int, line_no int, line string, section string")
+    forms = spark.createDataFrame([("alpha beta gamma", 1), ("gamma delta", 2), ("delta", 3), ("a b", 4), ("b c", 5), ("c d", 6), ("one two three four", 7), ("Machine Learning", 8), ("react native", 9)], "form string, skill_id int")
+    spans = X.skill_spans(lines, forms)
+    assert sorted((r.line_no, r.first, r.skill_id) for r in spans.collect()) == [(0, 1, 1), (0, 4, 3), (1, 1, 4), (1, 3, 6), (2, 1, 7), (2, 6, 8), (2, 11, 9), (3, 4, 3)]
+    generic = spark.createDataFrame([(1,), (3,)], "skill_id int")
+    skills = {r.skill_id: r for r in X.job_skills(spans, lines, generic=generic).collect()}
+    assert 1 not in skills
+    assert (skills[3].requirement, skills[3].min_years, skills[3].section, skills[3].confidence) == ("REQUIRED", 3, "REQUIREMENTS", 0.98)
+    held = {r.skill_id: (r.confidence, r.needs_review) for r in G.resume_skills(spans, lines.withColumn("section", F.when(F.col("line_no") < 2, "EDUCATION").otherwise("SKILLS")), "doc_id", generic).collect()}
+    assert held[1] == (0.5, True)
+    assert held[4] == (0.6, False)
+    assert held[3] == (0.98, False)
+
+
+@pytest.mark.parametrize(("suggested", "kinds"), [
+    ("Delivered the backend for Acme", ""), ("Worked at Stripe", "organization"), ("Led 5 projects", ""), ("Led five projects", ""), ("Led 5% of projects", "number"),
+    ("Saved $2M", ""), ("Saved $2 million", ""), ("Saved 2M", "number"), ("in March 2019", "date,organization"), ("since 2019 in May", ""), ("PMP at Acme", "credential"),
+    ("Acme's systems", ""), ("Used Python daily", ""), ("used rust daily", "skill"),
+])
+def test_claims(spark, suggested, kinds):
+    source = "At Acme I led 5 projects with Python since 2019, in may, and saved $2,000,000"
+    forms = spark.createDataFrame([("python", 1), ("rust", 2)], "form string, skill_id int")
+    of = lambda t: spark.createDataFrame([(1, t)], "doc_id int, text string")
+    row = G.claim_grounding(of(suggested), of(source), "doc_id", "text", forms).first()
+    assert (row.kinds, row.passed) == (kinds, not kinds)
+
+
 def test_merges(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string")
