@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,9 @@ from matchspark.functions.text import trigram_similarity, trigrams
 from matchspark.operators.demand import related_skills
 from matchspark.session import on_workers
 
-#: Anchors that are sent to the tasks at once; more go in further blocks, each a pass over the items.
-BLOCK_ANCHORS = 4096
+#: Rows of a side that one tile holds, about; and rows that are multiplied at once.
+TILE = 8192
+_STRIPE = 256
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -30,48 +31,60 @@ def l2_normalize(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    m = np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Unit rows; a zero vector stays zero."""
+    whole = column.combine_chunks()
+    m = whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(whole), -1)
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
+def _tiled(left: DataFrame, right: DataFrame, keys: list[str], run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """run over tiles: within each key, left and right (keys, _id, _v) are dealt into blocks of about TILE rows by a hash
+    of the id, and each block of one side meets each block of the other in a group of its own, so a task holds two
+    blocks, whatever the size of a key. What is shuffled is each row once for each block it meets."""
+    blocks = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / TILE).cast("int").alias(name))
+    sizes = blocks(left, "_ni").join(blocks(right, "_nj"), keys)
+    deal = lambda df, own, other, n_own, n_other: df.join(sizes, keys).withColumn(own, F.pmod(F.xxhash64("_id"), n_own).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
+    by = [*keys, "_i", "_j"]
+    l, r = deal(left, "_i", "_j", "_ni", "_nj").select(*by, "_id", "_v"), deal(right, "_j", "_i", "_nj", "_ni").select(*by, "_id", "_v")
+    r = r.select(*(F.col(c).alias(f"r{c}") for c in r.columns))  # names of its own, as both sides may be one table
+    on_workers(left.sparkSession)
+    return l.groupBy(*by).cogroup(r.groupBy(*(f"r{c}" for c in by))).applyInArrow(run, schema)
+
+
 def top_k_similar(anchors: DataFrame, items: DataFrame, k: int, anchor: str, item: str, vector: str = "embedding", floor: float | None = None, not_self: bool = False) -> DataFrame:
-    """(anchor, item, similarity): each anchor's k nearest items, exactly; ties go to the smaller item id.
+    """(anchor, item, similarity, place): each anchor's k nearest items, exactly; ties go to the smaller item id.
 
-    Anchors go to the tasks in blocks of bounded size; a task keeps its own k best of each anchor, so at most k rows
-    of an anchor and task are shuffled."""
-    spark = items.sparkSession
-    on_workers(spark)
-    blocks = -(-anchors.count() // BLOCK_ANCHORS)
+    Anchors and items meet in tiles of bounded size; a tile keeps its k best of each anchor, so what is ranked at the
+    end is at most k rows of an anchor and block of items. Nothing passes through the driver."""
     schema = f"{anchor} long, {item} long, similarity double"
-    found = spark.createDataFrame([], schema)
-    for b in range(blocks):
-        block = anchors.where(F.pmod(F.xxhash64(anchor), F.lit(blocks)) == b).select(F.col(anchor).cast("long"), vector).toArrow()
-        sent = spark.sparkContext.broadcast((block.column(0).to_numpy(), _matrix(block.column(1))))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            ids, m = sent.value
-            best: tuple[np.ndarray, ...] = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(0).to_numpy()
-                sim = m @ _matrix(batch.column(1)).T
-                wanted = np.ones_like(sim, bool) if floor is None else sim >= floor
+    side = lambda df, key: df.where(F.col(vector).isNotNull()).select(F.lit(0).alias("_all"), F.col(key).cast("long").alias("_id"), F.col(vector).alias("_v"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, own = left.column("_id").to_numpy(), right.column("r_id").to_numpy()
+        found: list[tuple[np.ndarray, ...]] = []
+        if len(ids) and len(own):
+            a, b = _matrix(left.column("_v")), _matrix(right.column("r_v")).T
+            for s in range(0, len(ids), _STRIPE):
+                sim = a[s : s + _STRIPE] @ b
                 if not_self:
-                    wanted &= ids[:, None] != own[None, :]
-                i, j = np.nonzero(wanted)
-                a, x, s = (np.concatenate(p) for p in zip(best, (ids[i], own[j], sim[i, j]), strict=True))
-                order = np.lexsort((x, -s, a))
-                a, x, s = a[order], x[order], s[order]
-                first = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, np.int64)
-                place = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
-                best = (a[place < k], x[place < k], s[place < k])
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in best], names=[anchor, item, "similarity"])
-
-        found = found.union(items.where(F.col(vector).isNotNull()).select(F.col(item).cast("long"), vector).mapInArrow(run, schema))
+                    sim[ids[s : s + _STRIPE, None] == own[None, :]] = -np.inf
+                least = np.full(len(sim), -np.inf if floor is None else floor)
+                if k < sim.shape[1]:
+                    least = np.maximum(least, np.partition(sim, -k, axis=1)[:, -k])
+                i, j = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
+                x, y, z = ids[s + i], own[j], sim[i, j]
+                order = np.lexsort((y, -z, x))
+                x, y, z = x[order], y[order], z[order]
+                first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+                place = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+                found.append((x[place < k], y[place < k], z[place < k]))
+        cols = [np.concatenate([f[c] for f in found]) if found else np.zeros(0, t) for c, t in enumerate((np.int64, np.int64, np.float64))]
+        return pa.table(dict(zip((anchor, item, "similarity"), cols, strict=True)))
+
+    best = _tiled(side(anchors, anchor), side(items, item), ["_all"], run, schema)
     place = F.row_number().over(W.partitionBy(anchor).orderBy(F.desc("similarity"), item))
-    return found.withColumn("place", place).where(F.col("place") <= k)
+    return best.withColumn("place", place).where(F.col("place") <= k)
 
 
 def pair_cosine(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str, vector: str = "embedding") -> DataFrame:
@@ -80,34 +93,65 @@ def pair_cosine(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: st
     return pairs.join(a, left_id, "left").join(b, right_id, "left").withColumn("cosine", cosine(F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
+def copies(postings: DataFrame) -> DataFrame:
+    """(job_id, class_id): postings alike in company, title and vector are one class, known by its smallest id."""
+    alike = postings.groupBy("company_id", "title", "embedding").agg(F.min("job_id").alias("class_id"))
+    same = lambda c: postings[c].eqNullSafe(alike[c])
+    return postings.join(alike, same("company_id") & same("title") & same("embedding")).select("job_id", "class_id")
+
+
 def near_duplicate_pairs(postings: DataFrame, least: float = 0.97, least_title: float = 0.3) -> DataFrame:
-    """postings: (job_id, company_id, title, embedding). (a, b, cosine, shares_company, similar_title), a < b.
-
-    Candidates share the company, or a trigram from the rare end of their titles: titles with similarity t share one
-    of their rarest floor((1 - t) n) + 1 trigrams, so the prefix loses none. Equal titles are compared once."""
-    same = postings.select("job_id", "company_id").where("company_id is not null")
-    by_company = same.alias("x").join(same.alias("y"), (F.col("x.company_id") == F.col("y.company_id")) & (F.col("x.job_id") < F.col("y.job_id"))).select(F.col("x.job_id").alias("a"), F.col("y.job_id").alias("b"))
-    pairs = by_company.union(_similar_title_pairs(postings, least_title)).distinct()
-    own = postings.select("job_id", "company_id", F.col("title").alias("t"), "embedding")
-    x, y = own.select(*(F.col(c).alias(f"x_{c}") for c in own.columns)), own.select(*(F.col(c).alias(f"y_{c}") for c in own.columns))
-    both = pairs.join(x, F.col("a") == F.col("x_job_id")).join(y, F.col("b") == F.col("y_job_id"))
-    near = both.withColumn("cosine", cosine(F.col("x_embedding"), F.col("y_embedding"))).where(F.col("cosine") >= least)
+    """postings: (job_id, company_id, title, embedding). (a, b, cosine, shares_company, similar_title), a < b, between
+    classes of alike postings (see copies), each known by its smallest id.
+
+    Classes meet if they share the company, or if their titles are similar: titles with similarity t share one of
+    their rarest floor((1 - t) n) + 1 trigrams, so a prefix of these loses no pair. Those of one company, or of two
+    similar titles, meet in tiles of bounded size, and only pairs that are near leave a tile."""
+    own = postings.groupBy("company_id", "title", "embedding").agg(F.min("job_id").cast("long").alias("_id")).withColumnRenamed("embedding", "_v").where("_v is not null")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y = left.column("_id").to_numpy(), right.column("r_id").to_numpy()
+        found: list[tuple[np.ndarray, ...]] = []
+        if len(x) and len(y):
+            a, b = _matrix(left.column("_v")), _matrix(right.column("r_v")).T
+            for s in range(0, len(x), _STRIPE):
+                sim = a[s : s + _STRIPE] @ b
+                i, j = np.nonzero((sim >= least) & (x[s : s + _STRIPE, None] != y[None, :]))
+                found.append((np.minimum(x[s + i], y[j]), np.maximum(x[s + i], y[j]), sim[i, j]))
+        cols = [np.concatenate([f[c] for f in found]) if found else np.zeros(0, t) for c, t in enumerate((np.int64, np.int64, np.float64))]
+        return pa.table(dict(zip(("a", "b", "cosine"), cols, strict=True)))
+
+    schema = "a long, b long, cosine double"
+    named = own.where("company_id is not null").select("company_id", "_id", "_v")
+    pairs = _similar_titles(own, least_title)
+    left, right = (pairs.join(own.select(F.col("title").alias(t), "_id", "_v"), t).select("t1", "t2", "_id", "_v") for t in ("t1", "t2"))
+    near = _tiled(named, named, ["company_id"], run, schema).union(_tiled(left, right, ["t1", "t2"], run, schema))
+    near = near.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    side = lambda n: own.select(F.col("_id").alias(n), F.col("company_id").alias(f"_c{n}"), F.col("title").alias(f"_t{n}"))
+    both = near.join(side("a"), "a").join(side("b"), "b")
     # titles are compared for the few pairs that are near
-    return near.select("a", "b", "cosine", F.coalesce(F.col("x_company_id") == F.col("y_company_id"), F.lit(False)).alias("shares_company"), F.coalesce(trigram_similarity(F.col("x_t"), F.col("y_t")) >= least_title, F.lit(False)).alias("similar_title"))
+    return both.select("a", "b", "cosine", F.coalesce(F.col("_ca") == F.col("_cb"), F.lit(False)).alias("shares_company"), F.coalesce(trigram_similarity(F.col("_ta"), F.col("_tb")) >= least_title, F.lit(False)).alias("similar_title"))
+
+
+def near_duplicate_classes(postings: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(job_id, class_id, n_links): how many other postings each is a near duplicate of, its own copies included, from
+    the pairs between classes; pairs of copies are counted, never made."""
+    members = copies(postings)
+    sizes = members.groupBy("class_id").agg(F.count("*").alias("_n"))
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    far = both.join(sizes.withColumnRenamed("class_id", "b"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("_n").alias("_far"))
+    return members.join(sizes, "class_id").join(far, "class_id", "left").select("job_id", "class_id", (F.col("_n") - 1 + F.coalesce("_far", F.lit(0))).alias("n_links"))
 
 
-def _similar_title_pairs(postings: DataFrame, least: float) -> DataFrame:
+def _similar_titles(postings: DataFrame, least: float) -> DataFrame:
+    """(t1, t2): distinct titles with that trigram similarity at least, t1 <= t2."""
     titles = postings.select("title").where("title is not null").distinct().withColumn("grams", trigrams(F.col("title")))
     each = titles.select("title", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     rarity = each.groupBy("gram").agg(F.count("*").alias("df"))
     place = F.row_number().over(W.partitionBy("title").orderBy("df", "gram"))
     prefix = each.join(rarity, "gram").withColumn("place", place).where(F.col("place") <= F.floor((1 - least) * F.col("n")) + 1).select("title", "gram")
     alike = prefix.alias("p").join(prefix.alias("q"), (F.col("p.gram") == F.col("q.gram")) & (F.col("p.title") <= F.col("q.title"))).select(F.col("p.title").alias("t1"), F.col("q.title").alias("t2")).distinct()
-    alike = alike.where(trigram_similarity(F.col("t1"), F.col("t2")) >= least)
-    both = alike.union(alike.where("t1 <> t2").select("t2", "t1"))
-    ids = postings.select("job_id", "title")
-    left, right = ids.select(F.col("job_id").alias("a"), F.col("title").alias("t1")), ids.select(F.col("job_id").alias("b"), F.col("title").alias("t2"))
-    return both.join(left, "t1").join(right, "t2").where("a < b").select("a", "b")
+    return alike.where(trigram_similarity(F.col("t1"), F.col("t2")) >= least)
 
 
 def match_partition(pairs: DataFrame, job_skills: DataFrame, held: DataFrame, skills: DataFrame) -> DataFrame:

@@ -90,11 +90,12 @@ def candidate_skills(spark: SparkSession, d: str) -> DataFrame:
 
 
 def job_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").where("vec_id % 10 <> 0").select(F.col("vec_id").alias("job_id"), "embedding", F.col("label").alias("company_id"), F.lit("m").alias("model"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("job_id"), "embedding", F.col("label").alias("company_id"), F.lit("m").alias("model"))
 
 
 def candidate_vectors(spark: SparkSession, d: str) -> DataFrame:
-    vectors = table(spark, d, "embeddings").where("vec_id % 10 = 0")
+    """The stated query set of searches: every vector whose id is divisible by 50, if a candidate has that id."""
+    vectors = table(spark, d, "embeddings").where("vec_id % 50 = 0")
     return vectors.join(table(spark, d, "customer"), F.col("vec_id") == F.col("c_custkey"), "left_semi").select(F.col("vec_id").alias("user_id"), "embedding", F.lit("m").alias("model"))
 
 
@@ -142,8 +143,8 @@ candidates AS (SELECT c_custkey AS user_id, printf('N%02d', c_nationkey) AS coun
   c_custkey % 4 = 0 AS wants_remote, c_custkey % 3 = 0 AS will_relocate FROM customer),
 candidate_skills AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS skill_id
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'),
-job_vectors AS (SELECT vec_id AS job_id, embedding, label AS company_id FROM embeddings WHERE vec_id % 10 <> 0),
-candidate_vectors AS (SELECT vec_id AS user_id, embedding FROM embeddings WHERE vec_id % 10 = 0 AND vec_id IN (SELECT c_custkey FROM customer)),
+job_vectors AS (SELECT vec_id AS job_id, embedding, label AS company_id FROM embeddings),
+candidate_vectors AS (SELECT vec_id AS user_id, embedding FROM embeddings WHERE vec_id % 50 = 0 AND vec_id IN (SELECT c_custkey FROM customer)),
 application_events AS (SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS job_id,
   CASE event_type WHEN 'view' THEN 'SAVED' WHEN 'click' THEN 'APPLIED' WHEN 'signup' THEN 'ASSESSMENT' WHEN 'purchase' THEN 'INTERVIEW' ELSE 'REJECTED' END AS to_status,
   ts AS occurred_at, value FROM events),

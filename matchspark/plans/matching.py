@@ -50,11 +50,11 @@ def recall_availability(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("similar_jobs", f"""SELECT * FROM (SELECT a.job_id AS anchor_id, b.job_id, round({COS}, 6) AS similarity, row_number() OVER (PARTITION BY a.job_id ORDER BY {COS} DESC, b.job_id) AS place
-  FROM job_vectors a, job_vectors b WHERE a.job_id <> b.job_id AND b.job_id IN (SELECT job_id FROM live) AND {COS} >= {FLOOR}) WHERE place <= 6""")
+  FROM job_vectors a, job_vectors b WHERE a.job_id % 50 = 0 AND a.job_id <> b.job_id AND b.job_id IN (SELECT job_id FROM live) AND {COS} >= {FLOOR}) WHERE place <= 6""")
 def similar_jobs(s: SparkSession, d: str) -> DataFrame:
     vectors = B.job_vectors(s, d)
     items = vectors.join(_live(s, d).select("job_id"), "job_id", "left_semi")
-    anchors = vectors.select(F.col("job_id").alias("anchor_id"), "embedding")
+    anchors = vectors.where("job_id % 50 = 0").select(F.col("job_id").alias("anchor_id"), "embedding")  # the stated query set
     near = M.top_k_similar(anchors, items, 6, "anchor_id", "job_id", floor=FLOOR, not_self=True)
     return near.select("anchor_id", "job_id", F.round("similarity", 6).alias("similarity"), F.col("place").cast("long").alias("place"))
 
@@ -79,7 +79,8 @@ def _postings(s: SparkSession, d: str) -> DataFrame:
 
 GRAMS = r"""list_distinct(flatten([[ ('  ' || w || ' ')[i : i + 2] for i in generate_series(1, length(w) + 1)] for w in list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda v: v <> '')]))"""
 TRIGRAM_SQL = "len(list_intersect({x}, {y})) / len(list_distinct(list_concat({x}, {y})))".format(x=GRAMS.format("a.title"), y=GRAMS.format("b.title"))
-NEAR_SQL = f""", postings AS (SELECT job_id, company_id, p_name AS title, embedding FROM job_vectors JOIN part ON p_partkey = job_id),
+NEAR_SQL = f""", all_postings AS (SELECT job_id, company_id, p_name AS title, embedding FROM job_vectors JOIN part ON p_partkey = job_id),
+postings AS (SELECT min(job_id) AS job_id, company_id, title, embedding FROM all_postings GROUP BY ALL),
 near AS (SELECT a.job_id AS a, b.job_id AS b, {COS} AS cosine, a.company_id = b.company_id AS shares_company, {TRIGRAM_SQL} >= 0.3 AS similar_title
   FROM postings a JOIN postings b ON a.job_id < b.job_id WHERE {COS} >= {NEAR} AND (a.company_id = b.company_id OR {TRIGRAM_SQL} >= 0.3))"""
 
@@ -89,6 +90,14 @@ def near_duplicate_pairs(s: SparkSession, d: str) -> DataFrame:
     return M.near_duplicate_pairs(_postings(s, d), NEAR).withColumn("cosine", F.round("cosine", 6))
 
 
+@query("near_duplicate_classes", f"""{NEAR_SQL}, sized AS (SELECT *, min(job_id) OVER w AS class_id, count(*) OVER w AS n FROM all_postings WINDOW w AS (PARTITION BY company_id, title, embedding)),
+  both_ AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near)
+  SELECT job_id, class_id, CAST(n - 1 + coalesce((SELECT sum(z.n) FROM both_ JOIN (SELECT DISTINCT class_id, n FROM sized) z ON z.class_id = b WHERE a = s.class_id), 0) AS BIGINT) AS n_links FROM sized s""")
+def near_duplicate_classes(s: SparkSession, d: str) -> DataFrame:
+    postings = _postings(s, d)
+    return M.near_duplicate_classes(postings, M.near_duplicate_pairs(postings, NEAR))
+
+
 @query("near_duplicates_of", f"""{NEAR_SQL} SELECT * FROM (SELECT job_id, other_id, row_number() OVER (PARTITION BY job_id ORDER BY cosine DESC, other_id) AS place
   FROM (SELECT a AS job_id, b AS other_id, cosine FROM near UNION ALL SELECT b, a, cosine FROM near)) WHERE place <= 10""")
 def near_duplicates_of(s: SparkSession, d: str) -> DataFrame:

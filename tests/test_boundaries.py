@@ -168,6 +168,35 @@ def test_near_duplicates_plan_and_rows(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+@pytest.mark.parametrize("tile", [8192, 7])
+def test_tiles_change_nothing(spark, monkeypatch, tile):
+    """Nearest neighbours and near duplicates against brute force, with tiles smaller than a company; copies counted."""
+    import random
+
+    monkeypatch.setattr(M, "TILE", tile)
+    rng = random.Random(3)
+    vectors = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(60)]
+    vectors[50:55] = [vectors[0]] * 5
+    unit = [[x / math.sqrt(sum(y * y for y in v)) for x in v] for v in vectors]
+    cos = lambda a, b: sum(x * y for x, y in zip(unit[a], unit[b], strict=True))
+    rows = [(i, 1 if i < 30 or 50 <= i < 53 else i % 3, None if i % 7 == 3 else ["data engineer", "data engineer ii", "cook"][i % 3 if i < 50 else 0], v) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "job_id long, company_id long, title string, embedding array<double>")
+    near = M.top_k_similar(df.where("job_id % 5 = 0").select(F.col("job_id").alias("a"), "embedding"), df, 4, "a", "job_id", floor=0.2, not_self=True)
+    want = {(a, b): p for a in range(0, 60, 5) for p, b in enumerate(sorted((b for b in range(60) if b != a and cos(a, b) >= 0.2), key=lambda b, a=a: (-round(cos(a, b), 9), b))[:4], 1)}
+    assert {(r.a, r.job_id): r.place for r in near.collect()} == want
+    classes = {}
+    for i, company, title, v in rows:
+        classes.setdefault((company, title, tuple(v)), []).append(i)
+    reps = {min(m): m for m in classes.values()}
+    alike = one(spark, T.trigram_similarity(F.lit("data engineer"), F.lit("data engineer ii"))) >= 0.3
+    similar = lambda s, t: s is not None and t is not None and (s == t or (alike and "cook" not in (s, t)))
+    pairs = {(a, b) for a in reps for b in reps if a < b and cos(a, b) >= 0.6 and (rows[a][1] == rows[b][1] or similar(rows[a][2], rows[b][2]))}
+    found = M.near_duplicate_pairs(df, 0.6)
+    assert {(r.a, r.b) for r in found.collect()} == pairs
+    links = {m: len(ms) - 1 + sum(len(reps[b if a == rep else a]) for a, b in pairs if rep in (a, b)) for rep, ms in reps.items() for m in ms}
+    assert {r.job_id: r.n_links for r in M.near_duplicate_classes(df, found).collect()} == links
+
+
 def test_metrics_longhand(spark):
     df = spark.createDataFrame([("q", i, float(9 - i), label) for i, label in enumerate([3, 0, 2])], "q string, i long, s double, label int")
     ranked = V.ranked_labels(df, ["q"], "s", "i")
