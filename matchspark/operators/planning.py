@@ -6,16 +6,29 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchspark.session import written
+
 SEVERITY = {"CRITICAL": 0, "HIGH": 1, "MEDIUM": 2, "LOW": 3}
 
 
-def prerequisite_depth(edges: DataFrame, most: int = 10) -> DataFrame:
-    """(skill_id, depth): the longest chain of prerequisites (skill_id, needs) below each skill, up to `most`."""
-    depth = edges.select("skill_id").union(edges.select("needs")).distinct().withColumn("depth", F.lit(0))
-    for _ in range(most):
-        below = edges.join(depth.select(F.col("skill_id").alias("needs"), F.col("depth").alias("_d")), "needs").groupBy("skill_id").agg((F.max("_d") + 1).alias("_d"))
-        depth = depth.join(below, "skill_id", "left").select("skill_id", F.greatest(F.col("depth"), F.coalesce("_d", F.lit(0))).alias("depth"))
-    return depth
+def prerequisite_depth(edges: DataFrame) -> DataFrame:
+    """(skill_id, depth): the longest chain of prerequisites (skill_id, needs) below each skill, however long; null for
+    skills that are in a cycle or need one that is.
+
+    Round by round the skills whose prerequisites are all placed get the round as their depth, and each round is
+    written, so the plan does not grow with the chains. A round goes on with the edges that are still open."""
+    open_ = written(edges.select("skill_id", "needs").where("skill_id is not null and needs is not null").distinct())
+    nodes = written(open_.select("skill_id").union(open_.select("needs")).distinct())
+    placed, waiting, depth = None, nodes, 0
+    while True:
+        ready = written(waiting.join(open_.select("skill_id").distinct(), "skill_id", "left_anti").withColumn("depth", F.lit(depth)))
+        if ready.isEmpty():
+            rest = waiting.withColumn("depth", F.lit(None).cast("int"))
+            return rest if placed is None else placed.union(rest)
+        placed = ready if placed is None else placed.union(ready)
+        waiting = written(waiting.join(ready, "skill_id", "left_anti"))
+        open_ = written(open_.join(ready.select(F.col("skill_id").alias("needs")), "needs", "left_anti").select("skill_id", "needs"))
+        depth += 1
 
 
 def learning_plan(gaps: DataFrame, prerequisites: DataFrame) -> DataFrame:

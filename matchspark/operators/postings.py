@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_OPENING = 4
+
+
 def live_postings(jobs: DataFrame, as_of: Column) -> DataFrame:
     """Active and not expired at as_of; a posting without an expiry never expires."""
     return jobs.where((F.col("status") == "ACTIVE") & (F.col("expires_at").isNull() | (F.col("expires_at") > as_of)))
@@ -48,11 +51,15 @@ def browse_filter(jobs: DataFrame, as_of: Column, q: str | None = None, work_mod
 
 
 def title_matches_any_role(jobs: DataFrame, roles: DataFrame, role: str = "role") -> DataFrame:
-    """Rows of jobs whose title holds some non-blank role. Titles are few against postings, so the inexact join runs
-    over distinct titles and the postings follow by an equal one."""
-    asked = roles.where(F.trim(role) != "").select(F.lower(role).alias("_role")).distinct()
-    titles = jobs.select("title").distinct()
-    hit = titles.join(asked, F.contains(F.lower("title"), F.col("_role")), "left_semi")
+    """Rows of jobs whose title holds some non-blank role. A title that holds a role holds its first letters (up to
+    _OPENING): titles, each once, meet the roles by these through an equal join, and only then the whole role is looked
+    for; the postings follow by title."""
+    asked = roles.where(F.trim(role) != "").select(F.lower(role).alias("_role")).distinct().withColumn("_key", F.substring("_role", 1, _OPENING))
+    low = F.lower("title")
+    at = lambda n: F.transform(F.when(F.length(low) >= n, F.sequence(F.lit(1), F.length(low) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(low, i, F.lit(n)))
+    pieces = F.array_distinct(F.flatten(F.array(*(at(n) for n in range(1, _OPENING + 1)))))
+    titles = jobs.select("title").distinct().select("title", F.explode(pieces).alias("_key"))
+    hit = titles.join(asked, "_key").where(F.contains(F.lower("title"), F.col("_role"))).select("title").distinct()
     return jobs.join(hit, "title", "left_semi")
 
 

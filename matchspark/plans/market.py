@@ -10,6 +10,7 @@ from matchspark.functions import text as T
 from matchspark.operators import demand as D
 from matchspark.operators import postings as P
 from matchspark.operators import ranking as R
+from matchspark.operators import records as L
 from matchspark.plans import base as B
 from matchspark.plans.base import as_of, query, table
 
@@ -128,16 +129,16 @@ def check_invariants(s: SparkSession, d: str) -> DataFrame:
 # --- joins --------------------------------------------------------------------------------------------------------
 
 
-@query("postings_with_application", "SELECT j.job_id, a.status AS application FROM jobs j LEFT JOIN (SELECT * FROM applications WHERE user_id = 7) a ON j.job_id = a.job_id")
+@query("postings_with_application", "SELECT j.job_id, a.user_id, a.status AS application FROM jobs j LEFT JOIN applications a ON j.job_id = a.job_id")
 def postings_with_application(s: SparkSession, d: str) -> DataFrame:
-    own = B.applications(s, d).where("user_id = 7").select("job_id", F.col("status").alias("application"))
-    return B.jobs(s, d).select("job_id").join(own, "job_id", "left")
+    """Of every user, each posting they have dealt with, and the postings nobody has."""
+    return L.postings_with_application(B.jobs(s, d).select("job_id"), B.applications(s, d)).select("job_id", "user_id", "application")
 
 
 @query("exclude_applied", "SELECT user_id, job_id FROM application_events e WHERE NOT EXISTS (SELECT 1 FROM applications a WHERE a.user_id = e.user_id AND a.job_id = e.job_id AND a.status = 'APPLIED') GROUP BY ALL")
 def exclude_applied(s: SparkSession, d: str) -> DataFrame:
     pairs = B.application_events(s, d).select("user_id", "job_id").distinct()
-    return pairs.join(B.applications(s, d).where("status = 'APPLIED'"), ["user_id", "job_id"], "left_anti")
+    return L.exclude_applied(pairs, B.applications(s, d), ["user_id", "job_id"])
 
 
 @query("reached_stage", """SELECT a.user_id, a.job_id, a.status = 'INTERVIEW' OR EXISTS (SELECT 1 FROM application_events e
@@ -163,10 +164,7 @@ def skill_facts(s: SparkSession, d: str) -> DataFrame:
   FROM candidates LEFT JOIN (SELECT user_id, count(*) AS n_skills FROM candidate_skills GROUP BY ALL) USING (user_id)
   LEFT JOIN (SELECT user_id, count(*) AS n_applications, arg_max(status, job_id) AS last_status FROM applications GROUP BY ALL) USING (user_id)""")
 def candidate_snapshot(s: SparkSession, d: str) -> DataFrame:
-    held = B.candidate_skills(s, d).groupBy("user_id").agg(F.count("*").alias("n_skills"))
-    sent = B.applications(s, d).groupBy("user_id").agg(F.count("*").alias("n_applications"), F.max_by("status", "job_id").alias("last_status"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return B.candidates(s, d).join(held, "user_id", "left").join(sent, "user_id", "left").select("user_id", "country_code", "years", zero("n_skills"), zero("n_applications"), "last_status")
+    return L.candidate_snapshot(B.candidates(s, d), B.candidate_skills(s, d), B.applications(s, d)).select("user_id", "country_code", "years", "n_skills", "n_applications", "last_status")
 
 
 @query("backlog", "SELECT j.job_id FROM live j LEFT JOIN job_vectors v USING (job_id) WHERE v.embedding IS NULL")
@@ -177,22 +175,21 @@ def backlog(s: SparkSession, d: str) -> DataFrame:
 @query("answers_per_interview", """SELECT conv_id, count(*) FILTER (role = 'assistant') AS answered,
   round(avg(length(text) % 101 / 100.0) FILTER (role = 'assistant'), 3) AS average_mark FROM conversations GROUP BY conv_id""")
 def answers_per_interview(s: SparkSession, d: str) -> DataFrame:
-    turns = table(s, d, "conversations")
-    marks = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.count("*").alias("answered"), F.round(F.avg(F.length("text") % 101 / 100.0), 3).alias("average_mark"))
-    return turns.select("conv_id").distinct().join(marks, "conv_id", "left").select("conv_id", F.coalesce("answered", F.lit(0)).alias("answered"), "average_mark")
+    return L.answers_per_interview(table(s, d, "conversations"), "conv_id", F.col("role") == "assistant", F.length("text") % 101 / 100.0)
 
 
 @query("provenance_scope", "SELECT user_id, count(*) AS n FROM candidate_skills WHERE skill_id IN (SELECT skill_id FROM skills WHERE category = 'ECONOMY') GROUP BY ALL")
 def provenance_scope(s: SparkSession, d: str) -> DataFrame:
-    return B.candidate_skills(s, d).join(B.skills(s, d).where("category = 'ECONOMY'"), "skill_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("n"))
+    return L.provenance_scope(B.candidate_skills(s, d), B.skills(s, d).where("category = 'ECONOMY'"), "skill_id").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query("resolve_names", "SELECT job_id, arg_min(s.skill_id, s.skill_id) AS skill_id FROM job_skills j JOIN (SELECT name, min(skill_id) AS skill_id FROM skills GROUP BY name) s ON s.name = (SELECT name FROM skills k WHERE k.skill_id = j.skill_id) GROUP BY ALL")
+@query("resolve_names", "SELECT job_id, min(s.skill_id) AS skill_id, count(s.skill_id) AS found, count(*) FILTER (s.skill_id IS NULL) AS missed FROM job_skills j JOIN skills k ON k.skill_id = j.skill_id LEFT JOIN (SELECT name, min(skill_id) AS skill_id FROM skills WHERE skill_id % 5 <> 0 GROUP BY name) s ON s.name = k.name GROUP BY ALL")
 def resolve_names(s: SparkSession, d: str) -> DataFrame:
-    """Mentions by name go to the name's first id."""
-    names = B.skills(s, d).groupBy("name").agg(F.min("skill_id").alias("canonical_id"))
+    """Mentions by name go to the name's first id; every fifth skill's name is unknown, and its mentions are missed."""
+    known = B.skills(s, d).where("skill_id % 5 <> 0")
     mentions = B.job_skills(s, d).join(B.skills(s, d).select("skill_id", "name"), "skill_id").select("job_id", "name")
-    return mentions.join(names, "name").groupBy("job_id").agg(F.min("canonical_id").alias("skill_id"))
+    found = L.resolve_names(mentions, known)
+    return found.groupBy("job_id").agg(F.min("canonical_id").alias("skill_id"), F.count("canonical_id").alias("found"), F.count_if(F.col("canonical_id").isNull()).alias("missed"))
 
 
 # --- aggregates ---------------------------------------------------------------------------------------------------
@@ -292,7 +289,7 @@ def last_used(s: SparkSession, d: str) -> DataFrame:
 
 @query("skill_counts_by_source", "SELECT category, count(*) AS n_held, count(DISTINCT user_id) AS n_users FROM candidate_skills JOIN skills USING (skill_id) GROUP BY ALL")
 def skill_counts_by_source(s: SparkSession, d: str) -> DataFrame:
-    return B.candidate_skills(s, d).join(B.skills(s, d), "skill_id").groupBy("category").agg(F.count("*").alias("n_held"), F.countDistinct("user_id").alias("n_users"))
+    return L.counts_by(B.candidate_skills(s, d).join(B.skills(s, d), "skill_id"), ["category"], "user_id", "n_held")
 
 
 @query("score_distribution", "SELECT min(value) AS least, quantile_cont(value, 0.05) AS p05, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.95) AS p95, max(value) AS most FROM events")
@@ -302,7 +299,7 @@ def score_distribution(s: SparkSession, d: str) -> DataFrame:
 
 @query("feedback_summary", "SELECT status, count(*) AS n FROM applications GROUP BY ALL")
 def feedback_summary(s: SparkSession, d: str) -> DataFrame:
-    return B.applications(s, d).groupBy("status").agg(F.count("*").alias("n"))
+    return L.counts_by(B.applications(s, d), ["status"])
 
 
 # --- ranking ------------------------------------------------------------------------------------------------------
@@ -382,15 +379,12 @@ def top_k_pool(s: SparkSession, d: str) -> DataFrame:
 
 @query("skill_display_order", "SELECT job_id, skill_id, row_number() OVER (PARTITION BY job_id ORDER BY requirement = 'REQUIRED' DESC, confidence DESC, name, skill_id) AS place FROM job_skills JOIN skills USING (skill_id)")
 def skill_display_order(s: SparkSession, d: str) -> DataFrame:
-    named = B.job_skills(s, d).join(B.skills(s, d).select("skill_id", "name"), "skill_id")
-    place = F.row_number().over(W.partitionBy("job_id").orderBy((F.col("requirement") == "REQUIRED").desc(), F.desc("confidence"), "name", "skill_id"))
-    return named.select("job_id", "skill_id", place.cast("long").alias("place"))
+    return L.display_order(B.job_skills(s, d), B.skills(s, d)).select("job_id", "skill_id", F.col("place").cast("long").alias("place"))
 
 
 @query("career_order", "SELECT company_id, job_id, row_number() OVER (PARTITION BY company_id ORDER BY expires_at DESC NULLS LAST, posted_at DESC, job_id) AS place FROM jobs")
 def career_order(s: SparkSession, d: str) -> DataFrame:
-    place = F.row_number().over(W.partitionBy("company_id").orderBy(F.desc_nulls_last("expires_at"), F.desc("posted_at"), "job_id"))
-    return B.jobs(s, d).select("company_id", "job_id", place.cast("long").alias("place"))
+    return L.career_order(B.jobs(s, d), "company_id", "expires_at", "posted_at", "job_id").select("company_id", "job_id", F.col("place").cast("long").alias("place"))
 
 
 @query("persona_dedupe", r"""SELECT arg_min(doc_id, (-length(text), doc_id)) AS doc_id FROM documents GROUP BY substring(regexp_replace(lower(trim(text)), '\s+', ' ', 'g'), 1, 400)""")

@@ -11,6 +11,7 @@ from matchspark.operators import demand as D
 from matchspark.operators import matching as M
 from matchspark.operators import postings as P
 from matchspark.operators import ranking as R
+from matchspark.operators import records as L
 from matchspark.plans import base as B
 from matchspark.plans.base import as_of, query, table
 
@@ -43,10 +44,7 @@ def recall_top_k(s: SparkSession, d: str) -> DataFrame:
 
 @query("recall_availability", "SELECT user_id, CASE WHEN user_id NOT IN (SELECT user_id FROM candidate_skills) THEN 'NO_RESUME' WHEN user_id NOT IN (SELECT user_id FROM candidate_vectors) THEN 'PENDING' ELSE 'READY' END AS availability FROM candidates")
 def recall_availability(s: SparkSession, d: str) -> DataFrame:
-    held = B.candidate_skills(s, d).select("user_id").distinct().withColumn("h", F.lit(1))
-    vectors = B.candidate_vectors(s, d).select("user_id").withColumn("v", F.lit(1))
-    state = F.when(F.col("h").isNull(), "NO_RESUME").when(F.col("v").isNull(), "PENDING").otherwise("READY")
-    return B.candidates(s, d).join(held, "user_id", "left").join(vectors, "user_id", "left").select("user_id", state.alias("availability"))
+    return L.recall_availability(B.candidates(s, d), B.candidate_skills(s, d), B.candidate_vectors(s, d))
 
 
 @query("similar_jobs", f"""SELECT * FROM (SELECT a.job_id AS anchor_id, b.job_id, round({COS}, 6) AS similarity, row_number() OVER (PARTITION BY a.job_id ORDER BY {COS} DESC, b.job_id) AS place
@@ -66,10 +64,10 @@ def pair_cosine(s: SparkSession, d: str) -> DataFrame:
     return M.pair_cosine(pairs, users, items, "user_id", "job_id").select("user_id", "job_id", F.round("cosine", 6).alias("cosine"))
 
 
-@query("same_model_vectors", "SELECT a.user_id, count(*) AS n FROM candidate_vectors a JOIN (SELECT *, 'm' AS model FROM job_vectors) b ON b.model = 'm' AND b.company_id = a.user_id % 10 GROUP BY ALL")
+@query("same_model_vectors", "SELECT a.user_id, b.job_id FROM candidate_vectors a JOIN job_vectors b ON b.company_id = a.user_id % 10")
 def same_model_vectors(s: SparkSession, d: str) -> DataFrame:
     users = B.candidate_vectors(s, d).select("user_id", "model", (F.col("user_id") % 10).cast("int").alias("company_id"))
-    return users.join(B.job_vectors(s, d).select("model", "company_id"), ["model", "company_id"]).groupBy("user_id").agg(F.count("*").alias("n"))
+    return L.same_model(users, B.job_vectors(s, d).select("job_id", "model", "company_id"), ["company_id"]).select("user_id", "job_id")
 
 
 def _postings(s: SparkSession, d: str) -> DataFrame:

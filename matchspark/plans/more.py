@@ -10,6 +10,7 @@ from matchspark.functions import text as T
 from matchspark.operators import careers, merges
 from matchspark.operators import evaluation as V
 from matchspark.operators import grounding as G
+from matchspark.operators import records as L
 from matchspark.plans import base as B
 from matchspark.plans.base import query, table
 from matchspark.plans.matching import MATCH_SQL, RECALL_SQL, match_many, recall_top_k
@@ -50,8 +51,9 @@ def reextract_delta(s: SparkSession, d: str) -> DataFrame:
 @query("role_pair_split", "SELECT a.o_orderkey AS a, b.o_orderkey AS b, x.c_name AS company_a, y.c_name AS company_b FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 LEFT JOIN customer x ON x.c_custkey = a.o_custkey LEFT JOIN customer y ON y.c_custkey = b.o_custkey")
 def role_pair_split(s: SparkSession, d: str) -> DataFrame:
     orders, names = table(s, d, "orders").select("o_orderkey", "o_custkey"), table(s, d, "customer").select("c_custkey", "c_name")
-    left = orders.join(names, F.col("o_custkey") == F.col("c_custkey"), "left").select(F.col("o_orderkey").alias("a"), F.col("c_name").alias("company_a"))
-    return left.join(left.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("company_a").alias("company_b")), "a")
+    companies = orders.join(names, F.col("o_custkey") == F.col("c_custkey"), "left").select(F.col("o_orderkey").alias("job_id"), F.col("c_name").alias("company"))
+    pairs = companies.select(F.col("job_id").alias("a"), (F.col("job_id") + 1).alias("b")).join(orders.select(F.col("o_orderkey").alias("b")), "b", "left_semi")
+    return L.pair_split(pairs, companies, "job_id").select("a", "b", "company_a", "company_b")
 
 
 @query("salary_range", "SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 3 <> 2 THEN (o_orderkey % 90 + 10) * 1000.0 END::DOUBLE AS low, CASE o_orderkey % 3 WHEN 0 THEN (o_orderkey % 90 + 30) * 1000.0 WHEN 1 THEN (o_orderkey % 90 + 10) * 1000.0 END::DOUBLE AS high, CASE o_orderkey % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' END AS currency FROM orders")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from matchspark.functions import text as T
 from matchspark.operators import evaluation as V
+from matchspark.operators import records as L
 from matchspark.plans import base as B
 from matchspark.plans.base import query, table
 from matchspark.plans.matching import MATCH_SQL, match_breakdown
@@ -136,7 +137,7 @@ def ablate(s: SparkSession, d: str) -> DataFrame:
     return _round(V.ablate(match_breakdown(s, d), ["user_id"], "job_id"), "score")
 
 
-@query("pair_digest", "SELECT sha256(string_agg(k, chr(10) ORDER BY k))[1:12] AS digest FROM (SELECT DISTINCT CAST(doc_id AS VARCHAR) || '|' || CAST(quality AS VARCHAR) AS k FROM labels)")
+@query("pair_digest", "SELECT sha256(concat_ws('|', count(*), bit_xor(('0x' || h[1:15])::BIGINT), bit_xor(('0x' || h[16:30])::BIGINT), bit_xor(('0x' || h[31:45])::BIGINT), bit_xor(('0x' || h[46:60])::BIGINT)))[1:12] AS digest FROM (SELECT DISTINCT sha256(CAST(doc_id AS VARCHAR) || '|' || CAST(quality AS VARCHAR)) AS h FROM labels)")
 def pair_digest(s: SparkSession, d: str) -> DataFrame:
     return V.pair_digest(table(s, d, "labels"), F.col("doc_id").cast("string"), F.col("quality").cast("string"))
 
@@ -154,12 +155,5 @@ def agreement_report(s: SparkSession, d: str) -> DataFrame:
   FROM documents a JOIN documents b ON substring(a.text, 1, 40) = substring(b.text, 1, 40) AND a.doc_id < b.doc_id)
   SELECT count(*) AS pairs, count(*) FILTER (same_hash) AS duplicates, count(*) FILTER (same_source) AS same_source, count(*) FILTER (same_opening) AS same_opening, count(*) FILTER (same_opening AND NOT same_hash) AS opening_only FROM pairs""")
 def duplicate_pool_stats(s: SparkSession, d: str) -> DataFrame:
-    """Pairs of texts that open alike, counted from group sizes: texts are never paired with each other.
-
-    A group of n rows has n (n - 1) / 2 pairs, and pairs that agree in more are those of the finer groups."""
-    docs = table(s, d, "documents").select(F.substring("text", 1, 40).alias("o"), F.sha2("text", 256).alias("h"), "source", F.substring("text", 1, 300).alias("opening"))
-    n = F.count("*")
-    sets = docs.groupingSets([["o"], ["o", "h"], ["o", "source"], ["o", "opening"], ["o", "opening", "h"]], "o", "h", "source", "opening").agg(F.grouping_id().alias("g"), (n * (n - 1) / 2).cast("long").alias("p"))
-    total = lambda g: F.coalesce(F.sum(F.when(F.col("g") == g, F.col("p"))), F.lit(0))
-    summed = sets.agg(total(7).alias("pairs"), total(3).alias("duplicates"), total(5).alias("same_source"), total(6).alias("same_opening"), total(2).alias("both"))
-    return summed.select("pairs", "duplicates", "same_source", "same_opening", (F.col("same_opening") - F.col("both")).alias("opening_only"))
+    """Pairs of texts that open alike; texts are never paired with each other."""
+    return L.pair_counts(table(s, d, "documents"), F.substring("text", 1, 40), F.sha2("text", 256), F.col("source"), F.substring("text", 1, 300))
\ No newline at end of file

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from matchspark.functions import text as T
 from matchspark.operators import merges as M
 from matchspark.operators import planning as N
+from matchspark.operators import records as L
 from matchspark.plans import base as B
 from matchspark.plans.base import query, table
 from matchspark.plans.market import GAPS_SQL, skill_gaps
@@ -71,7 +72,10 @@ def merge_application(s: SparkSession, d: str) -> DataFrame:
 
 @query("merge_feedback", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS rating FROM events GROUP BY ALL")
 def merge_feedback(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("rating"))
+    """The first half of the events is there already, in its merged form; the rest comes in."""
+    events = table(s, d, "events").select("user_id", F.col("event_type").alias("rating"), "ts", "event_id")
+    there = L.merge_feedback(events.where("event_id % 2 = 0"), events.limit(0), ["user_id"], ["ts", "event_id"])
+    return L.merge_feedback(there, events.where("event_id % 2 <> 0"), ["user_id"], ["ts", "event_id"]).select("user_id", "rating")
 
 
 @query("fill_if_empty", """SELECT user_id, CASE WHEN user_id % 3 <> 0 THEN country_code WHEN user_id % 2 = 0 THEN 'NX' END AS country_code, array_to_string(CASE WHEN user_id % 2 = 0 AND user_id % 3 = 0 THEN ['country_code'] ELSE [] END, ',') AS applied,
@@ -116,8 +120,7 @@ def names_already_claimed(s: SparkSession, d: str) -> DataFrame:
 
 @query("candidate_pool_union", "SELECT job_id FROM (SELECT job_id FROM jobs ORDER BY salary_max DESC NULLS LAST, job_id LIMIT 50) UNION SELECT job_id FROM (SELECT job_id FROM jobs ORDER BY posted_at DESC, job_id LIMIT 50)")
 def candidate_pool_union(s: SparkSession, d: str) -> DataFrame:
-    jobs = B.jobs(s, d)
-    return jobs.orderBy(F.desc_nulls_last("salary_max"), "job_id").limit(50).select("job_id").union(jobs.orderBy(F.desc("posted_at"), "job_id").limit(50).select("job_id")).distinct()
+    return L.pool_union(B.jobs(s, d), "job_id", [[F.desc_nulls_last("salary_max")], [F.desc("posted_at")]], 50)
 
 
 @query("unknown_terms", r"""SELECT doc_id, term, place FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY term) AS place FROM (SELECT DISTINCT doc_id, unnest(string_split(lang || ' ' || source, ' ')) AS term FROM documents) WHERE term NOT IN ('en', 'src1', 'src2')) WHERE place <= 50""")
@@ -141,10 +144,15 @@ def index_result(s: SparkSession, d: str) -> DataFrame:
     return M.index_outcome(docs, indexed, "doc_id")
 
 
-@query("prerequisite_depth", "SELECT skill_id, CASE WHEN parent_skill_id IS NULL THEN 0 ELSE 1 END AS depth FROM skills WHERE parent_skill_id IS NOT NULL OR skill_id IN (SELECT parent_skill_id FROM skills)")
+@query("prerequisite_depth", """, walk AS (SELECT skill_id, CAST(floor(log2(skill_id)) AS INTEGER) AS depth, [CAST(floor(skill_id / 2 ** i) AS BIGINT) for i in generate_series(0, 40)] AS above FROM skills WHERE skill_id >= 1)
+  SELECT skill_id, CASE WHEN list_has_any(above, [4, 5]) THEN NULL ELSE depth END AS depth FROM walk""")
 def prerequisite_depth(s: SparkSession, d: str) -> DataFrame:
-    edges = B.skills(s, d).where("parent_skill_id is not null").select("skill_id", F.col("parent_skill_id").alias("needs"))
-    return N.prerequisite_depth(edges, most=3)
+    """Every part needs the one of half its number, and parts 4 and 5 need each other, so chains are as deep as the
+    logarithm of the table, and what hangs on the cycle has no depth."""
+    k = F.col("skill_id")
+    halves = B.skills(s, d).where("skill_id > 1").select("skill_id", F.floor(k / 2).alias("needs"))
+    cycle = s.createDataFrame([(4, 5), (5, 4)], "skill_id long, needs long")
+    return N.prerequisite_depth(halves.union(cycle))
 
 
 @query("learning_plan", f"""{GAPS_SQL}, open AS (SELECT * FROM gaps WHERE gap_status <> 'STRONG' AND severity IN ('CRITICAL', 'HIGH')),

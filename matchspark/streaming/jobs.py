@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from matchspark.session import on_workers
+from matchspark.session import on_workers, shared_folder
 
 TERMINAL = ("REJECTED", "WITHDRAWN")
 #: How far the active stages go; null once an application is over.
@@ -24,12 +22,6 @@ def read_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{head}/{name[:-1]}[{name[-1]}]")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, where executors and driver both see it."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base or tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
-
-
 def drain(stream: DataFrame, mode: str, name: str, each: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Run until all that is there has been read; the rows as they stand then. A complete table is written anew for
     each batch under the batch's number, so a batch that is run again after a failure replaces its own rows."""
