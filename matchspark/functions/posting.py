@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from matchspark.functions.text import bound
 
-#: Patterns whose first match decides; their order matters.
+#: Fixed values, all of the tables down to DEGREES: patterns whose first match decides; their order matters.
 WORK_MODES = (
     ("HYBRID", r"\b(hybrid|\d\s*days?\s+(?:a|per)\s+week\s+in\s+(?:the\s+)?office)\b"),
     ("REMOTE", r"\b(fully\s+remote|100%\s+remote|remote[\s-]first|work\s+from\s+home|wfh|remote)\b"),
@@ -37,6 +37,7 @@ DEGREES = (
     ("MASTERS", r"\b(master'?s?|m\.?\s?tech|m\.?\s?sc|m\.?\s?c\.?a|m\.?\s?b\.?a|m\.?\s?s\b|post\s*graduate)\b"),
     ("DOCTORATE", r"\b(ph\.?\s?d|doctorate|doctoral)\b"),
 )
+#: Wordings of years of experience, and the most that is believed.
 YEARS_RANGE = r"(\d{1,2})\s*(?:\+|plus)?\s*(?:-|–|—|to)\s*(\d{1,2})\s*\+?\s*(?:years?|yrs?)\b"
 YEARS_MIN = r"(?:(?:minimum|min|at\s+least|over|more\s+than)\s+(?:of\s+)?)?(\d{1,2})\s*(?:\+|plus)\s*(?:years?|yrs?)\b"
 YEARS_AT_LEAST = r"(?:minimum|min|at\s+least)\s+(?:of\s+)?(\d{1,2})\s*(?:years?|yrs?)\b"
@@ -79,45 +80,126 @@ def min_education(text: Column) -> Column:
     return first_of(text, DEGREES)
 
 
+#: Currencies and their marks, in the order in which they are tried; magnitudes; periods.
+CURRENCIES = (
+    ("INR", r"₹|\bINR\b|\bRs\.?\b|\brupees?\b|\bLPA\b|\blakhs?\b|\bcrores?\b"),
+    ("USD", r"\$|\bUSD\b|\bdollars?\b"),
+    ("EUR", r"€|\bEUR\b|\beuros?\b"),
+    ("GBP", r"£|\bGBP\b|\bpounds?\b"),
+    ("AED", r"\bAED\b|\bdirhams?\b"),
+    ("SGD", r"\bSGD\b"),
+    ("CAD", r"\bCAD\b"),
+    ("AUD", r"\bAUD\b"),
+)
+PERIODS = (
+    ("HOURLY", r"\b(per\s+hour|hourly|/\s*hr|/\s*hour|an\s+hour)\b"),
+    ("MONTHLY", r"\b(per\s+month|monthly|/\s*month|/\s*mo|a\s+month|p\.?m\.?)\b"),
+    ("YEARLY", r"\b(per\s+annum|per\s+year|annually|yearly|/\s*year|/\s*yr|a\s+year|p\.?a\.?|LPA|CTC)\b"),
+)
+MAGNITUDES = (("k", 1e3), ("lpa", 1e5), ("lakh", 1e5), ("lakhs", 1e5), ("lac", 1e5), ("lacs", 1e5), ("l", 1e5), ("crore", 1e7), ("crores", 1e7), ("cr", 1e7), ("mn", 1e6), ("m", 1e6))
+MAGNITUDE = r"(?:k|lpa|lakhs?|lacs?|l|crores?|cr|mn|m)"
+AMOUNT = rf"\d{{1,3}}(?:[,\d]{{0,12}})?(?:\.\d+)?\s*{MAGNITUDE}?(?![a-zA-Z])"
+SALARY = rf"(?i)({AMOUNT})\s*(?:-|–|—|to|and)\s*(?:[₹$€£]|Rs\.?|INR|USD|EUR|GBP)?\s*({AMOUNT})"
+LEAST_SALARY, MOST_SALARY, CHARS_BEFORE, CHARS_AFTER = 1e3, 1e8, 60, 80
+
+
+def windows(text: Column, mark: str) -> Column:
+    """array of the text around each place of mark: CHARS_BEFORE characters, the mark, CHARS_AFTER characters."""
+    marks, between = F.regexp_extract_all(text, F.lit(f"(?i){mark}"), 0), F.split(text, f"(?i){mark}", -1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("found"))
+
+    def step(acc: Column, z: Column) -> Column:
+        begin = acc["at"] + F.length(z["b"])
+        end = begin + F.length(z["m"])
+        low = F.greatest(begin - CHARS_BEFORE, F.lit(0))
+        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.substring(text, low + 1, end + CHARS_AFTER - low))).alias("found"))
+
+    zipped = F.arrays_zip(marks.alias("m"), F.slice(between, F.lit(1), F.size(marks)).alias("b"))
+    return F.aggregate(zipped, start, step, lambda acc: acc["found"])
+
+
 def salary_range(text: Column) -> Column:
-    """struct(low, high, currency, period) from the first currency mark with an amount within 80 characters."""
-    marks = (("USD", r"\$|\busd\b"), ("EUR", r"€|\beur\b"), ("GBP", r"£|\bgbp\b"), ("INR", r"₹|\binr\b|\brs\.?"))
-    amount = r"(\d[\d,]*(?:\.\d+)?)\s*(k|lakhs?|lpa|crores?|m)?"
-    out = F.lit(None).cast("struct<low:double,high:double,currency:string,period:string>")
-    for currency, mark in reversed(marks):
-        window = F.regexp_extract(text, rf"(?is)(?:{mark})(.{{0,80}})", 1)
-        pattern = rf"(?is)^\s*{amount}(?:\s*(?:-|–|—|to)\s*(?:{mark})?\s*{amount})?"
-        found = bound(window, _pieces(pattern))
-        out = F.coalesce(bound(found, _amounts(currency)), out)
-    return out
+    """struct(low, high, currency, period) of the first range of amounts near a currency's mark, on either side of it,
+    that is plausible as pay; the currencies are tried in order, and the period is null where none is named. A
+    magnitude that stands after the second amount only holds for both."""
+    # one term for each currency, and texts without its mark are not taken apart
+    found = lambda c, mark: F.filter(F.transform(windows(text, mark), _pay_in(c)), lambda x: x.isNotNull())
+    return F.coalesce(*(F.when(text.rlike(f"(?i){mark}"), F.get(found(c, mark), F.lit(0))) for c, mark in CURRENCIES))
 
 
-def _pieces(pattern: str) -> Callable[[Column], Column]:
-    return lambda w: F.struct(*(F.lower(F.regexp_extract(w, pattern, g)).alias(n) for g, n in enumerate(("low", "low_unit", "high", "high_unit"), 1)), w.alias("window"))
+def _pay_in(currency: str) -> Callable[[Column], Column]:
+    return lambda window: _pay(window, currency)
 
 
-def _amounts(currency: str) -> Callable[[Column], Column]:
-    unit = lambda u: F.when(u == "k", 1e3).when(u.startswith("l"), 1e5).when(u.startswith("c"), 1e7).when(u == "m", 1e6).otherwise(1.0)
-    number = lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double")
+def _pay(window: Column, currency: str) -> Column:
+    unit = lambda raw: F.nullif(F.lower(F.regexp_extract(raw, rf"(?i)({MAGNITUDE})\s*$", 1)), F.lit(""))
+    number = lambda raw: F.regexp_replace(F.regexp_replace(raw, rf"(?i){MAGNITUDE}?\s*$", ""), r"[,\s]", "").try_cast("double")
 
-    def ends(x: Column) -> Column:
-        # "80-100k": the unit is carried back
-        low = number(x["low"]) * unit(F.coalesce(F.nullif(x["low_unit"], F.lit("")), x["high_unit"]))
-        high = number(x["high"]) * unit(x["high_unit"])
-        period = F.when(x["window"].rlike(r"(?i)hour|/\s*hr"), "HOURLY").when(x["window"].rlike(r"(?i)month|/\s*mo"), "MONTHLY").otherwise("YEARLY")
-        return F.struct(low.alias("low"), F.coalesce(high, low).alias("high"), period.alias("period"))
+    def times(u: Column) -> Column:
+        out = F.lit(1.0)
+        for name, value in MAGNITUDES:
+            out = F.when(u == name, value).otherwise(out)
+        return out
+
+    period = first_of(window, PERIODS)
+    raw = F.struct(F.regexp_extract(window, SALARY, 1).alias("a"), F.regexp_extract(window, SALARY, 2).alias("b"), period.alias("p"))
+    ends = lambda r: F.struct((number(r["a"]) * times(F.coalesce(unit(r["a"]), unit(r["b"])))).alias("a"), (number(r["b"]) * times(unit(r["b"]))).alias("b"), r["p"].alias("p"))
 
     def plausible(x: Column) -> Column:
-        low, high = F.least(x["low"], x["high"]), F.greatest(x["low"], x["high"])
-        return F.when((low >= 1e3) & (high <= 1e8), F.struct(low.alias("low"), high.alias("high"), F.lit(currency).alias("currency"), x["period"].alias("period")))
+        low, high = F.least(x["a"], x["b"]), F.greatest(x["a"], x["b"])
+        fits = x["a"].isNotNull() & x["b"].isNotNull() & (low >= LEAST_SALARY) & (high <= MOST_SALARY)
+        return F.when(fits, F.struct(low.alias("low"), high.alias("high"), F.lit(currency).alias("currency"), x["p"].alias("period")))
+
+    return bound(raw, lambda r: bound(ends(r), plausible))
 
-    return lambda found: bound(ends(found), plausible)
+
+_EDGES = r"^[ .;,*_-]+|[ .;,*_-]+$"
 
 
 def labelled(text: Column, *labels: str) -> Column:
-    """The value after "Label:" at a line's start in the opening, at most 120 characters."""
-    value = F.trim(F.regexp_extract(F.substring(text, 1, HEADER_CHARS), rf"(?im)^[ \t*#-]*(?:{'|'.join(labels)})[ \t]*[:\-][ \t]*(.+)$", 1))
-    return F.when((value != "") & (F.length(value) <= 120), value)
+    """The value after "Label:" at a line's start in the opening, at most 120 characters. Labels are patterns."""
+    found = F.regexp_extract(F.substring(text, 1, HEADER_CHARS), rf"(?im)^[\s#*_>\-]*(?:{'|'.join(labels)})\s*[:\-–]\s*(.+)$", 1)
+    return bound(F.regexp_replace(found, _EDGES, ""), lambda v: F.when((v != "") & (F.length(v) <= 120), v))
+
+
+#: Labels of header lines, words that open no title and no company, and what a company does.
+TITLE_LABELS = (r"job\s*title", "position", "role", "designation", "title")
+COMPANY_LABELS = ("company", "employer", "organisation", "organization", r"hiring\s*company")
+LOCATION_LABELS = ("location", r"job\s*location", r"work\s*location", r"based\s*in", "city")
+NO_TITLE = ("about ", "we are", "we're", "our ")
+NO_COMPANY = ("we", "our", "the", "this", "that", "you", "it", "they", "here", "there", "as", "join", "about", "who", "what", "your", "their", "his", "her", "i")
+COMPANY_INLINE = r"\b(?:at|with|for)\s+([A-Z][\w&.'-]*(?:\s+[A-Z][\w&.'-]*){0,3})\s*$"
+COMPANY_SENTENCE = r"(?m)^([A-Z][\w&.'-]*(?:\s+[A-Z][\w&.'-]*){0,4})\s+(?:is|are|was|builds?|provides?|helps?|makes?|offers?|operates?|powers?|delivers?|develops?|creates?|serves?)\b"
+PLACE_MODE = r"(?i)[\(\[]?\s*(remote|hybrid|on-?site|wfh|work from home)\s*[\)\]]?\s*$"
+_DECORATED = r"^[ #*_>•-]+|[ #*_>•-]+$"
+
+
+def header_title(text: Column) -> Column:
+    """A labelled title, else the first line with words if it is among the first five and reads like one: 2 to 12
+    words, no sentence, no address, not about the company."""
+    lines = F.filter(F.transform(F.slice(F.split(text, "\n"), 1, 5), lambda x: F.trim(F.regexp_replace(x, _DECORATED, ""))), lambda x: x != "")
+
+    def looks(x: Column) -> Column:
+        plain = ~x.rlike("[.!?]$") & ~F.contains(x, F.lit("@")) & F.size(F.split(x, r"\s+")).between(2, 12) & (F.length(x) <= 120)
+        for opening in NO_TITLE:
+            plain &= ~F.startswith(F.lower(x), F.lit(opening))
+        return F.when(plain, x)
+
+    return F.coalesce(labelled(text, *TITLE_LABELS), bound(F.get(lines, F.lit(0)), looks))
+
+
+def header_company(text: Column) -> Column:
+    """A labelled company, else one named after "at", "with" or "for" at the end of one of the first three lines, else
+    the capitalised words that open a line of the opening and do what companies do."""
+    lines = F.filter(F.transform(F.slice(F.split(text, "\n"), 1, 3), lambda x: F.trim(F.regexp_replace(x, _DECORATED, ""))), lambda x: F.length(x).between(1, 120))
+    inline = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_extract(x, COMPANY_INLINE, 1))), lambda x: x != "")
+    doing = F.filter(F.regexp_extract_all(F.substring(text, 1, HEADER_CHARS), F.lit(COMPANY_SENTENCE), 1), lambda x: ~F.lower(F.get(F.split(F.trim(x), r"\s+"), F.lit(0))).isin(*NO_COMPANY))
+    return F.coalesce(labelled(text, *COMPANY_LABELS), F.get(inline, F.lit(0)), F.trim(F.get(doing, F.lit(0))))
+
+
+def header_location(text: Column) -> Column:
+    """A labelled place as it is written, without a work mode after it."""
+    return F.nullif(F.regexp_replace(F.regexp_replace(labelled(text, *LOCATION_LABELS), PLACE_MODE, ""), r"^[ ,\-–|]+|[ ,\-–|]+$", ""), F.lit(""))
 
 
 def cap_list(label: str, items: Column, most: int = 12) -> Column:

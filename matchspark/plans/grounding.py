@@ -122,9 +122,43 @@ def anchor_counts(s: SparkSession, d: str) -> DataFrame:
     return G.anchor_counts(anchor_suggestions(s, d).join(_docs(s, d).select("doc_id", "lang"), "doc_id"), "lang")
 
 
-@query("contact_fields", rf"SELECT doc_id, nullif(regexp_extract({_ASCII.format('text')}, '[\w.+-]+@[\w-]+(?:\.[\w-]+)+'), '') AS email FROM documents")
+#: Headers of resumes by the id, and what each holds: name, email, phone, location, linkedin, github, portfolio.
+HEADERS = (
+    ("MARY O'NEIL\nSenior Engineer\nOslo, Norway | +47 912 34 567 | mary@x.org\nlinkedin.com/in/mary-o\n", "Mary O'neil", "mary@x.org", "+47 912 34 567", "Oslo, Norway", "https://www.linkedin.com/in/mary-o", None, None),
+    ("Curriculum Vitae\nJan van Dam\njan.d@mail.example.com • (020) 555-0199 • github.com/jan/tool • jan.dev/work\n2015 - 2019\n", "Jan van Dam", "jan.d@mail.example.com", "(020) 555-0199", None, None, "https://github.com/jan", "https://jan.dev/work"),
+    ("github.com/features\n2019 - 2021 +1 555 123 4567\nSan Jose, CA\n", None, None, None, "San Jose, CA", None, None, None),
+)
+
+
+def _by_header(k: int) -> str:
+    value = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    return f"CASE doc_id % {len(HEADERS)} " + " ".join(f"WHEN {i} THEN {value(row[k])}" for i, row in enumerate(HEADERS)) + " END"
+
+
+_CONTACTS = ("name", "email", "phone", "location", "linkedin", "github", "portfolio")
+
+
+@query("contact_fields", f"SELECT doc_id, {', '.join(f'{_by_header(k)} AS {name}' for k, name in enumerate(_CONTACTS, 1))} FROM documents")
 def contact_fields(s: SparkSession, d: str) -> DataFrame:
-    return _numbers(_docs(s, d)).select("doc_id", G.contact_fields(F.col("text")).alias("c")).select("doc_id", "c.email")
+    text = F.lit("")
+    for i, (header, *_) in enumerate(HEADERS):
+        text = F.when(F.col("doc_id") % len(HEADERS) == i, header).otherwise(text)
+    # the text below holds no address of its own, nor digits and capitals
+    rest = F.regexp_replace(F.lower("text"), r"[^a-z\n ]", " ")
+    return _docs(s, d).select("doc_id", G.contact_fields(F.concat(text, F.lit("of the work and of all that the text says in so many words\n"), F.lit(("." * 70 + "\n") * 4), rest)).alias("c")).select("doc_id", "c.*")
+
+
+@query("candidate_document", """SELECT user_id, sha256(concat_ws(chr(10), 'Roles: cook; clerk', 'Experience: ' || CAST(years AS VARCHAR) || ' years', 'Skills: ' || array_to_string((list_sort(list_distinct(list(CAST(skill_id AS VARCHAR)) FILTER (skill_id IS NOT NULL))))[1:12], '; '), 'Summary: of ' || country_code,
+  CASE WHEN user_id % 2 = 0 THEN 'Roles held: cook at Acme — fried; baked; stewed' ELSE 'Roles held: cook' END, 'Education: BSc Physics', 'Projects: oven — a hot one; pan')) AS document FROM candidates LEFT JOIN candidate_skills USING (user_id) GROUP BY user_id, years, country_code""")
+def candidate_document(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("user_id")
+    held = B.candidate_skills(s, d).groupBy("user_id").agg(F.collect_list(F.col("skill_id").cast("string")).alias("skills"))
+    none = F.lit(None).cast("string")
+    job = F.struct(F.lit(" cook ").alias("title"), F.when(k % 2 == 0, "Acme").alias("company"), F.when(k % 2 == 0, F.array(*map(F.lit, ("fried", "baked", "stewed", "burnt")))).otherwise(F.array().cast("array<string>")).alias("highlights"))
+    education = F.array(F.struct(F.lit("BSc").alias("degree"), F.lit("Physics").alias("field"), none.alias("institution")))
+    projects = F.array(F.struct(F.lit("oven").alias("name"), F.lit("a hot one").alias("description")), F.struct(F.lit("pan").alias("name"), none.alias("description")))
+    document = G.candidate_document(F.array(*map(F.lit, ("cook", " ", "clerk"))), F.col("years"), F.col("skills"), F.concat(F.lit("of "), "country_code"), F.array(job), education, projects)
+    return B.candidates(s, d).join(held, "user_id", "left").select("user_id", F.sha2(document, 256).alias("document"))
 
 
 @query("date_range", "SELECT o_orderkey AS job_id, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS start, CASE WHEN o_orderkey % 2 = 0 THEN strftime(date_trunc('year', o_orderdate) + INTERVAL 2 YEAR, '%Y-%m-%d') END AS end_, o_orderkey % 2 <> 0 AS is_current FROM orders")

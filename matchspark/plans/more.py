@@ -56,18 +56,65 @@ def role_pair_split(s: SparkSession, d: str) -> DataFrame:
     return L.pair_split(pairs, companies, "job_id").select("a", "b", "company_a", "company_b")
 
 
-@query("salary_range", "SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 3 <> 2 THEN (o_orderkey % 90 + 10) * 1000.0 END::DOUBLE AS low, CASE o_orderkey % 3 WHEN 0 THEN (o_orderkey % 90 + 30) * 1000.0 WHEN 1 THEN (o_orderkey % 90 + 10) * 1000.0 END::DOUBLE AS high, CASE o_orderkey % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' END AS currency FROM orders")
+#: Wordings of pay by the id, and what each says: low, high, currency, period. {a} and {b} are thousands.
+PAY = (
+    ("We pay ${a}-{b}k a year", 1, 1, "USD", "YEARLY"),
+    ("{a},000 - {b},000 EUR per year", 1, 1, "EUR", "YEARLY"),
+    ("{a}k-{b}k USD", 1, 1, "USD", None),
+    ("a $5 gift card. Salary $ {a},000 to ${b},000 per month", 1, 1, "USD", "MONTHLY"),
+    ("{a} - {b} LPA", 100, 100, "INR", "YEARLY"),
+    ("AED {a},000 and {b},000 monthly", 1, 1, "AED", "MONTHLY"),
+    ("{a} to {b} people, {a}-{b} years", None, None, None, None),
+    ("£{a}.5k – £{b}.5k p.a.", 1, 1, "GBP", "YEARLY"),
+)
+
+
+def _by_pay(k: int, of: str) -> str:
+    """SQL for the k-th part of what the wording says of the job."""
+    case = " ".join(f"WHEN {i} THEN {of(row[k], i)}" for i, row in enumerate(PAY))
+    return f"CASE job_id % {len(PAY)} {case} END"
+
+
+def _amount_sql(n: str, k: int) -> str:
+    return _by_pay(k, lambda v, i: "NULL" if v is None else f"({n} + {'0.5' if '.5k' in PAY[i][0] else '0'}) * 1000.0 * {v}")
+
+
+_WORD_SQL = lambda v, i: "NULL" if v is None else f"'{v}'"
+
+
+@query("salary_range", f"SELECT job_id, ({_amount_sql('(job_id % 90 + 10)', 1)})::DOUBLE AS low, ({_amount_sql('(job_id % 90 + 30)', 2)})::DOUBLE AS high, {_by_pay(3, _WORD_SQL)} AS currency, {_by_pay(4, _WORD_SQL)} AS period FROM jobs")
 def salary_range(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    low, high = (k % 90 + 10).cast("string"), (k % 90 + 30).cast("string")
-    text = F.when(k % 3 == 0, F.concat(F.lit("We pay $"), low, F.lit("-"), high, F.lit("k a year"))).when(k % 3 == 1, F.concat(F.lit("salary €"), low, F.lit(",000 per year"))).otherwise("good pay")
-    return table(s, d, "orders").select(k.alias("job_id"), O.salary_range(text).alias("r")).select("job_id", "r.low", "r.high", "r.currency")
+    k = F.col("job_id")
+    text = F.lit("")
+    for i, (wording, *_) in enumerate(PAY):
+        said = F.replace(F.replace(F.lit(f"The work. {wording} and more."), F.lit("{a}"), (k % 90 + 10).cast("string")), F.lit("{b}"), (k % 90 + 30).cast("string"))
+        text = F.when(k % len(PAY) == i, said).otherwise(text)
+    return B.jobs(s, d).select("job_id", O.salary_range(text).alias("r")).select("job_id", "r.low", "r.high", "r.currency", "r.period")
+
+
+#: Openings of postings by the id, and the title, company and place that each names; {x} is the source, {y} the language.
+OPENINGS = (
+    ("Great job\nCompany: {x}\n* Location - {y} (Remote)\n", "Great job", "{x}", "{y}"),
+    ("## Senior cook at Acme Foods\n", "Senior cook at Acme Foods", "Acme Foods", None),
+    ("We are hiring now.\nRole – {x} lead.\nWe are a team\nBolt Labs builds things\n", "{x} lead", "Bolt Labs", None),
+    ("\n\nPosition: clerk\nEmployer: {x};\nCity: {y}, N2 hybrid\n", "clerk", "{x}", "{y}, N2"),
+    ("mail us@x.org today\nbased in: {y}\n", None, None, "{y}"),
+)
+
+
+def _by_opening(k: int) -> str:
+    value = lambda v: "NULL" if v is None else "replace(replace('" + v + "', '{x}', source), '{y}', lang)"
+    return f"CASE doc_id % {len(OPENINGS)} " + " ".join(f"WHEN {i} THEN {value(row[k])}" for i, row in enumerate(OPENINGS)) + " END"
 
 
-@query("header_fields", "SELECT doc_id, source AS company, lang AS location FROM documents")
+@query("header_fields", f"SELECT doc_id, {_by_opening(1)} AS title, {_by_opening(2)} AS company, {_by_opening(3)} AS location FROM documents")
 def header_fields(s: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("Great job\nCompany: "), "source", F.lit("\n* Location - "), "lang", F.lit("\n"), "text")
-    return table(s, d, "documents").select("doc_id", O.labelled(text, "company", "employer").alias("company"), O.labelled(text, "location", "place").alias("location"))
+    text = F.lit("")
+    for i, (opening, *_) in enumerate(OPENINGS):
+        text = F.when(F.col("doc_id") % len(OPENINGS) == i, F.replace(F.replace(F.lit(opening), F.lit("{x}"), F.col("source")), F.lit("{y}"), F.col("lang"))).otherwise(text)
+    # the text's own capitals name no company: they are lowered
+    whole = F.concat(text, F.lower("text"))
+    return table(s, d, "documents").select("doc_id", O.header_title(whole).alias("title"), O.header_company(whole).alias("company"), O.header_location(whole).alias("location"))
 
 
 @query("iso_instant", "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') END AS at FROM events")

@@ -121,6 +121,11 @@ def test_posting_fields(spark):
     assert f(O.min_education, "Bachelor's required, Master's preferred") == "BACHELORS"
     assert tuple(f(O.salary_range, "pays $80-100k a year")) == (80000.0, 100000.0, "USD", "YEARLY")
     assert f(O.salary_range, "no pay named") is None
+    assert tuple(f(O.salary_range, "80,000 - 90,000 EUR per year")) == (80000.0, 90000.0, "EUR", "YEARLY")
+    assert tuple(f(O.salary_range, "60k-70k USD")) == (60000.0, 70000.0, "USD", None)
+    assert tuple(f(O.salary_range, "$5 gift card. Salary $80,000 - $90,000"))[:3] == (80000.0, 90000.0, "USD")
+    assert tuple(f(O.salary_range, "12 - 18 LPA")) == (1200000.0, 1800000.0, "INR", "YEARLY")
+    assert f(O.salary_range, "$ for 10 to 20 members") is None
     assert one(spark, O.and_list(F.array(*map(F.lit, "abcdef")))) == "a, b, c, d and 2 more"
     assert one(spark, O.years_label(F.lit(None).cast("int"), F.lit(6))) == "up to 6 years"
     assert one(spark, O.labelled(F.lit("x\nCompany: Acme\n"), "Company", "Employer")) == "Acme"
