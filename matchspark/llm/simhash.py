@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -46,6 +46,8 @@ _LEAF_PAIRS = 32
 #: what is found.
 _PART_ROWS = 1 << 17
 CROWD = 1 << 17
+#: Leaves of a side of a tile in which near copies are settled; their shingles are held together.
+TILE = 512
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -124,8 +126,8 @@ def set_fingerprints(docs: DataFrame, size: int, bits: int, id_col: str, text_co
 class Forest:
     """Components of leaves 0 to n - 1; each is known by its first leaf."""
 
-    def __init__(self, n: int, label: np.ndarray | None = None) -> None:
-        self.label = np.arange(n) if label is None else label
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
         self.edges: list[tuple[np.ndarray, np.ndarray]] = []
         self._changes: np.ndarray | None = None
 
@@ -155,12 +157,11 @@ class Forest:
         return self._changes[hi - 1] == self._changes[lo]
 
 
-def trie_join(key: np.ndarray, low: np.ndarray, levels: int, whole: np.ndarray, budget: int, limit: int, label: np.ndarray | None = None, new: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def trie_join(key: np.ndarray, low: np.ndarray, levels: int, whole: np.ndarray, budget: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (pairs of places) of the links between leaves sorted by (key, low): within each key, leaves
-    link if low differs in at most budget bits and whole in at most limit, and the pair is new. Leaves with one label
-    (the first such leaf's place) are connected from the start."""
+    link if low differs in at most budget bits and whole in at most limit."""
     n = len(key)
-    forest = Forest(n, label)
+    forest = Forest(n)
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -193,8 +194,6 @@ def trie_join(key: np.ndarray, low: np.ndarray, levels: int, whole: np.ndarray,
             a, b = a[near], b[near]
             far = np.bitwise_count(whole[a] ^ whole[b]).sum(axis=1, dtype=np.int32)
             near = far <= limit
-            if new is not None:
-                near &= new(a, b)
             forest.join(a[near], b[near], far[near])
             s = e
 
@@ -244,8 +243,7 @@ def _squeezed(word: np.ndarray, fixed: int, width: int) -> tuple[np.ndarray, int
     return out, n
 
 
-_LEAF = "fp binary, node long, comp long, apart binary"
-_DEALT = f"word int, fixed long, value long, {_LEAF}"
+_DEALT = "word int, fixed long, value long, fp binary, node long"
 
 
 def _words(fp: np.ndarray, w: int, word_bits: int) -> np.ndarray:
@@ -261,44 +259,37 @@ def _deal(leaves: DataFrame, bits: int, word_bits: int, budget: int) -> DataFram
     """A row for each leaf and each part that it belongs to: the word, which bits of it are fixed, and their value. Two
     words within the budget are alike in some piece, so they meet in a part. Parts that are crowded (over CROWD leaves)
     are dealt on by pieces of the bits not fixed yet, by the same rule, so that no part has to hold what many leaves
-    have in common. A known pair goes where it meets."""
+    have in common."""
     pieces = budget + 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            first = batch.num_columns == 4  # leaves; else rows of crowded parts
-            own = batch if first else batch.select(["fp", "node", "comp", "apart"])
+            first = batch.num_columns == 2  # leaves; else rows of crowded parts
+            own = batch if first else batch.select(["fp", "node"])
             fp = _as_words(own.column(0), bits)
-            pair = np.asarray(own.column(3).is_valid())
-            apart = np.zeros_like(fp)
-            if pair.any():
-                apart[pair] = _as_words(own.column(3).filter(own.column(3).is_valid()), bits)
             parts = [(w, 0, np.arange(len(fp))) for w in range(bits // word_bits)]
             if not first:
                 word, fixed = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 parts = [(int(w), int(f) & 0xFFFFFFFFFFFFFFFF, np.flatnonzero((word == w) & (fixed == f))) for w, f in sorted(set(zip(word.tolist(), fixed.tolist(), strict=True)))]
             for w, fixed, at in parts:
-                word, far = _words(fp[at], w, word_bits), _words(apart[at], w, word_bits)
-                near = np.bitwise_count(far) <= budget
+                word = _words(fp[at], w, word_bits)
+                rows = own if first else own.take(pa.array(at))
                 for piece in _piece_masks(((1 << word_bits) - 1) & ~fixed, pieces):
                     mask = np.uint64(fixed | piece)
-                    meets = np.flatnonzero(near & (far & mask == 0))
-                    value = (word[meets] & mask).view(np.int64)
-                    ids = [pa.array(np.full(len(meets), x)) for x in (np.int32(w), mask.view(np.int64))]
-                    yield pa.RecordBatch.from_arrays([*ids, pa.array(value), *own.take(pa.array(at[meets])).columns], names=["word", "fixed", "value", "fp", "node", "comp", "apart"])
+                    ids = [pa.array(np.full(len(at), x)) for x in (np.int32(w), mask.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array((word & mask).view(np.int64)), *rows.columns], names=["word", "fixed", "value", "fp", "node"])
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How many leaves go to each part, summed over what is dealt at once."""
         for out in deal(batches):
-            held = out.column(2).filter(out.column(6).is_null()).to_numpy()
-            value, n = np.unique(held, return_counts=True)
-            ids = [pa.array(np.full(len(value), out.column(k)[0].as_py() if len(held) else 0, t)) for k, t in ((0, np.int32), (1, np.int64))]
+            value, n = np.unique(out.column(2).to_numpy(), return_counts=True)
+            ids = [pa.array(np.full(len(value), out.column(k)[0].as_py(), t)) for k, t in ((0, np.int32), (1, np.int64))]
             yield pa.RecordBatch.from_arrays([*ids, pa.array(value), pa.array(n)], names=["word", "fixed", "value", "size"])
 
     key = ["word", "fixed", "value"]
-    rows, calm_parts = leaves.select("fp", "node", "comp", "apart"), []
+    rows, calm_parts = leaves.select("fp", "node"), []
     while True:
         dealt = rows.mapInArrow(deal, _DEALT)
         size = rows.mapInArrow(sizes, "word int, fixed long, value long, size long").groupBy(*key).agg(F.sum("size").alias("size"))
@@ -309,13 +300,8 @@ def _deal(leaves: DataFrame, bits: int, word_bits: int, budget: int) -> DataFram
         rows = cut(dealt.join(crowded, key, "left_semi"))
 
 
-def links(leaves: DataFrame, bits: int, word_bits: int, budget: int, limit: int, forests: int = 1) -> DataFrame:
-    """leaves: (fp, node, comp, apart). Where apart is null, comp is the component that the leaf is known to be in; else
-    the row is a pair (node, comp) that was found before and counts as no link, apart the bits in which it differs.
-
-    (a, b, fp, apart, comp_a, comp_b): the links of that many forests at most, each of links not in those before,
-    between leaves that are in no common component; fp is that of a. One forest is enough to connect whatever is
-    linked."""
+def links(leaves: DataFrame, bits: int, word_bits: int, budget: int, limit: int) -> DataFrame:
+    """leaves: (fp, node), one row for each fingerprint. (a, b), a > b: enough links to connect whatever is linked."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -342,36 +328,20 @@ def links(leaves: DataFrame, bits: int, word_bits: int, budget: int, limit: int,
         word, fixed = t.column("word").to_numpy(), t.column("fixed").to_numpy()
         edge = np.flatnonzero((word[1:] != word[:-1]) | (fixed[1:] != fixed[:-1])) + 1
         for a, b in itertools.pairwise([0, *edge.tolist(), len(word)]):
-            yield from joined(t.slice(a, b - a), int(word[a]), int(fixed[a]) & 0xFFFFFFFFFFFFFFFF)
-
-    def joined(t: pa.Table, w: int, fixed: int) -> Iterator[pa.RecordBatch]:
-        gone, t = t.filter(t.column("apart").is_valid()), t.filter(t.column("apart").is_null())
-        if len(t) < 2:
-            return
-        value, node, comp = (t.column(c).to_numpy() for c in ("value", "node", "comp"))
-        raw = np.array(t.column("fp").to_pylist(), object)
-        whole = np.frombuffer(b"".join(raw), ">u8").astype(np.uint64).reshape(-1, bits // 64)
+            if b - a > 1:
+                yield joined(t.slice(a, b - a), int(word[a]), int(fixed[a]) & 0xFFFFFFFFFFFFFFFF)
+
+    def joined(t: pa.Table, w: int, fixed: int) -> pa.RecordBatch:
+        value, node = (t.column(c).to_numpy() for c in ("value", "node"))
+        whole = _as_words(t.column("fp"), bits)
         low, levels = _squeezed(_words(whole, w, word_bits), fixed, word_bits)
         order = np.lexsort((node, low, value))
-        value, low, node, comp, raw, whole = (x[order] for x in (value, low, node, comp, raw, whole))
-        names, number = np.unique(np.concatenate([node, gone.column("node").to_numpy(), gone.column("comp").to_numpy()]), return_inverse=True)
-        code = lambda x, y: np.maximum(x, y) * len(names) + np.minimum(x, y)
-        n, m = len(node), len(gone)
-        known = np.unique(code(number[n : n + m], number[n + m :]))
-        _, first, of = np.unique(comp, return_index=True, return_inverse=True)
-        for _ in range(forests):
-            a, b = trie_join(value, low, levels, whole, budget, limit, first[of], (lambda x, y, known=known: ~np.isin(code(number[x], number[y]), known)) if len(known) else None)
-            if not len(a):
-                return
-            known = np.union1d(known, code(number[a], number[b]))
-            a, b = np.where(node[a] > node[b], a, b), np.where(node[a] > node[b], b, a)
-            apart = [x.tobytes() for x in (whole[a] ^ whole[b]).astype(">u8")]
-            out = [pa.array(node[a]), pa.array(node[b]), pa.array(raw[a].tolist(), pa.binary()), pa.array(apart, pa.binary()), pa.array(comp[a]), pa.array(comp[b])]
-            yield pa.RecordBatch.from_arrays(out, names=["a", "b", "fp", "apart", "comp_a", "comp_b"])
+        a, b = (node[order][x] for x in trie_join(value[order], low[order], levels, whole[order], budget, limit))
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
     key = ["word", "fixed", "value"]
     dealt = _deal(leaves, bits, word_bits, budget).repartition(*key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(join, "a long, b long, fp binary, apart binary, comp_a long, comp_b long").dropDuplicates(["a", "b"])
+    return dealt.mapInArrow(join, "a long, b long").distinct()
 
 
 def leaves_of(fps: DataFrame, id_col: str, *more: str) -> DataFrame:
@@ -383,8 +353,7 @@ def leaves_of(fps: DataFrame, id_col: str, *more: str) -> DataFrame:
 def group(fps: DataFrame, bits: int = 64, word_bits: int = 64, budget: int = 3, limit: int = 3, id_col: str = "doc_id") -> DataFrame:
     """fps (id_col, fp) with component_id: the smallest id that can be reached over links, of whatever type ids are."""
     leaves = leaves_of(fps, id_col)
-    nodes = leaves.select("fp", "node", F.col("node").alias("comp"), F.lit(None).cast("binary").alias("apart"))
-    roots = components(links(nodes, bits, word_bits, budget, limit))
+    roots = components(links(leaves, bits, word_bits, budget, limit))
     rooted = leaves.join(roots, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("_root"))
     least = rooted.groupBy("_root").agg(F.min("first").alias("component_id"))
     return fps.join(rooted.join(least, "_root").select("fp", "component_id"), "fp")
@@ -395,6 +364,7 @@ def group(fps: DataFrame, bits: int = 64, word_bits: int = 64, budget: int = 3,
 NEAR_BITS = 384
 NEAR_WORD_BITS = 32
 NEAR_LIMIT = 72
+NEAR_BUDGET = 3
 NEAR_SHINGLE = 5
 NEAR_SIMILARITY = 0.8
 
@@ -412,51 +382,83 @@ def sets_of(leaves: DataFrame, docs: DataFrame, size: int, id_col: str, text_col
     return leaves.select("node", "shingle_set").join(held, "shingle_set").select("node", "shingles")
 
 
+def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sets of shingles have that similarity (Jaccard) at least."""
+    if min(len(x), len(y)) < least * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= least * (len(x) + len(y) - both)
+
+
 def judge(found: DataFrame, held: DataFrame, least: float) -> DataFrame:
-    """found with same: whether the sets of shingles of a and b have that similarity (Jaccard) at least."""
+    """found (a, b) with same: whether their sets of shingles have that similarity at least."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                same.append(both >= least * (len(x) + len(y) - both))
+            same = [alike(*(np.frombuffer(v.as_buffer(), np.uint64) for v in xy), least) for xy in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(same, pa.bool_())], names=["a", "b", "same"])
 
-    pairs = found.select("a", "b").join(held.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(held.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    judged = pairs.select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long, same boolean")
-    return found.join(judged, ["a", "b"])
+    pairs = found.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(held.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    return pairs.select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long, same boolean")
+
+
+def settle(members: DataFrame, least: float) -> DataFrame:
+    """members: (crowd, node, comp, fp, shingles). (a, b): links enough to connect all that are alike within a crowd,
+    beyond what the components (comp) connect already.
+
+    A crowd's largest component needs no look at itself: the others are held against all, in tiles of about TILE leaves
+    a side, one in each task, whatever the size of the crowd. Only leaves whose fingerprints make them candidates are
+    compared, and within a tile only those that nothing connects yet."""
+    sizes = members.groupBy("crowd", "comp").agg(F.count("*").alias("n"))
+    per = lambda c, name: F.greatest(F.ceil(c / TILE), F.lit(1)).cast("int").alias(name)
+    crowds = sizes.groupBy("crowd").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), per(F.sum("n") - F.max("n"), "ni"), per(F.sum("n"), "nj"), F.count("*").alias("comps")).where("comps > 1")
+    dealt = members.join(crowds, "crowd")
+    block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ("node", "comp", "fp", "shingles")
+    left = dealt.where(F.col("comp") != F.col("main")).select("crowd", block("ni").alias("i"), every("nj").alias("j"), *columns)
+    right = dealt.select(F.col("crowd").alias("rcrowd"), every("ni").alias("ri"), block("nj").alias("rj"), *(F.col(c).alias(f"r{c}") for c in columns))
+
+    def tile(x: pa.Table, y: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if len(x) and len(y):
+            a, b = x.column("node").to_numpy(), y.column("rnode").to_numpy()
+            _, label = np.unique(np.concatenate([x.column("comp").to_numpy(), y.column("rcomp").to_numpy()]), return_inverse=True)
+            fa, fb = _as_words(x.column("fp"), NEAR_BITS), _as_words(y.column("rfp"), NEAR_BITS)
+            sa, sb = ([np.frombuffer(v.as_buffer(), np.uint64) for v in t.column(c)] for t, c in ((x, "shingles"), (y, "rshingles")))
+            for i in range(len(a)):
+                apart = np.flatnonzero(label[len(a) :] != label[i])
+                differ = fa[i] ^ fb[apart]
+                words = np.stack([_words(differ, w, NEAR_WORD_BITS) for w in range(NEAR_BITS // NEAR_WORD_BITS)])
+                each = np.bitwise_count(words)
+                for j in apart[(each.sum(axis=0, dtype=np.int64) <= NEAR_LIMIT) & (each.min(axis=0) <= NEAR_BUDGET)]:
+                    if label[len(a) + j] != label[i] and alike(sa[i], sb[j], least):
+                        label[label == label[len(a) + j]] = label[i]
+                        found.append((int(a[i]), int(b[j])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return left.groupBy("crowd", "i", "j").cogroup(right.groupBy("rcrowd", "ri", "rj")).applyInArrow(tile, "a long, b long")
 
 
 def verified(leaves: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, root): components of leaves (node, fp, shingle_set, first) over candidates that the shingles confirm.
 
-    A round judges a forest of the candidates between components; what passes is contracted, what fails is remembered,
-    and only leaves of components that had candidates go on. It ends when a round has no failure: then no candidate
-    is left between two components. Each round tries four times as many forests as the one before, so that a
-    crowd of candidates that all fail takes a logarithm of its size in rounds."""
-    active = leaves.select("fp", "node", F.col("node").alias("comp"), F.lit(None).cast("binary").alias("apart"))
-    held = labels = failed = None
-    forests = 1
-    while True:
-        found = cut(links(active.union(failed) if failed else active, NEAR_BITS, NEAR_WORD_BITS, 3, NEAR_LIMIT, forests))
-        if held is None:
-            ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-            held = cut(sets_of(leaves.join(ends, "node", "left_semi"), docs, NEAR_SHINGLE, id_col, text_col))
-        judged = cut(judge(found, held, NEAR_SIMILARITY))
-        good, bad = judged.where("same"), judged.where("not same")
-        # what a round connects are components of those before it
-        roots = components(good.select("comp_a", "comp_b"), "comp_a", "comp_b").select(F.col("node").alias("comp"), "root")
-        renamed = lambda df, roots=roots: df.join(roots, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
-        labels = cut(renamed(active.select("node", "comp") if labels is None else labels))
-        if bad.isEmpty():
-            return labels.select("node", F.col("comp").alias("root"))
-        bad = bad.select("fp", F.col("a").alias("node"), F.col("b").alias("comp"), "apart")
-        failed = failed.union(bad) if failed else bad
-        touched = judged.select(F.explode(F.array("comp_a", "comp_b")).alias("comp")).distinct()
-        active = cut(renamed(active.join(touched, "comp", "left_semi")).select("fp", "node", "comp", "apart"))
-        forests *= 4
+    The trie join gives a forest of candidates, whose trees are crowds: every candidate pair is within one. The
+    forest's links are judged; what passes makes components. A crowd in which a link fails may hold pairs that the
+    forest left out for it, so all candidates between its components are judged too."""
+    found = cut(links(leaves, NEAR_BITS, NEAR_WORD_BITS, NEAR_BUDGET, NEAR_LIMIT))
+    ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    held = cut(sets_of(leaves.join(ends, "node", "left_semi"), docs, NEAR_SHINGLE, id_col, text_col))
+    judged = cut(judge(found, held, NEAR_SIMILARITY))
+    good, bad = judged.where("same").select("a", "b"), judged.where("not same").select("a", "b")
+    roots = cut(components(good))
+    if bad.isEmpty():
+        return roots
+    crowds = components(found).withColumnRenamed("root", "crowd")
+    doubtful = cut(crowds.join(bad.select(F.col("a").alias("node")).distinct().join(crowds, "node").select("crowd").distinct(), "crowd", "left_semi"))
+    members = doubtful.join(roots, "node", "left").select("crowd", "node", F.coalesce("root", "node").alias("comp"))
+    more = cut(settle(members.join(leaves.select("node", "fp"), "node").join(held, "node"), NEAR_SIMILARITY))
+    return roots if more.isEmpty() else components(good.union(more))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,8 +3,8 @@
 The method is a sparse suffix array built by a distributed merge sort that knows common prefixes.
 
 1. Suffixes. Every window of LENGTH bytes is represented by one suffix that starts in it: at the place, among the
-   first SPREAD places of the window, whose 8 bytes have the lowest hash (a bijection, so only equal bytes tie), the
-   leftmost of such. The choice depends on nothing but the window, so equal windows are represented by suffixes at the
+   first SPREAD places of the window, whose 8 bytes have the lowest hash (of 56 bits, always), the leftmost of such.
+   The choice depends on nothing but the window, so equal windows are represented by suffixes at the
    same place in them, and about 2 in SPREAD suffixes are enough. A suffix stands for a run of windows; its context is
    the bytes of all of them.
 2. Pruning. Equal windows share their suffix's first KEY = LENGTH - SPREAD bytes. Suffixes whose key is found once in
@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchspark.llm.common import Chunk, chunks, cut, table
+from matchspark.llm.common import CHUNK_BYTES, Chunk, chunks, cut, table
 
 LENGTH = 200
 SPREAD = 144
@@ -52,6 +52,7 @@ _SEGMENT = 1 << 20
 _RUN_ENTRIES = 1 << 15
 _OUT_ROWS = 1 << 13
 _SMALL_GROUP = 12
+_SLAB = 1 << 17
 #: Entries of one key that are merged together; a key with more is split by further bytes. No result depends on it.
 CROWD = 20_000
 _OWNER_ENTRIES = 1 << 18
@@ -62,10 +63,19 @@ _VALUES = _rng.integers(0, 1 << 64, (3, 256), dtype=np.uint64)
 _BASES = [int(x) * 8 + 5 for x in _rng.integers(1 << 50, 1 << 60, 3)]
 
 
+_HELD: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """The first n powers; those of chunks of the usual size are made once in each Python worker."""
+    held = _HELD.get(base)
+    if held is None or len(held) < n:
+        held = np.full(max(n, CHUNK_BYTES), base, np.uint64)
+        held[0] = 1
+        held = np.multiply.accumulate(held)
+        if len(held) <= 2 * CHUNK_BYTES:
+            _HELD[base] = held
+    return held[:n]
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -119,18 +129,18 @@ class Suffixes:
 
 
 def leftmost_least(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each i of first, the leftmost place of the least of grams[i : i + SPREAD]. grams is whole blocks of SPREAD."""
-    place = np.arange(len(grams)).reshape(-1, SPREAD)
+    """For each i of first, the leftmost place of the least of grams[i : i + SPREAD] by their upper 56 bits. grams is
+    whole blocks of SPREAD, and loses its lower 8 bits to places within the block."""
+    grams &= np.uint64(0xFFFFFFFFFFFFFF00)
     block = grams.reshape(-1, SPREAD)
-    ahead = np.minimum.accumulate(block, axis=1)
-    behind = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1]
-    # a new least from the left on, and the nearest place to the right that is the least of what follows it
-    fresh = np.ones(block.shape, bool)
-    fresh[:, 1:] = block[:, 1:] < ahead[:, :-1]
-    at_ahead = np.maximum.accumulate(np.where(fresh, place, -1), axis=1).ravel()
-    at_behind = np.minimum.accumulate(np.where(block == behind, place, len(grams))[:, ::-1], axis=1)[:, ::-1].ravel()
+    block |= np.arange(SPREAD, dtype=np.uint64)
+    ahead = np.minimum.accumulate(block, axis=1).ravel()
+    behind = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
     last = first + SPREAD - 1
-    return np.where(behind.ravel()[first] <= ahead.ravel()[last], at_behind[first], at_ahead[last])
+    left, right = behind[first], ahead[last]
+    here = left >> np.uint64(8) <= right >> np.uint64(8)
+    low = np.where(here, left, right) & np.uint64(0xFF)
+    return np.where(here, first, last) // SPREAD * SPREAD + low.astype(np.int64)
 
 
 def suffixes(chunk: Chunk) -> Iterator[tuple[Suffixes, int]]:
@@ -277,13 +287,21 @@ def cover(group: list[Entry], forward: list[int]) -> list[list[tuple[int, int]]]
     ahead, place = np.array(forward), np.array(order)
     size, room = np.array(least), np.array([len(e[1]) for e in group])
     hit = np.zeros((SPREAD, n), bool)
-    for d in range(SPREAD):
-        left = np.empty(n, np.int64)
-        left[place] = np.cumsum(back < d)
-        both = np.cumsum(ahead < LENGTH - d) * np.int64(n + 1) + left
-        own = np.flatnonzero((size <= d) & (room >= d))
-        _, at, count = np.unique(both[own], return_inverse=True, return_counts=True)
-        hit[d, own] = count[at] > 1
+    step = max(1, _SLAB // n)
+    for low in range(0, SPREAD, step):  # many distances at once
+        d = np.arange(low, min(SPREAD, low + step))[:, None]
+        left = np.empty((len(d), n), np.int64)
+        left[:, place] = np.cumsum(back < d, axis=1)
+        both = np.cumsum(ahead < LENGTH - d, axis=1) * np.int64(n + 1) + left
+        # those without such a window are alike to nobody
+        both = np.where((size <= d) & (room >= d), both, -1 - np.arange(n))
+        rank = np.argsort(both, axis=1)
+        ranked = np.take_along_axis(both, rank, axis=1)
+        same = ranked[:, 1:] == ranked[:, :-1]
+        twin = np.zeros(both.shape, bool)
+        twin[:, 1:] |= same
+        twin[:, :-1] |= same
+        np.put_along_axis(hit[low : low + len(d)], rank, twin, axis=1)
     edge = np.diff(np.pad(hit, ((1, 1), (0, 0))).astype(np.int8), axis=0)
     for d, i in zip(*np.nonzero(edge.T == 1), strict=True):
         out[d].append((int(i), -1))
@@ -347,7 +365,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     merged = _merge(_with_texts(contexts, calm, packed()), 0, entries, _entries)
     crowded = kinds.where(F.col("kinds") > CROWD)
     if not crowded.isEmpty():
-        merged = merged.unionByName(_split(cut(_with_texts(contexts, crowded, packed()).mapInArrow(_entries, _ENTRY).drop("part"))))
+        merged = merged.unionByName(_split(cut(_with_texts(contexts, crowded, packed()).mapInArrow(_entry_batches, _ENTRY).drop("part"))))
 
     whole = contexts.where("n > 1").select("c1", "c2", F.lit(None).cast("binary").alias("cover"))
     # an entry that stands for two suffixes has all its windows repeated, whatever the merge says of it
@@ -362,19 +380,26 @@ def _with_texts(contexts: DataFrame, keys: DataFrame, packed: DataFrame) -> Data
     return packed.join(wanted.groupBy("row").agg(F.collect_list(F.struct("key", "c1", "c2", "place")).alias("wanted")), "row").select("body", "wanted")
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes, bytes, int, int]]:
     """(part, suffix, before, c1, c2) of the wanted suffixes, as far as their contexts go; part is the key's bytes."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            body, wanted = _body(batch.column(0)[i].as_py()), batch.column(1)[i].as_py()
-            place = [(w["place"] >> 16, w["place"] >> 8 & 255, w["place"] & 255) for w in wanted]
-            cols = [
-                pa.array([(w["key"] & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big") for w in wanted], pa.binary()),
-                pa.array([body[at : at + after] for at, _, after in place], pa.binary()),
-                pa.array([body[at - before : at] for at, before, _ in place], pa.binary()),
-                *(pa.array([w[c] for w in wanted], pa.int64()) for c in ("c1", "c2")),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, names=["part", "suffix", "before", "c1", "c2"])
+        for packed, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            body = _body(packed)
+            for w in wanted:
+                place = w["place"]
+                at = place >> 16
+                yield (w["key"] & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big"), body[at : at + (place & 255)], body[at - (place >> 8 & 255) : at], w["c1"], w["c2"]
+
+
+def _entry_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = _entries(batches)
+    while some := list(itertools.islice(rows, _OUT_ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), [pa.binary()] * 3 + [pa.int64()] * 2, strict=True)], names=["part", "suffix", "before", "c1", "c2"])
+
+
+def _entry_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes, bytes, int, int]]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
 _ENTRY = "part binary, suffix binary, before binary, c1 long, c2 long"
@@ -405,7 +430,7 @@ def _split(entries: DataFrame) -> DataFrame:
             return out
 
 
-def _merge(entries: DataFrame, lead: int, n: int, read: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter) -> DataFrame:
+def _merge(entries: DataFrame, lead: int, n: int, read: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]] = _entry_rows) -> DataFrame:
     """entries: (part, suffix, before, c1, c2), n of them, or what read makes these of. (c1, c2, cover) of those that share windows with others of
     their part; a part is known by `lead` bytes that are set before the suffix, or by the suffix's own first KEY."""
     owners = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // _OWNER_ENTRIES))
@@ -420,13 +445,12 @@ def _merge(entries: DataFrame, lead: int, n: int, read: Callable[[Iterator[pa.Re
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(owner, pa.int32()), pa.array(blobs, pa.binary())], names=["owner", "run"])
 
-        for batch in read(batches):
-            for part, suffix, before, c1, c2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(int.from_bytes(part[:8], "big") % owners, []).append((part[:lead] + suffix, before, c1, c2))
-                count += 1
-                if count >= _RUN_ENTRIES:
-                    yield flush()
-                    count = 0
+        for part, suffix, before, c1, c2 in read(batches):
+            held.setdefault(int.from_bytes(part[:8], "big") % owners, []).append((part[:lead] + suffix, before, c1, c2))
+            count += 1
+            if count >= _RUN_ENTRIES:
+                yield flush()
+                count = 0
         if count:
             yield flush()
 
