@@ -6,17 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from matchspark.functions.text import content_key
+from matchspark.functions.text import bound, content_key
 from matchspark.operators.grounding import date_range
 
 
+#: What headings are decorated with, and how long they are at most.
+DECORATION = r"^[\s\-=_*~#>◆■□●•\[\]|:]+|[\s\-=_*~#<◆■□●•\[\]|:]+$"
+MOST_HEADING_CHARS, MOST_CAPITAL_WORDS = 60, 5
+
+
 def resume_sections(docs: DataFrame, headings: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, line_no, line, section): a heading is a line of at most 60 characters that equals a phrase of headings
-    (phrase, section), case and a closing colon aside; what stands before the first is CONTACT."""
+    (phrase, section), case and decoration aside, or a line in capitals of at most five words that begins or ends with
+    one (the longest counts). What stands before the first is CONTACT; a text without headings is UNKNOWN."""
     lines = docs.select(doc, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    bare = F.lower(F.trim(F.regexp_replace("line", r"[\s:]+$", "")))
-    marked = lines.withColumn("phrase", F.when(F.length("line") <= 60, bare)).join(headings.withColumnRenamed("section", "_head"), "phrase", "left")
-    section = F.coalesce(F.last("_head", ignorenulls=True).over(W.partitionBy(doc).orderBy("line_no")), F.lit("CONTACT"))
+    bare = F.trim(F.regexp_replace("line", DECORATION, ""))
+    lines = lines.withColumn("_bare", F.when(F.length(bare).between(1, MOST_HEADING_CHARS), bare))
+    normal = F.trim(F.regexp_replace(F.lower("_bare"), r"\s+", " "))
+    words = F.split(normal, " ")
+    capitals = (F.upper("_bare") == F.col("_bare")) & (F.lower("_bare") != F.col("_bare")) & (F.size(words) <= MOST_CAPITAL_WORDS)
+    part = lambda w, n, end: F.array_join(F.slice(w, -n, n) if end else F.slice(w, F.lit(1), n), " ")
+    shorter = lambda w: F.sequence(F.lit(1), F.size(w) - 1)
+    openings = bound(words, lambda w: F.when(capitals & (F.size(w) > 1), F.concat(F.transform(shorter(w), lambda n: part(w, n, False)), F.transform(shorter(w), lambda n: part(w, n, True)))).otherwise(F.array().cast("array<string>")))
+    tried = lines.where("_bare is not null").select(doc, "line_no", normal.alias("_whole"), F.explode(F.array_distinct(F.concat(F.array(normal), openings))).alias("phrase"))
+    found = tried.join(headings, "phrase").groupBy(doc, "line_no").agg(F.max_by("section", F.struct(F.col("phrase") == F.col("_whole"), F.length("phrase"), "section")).alias("_head"))
+    marked = lines.join(found, [doc, "line_no"], "left")
+    section = F.coalesce(F.last("_head", ignorenulls=True).over(W.partitionBy(doc).orderBy("line_no")), F.when(F.max("_head").over(W.partitionBy(doc)).isNotNull(), "CONTACT").otherwise("UNKNOWN"))
     return marked.withColumn("section", section).where("_head is null and trim(line) <> ''").select(doc, "line_no", "line", "section")
 
 

@@ -133,6 +133,18 @@ def ablate(long: DataFrame, keys: list[str], item: str, dimension: str = "dimens
     return long.join(sums, [*keys, item]).select(*keys, item, F.col(dimension).alias("dropped"), ((F.col("_s") - F.col(score) * F.col(weight)) / (F.col("_w") - F.col(weight))).alias("score"))
 
 
+def ablation_ndcg(ablated: DataFrame, full: DataFrame, labels: DataFrame, keys: list[str], item: str, k: int = 10) -> DataFrame:
+    """(dropped, ndcg, change): NDCG@k with each dimension left out, the mean over keys, and how it differs from that
+    of the full score ("none"). ablated (keys, item, dropped, score) is ranked anew for each dimension; labels (keys or
+    a part of them, item, label) judge the ranks."""
+    scored = ablated.select(*keys, item, "dropped", "score").union(full.select(*keys, item, F.lit("none"), "score"))
+    judged = scored.join(labels, [c for c in (*keys, item) if c in labels.columns])
+    each = ndcg_at_k(ranked_labels(judged, [*keys, "dropped"], "score", item), [*keys, "dropped"], k, item)
+    means = each.groupBy("dropped").agg(F.avg(f"ndcg_at_{k}").alias("ndcg"))
+    whole = means.where("dropped = 'none'").select(F.lit(0).alias("_one"), F.col("ndcg").alias("_full"))
+    return means.withColumn("_one", F.lit(0)).join(F.broadcast(whole), "_one", "left").select("dropped", "ndcg", (F.col("ndcg") - F.col("_full")).alias("change"))
+
+
 def pair_digest(pairs: DataFrame, *keys: Column) -> DataFrame:
     """Twelve hex digits that name a set of pairs, whatever their order: their number and the exclusive or of their
     hashes, four lanes of 60 bits, so that nothing is gathered in one place."""

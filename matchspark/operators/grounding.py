@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -216,11 +218,27 @@ def score_reply_parse(replies: DataFrame, key: str, reply: str, marks: tuple[str
     return parsed.select(key, *(F.when(ok, F.col(f"r.{m}")).alias(m) for m in marks), F.when(ok, F.bround(mean.cast("decimal(20,12)"), 3).cast("double")).alias("overall"))
 
 
+_SUGGESTIONS = "array<struct<original: string, suggested: string>>"
+
+
+def _usable(longest: int) -> Callable[[Column], Column]:
+    given = lambda x: x["original"].isNotNull() & x["suggested"].isNotNull()
+    return lambda x: given(x) & (x["original"] != x["suggested"]) & (F.length(x["original"]) <= longest) & (F.length(x["suggested"]) <= longest)
+
+
 def suggestion_parse(replies: DataFrame, key: str, reply: str, most: int = 8, longest: int = 2000) -> DataFrame:
-    """(key, place, original, suggested): usable suggestions of each reply, identical and overlong ones dropped."""
-    parsed = replies.select(key, unfence_json(F.col(reply), "array<struct<original: string, suggested: string>>").alias("a"))
-    usable = F.filter("a", lambda x: (x["original"] != x["suggested"]) & (F.length(x["original"]) <= longest) & (F.length(x["suggested"]) <= longest))
-    return parsed.select(key, F.posexplode(F.slice(usable, 1, most)).alias("place", "s")).select(key, "place", "s.original", "s.suggested")
+    """(key, place, original, suggested): usable suggestions of each reply; incomplete, identical and overlong ones are
+    dropped."""
+    parsed = replies.select(key, unfence_json(F.col(reply), _SUGGESTIONS).alias("a"))
+    return parsed.select(key, F.posexplode(F.slice(F.filter("a", _usable(longest)), 1, most)).alias("place", "s")).select(key, "place", "s.original", "s.suggested")
+
+
+def suggestion_counts(replies: DataFrame, key: str, reply: str, longest: int = 2000) -> DataFrame:
+    """(key, given, dropped): how many suggestions each reply holds and how many of them are of no use; nulls for a
+    reply that is no list."""
+    parsed = replies.select(key, unfence_json(F.col(reply), _SUGGESTIONS).alias("a"))
+    n = F.when(F.col("a").isNotNull(), F.size("a"))
+    return parsed.select(key, n.alias("given"), (n - F.size(F.filter("a", _usable(longest)))).alias("dropped"))
 
 
 #: Patterns of contact details, and words that make a line no name and no place.

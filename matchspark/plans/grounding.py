@@ -102,6 +102,14 @@ def suggestion_parse(s: SparkSession, d: str) -> DataFrame:
     return G.suggestion_parse(_docs(s, d).select("doc_id", reply.alias("reply")), "doc_id", "reply")
 
 
+@query("suggestion_counts", "SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN 4 END AS given, CASE WHEN doc_id % 4 <> 3 THEN CASE WHEN lang = source THEN 4 ELSE 2 END END AS dropped FROM documents")
+def suggestion_counts(s: SparkSession, d: str) -> DataFrame:
+    pair = lambda a, b: F.struct(a.alias("original"), b.alias("suggested"))
+    lang, source = F.col("lang"), F.col("source")
+    reply = F.to_json(F.array(pair(lang, source), pair(lang, lang), pair(source, lang), pair(source, F.lit(None).cast("string"))))
+    return G.suggestion_counts(_docs(s, d).select("doc_id", F.when(F.col("doc_id") % 4 == 3, "no list").otherwise(reply).alias("reply")), "doc_id", "reply")
+
+
 #: Three suggestions for each text: words of its own with a claim of theirs, with one of nobody's, and words it lacks.
 ANCHOR_SQL = rf""", own AS (SELECT doc_id, {_ASCII.format('text')} AS t, regexp_extract_all({_ASCII.format('text')}, '[a-z]+ [a-z]+')[1] AS o FROM documents),
 asked_ AS (SELECT doc_id, 0 AS place, o AS original, o AS suggested, t FROM own WHERE o IS NOT NULL UNION ALL SELECT doc_id, 1, o, o || ' by 12345678 %', t FROM own WHERE o IS NOT NULL UNION ALL SELECT doc_id, 2, 'never said 0', 'x', t FROM own)

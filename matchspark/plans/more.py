@@ -159,22 +159,33 @@ def candidate_job_cross(s: SparkSession, d: str) -> DataFrame:
     return B.candidate_vectors(s, d).select("user_id").crossJoin(n)
 
 
-@query("resume_sections", """, lines AS (SELECT doc_id, i, x[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), unnest(generate_series(1, len(x))) u(i)),
-  m AS (SELECT *, CASE WHEN length(line) <= 60 THEN CASE lower(trim(regexp_replace(line, '[\\s:]+$', ''))) WHEN 'of.' THEN 'SKILLS' WHEN 'the.' THEN 'EXPERIENCE' END END AS head FROM lines),
-  s AS (SELECT doc_id, head, line, coalesce(last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i), 'CONTACT') AS section FROM m)
-  SELECT doc_id, section, count(*) AS n FROM s WHERE head IS NULL AND trim(line) <> '' GROUP BY ALL""")
+#: Headings for the given prose: whole lines of it, and words that lines in capitals begin or end with.
+RESUME_HEADINGS = (("of.", "SKILLS"), ("the.", "EXPERIENCE"), ("technical skills", "SKILLS"), ("skills", "SUMMARY"), ("tools", "PROJECTS"))
+#: Lines that are put in front of every text but each fifth.
+HEADED = "Ada Byron\n-- TECHNICAL SKILLS & MORE --\npython\nMy tools\nBEST TOOLS\nMy best tools\nA B C D E TOOLS\n"
+_VALUES = ", ".join(f"('{p}', '{n}')" for p, n in RESUME_HEADINGS)
+
+
+@query("resume_sections", rf""", texts AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN '{HEADED}' ELSE '' END || text AS t FROM documents), lines AS (SELECT doc_id, i, x[i] AS line FROM (SELECT doc_id, string_split(t, chr(10)) AS x FROM texts), unnest(generate_series(1, len(x))) u(i)),
+  c AS (SELECT *, trim(regexp_replace(line, '{careers.DECORATION}', '', 'g')) AS c FROM lines), n AS (SELECT *, CASE WHEN length(c) BETWEEN 1 AND 60 THEN trim(regexp_replace(lower(c), '\s+', ' ', 'g')) END AS n, upper(c) = c AND lower(c) <> c AS capitals FROM c),
+  h AS (SELECT doc_id, i, arg_max(section, (n = phrase, length(phrase), section)) AS head FROM n JOIN (VALUES {_VALUES}) v(phrase, section) ON n = phrase OR (capitals AND len(string_split(n, ' ')) <= 5 AND (starts_with(n, phrase || ' ') OR ends_with(n, ' ' || phrase))) GROUP BY ALL),
+  s AS (SELECT doc_id, i, line, head, coalesce(last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i), CASE WHEN max(head) OVER (PARTITION BY doc_id) IS NULL THEN 'UNKNOWN' ELSE 'CONTACT' END) AS section FROM lines LEFT JOIN h USING (doc_id, i))
+  SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, section FROM s WHERE head IS NULL AND trim(line) <> ''""")
 def resume_sections(s: SparkSession, d: str) -> DataFrame:
-    heads = s.createDataFrame([("of.", "SKILLS"), ("the.", "EXPERIENCE")], "phrase string, section string")
-    return careers.resume_sections(table(s, d, "documents"), heads).groupBy("doc_id", "section").agg(F.count("*").alias("n"))
+    heads = s.createDataFrame(list(RESUME_HEADINGS), "phrase string, section string")
+    docs = table(s, d, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 5 != 0, HEADED).otherwise(""), "text").alias("text"))
+    return careers.resume_sections(docs, heads).select("doc_id", "line_no", "section")
 
 
-@query("career_entities", "SELECT o_custkey AS user_id, count(DISTINCT (o_orderpriority, date_trunc('month', o_orderdate))) AS n FROM orders GROUP BY ALL HAVING count(DISTINCT (o_orderpriority, date_trunc('month', o_orderdate))) <= 25")
+@query("career_entities", """, entries AS (SELECT o_custkey AS user_id, o_orderpriority AS title, date_trunc('month', o_orderdate) AS month_, min(o_orderkey) AS k, arg_min(o_totalprice, o_orderkey) AS worth FROM orders GROUP BY ALL),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k) AS n FROM entries) SELECT user_id, title, strftime(month_, '%Y-%m-%d') AS start, true AS is_current, 1 AS bullets FROM placed WHERE n <= 25""")
 def career_entities(s: SparkSession, d: str) -> DataFrame:
-    """Each customer's orders as the dated lines of a resume, with a bullet below each."""
+    """Each customer's orders as the dated lines of a resume, with a bullet below each; at most 25 entries of each."""
     at = F.col("o_orderdate")
     entry = F.array(F.concat(F.col("o_orderpriority"), F.lit(", "), F.date_format(at, "MMM yyyy"), F.lit(" - Present")), F.concat(F.lit("- did things worth "), F.col("o_totalprice")))
     lines = table(s, d, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderkey", F.posexplode(entry).alias("k", "line")).select("user_id", (F.col("o_orderkey") * 2 + F.col("k")).alias("line_no"), "line")
-    return careers.career_entities(lines, "user_id", 2026).groupBy("user_id").agg(F.count("*").alias("n"))
+    found = careers.career_entities(lines, "user_id", 2026)
+    return found.select("user_id", "title", F.date_format("start", "yyyy-MM-dd").alias("start"), "is_current", F.size("highlights").alias("bullets"))
 
 
 @query("stream_index", "SELECT doc_id, sha256('v1' || chr(10) || text) AS hash FROM documents WHERE length(trim(text)) >= 80 AND doc_id % 2 <> 0")

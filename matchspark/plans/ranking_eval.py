@@ -12,7 +12,7 @@ from matchspark.operators import evaluation as V
 from matchspark.operators import records as L
 from matchspark.plans import base as B
 from matchspark.plans.base import query, table
-from matchspark.plans.matching import MATCH_SQL, match_breakdown
+from matchspark.plans.matching import MATCH_SQL, match_breakdown, match_many
 from matchspark.plans.parsing import STOP_SQL
 
 SCORED_SQL = ", scored AS (SELECT company_id, job_id, coalesce(salary_max, 0) + min_years * 10000 AS score, (job_id * 7) % 4 AS label FROM jobs WHERE status = 'ACTIVE')"
@@ -137,6 +137,17 @@ def ablate(s: SparkSession, d: str) -> DataFrame:
     return _round(V.ablate(match_breakdown(s, d), ["user_id"], "job_id"), "score")
 
 
+@query("ablation_ndcg", f"""{MATCH_SQL}, total AS (SELECT user_id, job_id, sum(score * weight) AS s, sum(weight) AS w FROM contributions GROUP BY ALL),
+  scored_ AS (SELECT user_id, job_id, dimension AS dropped, round((s - score * weight) / (w - weight), 6) AS score FROM contributions JOIN total USING (user_id, job_id) UNION ALL SELECT user_id, job_id, 'none', overall FROM matches),
+  ranked_ AS (SELECT *, job_id % 4 AS label, row_number() OVER (PARTITION BY user_id, dropped ORDER BY score DESC, job_id) AS r, row_number() OVER (PARTITION BY user_id, dropped ORDER BY job_id % 4 DESC, job_id) AS b FROM scored_),
+  each_ AS (SELECT user_id, dropped, sum((2 ** label - 1) / log2(r + 1)) FILTER (r <= 10) / nullif(sum((2 ** label - 1) / log2(b + 1)) FILTER (b <= 10), 0) AS n FROM ranked_ GROUP BY ALL), mean_ AS (SELECT dropped, avg(n) AS ndcg FROM each_ GROUP BY ALL)
+  SELECT dropped, round(ndcg, 6) AS ndcg, round(ndcg - (SELECT ndcg FROM mean_ WHERE dropped = 'none'), 6) AS change FROM mean_""")
+def ablation_ndcg(s: SparkSession, d: str) -> DataFrame:
+    full = match_many(s, d).select("user_id", "job_id", F.col("overall").alias("score"))
+    labels = B.job_vectors(s, d).select("job_id", (F.col("job_id") % 4).alias("label"))
+    return _round(V.ablation_ndcg(ablate(s, d), full, labels, ["user_id"], "job_id"), "ndcg", "change")
+
+
 @query("pair_digest", "SELECT sha256(concat_ws('|', count(*), bit_xor(('0x' || h[1:15])::BIGINT), bit_xor(('0x' || h[16:30])::BIGINT), bit_xor(('0x' || h[31:45])::BIGINT), bit_xor(('0x' || h[46:60])::BIGINT)))[1:12] AS digest FROM (SELECT DISTINCT sha256(CAST(doc_id AS VARCHAR) || '|' || CAST(quality AS VARCHAR)) AS h FROM labels)")
 def pair_digest(s: SparkSession, d: str) -> DataFrame:
     return V.pair_digest(table(s, d, "labels"), F.col("doc_id").cast("string"), F.col("quality").cast("string"))

@@ -38,6 +38,5 @@ def test_same_rows(spark, duck, sf, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_others_run(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() >= 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
