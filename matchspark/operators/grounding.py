@@ -343,8 +343,12 @@ def skill_list_terms(lines: DataFrame, doc: str, line: str) -> DataFrame:
 
 def infer_skills(sentences: DataFrame, rules: DataFrame, found: DataFrame, doc: str) -> DataFrame:
     """sentences (doc, sentence), rules (word, skill, confidence), found (doc, skill). The best inference of each skill
-    that was not found, at most 0.55 sure. Rules are met by their word through an equal join, not tried one by one."""
-    words = sentences.select(doc, "sentence", F.explode(F.array_distinct(F.split(F.lower("sentence"), r"[^a-z0-9+#]+"))).alias("word"))
+    that was not found, at most 0.55 sure. A rule's word may be a phrase, its words one blank apart; rules are met by
+    runs of words through an equal join, not tried one by one."""
+    sizes = sorted(r[0] for r in rules.select(F.size(F.split("word", " "))).distinct().collect())  # as many as the longest phrase has words
+    run = lambda w, n: F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(w, i, n), " "))
+    runs = bound(F.split(F.lower("sentence"), r"[^a-z0-9+#]+"), lambda w: F.array_distinct(F.flatten(F.array(*(run(w, n) for n in sizes or [1])))))
+    words = sentences.select(doc, "sentence", F.explode(runs).alias("word"))
     hits = words.join(rules, "word").groupBy(doc, "skill").agg(F.least(F.lit(0.55), F.max("confidence")).alias("confidence"), F.substring(F.min("sentence"), 1, 240).alias("evidence"))
     return hits.join(found.select(doc, "skill"), [doc, "skill"], "left_anti")
 

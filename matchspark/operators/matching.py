@@ -171,3 +171,12 @@ def skill_score(buckets: DataFrame, demand: DataFrame) -> DataFrame:
         F.try_divide(F.sum(weight * quality), F.sum(weight)).alias("skill"),
         *(F.count_if(F.col("bucket") == b).alias(f"n_{b.lower()}") for b in ("MATCHED", "PARTIAL", "MISSING")),
     )
+
+
+def match_lists(buckets: DataFrame, skills: DataFrame) -> DataFrame:
+    """(user_id, job_id, matched, partial, missing): the names in each bucket, required ones first, then by name. A
+    pair's lists are as long as what its posting asks for."""
+    named = buckets.join(skills.select("skill_id", "name"), "skill_id")
+    entry = F.struct((F.col("requirement") != "REQUIRED").alias("later"), "name", "skill_id")
+    of = lambda b: F.transform(F.array_sort(F.collect_list(F.when(F.col("bucket") == b, entry))), lambda x: x["name"]).alias(b.lower())
+    return named.groupBy("user_id", "job_id").agg(*map(of, ("MATCHED", "PARTIAL", "MISSING")))

@@ -199,10 +199,13 @@ def skill_list_terms(s: SparkSession, d: str) -> DataFrame:
     return G.skill_list_terms(lines, "doc_id", "line")
 
 
-@query("infer_skills", """, words AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9+#]+')) AS word FROM documents)
-  SELECT doc_id, skill, least(0.55, max(confidence))::DOUBLE AS confidence FROM words JOIN (VALUES ('the', 'a', 0.5), ('license', 'a', 0.9), ('and', 'b', 0.3)) r(word, skill, confidence) USING (word) WHERE NOT (doc_id % 2 = 0 AND skill = 'b') GROUP BY ALL""")
+INFERENCES = (("the", "a", 0.5), ("license", "a", 0.9), ("and", "b", 0.3), ("of the", "c", 0.45), ("licensed under the", "d", 0.5))
+
+
+@query("infer_skills", f""", w AS (SELECT doc_id, string_split_regex(lower(text), '[^a-z0-9+#]+') AS w FROM documents), words AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + n - 1], ' ') AS word FROM w, (VALUES (1), (2), (3)) z(n), unnest(generate_series(1, len(w) - n + 1)) u(i))
+  SELECT doc_id, skill, least(0.55, max(confidence))::DOUBLE AS confidence FROM words JOIN (VALUES {', '.join(map(str, INFERENCES))}) r(word, skill, confidence) USING (word) WHERE NOT (doc_id % 2 = 0 AND skill = 'b') GROUP BY ALL""")
 def infer_skills(s: SparkSession, d: str) -> DataFrame:
-    rules = s.createDataFrame([("the", "a", 0.5), ("license", "a", 0.9), ("and", "b", 0.3)], "word string, skill string, confidence double")
+    rules = s.createDataFrame(list(INFERENCES), "word string, skill string, confidence double")
     found = _docs(s, d).where("doc_id % 2 = 0").select("doc_id", F.lit("b").alias("skill"))
     return G.infer_skills(_docs(s, d).select("doc_id", F.col("text").alias("sentence")), rules, found, "doc_id").drop("evidence")
 

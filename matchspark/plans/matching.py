@@ -152,6 +152,15 @@ def match_partition(s: SparkSession, d: str) -> DataFrame:
     return M.match_partition(_recall(s, d), B.job_skills(s, d), B.candidate_skills(s, d), B.skills(s, d))
 
 
+_LIST_SQL = ", ".join(f"coalesce(string_agg(name, ';' ORDER BY requirement <> 'REQUIRED', name, skill_id) FILTER (bucket = '{b}'), '') AS {b.lower()}" for b in ("MATCHED", "PARTIAL", "MISSING"))
+
+
+@query("match_lists", f"{BUCKETS_SQL} SELECT user_id, job_id, {_LIST_SQL} FROM buckets JOIN skills USING (skill_id) GROUP BY ALL")
+def match_lists(s: SparkSession, d: str) -> DataFrame:
+    lists = M.match_lists(match_partition(s, d), B.skills(s, d))
+    return lists.select("user_id", "job_id", *(F.array_join(c, ";").alias(c) for c in ("matched", "partial", "missing")))
+
+
 def _skill_scores(s: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
     demand = D.skill_demand(_live(s, d), B.job_skills(s, d), B.skills(s, d))
     return M.skill_score(M.match_partition(pairs, B.job_skills(s, d), B.candidate_skills(s, d), B.skills(s, d)), demand)
