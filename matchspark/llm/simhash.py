@@ -47,7 +47,7 @@ _LEAF_PAIRS = 32
 _PART_ROWS = 1 << 17
 CROWD = 1 << 17
 #: Leaves of a side of a tile in which near copies are settled; their shingles are held together.
-TILE = 512
+TILE = 128
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:

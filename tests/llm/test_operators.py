@@ -156,8 +156,11 @@ def shingles_of(text, k):
     return [" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))]
 
 
-def test_near_copies_are_all_that_verified_links_connect(spark):
-    """Clouds around the threshold: most candidates fail the check, and a pair that passes must be judged all the same."""
+@pytest.mark.parametrize("tile", [128, 9])
+def test_near_copies_are_all_that_verified_links_connect(spark, monkeypatch, tile):
+    """Clouds around the threshold: most candidates fail the check, and a pair that passes must be judged all the same,
+    however small the tiles are."""
+    monkeypatch.setattr(simhash, "TILE", tile)
     rng = random.Random(11)
     texts = {}
     for cloud in range(6):
