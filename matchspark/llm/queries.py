@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from matchspark.llm.chat import OP8_SQL, op8_chat_perspectives
 from matchspark.llm.decontaminate import op4_decontaminate
+from matchspark.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from matchspark.llm.language_id import op10_language_id
 from matchspark.llm.packing import op3_packing
 from matchspark.llm.pii import op2_pii
@@ -28,8 +29,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_perspectives": op8_chat_perspectives,
     "op7_url_filter": op7_url_filter,
     "op9_substring_dedup": op9_substring_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_chat_perspectives": OP8_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
