@@ -13,6 +13,7 @@ from matchspark.llm.language_id import op10_language_id
 from matchspark.llm.packing import op3_packing
 from matchspark.llm.pii import op2_pii
 from matchspark.llm.quality import op5_quality_rules
+from matchspark.llm.ranked_search import OP12_SQL, op12_ranked_search
 from matchspark.llm.simhash import op1_simhash
 from matchspark.llm.substring_dedup import op9_substring_dedup
 from matchspark.llm.toxicity import op6_toxicity
@@ -29,10 +30,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_perspectives": op8_chat_perspectives,
     "op7_url_filter": op7_url_filter,
     "op9_substring_dedup": op9_substring_dedup,
+    "op12_ranked_search": op12_ranked_search,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_chat_perspectives": OP8_SQL,
+    "op12_ranked_search": OP12_SQL,
     "op13_hard_negatives": OP13_SQL,
 }
