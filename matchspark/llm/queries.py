@@ -10,6 +10,7 @@ from matchspark.llm.chat import OP8_SQL, op8_chat_perspectives
 from matchspark.llm.decontaminate import op4_decontaminate
 from matchspark.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from matchspark.llm.language_id import op10_language_id
+from matchspark.llm.minhash import op11_minhash
 from matchspark.llm.packing import op3_packing
 from matchspark.llm.pii import op2_pii
 from matchspark.llm.quality import op5_quality_rules
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_perspectives": op8_chat_perspectives,
     "op7_url_filter": op7_url_filter,
     "op9_substring_dedup": op9_substring_dedup,
+    "op11_minhash": op11_minhash,
     "op12_ranked_search": op12_ranked_search,
     "op13_hard_negatives": op13_hard_negatives,
 }
