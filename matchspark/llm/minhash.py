@@ -9,15 +9,17 @@ The join: a signature is split into chunks. By the pigeonhole principle signatur
 chunks * (errors + 1) places have a chunk with `errors` errors at most. The errors that a chunk may have are
 enumerated: for each choice of so many places the others are a key, so such a pair is certain to share a key. Leaves
 that share a key meet; they are candidates if, besides, their sizes allow the similarity and their whole signatures
-differ in at most `limit` places. The sets themselves decide on every candidate.
+are near. The sets themselves decide on every candidate.
 
 Meetings are settled in rounds, so that groups of copies are not compared all with all: first each leaf of a key with
-the first and the one before it in order of size, then, among what no link connects yet, a forest of candidates between components, at
-last all candidates between components that are left. A key that very many leaves share is met in tiles of bounded
-size, whatever their number. Components come from alternating star steps in Spark.
+the first and the one before it in order of size, then, among what no link connects yet, forests of candidates between
+components, nearest first, for as long as they bring links, and at last all candidates between components that are
+left. In these rounds leaves that share a key are known by wider signatures, which tell more sharply which pairs can
+link. A key that very many leaves share is met in tiles of bounded size, whatever their number. Components come from
+alternating star steps in Spark.
 
 Under the settings below, a pair at a similarity of exactly 0.85 shares no key with a probability of 5e-7 and differs
-in more places than `limit` with 1e-6; both fall fast above it.
+in more places of the wider signature than allowed with 3e-6; both fall fast above it.
 
 Defined results: null and blank texts have no shingles, link with nothing and are their own component; a text with
 fewer words than a shingle is one shingle; very long texts are read whole. Ids may be of any type that has an order.
@@ -45,29 +47,32 @@ SHINGLE = 5
 SIMILARITY = 85
 CHUNKS, WIDTH, ERRORS = 8, 5, 1
 PLACES = CHUNKS * WIDTH
-#: Places in which the signatures of candidates may differ.
+#: Places in which the signatures of candidates may differ; and places of 8 bits of the wider ones, and the same there.
 LIMIT = 18
+WIDE, WIDE_LIMIT = 512, 116
 #: Leaves of a side of a tile, of a block of neighbours, and pairs compared at once. None changes a result.
 TILE = 2048
 _ROWS = 1 << 16
-_PAIRS = 1 << 17
-#: Hash functions of the signature: the k-th multiplies and mixes by the k-th of these, drawn from a fixed seed.
-_DRAWN = np.random.default_rng(11).integers(1, 1 << 63, (PLACES, 2), dtype=np.uint64)
+_PAIRS = 1 << 15
+#: Hash functions: the k-th place multiplies and mixes by the k-th of these, drawn from a fixed seed.
+_DRAWN = np.random.default_rng(11).integers(1, 1 << 63, (PLACES + WIDE, 2), dtype=np.uint64)
+_NARROW = slice(0, PLACES), np.uint16
+_WIDER = slice(PLACES, PLACES + WIDE), np.uint8
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """(texts x PLACES) of 16 bits: of sets of hashes; zeros for empty ones."""
+def signatures(sets: list[np.ndarray], which: slice = _NARROW[0], bits: type = _NARROW[1]) -> np.ndarray:
+    """(texts x places) of sets of hashes; zeros for empty ones."""
     counts = np.array([len(x) for x in sets])
-    out = np.zeros((len(sets), PLACES), np.uint16)
+    out = np.zeros((len(sets), len(_DRAWN[which])), bits)
     some = np.flatnonzero(counts)
     if len(some):
         h = np.concatenate(sets)
         at = (np.cumsum(counts) - counts)[some]
-        for k, (flip, times) in enumerate(_DRAWN):
+        for k, (flip, times) in enumerate(_DRAWN[which]):
             z = (h ^ flip) * (times | np.uint64(1))
             z ^= z >> np.uint64(32)
             z *= np.uint64(0xD6E8FEB86659FD93)
-            out[some, k] = (np.minimum.reduceat(z, at) >> np.uint64(8)).astype(np.uint16)
+            out[some, k] = (np.minimum.reduceat(z, at) >> np.uint64(8)).astype(bits)
     return out
 
 
@@ -120,17 +125,17 @@ def shared_keys(leaves: DataFrame) -> DataFrame:
     return dealt.join(dealt.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, PLACES)
+def _matrix(column: pa.Array, bits: type = _NARROW[1], places: int = PLACES) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), bits).reshape(-1, places)
 
 
-def _near(t: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _near(t: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, least: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of pairs of places those between components that can link, and how far they are apart."""
     n, comp, signature = t["n"], t["comp"], t["signature"]
     may = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]))
     a, b = a[may], b[may]
     far = (signature[a] != signature[b]).sum(axis=1)
-    near = far <= LIMIT
+    near = far <= limit
     return a[near], b[near], far[near]
 
 
@@ -189,7 +194,7 @@ def neighbours(members: DataFrame, least: int) -> DataFrame:
             i = np.arange(kept, len(new))
             a = np.concatenate([i[i > start[i]], i[i - 1 > start[i]]])
             b = np.concatenate([start[i[i > start[i]]], i[i - 1 > start[i]] - 1])
-            a, b, _ = _near(t, a, b, least)
+            a, b, _ = _near(t, a, b, least, LIMIT)
             yield _pairs(a, b, t["node"])
             at = start[-1]
             first, before = {c: v[at : at + 1] for c, v in t.items() if c != "comp"}, {c: v[-1:] for c, v in t.items() if c != "comp"}
@@ -200,7 +205,7 @@ def neighbours(members: DataFrame, least: int) -> DataFrame:
 
 
 def between(members: DataFrame, least: int, forest: bool) -> DataFrame:
-    """members (key, node, n, signature, comp). (a, b): candidates between components that meet in a key; all of them,
+    """members (key, node, n, signature, comp), with wider signatures. (a, b): candidates between components that meet in a key; all of them,
     or of each tile only a forest, nearest first. Keys with many leaves are dealt into tiles of pairs of blocks."""
     spread = members.groupBy("key").agg(F.count("*").alias("_n"), F.min("comp").alias("_c"), F.max("comp").alias("_d")).where("_c < _d")
     tiles = spread.select("key", F.greatest(F.ceil(F.col("_n") / TILE), F.lit(1)).cast("int").alias("_b"))
@@ -211,7 +216,7 @@ def between(members: DataFrame, least: int, forest: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _runs(batches, by):
-            t = {c: held.column(c).to_numpy() for c in (*by, "side", "node", "n", "comp")} | {"signature": _matrix(held.column("signature").combine_chunks())}
+            t = {c: held.column(c).to_numpy() for c in (*by, "side", "node", "n", "comp")} | {"signature": _matrix(held.column("signature").combine_chunks(), _WIDER[1], WIDE)}
             at = np.arange(len(held))
             begin = np.flatnonzero(_changes([t[c] for c in by]))
             run_of = np.cumsum(_changes([t[c] for c in by])) - 1
@@ -226,7 +231,7 @@ def between(members: DataFrame, least: int, forest: bool) -> DataFrame:
                 e = max(s + 1, int(np.searchsorted(total, total[s] + _PAIRS, side="right")) - 1)
                 a = np.repeat(at[s:e], width[s:e])
                 b = np.arange(len(a)) - np.repeat(total[s:e] - total[s], width[s:e]) + np.repeat(start[s:e], width[s:e])
-                found.append(_near(t, a, b, least))
+                found.append(_near(t, a, b, least, WIDE_LIMIT))
                 s = e
             a, b, far = (np.concatenate(x) for x in zip(*found, strict=True))
             if forest and len(a):
@@ -248,17 +253,19 @@ def between(members: DataFrame, least: int, forest: bool) -> DataFrame:
 
 
 def sets_of(leaves: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles) of leaves (node, set, first), read from the texts again."""
+    """(node, shingles, signature) of leaves (node, set, first), read from the texts again; with wider signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             each = shingle_sets(chunk, size)
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in each], pa.binary()), pa.array([x.tobytes() for x in each], pa.binary())], names=["set", "shingles"])
+            columns = ([set_key(x) for x in each], [x.tobytes() for x in each], [x.tobytes() for x in signatures(each, *_WIDER)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["set", "shingles", "signature"])
 
     wanted = leaves.select("first").distinct()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(wanted, F.col("_id").eqNullSafe(F.col("first")), "left_semi")
-    held = texts.select("text").mapInArrow(run, "set binary, shingles binary")
-    return leaves.select("node", "set").join(held, "set").dropDuplicates(["node"]).select("node", "shingles")
+    held = texts.select("text").mapInArrow(run, "set binary, shingles binary, signature binary")
+    once = held.groupBy("set").agg(F.first(F.struct("shingles", "signature")).alias("_h"))
+    return leaves.select("node", "set").join(once, "set").select("node", "_h.shingles", "_h.signature")
 
 
 def confirmed(pairs: DataFrame, held: DataFrame, least: int) -> DataFrame:
@@ -285,14 +292,20 @@ def components_of(docs: DataFrame, size: int = SHINGLE, least: int = SIMILARITY,
     judged = cut(neighbours(members, least))
     links = cut(confirmed(judged, held, least))
     roots = cut(components(links))
-    for forest in (True, False):
-        labelled = members.join(roots, "node", "left").select("key", "node", "n", "signature", F.coalesce("root", "node").alias("comp"))
+    wider = members.select("key", "node", "n").join(held.select("node", "signature"), "node")
+    forest = True
+    while True:
+        labelled = wider.join(roots, "node", "left").select("key", "node", "n", "signature", F.coalesce("root", "node").alias("comp"))
         pairs = cut(between(labelled, least, forest).join(judged, ["a", "b"], "left_anti"))
-        judged = judged.union(pairs)
         more = cut(confirmed(pairs, held, least))
-        if not more.isEmpty():
+        found = not more.isEmpty()
+        if found:
             links = links.union(more)
             roots = cut(components(links))
+        if not forest:
+            break
+        judged = judged.union(pairs)
+        forest = found
     rooted = cut(leaves.join(roots, "node", "left").select("n", "set", "first", F.coalesce("root", "node").alias("_root")))
     smallest = rooted.groupBy("_root").agg(F.min("first").alias("component_id"))
     # a set without shingles is no link: each such row is its own component
