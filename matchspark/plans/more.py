@@ -177,17 +177,6 @@ def resume_sections(s: SparkSession, d: str) -> DataFrame:
     return careers.resume_sections(docs, heads).select("doc_id", "line_no", "section")
 
 
-@query("career_entities", """, entries AS (SELECT o_custkey AS user_id, o_orderpriority AS title, date_trunc('month', o_orderdate) AS month_, min(o_orderkey) AS k, arg_min(o_totalprice, o_orderkey) AS worth FROM orders GROUP BY ALL),
-  placed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k) AS n FROM entries) SELECT user_id, title, strftime(month_, '%Y-%m-%d') AS start, true AS is_current, 1 AS bullets FROM placed WHERE n <= 25""")
-def career_entities(s: SparkSession, d: str) -> DataFrame:
-    """Each customer's orders as the dated lines of a resume, with a bullet below each; at most 25 entries of each."""
-    at = F.col("o_orderdate")
-    entry = F.array(F.concat(F.col("o_orderpriority"), F.lit(", "), F.date_format(at, "MMM yyyy"), F.lit(" - Present")), F.concat(F.lit("- did things worth "), F.col("o_totalprice")))
-    lines = table(s, d, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderkey", F.posexplode(entry).alias("k", "line")).select("user_id", (F.col("o_orderkey") * 2 + F.col("k")).alias("line_no"), "line")
-    found = careers.career_entities(lines, "user_id", 2026)
-    return found.select("user_id", "title", F.date_format("start", "yyyy-MM-dd").alias("start"), "is_current", F.size("highlights").alias("bullets"))
-
-
 @query("stream_index", "SELECT doc_id, sha256('v1' || chr(10) || text) AS hash FROM documents WHERE length(trim(text)) >= 80 AND doc_id % 2 <> 0")
 def stream_index(s: SparkSession, d: str) -> DataFrame:
     """Drain the texts whose hash is not indexed yet; every second one is."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchspark.plans import grounding, market, matching, more, parsing, ranking_eval, upserts  # noqa: F401  each registers its queries
+from matchspark.plans import grounding, market, matching, more, parsing, ranking_eval, resumes, upserts  # noqa: F401  each registers its queries
 from matchspark.plans.base import REGISTRY, Query
 from matchspark.streaming import plans as _streams  # noqa: F401
 

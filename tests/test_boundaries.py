@@ -289,9 +289,9 @@ def test_application_fold(spark, moves):
     assert (row.status, row.moves, row.refused) == (status, ok, len(moves) - ok)
 
 
-def test_a_busy_customer_has_25_career_entries(spark, tmp_path):
-    from matchspark.plans.more import career_entities
+def test_a_busy_customer_has_25_career_entries_of_a_kind(spark, tmp_path):
+    from matchspark.plans.resumes import career_entities
 
-    orders = [(k, 1 if k < 40 else 2, "1-URGENT", dt.date(1992 + k // 12, k % 12 + 1, 1), 1.0) for k in range(43)]
-    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate date, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    orders = [(4 * k, 1 if k < 40 else 2, dt.date(1992 + k // 12, k % 12 + 1, 1), 1.0) for k in range(43)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
     assert {r.user_id: r["count"] for r in career_entities(spark, str(tmp_path)).groupBy("user_id").count().collect()} == {1: 25, 2: 3}
