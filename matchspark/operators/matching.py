@@ -94,19 +94,23 @@ def pair_cosine(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: st
 
 
 def copies(postings: DataFrame) -> DataFrame:
-    """(job_id, class_id): postings alike in company, title and vector are one class, known by its smallest id."""
-    alike = postings.groupBy("company_id", "title", "embedding").agg(F.min("job_id").alias("class_id"))
-    same = lambda c: postings[c].eqNullSafe(alike[c])
-    return postings.join(alike, same("company_id") & same("title") & same("embedding")).select("job_id", "class_id")
+    """(job_id, class_id, alike): postings alike in company, title and vector are one class, known by its smallest id.
+    alike: whether members of the class are near duplicates of each other, for which it takes a vector that is not zero
+    and a company or a title with letters."""
+    same = postings.groupBy("company_id", "title", "embedding").agg(F.min("job_id").alias("class_id"))
+    near = F.col("embedding").isNotNull() & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False)) & (F.col("company_id").isNotNull() | F.coalesce(F.size(trigrams(F.col("title"))) > 0, F.lit(False)))
+    same = same.withColumn("alike", near)
+    equal = lambda c: postings[c].eqNullSafe(same[c])
+    return postings.join(same, equal("company_id") & equal("title") & equal("embedding")).select("job_id", "class_id", "alike")
 
 
 def near_duplicate_pairs(postings: DataFrame, least: float = 0.97, least_title: float = 0.3) -> DataFrame:
     """postings: (job_id, company_id, title, embedding). (a, b, cosine, shares_company, similar_title), a < b, between
     classes of alike postings (see copies), each known by its smallest id.
 
-    Classes meet if they share the company, or if their titles are similar: titles with similarity t share one of
-    their rarest floor((1 - t) n) + 1 trigrams, so a prefix of these loses no pair. Those of one company, or of two
-    similar titles, meet in tiles of bounded size, and only pairs that are near leave a tile."""
+    Classes meet if they share the company, or if their titles may be similar (see title_tiles): in tiles of bounded
+    size, which many titles share, and only pairs whose vectors are near leave a tile. Titles themselves are compared
+    for these few."""
     own = postings.groupBy("company_id", "title", "embedding").agg(F.min("job_id").cast("long").alias("_id")).withColumnRenamed("embedding", "_v").where("_v is not null")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -123,14 +127,14 @@ def near_duplicate_pairs(postings: DataFrame, least: float = 0.97, least_title:
 
     schema = "a long, b long, cosine double"
     named = own.where("company_id is not null").select("company_id", "_id", "_v")
-    pairs = _similar_titles(own, least_title)
-    left, right = (pairs.join(own.select(F.col("title").alias(t), "_id", "_v"), t).select("t1", "t2", "_id", "_v") for t in ("t1", "t2"))
-    near = _tiled(named, named, ["company_id"], run, schema).union(_tiled(left, right, ["t1", "t2"], run, schema))
+    tiles, met = title_tiles(own.select("title"), least_title)
+    left, right = own.join(tiles, "title").select("tile", "_id", "_v"), own.join(met, "title").select("tile", "_id", "_v")
+    near = _tiled(named, named, ["company_id"], run, schema).union(_tiled(left, right, ["tile"], run, schema))
     near = near.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     side = lambda n: own.select(F.col("_id").alias(n), F.col("company_id").alias(f"_c{n}"), F.col("title").alias(f"_t{n}"))
     both = near.join(side("a"), "a").join(side("b"), "b")
-    # titles are compared for the few pairs that are near
-    return both.select("a", "b", "cosine", F.coalesce(F.col("_ca") == F.col("_cb"), F.lit(False)).alias("shares_company"), F.coalesce(trigram_similarity(F.col("_ta"), F.col("_tb")) >= least_title, F.lit(False)).alias("similar_title"))
+    told = both.select("a", "b", "cosine", F.coalesce(F.col("_ca") == F.col("_cb"), F.lit(False)).alias("shares_company"), F.coalesce(trigram_similarity(F.col("_ta"), F.col("_tb")) >= least_title, F.lit(False)).alias("similar_title"))
+    return told.where(F.col("shares_company") | F.col("similar_title"))
 
 
 def near_duplicate_classes(postings: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -140,18 +144,54 @@ def near_duplicate_classes(postings: DataFrame, pairs: DataFrame) -> DataFrame:
     sizes = members.groupBy("class_id").agg(F.count("*").alias("_n"))
     both = pairs.select("a", "b").union(pairs.select("b", "a"))
     far = both.join(sizes.withColumnRenamed("class_id", "b"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("_n").alias("_far"))
-    return members.join(sizes, "class_id").join(far, "class_id", "left").select("job_id", "class_id", (F.col("_n") - 1 + F.coalesce("_far", F.lit(0))).alias("n_links"))
+    own = F.when(F.col("alike"), F.col("_n") - 1).otherwise(F.lit(0))
+    return members.join(sizes, "class_id").join(far, "class_id", "left").select("job_id", "class_id", (own + F.coalesce("_far", F.lit(0))).alias("n_links"))
 
 
-def _similar_titles(postings: DataFrame, least: float) -> DataFrame:
-    """(t1, t2): distinct titles with that trigram similarity at least, t1 <= t2."""
-    titles = postings.select("title").where("title is not null").distinct().withColumn("grams", trigrams(F.col("title")))
-    each = titles.select("title", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    rarity = each.groupBy("gram").agg(F.count("*").alias("df"))
+def near_duplicates_of(postings: DataFrame, pairs: DataFrame, most: int = 10) -> DataFrame:
+    """(job_id, other_id, cosine, place): each posting's nearest duplicates, copies of it and of the others included;
+    ties go to the smaller id. pairs: near_duplicate_pairs, between classes.
+
+    A class is expanded only as far as it can matter: no posting has more than `most` hits, so the first `most` + 1 ids
+    of a class stand for it, and the hits are chosen once for each class; its members differ only in leaving out
+    themselves."""
+    members = copies(postings)
+    nth = F.row_number().over(W.partitionBy("class_id").orderBy("job_id"))
+    first = members.withColumn("_n", nth).where(F.col("_n") <= most + 1).select("class_id", F.col("job_id").alias("other_id"), "alike")
+    own = first.where("alike").select("class_id", "other_id", F.lit(1.0).alias("cosine"))
+    both = pairs.select("a", "b", "cosine").union(pairs.select("b", "a", "cosine"))
+    far = both.join(first.select(F.col("class_id").alias("b"), "other_id"), "b").select(F.col("a").alias("class_id"), "other_id", "cosine")
+    best = F.row_number().over(W.partitionBy("class_id").orderBy(F.desc("cosine"), "other_id"))
+    hits = own.union(far).withColumn("_n", best).where(F.col("_n") <= most + 1).drop("_n")
+    place = F.row_number().over(W.partitionBy("job_id").orderBy(F.desc("cosine"), "other_id"))
+    met = members.select("job_id", "class_id").join(hits, "class_id").where("job_id <> other_id")
+    return met.select("job_id", "other_id", "cosine", place.alias("place")).where(F.col("place") <= most)
+
+
+def title_tiles(titles: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Two tables (title, tile): each title's own tile, and the tiles that hold a title which may be similar to it: all
+    pairs of titles with that trigram similarity at least meet in the own tile of one of them.
+
+    A set-similarity join over a prefix index. Trigrams are in order of rarity; of two similar titles with n and m of
+    them one shares a trigram within the first floor((1 - least) n) + 1 of each. For every shared one there are two
+    filters: n and m are within `least` of each other, and the trigrams from there on are enough for the overlap that
+    the similarity takes. The index holds tiles in place of titles: about TILE titles of like length each, with the
+    bounds of n and of what is left. So a trigram that very many titles share gives rows by tiles, not by pairs."""
+    each = titles.where("title is not null").distinct().withColumn("grams", trigrams(F.col("title"))).withColumn("n", F.size("grams")).where("n > 0")
+    band = F.floor(F.log("n") / F.log(F.lit(1.5)))
+    counts = each.groupBy(band.alias("band")).agg(F.ceil(F.count("*") / TILE).alias("_parts"))
+    own = each.select("title", band.alias("band")).join(counts, "band").select("title", (F.col("band") * (1 << 32) + F.pmod(F.xxhash64("title"), F.col("_parts"))).alias("tile"))
+    grams = each.select("title", "n", F.explode("grams").alias("gram"))
+    rarity = grams.groupBy("gram").agg(F.count("*").alias("df"))
     place = F.row_number().over(W.partitionBy("title").orderBy("df", "gram"))
-    prefix = each.join(rarity, "gram").withColumn("place", place).where(F.col("place") <= F.floor((1 - least) * F.col("n")) + 1).select("title", "gram")
-    alike = prefix.alias("p").join(prefix.alias("q"), (F.col("p.gram") == F.col("q.gram")) & (F.col("p.title") <= F.col("q.title"))).select(F.col("p.title").alias("t1"), F.col("q.title").alias("t2")).distinct()
-    return alike.where(trigram_similarity(F.col("t1"), F.col("t2")) >= least)
+    ranked = grams.join(rarity, "gram").withColumn("place", place).where(F.col("place") <= F.floor((1 - least) * F.col("n")) + 1)
+    prefix = ranked.join(own, "title").select("title", "tile", "gram", "n", (F.col("n") - F.col("place")).alias("rest"))
+    index = prefix.groupBy("gram", F.col("tile").alias("_tile")).agg(F.min("n").alias("_least"), F.max("n").alias("_most"), F.max("rest").alias("_rest"))
+    slack = 1e-9
+    long_enough = (F.col("_most") >= least * F.col("n") - slack) & (F.col("_least") * least <= F.col("n") + slack)
+    enough = 1 + F.least("_rest", "rest") >= least / (1 + least) * (F.col("_least") + F.col("n")) - slack
+    met = prefix.join(index, "gram").where((F.col("_tile") <= F.col("tile")) & long_enough & enough)
+    return own, met.select("title", F.col("_tile").alias("tile")).distinct()
 
 
 def match_partition(pairs: DataFrame, job_skills: DataFrame, held: DataFrame, skills: DataFrame) -> DataFrame:

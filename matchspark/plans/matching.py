@@ -18,6 +18,8 @@ from matchspark.plans.base import as_of, query, table
 #: The given vectors are random: their similarities need another span, floor and threshold than real ones.
 SPAN, FLOOR, NEAR = (-0.25, 0.45), 0.2, 0.35
 K = 50
+#: What is added to a posting's id for a copy of it.
+COPY = 100_000_000
 
 COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 RELATED_SQL = """, related AS (
@@ -96,12 +98,18 @@ def near_duplicate_classes(s: SparkSession, d: str) -> DataFrame:
     return M.near_duplicate_classes(postings, M.near_duplicate_pairs(postings, NEAR))
 
 
-@query("near_duplicates_of", f"""{NEAR_SQL} SELECT * FROM (SELECT job_id, other_id, row_number() OVER (PARTITION BY job_id ORDER BY cosine DESC, other_id) AS place
-  FROM (SELECT a AS job_id, b AS other_id, cosine FROM near UNION ALL SELECT b, a, cosine FROM near)) WHERE place <= 10""")
+@query("near_duplicates_of", f""", first_ AS (SELECT job_id, company_id, p_name AS title, embedding FROM job_vectors JOIN part ON p_partkey = job_id),
+postings AS (SELECT * FROM first_ UNION ALL SELECT job_id + n * {COPY}, company_id, title, embedding FROM first_, range(1, 15) r(n) WHERE job_id % 7 = 0 AND (n = 1 OR job_id % 35 = 0)),
+near AS (SELECT a.job_id AS job_id, b.job_id AS other_id, {COS} AS cosine FROM postings a JOIN postings b ON a.job_id <> b.job_id
+  WHERE {COS} >= {NEAR} AND (a.company_id = b.company_id OR {TRIGRAM_SQL} >= 0.3))
+SELECT * FROM (SELECT job_id, other_id, row_number() OVER (PARTITION BY job_id ORDER BY round(cosine, 9) DESC, other_id) AS place FROM near) WHERE place <= 10""")
 def near_duplicates_of(s: SparkSession, d: str) -> DataFrame:
-    pairs = M.near_duplicate_pairs(_postings(s, d), NEAR)
-    both = pairs.select(F.col("a").alias("job_id"), F.col("b").alias("other_id"), "cosine").union(pairs.select("b", "a", "cosine"))
-    return R.top_k_per_key(both, ["job_id"], 10, F.desc("cosine"), F.asc("other_id"), name="place").select("job_id", "other_id", F.col("place").cast("long").alias("place"))
+    """Every seventh posting has a copy, every 35th fourteen of them."""
+    postings = _postings(s, d)
+    repeated = postings.where("job_id % 7 = 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(14)))).where("_n = 1 or job_id % 35 = 0")
+    postings = postings.unionByName(repeated.withColumn("job_id", F.col("job_id") + F.col("_n") * COPY).drop("_n"))
+    pairs = M.near_duplicate_pairs(postings, NEAR).withColumn("cosine", F.round("cosine", 9))
+    return M.near_duplicates_of(postings, pairs).select("job_id", "other_id", F.col("place").cast("long").alias("place"))
 
 
 @query("trigram_similarity", f"SELECT a.p_partkey AS a, b.p_partkey AS b, round({TRIGRAM_SQL}, 6) AS similarity FROM (SELECT p_partkey, p_name, p_name AS title FROM part) a JOIN (SELECT p_partkey, p_name AS title FROM part) b ON b.p_partkey = a.p_partkey + 1")

@@ -202,6 +202,58 @@ def test_tiles_change_nothing(spark, monkeypatch, tile):
     assert {r.job_id: r.n_links for r in M.near_duplicate_classes(df, found).collect()} == links
 
 
+@pytest.mark.parametrize("tile", [8192, 3])
+def test_near_duplicates_of_a_posting_with_copies(spark, monkeypatch, tile):
+    """Against brute force over postings: copies are hits, those without company and title are not each other's."""
+    monkeypatch.setattr(M, "TILE", tile)
+    titles = ["data engineer", "data engineer ii", "cook", None, "--"]
+    base = [(c, titles[t], v) for c in (1, 2, None) for t in range(5) for v in ([1.0, 0.0], [1.0, 0.1], [0.0, 0.0], None)]
+    rows = [(i, *base[(i * i) % len(base)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "job_id long, company_id long, title string, embedding array<double>")
+
+    def grams(t):
+        words = "".join(c if c.isalnum() else " " for c in t.lower()).split()
+        return {f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)}
+
+    def near(x, y):
+        if not (x[3] and y[3] and any(x[3]) and any(y[3])):
+            return None
+        g, h = grams(x[2] or ""), grams(y[2] or "")
+        if not ((x[1] is not None and x[1] == y[1]) or (g | h and len(g & h) / len(g | h) >= 0.3)):
+            return None
+        return sum(a * b for a, b in zip(x[3], y[3], strict=True)) / math.hypot(*x[3]) / math.hypot(*y[3])
+
+    want = set()
+    for x in rows:
+        hits = sorted((-round(near(x, y), 9), y[0]) for y in rows if y[0] != x[0] and near(x, y) is not None and near(x, y) >= 0.97)
+        want |= {(x[0], other, place) for place, (_, other) in enumerate(hits[:10], 1)}
+    pairs = M.near_duplicate_pairs(df, 0.97).withColumn("cosine", F.round("cosine", 9))
+    assert {(r.job_id, r.other_id, r.place) for r in M.near_duplicates_of(df, pairs).collect()} == want
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6])
+def test_similar_titles_meet_in_tiles(spark, monkeypatch, least):
+    """No pair is lost by prefixes, lengths, places and bounds of tiles; a trigram that all titles share gives rows by
+    tiles."""
+    import random
+
+    monkeypatch.setattr(M, "TILE", 20)
+    rng = random.Random(5)
+    titles = [" ".join(["engineer", *(rng.choice(["data", "ml", "lead", "cloud", "ops", "senior", "qa", "x"]) for _ in range(rng.randrange(6)))]) for _ in range(400)]
+    titles = sorted(set(titles))
+    df = spark.createDataFrame([(t,) for t in [*titles, None, "..."]], "title string")
+    own, met = M.title_tiles(df, least)
+    tile = {r.title: r.tile for r in own.collect()}
+    at = {}
+    for r in met.collect():
+        at.setdefault(r.title, set()).add(r.tile)
+    both = df.where("title is not null").select(F.col("title").alias("a")).join(df.select(F.col("title").alias("b")), F.col("a") < F.col("b"))
+    alike = both.where(T.trigram_similarity(F.col("a"), F.col("b")) >= least).collect()
+    assert len(alike) > 300
+    assert all(tile[a] in at[b] or tile[b] in at[a] for a, b in alike)
+    assert sum(map(len, at.values())) <= len(tile) * len(set(tile.values()))
+
+
 def test_metrics_longhand(spark):
     df = spark.createDataFrame([("q", i, float(9 - i), label) for i, label in enumerate([3, 0, 2])], "q string, i long, s double, label int")
     ranked = V.ranked_labels(df, ["q"], "s", "i")
