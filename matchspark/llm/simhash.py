@@ -32,9 +32,8 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from matchspark.llm.common import Chunk, chunks, cut, table
 from matchspark.llm.components import components
@@ -46,8 +45,6 @@ _LEAF_PAIRS = 32
 #: what is found.
 _PART_ROWS = 1 << 17
 CROWD = 1 << 17
-#: Leaves of a side of a tile in which near copies are settled; their shingles are held together.
-TILE = 128
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -110,17 +107,24 @@ def set_key(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def text_key(text_col: str) -> Column:
+    """What tells texts apart: a hash of the whole text, '' for none."""
+    return F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit(""))
+
+
 def set_fingerprints(docs: DataFrame, size: int, bits: int, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, shingle_set, fp): a hash of the set of shingles, and the fingerprint in which each counts once."""
+    """(id, key, shingle_set, fp): a row's id and text_key, a hash of its set of shingles, and the fingerprint in which
+    each counts once."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, text_col):
+        for chunk in chunks(batches):
             each = shingle_sets(chunk, size)
             fp = fingerprints_of(each, bits)
-            yield pa.RecordBatch.from_arrays([chunk.batch.column(0), pa.array([set_key(x) for x in each], pa.binary()), pa.array([x.tobytes() for x in fp.astype(">u8")], pa.binary())], names=[id_col, "shingle_set", "fp"])
+            yield pa.RecordBatch.from_arrays([*chunk.batch.columns[:2], pa.array([set_key(x) for x in each], pa.binary()), pa.array([x.tobytes() for x in fp.astype(">u8")], pa.binary())], names=["id", "key", "shingle_set", "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, shingle_set binary, fp binary")
+    rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, key string, shingle_set binary, fp binary")
 
 
 class Forest:
@@ -157,11 +161,23 @@ class Forest:
         return self._changes[hi - 1] == self._changes[lo]
 
 
-def trie_join(key: np.ndarray, low: np.ndarray, levels: int, whole: np.ndarray, budget: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+class Every(Forest):
+    """All links between leaves of different labels; the labels stay as they are."""
+
+    def __init__(self, label: np.ndarray) -> None:
+        super().__init__(len(label))
+        self.label = label
+
+    def join(self, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> None:
+        self.edges.append((a, b))
+
+
+def trie_join(key: np.ndarray, low: np.ndarray, levels: int, whole: np.ndarray, budget: int, limit: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (pairs of places) of the links between leaves sorted by (key, low): within each key, leaves
-    link if low differs in at most budget bits and whole in at most limit."""
+    link if low differs in at most budget bits and whole in at most limit. With labels: all links between leaves of
+    different labels."""
     n = len(key)
-    forest = Forest(n)
+    forest = Forest(n) if label is None else Every(label)
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -243,9 +259,6 @@ def _squeezed(word: np.ndarray, fixed: int, width: int) -> tuple[np.ndarray, int
     return out, n
 
 
-_DEALT = "word int, fixed long, value long, fp binary, node long"
-
-
 def _words(fp: np.ndarray, w: int, word_bits: int) -> np.ndarray:
     at = w * word_bits
     return (fp[:, at // 64] >> np.uint64(at % 64)) & np.uint64((1 << word_bits) - 1)
@@ -261,13 +274,15 @@ def _deal(leaves: DataFrame, bits: int, word_bits: int, budget: int) -> DataFram
     are dealt on by pieces of the bits not fixed yet, by the same rule, so that no part has to hold what many leaves
     have in common."""
     pieces = budget + 1
+    columns = ["fp", "node", *(["comp"] if "comp" in leaves.columns else [])]
+    dealt_as = "word int, fixed long, value long, fp binary, node long" + (", comp long" if "comp" in columns else "")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            first = batch.num_columns == 2  # leaves; else rows of crowded parts
-            own = batch if first else batch.select(["fp", "node"])
+            first = batch.schema.names[0] == "fp"  # leaves; else rows of crowded parts
+            own = batch if first else batch.select(columns)
             fp = _as_words(own.column(0), bits)
             parts = [(w, 0, np.arange(len(fp))) for w in range(bits // word_bits)]
             if not first:
@@ -279,7 +294,7 @@ def _deal(leaves: DataFrame, bits: int, word_bits: int, budget: int) -> DataFram
                 for piece in _piece_masks(((1 << word_bits) - 1) & ~fixed, pieces):
                     mask = np.uint64(fixed | piece)
                     ids = [pa.array(np.full(len(at), x)) for x in (np.int32(w), mask.view(np.int64))]
-                    yield pa.RecordBatch.from_arrays([*ids, pa.array((word & mask).view(np.int64)), *rows.columns], names=["word", "fixed", "value", "fp", "node"])
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array((word & mask).view(np.int64)), *rows.columns], names=["word", "fixed", "value", *columns])
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How many leaves go to each part, summed over what is dealt at once."""
@@ -289,9 +304,9 @@ def _deal(leaves: DataFrame, bits: int, word_bits: int, budget: int) -> DataFram
             yield pa.RecordBatch.from_arrays([*ids, pa.array(value), pa.array(n)], names=["word", "fixed", "value", "size"])
 
     key = ["word", "fixed", "value"]
-    rows, calm_parts = leaves.select("fp", "node"), []
+    rows, calm_parts = leaves.select(*columns), []
     while True:
-        dealt = rows.mapInArrow(deal, _DEALT)
+        dealt = rows.mapInArrow(deal, dealt_as)
         size = rows.mapInArrow(sizes, "word int, fixed long, value long, size long").groupBy(*key).agg(F.sum("size").alias("size"))
         crowded = cut(size.where((F.col("size") > CROWD) & (F.bit_count("fixed") + pieces <= word_bits)).select(*key))
         if crowded.isEmpty():
@@ -301,7 +316,9 @@ def _deal(leaves: DataFrame, bits: int, word_bits: int, budget: int) -> DataFram
 
 
 def links(leaves: DataFrame, bits: int, word_bits: int, budget: int, limit: int) -> DataFrame:
-    """leaves: (fp, node), one row for each fingerprint. (a, b), a > b: enough links to connect whatever is linked."""
+    """leaves: (fp, node), one row for each fingerprint. (a, b), a > b: enough links to connect whatever is linked; where
+    leaves have components (comp), all links between leaves of different ones."""
+    labelled = "comp" in leaves.columns
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -336,7 +353,8 @@ def links(leaves: DataFrame, bits: int, word_bits: int, budget: int, limit: int)
         whole = _as_words(t.column("fp"), bits)
         low, levels = _squeezed(_words(whole, w, word_bits), fixed, word_bits)
         order = np.lexsort((node, low, value))
-        a, b = (node[order][x] for x in trie_join(value[order], low[order], levels, whole[order], budget, limit))
+        label = t.column("comp").to_numpy()[order] if labelled else None
+        a, b = (node[order][x] for x in trie_join(value[order], low[order], levels, whole[order], budget, limit, label))
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
     key = ["word", "fixed", "value"]
@@ -344,10 +362,10 @@ def links(leaves: DataFrame, bits: int, word_bits: int, budget: int, limit: int)
     return dealt.mapInArrow(join, "a long, b long").distinct()
 
 
-def leaves_of(fps: DataFrame, id_col: str, *more: str) -> DataFrame:
-    """One leaf for each fingerprint (and further columns): node, a number of its own, and first, the smallest id that
-    has it (null if none of its rows has one)."""
-    return cut(fps.groupBy("fp", *more).agg(F.min(id_col).alias("first")).withColumn("node", F.monotonically_increasing_id()))
+def leaves_of(fps: DataFrame, id_col: str) -> DataFrame:
+    """One leaf for each fingerprint: node, a number of its own, and first, the smallest id that has it (null if none of
+    its rows has one)."""
+    return cut(fps.groupBy("fp").agg(F.min(id_col).alias("first")).withColumn("node", F.monotonically_increasing_id()))
 
 
 def group(fps: DataFrame, bits: int = 64, word_bits: int = 64, budget: int = 3, limit: int = 3, id_col: str = "doc_id") -> DataFrame:
@@ -369,15 +387,15 @@ NEAR_SHINGLE = 5
 NEAR_SIMILARITY = 0.8
 
 
-def sets_of(leaves: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles) of leaves (node, shingle_set, first)."""
+def sets_of(leaves: DataFrame, docs: DataFrame, size: int, text_col: str) -> DataFrame:
+    """(node, shingles) of leaves (node, shingle_set, key), read from one text of each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             each = shingle_sets(chunk, size)
             yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in each], pa.binary()), pa.array([x.tobytes() for x in each], pa.binary())], names=["shingle_set", "shingles"])
 
-    texts = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text")).join(leaves.select("first").distinct(), "first", "left_semi")
+    texts = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("text")).join(leaves.select("key").distinct(), "key", "left_semi")
     held = texts.select("text").mapInArrow(sets, "shingle_set binary, shingles binary").groupBy("shingle_set").agg(F.min("shingles").alias("shingles"))
     return leaves.select("node", "shingle_set").join(held, "shingle_set").select("node", "shingles")
 
@@ -402,80 +420,45 @@ def judge(found: DataFrame, held: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long, same boolean")
 
 
-def settle(members: DataFrame, least: float) -> DataFrame:
-    """members: (crowd, node, comp, fp, shingles). (a, b): links enough to connect all that are alike within a crowd,
-    beyond what the components (comp) connect already.
-
-    A crowd's largest component needs no look at itself: the others are held against all, in tiles of about TILE leaves
-    a side, one in each task, whatever the size of the crowd. Only leaves whose fingerprints make them candidates are
-    compared, and within a tile only those that nothing connects yet."""
-    sizes = members.groupBy("crowd", "comp").agg(F.count("*").alias("n"))
-    per = lambda c, name: F.greatest(F.ceil(c / TILE), F.lit(1)).cast("int").alias(name)
-    crowds = sizes.groupBy("crowd").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), per(F.sum("n") - F.max("n"), "ni"), per(F.sum("n"), "nj"), F.count("*").alias("comps")).where("comps > 1")
-    dealt = members.join(crowds, "crowd")
-    block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ("node", "comp", "fp", "shingles")
-    left = dealt.where(F.col("comp") != F.col("main")).select("crowd", block("ni").alias("i"), every("nj").alias("j"), *columns)
-    right = dealt.select(F.col("crowd").alias("rcrowd"), every("ni").alias("ri"), block("nj").alias("rj"), *(F.col(c).alias(f"r{c}") for c in columns))
-
-    def tile(x: pa.Table, y: pa.Table) -> pa.Table:
-        found: list[tuple[int, int]] = []
-        if len(x) and len(y):
-            a, b = x.column("node").to_numpy(), y.column("rnode").to_numpy()
-            _, label = np.unique(np.concatenate([x.column("comp").to_numpy(), y.column("rcomp").to_numpy()]), return_inverse=True)
-            fa, fb = _as_words(x.column("fp"), NEAR_BITS), _as_words(y.column("rfp"), NEAR_BITS)
-            sa, sb = ([np.frombuffer(v.as_buffer(), np.uint64) for v in t.column(c)] for t, c in ((x, "shingles"), (y, "rshingles")))
-            for i in range(len(a)):
-                apart = np.flatnonzero(label[len(a) :] != label[i])
-                differ = fa[i] ^ fb[apart]
-                words = np.stack([_words(differ, w, NEAR_WORD_BITS) for w in range(NEAR_BITS // NEAR_WORD_BITS)])
-                each = np.bitwise_count(words)
-                for j in apart[(each.sum(axis=0, dtype=np.int64) <= NEAR_LIMIT) & (each.min(axis=0) <= NEAR_BUDGET)]:
-                    if label[len(a) + j] != label[i] and alike(sa[i], sb[j], least):
-                        label[label == label[len(a) + j]] = label[i]
-                        found.append((int(a[i]), int(b[j])))
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
-
-    return left.groupBy("crowd", "i", "j").cogroup(right.groupBy("rcrowd", "ri", "rj")).applyInArrow(tile, "a long, b long")
-
-
-def verified(leaves: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, root): components of leaves (node, fp, shingle_set, first) over candidates that the shingles confirm.
-
-    The trie join gives a forest of candidates, whose trees are crowds: every candidate pair is within one. The
-    forest's links are judged; what passes makes components. A crowd in which a link fails may hold pairs that the
-    forest left out for it, so all candidates between its components are judged too."""
+def verified(leaves: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """(node, root): components of leaves (node, fp, shingle_set, key) over candidates that the shingles confirm.
+
+    The trie join gives a forest of candidates. Its links are judged; what passes makes components. Where a link fails,
+    the forest may have left out candidates for it, so the trie join runs again over the leaves of such trees and gives
+    all candidates between different components, which are judged too. Those are the pairs that look near and are not
+    connected, not the pairs of a tree."""
     found = cut(links(leaves, NEAR_BITS, NEAR_WORD_BITS, NEAR_BUDGET, NEAR_LIMIT))
     ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-    held = cut(sets_of(leaves.join(ends, "node", "left_semi"), docs, NEAR_SHINGLE, id_col, text_col))
+    held = cut(sets_of(leaves.join(ends, "node", "left_semi"), docs, NEAR_SHINGLE, text_col))
     judged = cut(judge(found, held, NEAR_SIMILARITY))
     good, bad = judged.where("same").select("a", "b"), judged.where("not same").select("a", "b")
     roots = cut(components(good))
     if bad.isEmpty():
         return roots
-    crowds = components(found).withColumnRenamed("root", "crowd")
-    doubtful = cut(crowds.join(bad.select(F.col("a").alias("node")).distinct().join(crowds, "node").select("crowd").distinct(), "crowd", "left_semi"))
-    members = doubtful.join(roots, "node", "left").select("crowd", "node", F.coalesce("root", "node").alias("comp"))
-    more = cut(settle(members.join(leaves.select("node", "fp"), "node").join(held, "node"), NEAR_SIMILARITY))
+    trees = components(found).withColumnRenamed("root", "tree")
+    doubtful = trees.join(bad.select(F.col("a").alias("node")).distinct().join(trees, "node").select("tree").distinct(), "tree", "left_semi").select("node")
+    labelled = cut(leaves.join(doubtful, "node", "left_semi").join(roots, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("comp")))
+    others = cut(links(labelled, NEAR_BITS, NEAR_WORD_BITS, NEAR_BUDGET, NEAR_LIMIT).join(bad, ["a", "b"], "left_anti"))
+    more = cut(judge(others, held, NEAR_SIMILARITY).where("same").select("a", "b"))
     return roots if more.isEmpty() else components(good.union(more))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of near copies, the one with the smallest id; one row of those that share
-    that id. Rows with null id take no part and stay.
+    """docs with one row of each group of near copies: the one with the smallest id (rows without one come last), of
+    rows that share it the one with the smallest text_key, and of rows that repeat both any one. Rows are told apart by
+    id and text, so a row whose id another text has too is judged by its own text, and rows without id take part.
 
     Texts with one set of shingles are copies and one leaf. Fingerprints of NEAR_BITS, in which each distinct shingle
     counts once, are joined word by word (NEAR_WORD_BITS, 3 errors), and the shingles decide."""
-    named = docs.where(F.col(id_col).isNotNull())
-    fps = set_fingerprints(named, NEAR_SHINGLE, NEAR_BITS, id_col, text_col)
-    leaves = leaves_of(fps, id_col, "shingle_set")
-    grouped = leaves.join(verified(leaves, named, id_col, text_col), "node", "left").groupBy(F.coalesce("root", "node"))
-    first = grouped.agg(F.min("first").alias("_first")).select("_first").distinct()
-    copy = next(c for c in ("_copy", *(f"_copy{i}" for i in range(len(docs.columns) + 1))) if c not in docs.columns)
-    kept = named.join(first, named[id_col] == first["_first"], "left_semi")
-    kept = kept.withColumn(copy, F.row_number().over(W.partitionBy(id_col).orderBy(text_col))).where(F.col(copy) == 1).drop(copy)
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    fps = set_fingerprints(docs, NEAR_SHINGLE, NEAR_BITS, id_col, text_col)
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    leaves = cut(fps.groupBy("fp", "shingle_set").agg(F.min("key").alias("key"), F.min(row).alias("row")).withColumn("node", F.monotonically_increasing_id()))
+    grouped = leaves.join(verified(leaves, docs, text_col), "node", "left").groupBy(F.coalesce("root", "node").alias("_root"))
+    first = grouped.agg(F.min("row").alias("row")).select(F.col("row.id").alias("_first_id"), F.col("row.key").alias("_first_key"))
+    name = next(c for c in ("_key", *(f"_key{i}" for i in range(len(docs.columns) + 1))) if c not in docs.columns)
+    keyed = docs.withColumn(name, text_key(text_col))
+    kept = keyed.join(first, (keyed[name] == first["_first_key"]) & keyed[id_col].eqNullSafe(first["_first_id"]), "left_semi")
+    return kept.dropDuplicates([id_col, name]).drop(name)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,11 +156,11 @@ def shingles_of(text, k):
     return [" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))]
 
 
-@pytest.mark.parametrize("tile", [128, 9])
-def test_near_copies_are_all_that_verified_links_connect(spark, monkeypatch, tile):
+@pytest.mark.parametrize("crowd", [1 << 17, 50])
+def test_near_copies_are_all_that_verified_links_connect(spark, monkeypatch, crowd):
     """Clouds around the threshold: most candidates fail the check, and a pair that passes must be judged all the same,
-    however small the tiles are."""
-    monkeypatch.setattr(simhash, "TILE", tile)
+    also where crowded parts are dealt on."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     rng = random.Random(11)
     texts = {}
     for cloud in range(6):
@@ -210,6 +210,24 @@ def test_repeated_lines_neither_make_copies_nor_hide_them(spark):
     assert kept == {0, 1, 2, 4}
 
 
+def test_rows_are_told_apart_by_id_and_text(spark):
+    """Rows that share an id are judged by their own texts; rows without id take part and come last."""
+    x, y, z = ("a first text of some words", "another text with other words in it", "a third one that has no copy")
+    rows = [(1, x), (1, y), (2, y), (3, z), (3, z), (None, x), (None, x), (None, "only here, without an id"), (4, None), (None, ""), (None, None)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(i), str(t)) for i, t in [(1, x), (1, y), (3, z), (None, "only here, without an id"), (4, None)])
+
+
+def test_labelled_tries_give_every_link_between_components():
+    rng = np.random.default_rng(4)
+    seeds = rng.integers(0, 1 << 62, 4, dtype=np.uint64)
+    words = np.unique(np.concatenate([s ^ np.array([sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 6))) for _ in range(120)], np.uint64) for s in seeds]))
+    label = rng.integers(0, 30, len(words))
+    a, b = simhash.trie_join(np.zeros(len(words), np.int64), words, 64, words[:, None], 3, 3, label)
+    near = {(i, j) for i, j in itertools.combinations(range(len(words)), 2) if int(words[i] ^ words[j]).bit_count() <= 3 and label[i] != label[j]}
+    assert {(min(x), max(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} == near
+
+
 # --- 2 personal data ----------------------------------------------------------------------------------------------
 
 
