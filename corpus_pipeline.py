@@ -6,9 +6,9 @@ of documents, whatever these are; the last returns a row for each sequence of to
 
 Defined results, whatever is null, empty, very long, tied or repeated: a null or empty text is not toxic by itself (it
 gets the score of a text without features), holds no benchmark item and no personal data, and has no sequences. Texts
-without words are copies of each other, so one row of them stays. Rows with null id take no part in the search for
-near copies and stay; of rows that share an id and are kept, one stays, the first in order of text. Texts of any
-length are read whole. Columns that documents do not have in the given tables are carried along. Empty documents give
+without words are copies of each other, so one row of them stays. Of near copies the row with the smallest id stays;
+rows with null id take part and come last, rows that share an id are told apart by their texts, and rows that repeat
+both are one. Texts of any length are read whole. Columns that documents do not have in the given tables are carried along. Empty documents give
 empty results at every stage; without labels of both classes the toxicity stage keeps what scores under 0.5, without
 benchmark items nothing is dropped for them."""
 
