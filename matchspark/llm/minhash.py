@@ -13,8 +13,7 @@ are near. The sets themselves decide on every candidate.
 
 Meetings are settled in rounds, so that groups of copies are not compared all with all: first each leaf of a key with
 the first and the one before it in order of size, then, among what no link connects yet, forests of candidates between
-components, nearest first, for as long as they bring links, and at last all candidates between components that are
-left. In these rounds leaves that share a key are known by wider signatures, which tell more sharply which pairs can
+components, nearest first, and at last all candidates between components that are left. In these rounds leaves that share a key are known by wider signatures, which tell more sharply which pairs can
 link. A key that very many leaves share is met in tiles of bounded size, whatever their number. Components come from
 alternating star steps in Spark.
 
@@ -280,6 +279,16 @@ def confirmed(pairs: DataFrame, held: DataFrame, least: int) -> DataFrame:
     return met.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
+def contracted(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) after further links (a, b): only the components that these connect are worked out again."""
+    name = lambda df, end: df.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")), end, "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
+    links = cut(name(name(more, "a"), "b"))
+    merged = components(links).select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("root", F.col("node"))
+    known = roots.union(ends.join(roots.select("node"), "node", "left_anti"))
+    return known.join(merged, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+
+
 def components_of(docs: DataFrame, size: int = SHINGLE, least: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, component_id, kept) of every row of docs. The settings of the signature are for similarities of 85
     hundredths or more."""
@@ -293,19 +302,13 @@ def components_of(docs: DataFrame, size: int = SHINGLE, least: int = SIMILARITY,
     links = cut(confirmed(judged, held, least))
     roots = cut(components(links))
     wider = members.select("key", "node", "n").join(held.select("node", "signature"), "node")
-    forest = True
-    while True:
+    for forest in (True, False):
         labelled = wider.join(roots, "node", "left").select("key", "node", "n", "signature", F.coalesce("root", "node").alias("comp"))
         pairs = cut(between(labelled, least, forest).join(judged, ["a", "b"], "left_anti"))
-        more = cut(confirmed(pairs, held, least))
-        found = not more.isEmpty()
-        if found:
-            links = links.union(more)
-            roots = cut(components(links))
-        if not forest:
-            break
         judged = judged.union(pairs)
-        forest = found
+        more = cut(confirmed(pairs, held, least))
+        if not more.isEmpty():
+            roots = cut(contracted(roots, more))
     rooted = cut(leaves.join(roots, "node", "left").select("n", "set", "first", F.coalesce("root", "node").alias("_root")))
     smallest = rooted.groupBy("_root").agg(F.min("first").alias("component_id"))
     # a set without shingles is no link: each such row is its own component
