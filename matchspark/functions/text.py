@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,6 +87,19 @@ def document_hash(s: Column, version: str = "v1") -> Column:
     return F.sha2(F.concat(F.lit(f"{version}\n"), s), 256)
 
 
+def compatible(s: Column) -> Column:
+    """s in Unicode's NFKC form: ligatures, full-width and superscript characters become plain, marks join their
+    letters. Spark has no such function; ASCII texts, which are in that form, stay in the JVM, the others go to Python
+    in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def nfkc(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+    other = s.rlike(r"[^\x00-\x7F]")
+    return F.coalesce(nfkc(F.when(other, s)), s)
+
+
 def normalize_skill(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), r"[^\w+#.\- ]", " "), r"\s+", " "))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from matchspark.functions.text import bound
+from matchspark.functions.text import bound, compatible
 from matchspark.operators.sections import MOST_CONFIDENCE, REPEAT_BONUS, capped, skill_spans
 
 #: What a number can be followed or led by, how much its scale is, and numbers as words.
@@ -28,24 +28,20 @@ MONTH_NAMES = (
 NOT_NAMES = ("i", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "english", "agile", "scrum", "kanban")
 CREDENTIAL_WORDS = ("certified", "certification", "certificate", "licensed", "accredited", "chartered", "bachelor", "master", "mba", "phd", "doctorate", "degree", "diploma")
 CREDENTIAL_ACRONYMS = ("pmp", "cissp", "ccna", "ccnp", "cka", "ckad", "cfa", "cpa", "itil", "prince2", "csm", "pmi", "comptia", "oscp", "ceh")
-#: Words that may open a sentence with a capital and name nothing: these, and by rule any of four letters or more that
-#: ends in -ed. A caller with a list of its own hands it over instead.
-OPENERS = (
-    "a an the and or but if as at by for from in into of on to with within across over this that these those there here it its their his her our "
-    "your my i we they he she you built began cut drove found founded grew led made oversaw ran rebuilt rewrote set spoke sold taught undertook "
-    "underwent won worked wrote"
-).split()
 #: Resume sections and how much a mention there is worth; repeats add, general words in prose are held down.
 RESUME_CONFIDENCE = {"SKILLS": 0.95, "PROJECTS": 0.80, "EXPERIENCE": 0.78, "CERTIFICATIONS": 0.75, "SUMMARY": 0.65, "EDUCATION": 0.60, "UNKNOWN": 0.55}
 RESUME_CLAIM_SECTIONS, RESUME_GENERIC_IN_PROSE, REVIEW_BELOW = ("SKILLS", "CERTIFICATIONS"), 0.50, 0.60
 
-#: Characters that word processors put for plain ones.
+#: Characters that word processors put for plain ones, what a name's token is, and what ends a sentence.
 _TYPED, _PLAIN = "‘’“”–—−× ", "''\"\"---x "
 _TOKEN = r"[A-Za-z][\w&.+#'-]*"
+_SENTENCE_END = r"[.!?:;\n]\s*$"
 
 
 def plain_marks(text: Column) -> Column:
-    return F.translate(text, _TYPED, _PLAIN)
+    """text in compatible form (ligatures, full-width digits and the like as plain characters), with plain quotes,
+    dashes, blanks and multiplication signs."""
+    return F.translate(compatible(text), _TYPED, _PLAIN)
 
 
 def quantities(text: Column) -> Column:
@@ -75,44 +71,57 @@ def dates(text: Column) -> Column:
     return F.concat(years, F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(\w+)")), lambda x: x.isin(MONTH_NAMES)))
 
 
-def names(text: Column, openers: tuple[str, ...] | None = None) -> Column:
-    """array of the capitalised words that look like names: not those that hang off a number, nor words that usually
-    open sentences where they open one (unless in capitals throughout)."""
+def names(text: Column) -> Column:
+    """array of struct(token, opens): the capitalised words that may be names, but not those that hang off a number.
+    opens: whether the capital may be due to the sentence that the word opens; words in capitals throughout owe it to
+    nothing else."""
     found = F.regexp_extract_all(text, F.lit(f"[^A-Za-z]*{_TOKEN}"), 0)
 
     def name(p: Column, before: Column) -> Column:
         gap = F.regexp_extract(p, "^[^A-Za-z]*", 0)
         token = F.regexp_replace(F.substring(p, F.length(gap) + 1, F.length(p)), r"[.'\-&+#]+$", "")
-        low = F.lower(token)
-        opens = (before.isNull() & (F.trim(F.translate(gap, "\n\t\r", "   ")) == "")) | F.concat(F.coalesce(before, F.lit("")), gap).rlike(r"[.!?:;\n]\s*$")
-        common = low.isin(list(openers)) if openers is not None else low.isin(OPENERS) | low.rlike("^[a-z]{2,}ed$")
+        opens = (before.isNull() & (F.trim(F.translate(gap, "\n\t\r", "   ")) == "")) | F.concat(F.coalesce(before, F.lit("")), gap).rlike(_SENTENCE_END)
         acronym = (F.length(token) > 1) & (F.upper(token) == token)
-        keep = token.rlike("^[A-Z]") & ~gap.rlike("[0-9]$") & ~low.isin(*NOT_NAMES) & (~opens | acronym | ~common)
-        return F.when(keep, token)
+        keep = token.rlike("^[A-Z]") & ~gap.rlike("[0-9]$") & ~F.lower(token).isin(*NOT_NAMES)
+        return F.when(keep, F.struct(token.alias("token"), (opens & ~acronym).alias("opens")))
 
     paired = bound(found, lambda ps: F.transform(ps, lambda p, i: name(p, F.when(i > 0, F.get(ps, i - 1)))))
     return F.filter(paired, lambda x: x.isNotNull())
 
 
+def ordinary_words(docs: DataFrame, doc: str, text: str, least: int = 2) -> DataFrame:
+    """(word): words that at least so many texts have in lower case: a corpus's own table of words that name nobody
+    when they open a sentence."""
+    seen = docs.select(doc, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([a-z]+)\b")))).alias("word"))
+    return seen.groupBy("word").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("word")
+
+
 def spoken(text: Column) -> Column:
     """array of a source's words, as names are looked up in it."""
     return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\w%$€£₹+#.]+", " ")), " ")
 
 
-def claims(docs: DataFrame, doc: str, text: str, forms: DataFrame | None = None, openers: tuple[str, ...] | None = None) -> DataFrame:
+def claims(docs: DataFrame, doc: str, text: str, forms: DataFrame | None = None, openers: DataFrame | None = None) -> DataFrame:
     """(doc, kind, value, accepted): the distinct claims of each text. Kinds: number, date, skill (of forms, if given),
-    organization and credential. accepted are the forms in which a source may make the claim."""
+    organization and credential. accepted are the forms in which a source may make the claim.
+
+    A capital at the start of a sentence says nothing, so such a word is a name unless it is in the table openers
+    (word, in lower case); without a table every such word is one. A word that the table lacks costs a suggestion, a
+    name that it has by mistake would let an invented employer through."""
     t = plain_marks(F.col(text))
     own = docs.select(doc, t.alias("_t"))
     credential = F.lower("_t").rlike(rf"\b({'|'.join(CREDENTIAL_WORDS)})\b")
     each = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.array(v).alias("accepted")))
 
-    def named(v: Column) -> Column:
-        kind = F.when(F.lower(v).isin(*CREDENTIAL_ACRONYMS) | credential, "credential").otherwise("organization")
-        stem = F.regexp_replace(v, "('s|s)$", "")
-        return F.struct(kind.alias("kind"), v.alias("value"), F.filter(F.array_distinct(F.array(F.lower(v), F.lower(stem))), lambda x: x != "").alias("accepted"))
-
-    made = own.select(doc, F.inline(F.concat(each("number", quantities(F.col("_t"))), each("date", dates(F.col("_t"))), F.transform(names(F.col("_t"), openers), named))))
+    v = F.col("token")
+    named = own.select(doc, credential.alias("_credential"), F.inline(names(F.col("_t")))).distinct()
+    if openers is not None:
+        known = openers.select(F.col("word").alias("_word")).distinct()
+        named = named.join(known, F.when(F.col("opens"), F.lower(v)) == F.col("_word"), "left_anti")
+    kind = F.when(F.lower(v).isin(*CREDENTIAL_ACRONYMS) | F.col("_credential"), "credential").otherwise("organization")
+    accepted = F.filter(F.array_distinct(F.array(F.lower(v), F.lower(F.regexp_replace(v, "('s|s)$", "")))), lambda x: x != "")
+    made = own.select(doc, F.inline(F.concat(each("number", quantities(F.col("_t"))), each("date", dates(F.col("_t"))))))
+    made = made.union(named.select(doc, kind.alias("kind"), v.alias("value"), accepted.alias("accepted")))
     if forms is not None:
         spans = skill_spans(own.select(doc, F.posexplode(F.split("_t", "\n")).alias("line_no", "line")), forms, doc)
         made = made.union(spans.select(doc, F.lit("skill"), F.col("skill_id").cast("string").alias("v"), F.array(F.col("skill_id").cast("string"))))
@@ -131,11 +140,11 @@ def grounds(docs: DataFrame, doc: str, text: str, forms: DataFrame | None = None
     return made
 
 
-def fabricated(suggestions: DataFrame, sources: DataFrame, doc: str, text: str, forms: DataFrame | None = None, key: str | None = None) -> DataFrame:
+def fabricated(suggestions: DataFrame, sources: DataFrame, doc: str, text: str, forms: DataFrame | None = None, key: str | None = None, openers: DataFrame | None = None) -> DataFrame:
     """(key, kind, value, fabricated) of every claim of the suggestions: fabricated if its doc's source makes it in no
     accepted form. key names a suggestion where a doc has several."""
     key = key or doc
-    made = claims(suggestions, key, text, forms)
+    made = claims(suggestions, key, text, forms, openers)
     if key != doc:
         made = made.join(suggestions.select(key, doc), key)
     look = F.when(F.col("kind").isin("organization", "credential"), "name").otherwise(F.col("kind"))
@@ -144,11 +153,11 @@ def fabricated(suggestions: DataFrame, sources: DataFrame, doc: str, text: str,
     return asked.join(known, [doc, "_kind", "accepted"], "left").groupBy(key, "kind", "value").agg((~F.bool_or(F.coalesce("_ok", F.lit(False)))).alias("fabricated"))
 
 
-def claim_grounding(suggestions: DataFrame, sources: DataFrame, doc: str, text: str, forms: DataFrame | None = None, key: str | None = None) -> DataFrame:
+def claim_grounding(suggestions: DataFrame, sources: DataFrame, doc: str, text: str, forms: DataFrame | None = None, key: str | None = None, openers: DataFrame | None = None) -> DataFrame:
     """(key, n_claims, n_fabricated, kinds, passed): a suggestion passes if its source makes all its claims; kinds are
     those of what it does not make, in order."""
     key = key or doc
-    judged = fabricated(suggestions, sources, doc, text, forms, key)
+    judged = fabricated(suggestions, sources, doc, text, forms, key, openers)
     counted = judged.groupBy(key).agg(F.count("*").alias("n_claims"), F.count_if("fabricated").alias("n_fabricated"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("fabricated"), F.col("kind")))), ",").alias("kinds"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     passed = (F.coalesce("n_fabricated", F.lit(0)) == 0).alias("passed")
@@ -182,14 +191,14 @@ def replace_span(text: Column, needle: Column, replacement: Column) -> Column:
     return bound(find_span(text, needle), put)
 
 
-def anchor_suggestions(suggestions: DataFrame, sources: DataFrame, doc: str, text: str = "text", forms: DataFrame | None = None) -> DataFrame:
+def anchor_suggestions(suggestions: DataFrame, sources: DataFrame, doc: str, text: str = "text", forms: DataFrame | None = None, openers: DataFrame | None = None) -> DataFrame:
     """suggestions (doc, place, original, suggested) against their sources (doc, text). (doc, place, original,
     suggested, start, end, outcome, position): "dropped" where the original does not stand in the source, "rejected"
     where the rewrite claims what the source does not, else "kept", numbered by place."""
     placed = suggestions.join(sources.select(doc, F.col(text).alias("_source")), doc, "left").withColumn("_at", find_span(F.col("_source"), F.col("original")))
     key = F.struct(doc, "place")
     asked = placed.where(F.col("_at").isNotNull()).select(key.alias("_key"), doc, F.col("suggested").alias(text))
-    passed = claim_grounding(asked, sources.join(asked.select(doc).distinct(), doc, "left_semi"), doc, text, forms, "_key").select("_key", "passed")
+    passed = claim_grounding(asked, sources.join(asked.select(doc).distinct(), doc, "left_semi"), doc, text, forms, "_key", openers).select("_key", "passed")
     judged = placed.withColumn("_key", key).join(passed, "_key", "left")
     outcome = F.when(F.col("_at").isNull(), "dropped").when(F.col("passed"), "kept").otherwise("rejected")
     out = judged.select(doc, "place", "original", "suggested", "_at.start", "_at.end", outcome.alias("outcome"))

@@ -30,6 +30,9 @@ _SUGGESTED = f"({_ASCII.format('text')} || {list(ADDED)!r}[doc_id % 6 + 1])".rep
 _SOURCE = f"({_ASCII.format('text')} || CASE WHEN doc_id % 2 = 0 THEN '{SAID}' ELSE '' END)"
 _Q = "(?i)" + G.QUANTITY.replace("'", "''")
 _IN = lambda xs: "('" + "', '".join(xs) + "')"
+#: Words that may open a sentence, besides those that two sources and more have in lower case.
+OPENING = ("raised", "worked", "reduced", "certified")
+OPENING_SQL = f""", opening_ AS (SELECT word FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all({_ASCII.format('text')}, '\\b[a-z]+\\b')) AS word FROM documents) GROUP BY word HAVING count(*) >= 2 UNION SELECT unnest({list(OPENING)!r}))"""
 _TOKEN = G._TOKEN.replace("'", "''")
 
 
@@ -45,11 +48,11 @@ def _claims_sql(text: str, name: str) -> str:
 {name}_g AS (SELECT doc_id, credential, i, regexp_extract(p[i], '^[^A-Za-z]*') AS gap, CASE WHEN i > 1 THEN p[i - 1] END AS before, p[i] AS piece FROM {name}_c, unnest(generate_series(1, len(p))) u(i)),
 {name}_w AS (SELECT *, regexp_replace(piece[length(gap) + 1:], '[.''\-&+#]+$', '') AS token FROM {name}_g),
 {name}_p AS (SELECT doc_id, token AS value, CASE WHEN credential OR lower(token) IN {_IN(G.CREDENTIAL_ACRONYMS)} THEN 'credential' ELSE 'organization' END AS kind FROM {name}_w WHERE regexp_matches(token, '^[A-Z]') AND NOT regexp_matches(gap, '[0-9]$') AND lower(token) NOT IN {_IN(G.NOT_NAMES)}
-  AND NOT (((before IS NULL AND regexp_matches(gap, '^\s*$')) OR regexp_matches(coalesce(before, '') || gap, '[.!?:;\n]\s*$')) AND NOT (length(token) > 1 AND upper(token) = token) AND (lower(token) IN {_IN(G.OPENERS)} OR regexp_matches(lower(token), '^[a-z]{{2,}}ed$')))),
+  AND NOT (((before IS NULL AND regexp_matches(gap, '^\s*$')) OR regexp_matches(coalesce(before, '') || gap, '[.!?:;\n]\s*$')) AND NOT (length(token) > 1 AND upper(token) = token) AND lower(token) IN (SELECT word FROM opening_))),
 {name}_l AS (SELECT doc_id, i AS line_no, x[i] AS line FROM (SELECT doc_id, string_split(t, chr(10)) AS x FROM {name}_t), unnest(generate_series(1, len(x))) u(i)){spans_sql(f'{name}_l', 'doc_id', f'{name}_s')}"""
 
 
-CLAIMS_SQL = rf"""{_claims_sql(_SUGGESTED, 'made')}{_claims_sql(_SOURCE, 'known')},
+CLAIMS_SQL = rf"""{OPENING_SQL}{_claims_sql(_SUGGESTED, 'made')}{_claims_sql(_SOURCE, 'known')},
 words_ AS (SELECT DISTINCT doc_id, unnest(string_split(trim(regexp_replace(lower(t), '[^\w%$€£₹+#.]+', ' ', 'g')), ' ')) AS w FROM known_t),
 judged AS (SELECT doc_id, 'number' AS kind, value, (doc_id, value) NOT IN (SELECT (doc_id, value) FROM known_n) AS bad FROM made_n UNION SELECT doc_id, 'date', value, (doc_id, value) NOT IN (SELECT (doc_id, value) FROM known_d) FROM made_d
   UNION SELECT doc_id, 'skill', CAST(skill_id AS VARCHAR), (doc_id, skill_id) NOT IN (SELECT (doc_id, skill_id) FROM known_s) FROM made_s
@@ -66,7 +69,8 @@ def _suggested(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query("claim_grounding", f"{CLAIMS_SQL} SELECT * FROM grounded")
 def claim_grounding(s: SparkSession, d: str) -> DataFrame:
-    return G.claim_grounding(*_suggested(s, d), "doc_id", "text", forms_of(s))
+    openers = G.ordinary_words(_numbers(_docs(s, d)), "doc_id", "text").union(s.createDataFrame([(w,) for w in OPENING], "word string"))
+    return G.claim_grounding(*_suggested(s, d), "doc_id", "text", forms_of(s), openers=openers)
 
 
 @query("fabrication_eval", f"{CLAIMS_SQL} SELECT round(count(*) FILTER (doc_id % 6 < 3 AND NOT passed) / count(*) FILTER (doc_id % 6 < 3), 6) AS recall, round(count(*) FILTER (doc_id % 6 >= 3 AND passed) / count(*) FILTER (doc_id % 6 >= 3), 6) AS honest_pass_rate, round(count(*) FILTER (doc_id % 6 < 3 AND NOT passed) / count(*) FILTER (NOT passed), 6) AS rejection_precision FROM grounded")

@@ -303,16 +303,29 @@ def test_longer_forms_claim_first(spark):
 @pytest.mark.parametrize(("suggested", "kinds"), [
     ("Delivered the backend for Acme", ""), ("Worked at Stripe", "organization"), ("Led 5 projects", ""), ("Led five projects", ""), ("Led 5% of projects", "number"),
     ("Saved $2M", ""), ("Saved $2 million", ""), ("Saved 2M", "number"), ("in March 2019", "date,organization"), ("since 2019 in May", ""), ("PMP at Acme", "credential"),
-    ("Acme's systems", ""), ("Used Python daily", ""), ("used rust daily", "skill"),
+    ("Acme's systems", ""), ("Used Python daily", ""), ("used rust daily", "skill"), ("United led the work.", "organization"), ("Allied was my employer.", "organization"),
+    ("Reed hired me.", "organization"), ("So it was. Delivered the backend", ""), ("Forecast for Acme", ""), ("LED BY ACME", "organization"), ("Led \uff15 projects", ""), ("Saved $\uff12M for A\uff43me", ""),
+    ("Led 7\u00a0projects", "number"), ("o\ufb03ce of A\u0063me", ""),
 ])
 def test_claims(spark, suggested, kinds):
     source = "At Acme I led 5 projects with Python since 2019, in may, and saved $2,000,000"
     forms = spark.createDataFrame([("python", 1), ("rust", 2)], "form string, skill_id int")
     of = lambda t: spark.createDataFrame([(1, t)], "doc_id int, text string")
-    row = G.claim_grounding(of(suggested), of(source), "doc_id", "text", forms).first()
+    openers = spark.createDataFrame([(w,) for w in ("delivered", "worked", "led", "saved", "used", "forecast", "so", "in")], "word string")
+    row = G.claim_grounding(of(suggested), of(source), "doc_id", "text", forms, openers=openers).first()
     assert (row.kinds, row.passed) == (kinds, not kinds)
 
 
+def test_openers_come_from_a_table(spark):
+    of = lambda t: spark.createDataFrame([(1, t)], "doc_id int, text string")
+    made = lambda openers: {r.value for r in G.claims(of("Built it. Built Acme\nGood"), "doc_id", "text", openers=openers).collect()}
+    assert made(None) == {"Built", "Acme", "Good"}
+    corpus = spark.createDataFrame([(1, "we built it, built"), (2, "Built and built well"), (3, "good x1 one")], "doc_id int, text string")
+    words = G.ordinary_words(corpus, "doc_id", "text")
+    assert {r.word for r in words.collect()} == {"built"}
+    assert made(words) == {"Acme", "Good"}
+
+
 def test_merges(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string")
