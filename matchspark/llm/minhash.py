@@ -138,6 +138,14 @@ def _near(t: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, least: int, li
     return a[near], b[near], far[near]
 
 
+def _once(t: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs that meet in a key those for which it is the first that they share, so that each pair counts once."""
+    x, y = keys_of(t["narrow"][a]), keys_of(t["narrow"][b])
+    first = x[np.arange(len(a)), (x == y).argmax(axis=1)] if len(a) else np.zeros(0, np.uint64)
+    here = first.view(np.int64) == t["key"][a]
+    return a[here], b[here], far[here]
+
+
 def _runs(batches: Iterator[pa.RecordBatch], by: list[str], most: int = 1 << 14) -> Iterator[pa.Table]:
     """Rows that come sorted, in tables of whole runs of equal values."""
     held: list[pa.RecordBatch] = []
@@ -204,18 +212,18 @@ def neighbours(members: DataFrame, least: int) -> DataFrame:
 
 
 def between(members: DataFrame, least: int, forest: bool) -> DataFrame:
-    """members (key, node, n, signature, comp), with wider signatures. (a, b): candidates between components that meet in a key; all of them,
+    """members (key, node, n, narrow, signature, comp), with wider signatures. (a, b): candidates between components that meet in a key; all of them,
     or of each tile only a forest, nearest first. Keys with many leaves are dealt into tiles of pairs of blocks."""
     spread = members.groupBy("key").agg(F.count("*").alias("_n"), F.min("comp").alias("_c"), F.max("comp").alias("_d")).where("_c < _d")
     tiles = spread.select("key", F.greatest(F.ceil(F.col("_n") / TILE), F.lit(1)).cast("int").alias("_b"))
     dealt = members.join(tiles, "key").withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_b")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_j")
-    dealt = dealt.select("key", "node", "n", "signature", "comp", "_i", other).select("key", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), (F.col("_i") > F.col("_j")).cast("int").alias("side"), "node", "n", "signature", "comp")
+    dealt = dealt.select("key", "node", "n", "narrow", "signature", "comp", "_i", other).select("key", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), (F.col("_i") > F.col("_j")).cast("int").alias("side"), "node", "n", "narrow", "signature", "comp")
     by = ["key", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _runs(batches, by):
-            t = {c: held.column(c).to_numpy() for c in (*by, "side", "node", "n", "comp")} | {"signature": _matrix(held.column("signature").combine_chunks(), _WIDER[1], WIDE)}
+            t = {c: held.column(c).to_numpy() for c in (*by, "side", "node", "n", "comp")} | {"signature": _matrix(held.column("signature").combine_chunks(), _WIDER[1], WIDE), "narrow": _matrix(held.column("narrow").combine_chunks())}
             at = np.arange(len(held))
             begin = np.flatnonzero(_changes([t[c] for c in by]))
             run_of = np.cumsum(_changes([t[c] for c in by])) - 1
@@ -230,7 +238,7 @@ def between(members: DataFrame, least: int, forest: bool) -> DataFrame:
                 e = max(s + 1, int(np.searchsorted(total, total[s] + _PAIRS, side="right")) - 1)
                 a = np.repeat(at[s:e], width[s:e])
                 b = np.arange(len(a)) - np.repeat(total[s:e] - total[s], width[s:e]) + np.repeat(start[s:e], width[s:e])
-                found.append(_near(t, a, b, least, WIDE_LIMIT))
+                found.append(_once(t, *_near(t, a, b, least, WIDE_LIMIT)))
                 s = e
             a, b, far = (np.concatenate(x) for x in zip(*found, strict=True))
             if forest and len(a):
@@ -301,9 +309,9 @@ def components_of(docs: DataFrame, size: int = SHINGLE, least: int = SIMILARITY,
     judged = cut(neighbours(members, least))
     links = cut(confirmed(judged, held, least))
     roots = cut(components(links))
-    wider = members.select("key", "node", "n").join(held.select("node", "signature"), "node")
+    wider = members.select("key", "node", "n", F.col("signature").alias("narrow")).join(held.select("node", "signature"), "node")
     for forest in (True, False):
-        labelled = wider.join(roots, "node", "left").select("key", "node", "n", "signature", F.coalesce("root", "node").alias("comp"))
+        labelled = wider.join(roots, "node", "left").select("key", "node", "n", "narrow", "signature", F.coalesce("root", "node").alias("comp"))
         pairs = cut(between(labelled, least, forest).join(judged, ["a", "b"], "left_anti"))
         judged = judged.union(pairs)
         more = cut(confirmed(pairs, held, least))

@@ -33,7 +33,7 @@ def texts(spark, sf):
 def test_queries_cover_their_table(spark, sf, name):
     got = queries.QUERIES[name](spark, sf)
     table, key = ("pages", "page_id") if name.startswith("op7") else ("documents", "doc_id")
-    if not name.startswith(("op3", "op4", "op8")):
+    if not name.startswith(("op3", "op4", "op8", "op12", "op13")):
         assert {r[0] for r in got.select(key).collect()} == {r[0] for r in spark.read.parquet(f"{sf}/{table}.parquet").select(key).collect()}
     else:
         assert got.count() > 0
