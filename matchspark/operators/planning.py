@@ -74,3 +74,43 @@ def _next(acc: F.Column, step: F.Column) -> F.Column:
     return F.struct(level.alias("level"), F.concat(acc["levels"], F.array(level)).alias("levels"))
 
 
+
+
+def next_move(covered: int, level: int, asked: int, score: float, topics: list[str], budget: int) -> tuple[str, str | None, int | None, tuple[int, int, int]]:
+    """(move, topic, level, state after it) of one answer. The first question is on the first topic at level 1, so an
+    interview begins as (1, 1, 1): topics covered, level, questions asked. Topics are covered in their order."""
+    if asked >= budget:
+        return "FINISH", None, None, (covered, level, asked)
+    more = covered < len(topics)
+    if score < CLEAR:
+        move, level = "CLARIFY", max(EASIEST, level - 1)
+    elif score < STRONG:
+        move, covered = "CONTINUE", covered + more
+    else:
+        move, covered, level = "ADVANCE", covered + more, level if more else min(HARDEST, level + 1)
+    return move, topics[covered - 1] if topics else None, level, (covered, level, asked + 1)
+
+
+#: Below CLEAR an answer is followed by an easier question on its topic; from STRONG on by a new topic or, where all are
+#: covered, a harder question; in between by the next topic. Levels go from EASIEST to HARDEST.
+CLEAR, STRONG = 0.4, 0.7
+EASIEST, HARDEST = 0, 3
+
+
+def interview_policy(answers: DataFrame, budget: int = 6) -> DataFrame:
+    """answers: (session_id, turn, score, topics). (session_id, turn, move, topic, level): what follows each answer, by
+    the rules of next_move, as a fold over a session's answers in column functions."""
+    said = answers.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn", "score", "topics"))).alias("t"))
+    row = "struct<turn:" + answers.schema["turn"].dataType.simpleString() + ",move:string,topic:string,level:int>"
+    start = F.struct(F.lit(1).alias("k"), F.lit(1).alias("level"), F.lit(1).alias("asked"), F.array().cast(f"array<{row}>").alias("rows"))
+
+    def step(acc: F.Column, x: F.Column) -> F.Column:
+        over, more = acc["asked"] >= budget, acc["k"] < F.size(x["topics"])
+        weak, strong = x["score"] < CLEAR, x["score"] >= STRONG
+        k = acc["k"] + F.when(over | weak, 0).otherwise(more.cast("int"))
+        level = F.when(over, acc["level"]).when(weak, F.greatest(F.lit(EASIEST), acc["level"] - 1)).when(strong & ~more, F.least(F.lit(HARDEST), acc["level"] + 1)).otherwise(acc["level"])
+        move = F.when(over, "FINISH").when(weak, "CLARIFY").when(strong, "ADVANCE").otherwise("CONTINUE")
+        told = F.struct(x["turn"].alias("turn"), move.alias("move"), F.when(~over, F.get(x["topics"], k - 1)).alias("topic"), F.when(~over, level).alias("level")).cast(row)
+        return F.struct(k.cast("int").alias("k"), level.alias("level"), (acc["asked"] + (~over).cast("int")).alias("asked"), F.concat(acc["rows"], F.array(told)).alias("rows"))
+
+    return said.select("session_id", F.explode(F.aggregate("t", start, step, lambda acc: acc["rows"])).alias("r")).select("session_id", "r.*")

@@ -175,12 +175,3 @@ def resume_sections(s: SparkSession, d: str) -> DataFrame:
     heads = s.createDataFrame(list(RESUME_HEADINGS), "phrase string, section string")
     docs = table(s, d, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 5 != 0, HEADED).otherwise(""), "text").alias("text"))
     return careers.resume_sections(docs, heads).select("doc_id", "line_no", "section")
-
-
-@query("stream_index", "SELECT doc_id, sha256('v1' || chr(10) || text) AS hash FROM documents WHERE length(trim(text)) >= 80 AND doc_id % 2 <> 0")
-def stream_index(s: SparkSession, d: str) -> DataFrame:
-    """Drain the texts whose hash is not indexed yet; every second one is."""
-    docs = jobs.read_files(s, f"{d}/documents.parquet", "doc_id long, text string, lang string, source string, n_chars long")
-    hashed = docs.where(F.length(F.trim("text")) >= 80).select("doc_id", T.document_hash(F.col("text")).alias("hash"))
-    indexed = table(s, d, "documents").where("doc_id % 2 = 0").select("doc_id", T.document_hash(F.col("text")).alias("hash"))
-    return jobs.drain(hashed, "append", "index", lambda batch, _: batch.join(indexed, ["doc_id", "hash"], "left_anti"))
