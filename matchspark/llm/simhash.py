@@ -348,13 +348,29 @@ def links(leaves: DataFrame, bits: int, word_bits: int, budget: int, limit: int)
             if b - a > 1:
                 yield joined(t.slice(a, b - a), int(word[a]), int(fixed[a]) & 0xFFFFFFFFFFFFFFFF)
 
+    def first_meeting(differ: np.ndarray, w: int, fixed: int) -> np.ndarray:
+        """Of pairs by the bits in which they differ, those that meet in no earlier word and, unless a part was dealt
+        on, in no earlier piece of this one, so that a pair counts about once."""
+        here = np.ones(len(differ), bool)
+        for earlier in range(w):
+            here &= np.bitwise_count(_words(differ, earlier, word_bits)) > budget
+        masks = _piece_masks((1 << word_bits) - 1, budget + 1)
+        if fixed in masks:
+            for mask in masks[: masks.index(fixed)]:
+                here &= (_words(differ, w, word_bits) & np.uint64(mask)) != 0
+        return here
+
     def joined(t: pa.Table, w: int, fixed: int) -> pa.RecordBatch:
         value, node = (t.column(c).to_numpy() for c in ("value", "node"))
         whole = _as_words(t.column("fp"), bits)
         low, levels = _squeezed(_words(whole, w, word_bits), fixed, word_bits)
         order = np.lexsort((node, low, value))
         label = t.column("comp").to_numpy()[order] if labelled else None
-        a, b = (node[order][x] for x in trie_join(value[order], low[order], levels, whole[order], budget, limit, label))
+        a, b = trie_join(value[order], low[order], levels, whole[order], budget, limit, label)
+        if labelled:
+            here = first_meeting(whole[order][a] ^ whole[order][b], w, fixed)
+            a, b = a[here], b[here]
+        a, b = node[order][a], node[order][b]
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
     key = ["word", "fixed", "value"]
