@@ -227,6 +227,41 @@ def score_reply_parse(replies: DataFrame, key: str, reply: str, marks: tuple[str
     return parsed.select(key, *(F.when(ok, F.col(f"r.{m}")).alias(m) for m in marks), F.when(ok, F.bround(mean.cast("decimal(20,12)"), 3).cast("double")).alias("overall"))
 
 
+#: How long the parts of a scored reply may be, and how many count.
+MOST_FEEDBACK, MOST_POINT, MOST_POINTS, MOST_SPANS = 4000, 400, 6, 8
+
+
+def scored_reply(replies: DataFrame, key: str, reply: str, answer: str, marks: tuple[str, ...]) -> DataFrame:
+    """(key, marks, overall, feedback, strengths, improvements, spans, rejected): a whole reply {scores, feedback,
+    strengths, improvements, cited_spans} against the answer that it scores. Without scores, a mark within 0 to 1 for
+    every name, or feedback the reply is rejected as a whole, with the reason. Of the spans (start, end, text, note) those
+    stay that lie in the answer and whose quote, if there is one, is what stands there, white space aside; text is then
+    the answer's own. A shifted span or an altered quote would be believed, so it goes."""
+    span = "struct<start: int, end: int, text: string, note: string>"
+    schema = f"scores struct<{', '.join(f'{m}: double' for m in marks)}>, feedback string, strengths array<string>, improvements array<string>, cited_spans array<{span}>"
+    told = replies.select(key, F.coalesce(answer, F.lit("")).alias("_a"), unfence_json(F.col(reply), schema).alias("_r"))
+    told = told.select(key, "_a", F.explode(F.array("_r")).alias("_r"))
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    words = lambda x: F.regexp_replace(bare(x), r"\s+", " ")
+    short = lambda x, n: F.when(F.length(bare(x)).between(1, n), bare(x))
+    points = lambda c: F.coalesce(F.filter(F.transform(F.slice(c, 1, MOST_POINTS), lambda x: short(x, MOST_POINT)), lambda x: x.isNotNull()), F.array().cast("array<string>"))
+    there = lambda x: F.substring(F.col("_a"), x["start"] + 1, x["end"] - x["start"])
+    inside = lambda x: (x["start"] >= 0) & (x["start"] < x["end"]) & (x["end"] <= F.length("_a"))
+    quoted = lambda x: x["text"].isNull() | (bare(x["text"]) == "") | (words(x["text"]) == words(there(x)))
+    good = F.filter(F.slice("_r.cited_spans", 1, MOST_SPANS), lambda x: F.coalesce(inside(x) & quoted(x), F.lit(False)))
+    spans = F.transform(good, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), there(x).alias("text"), F.coalesce(short(x["note"], MOST_POINT), F.lit("")).alias("note")))
+    mark = lambda m: F.round(F.col(f"_r.scores.{m}"), 3)
+    reason = F.when(F.col("_r.scores").isNull(), "no scores")
+    for m in marks:
+        reason = reason.when(~F.coalesce(F.col(f"_r.scores.{m}").between(0, 1), F.lit(False)), f"no mark for {m}")
+    reason = reason.when(short(F.col("_r.feedback"), MOST_FEEDBACK).isNull(), "no feedback")
+    out = told.withColumn("rejected", F.when(F.col("_r").isNull(), "no reply").otherwise(reason))
+    kept = lambda c: F.when(F.col("rejected").isNull(), c)
+    mean = F.bround(sum((mark(m) for m in marks), F.lit(0.0)).cast("decimal(20,12)") / len(marks), 3).cast("double")
+    empty = F.array().cast(f"array<{span}>")
+    return out.select(key, *(kept(mark(m)).alias(m) for m in marks), kept(mean).alias("overall"), kept(short(F.col("_r.feedback"), MOST_FEEDBACK)).alias("feedback"), kept(points("_r.strengths")).alias("strengths"), kept(points("_r.improvements")).alias("improvements"), kept(F.coalesce(spans, empty)).alias("spans"), "rejected")
+
+
 _SUGGESTIONS = "array<struct<original: string, suggested: string>>"
 
 

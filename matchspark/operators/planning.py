@@ -31,27 +31,45 @@ def prerequisite_depth(edges: DataFrame) -> DataFrame:
         depth += 1
 
 
-def learning_plan(gaps: DataFrame, prerequisites: DataFrame) -> DataFrame:
-    """gaps: (user_id, skill_id, severity, frequency), prerequisites: (skill_id, needs). (user_id, skill_id, step).
-
-    Among the steps whose prerequisites within the plan are done, the most severe, most frequent, smallest id comes
-    next; a cycle falls back to that order. One user's gaps are one group: bounded by the number of skills."""
-    inside = gaps.join(prerequisites, "skill_id").join(gaps.select("user_id", F.col("skill_id").alias("needs")), ["user_id", "needs"], "left_semi").groupBy("user_id", "skill_id").agg(F.collect_set("needs").alias("needs"))
-    rows = gaps.select("user_id", "skill_id", "severity", "frequency").join(inside, ["user_id", "skill_id"], "left")
+def learning_plan(gaps: DataFrame, prerequisites: DataFrame, hours: DataFrame | None = None, done: DataFrame | None = None) -> DataFrame:
+    """gaps: (user_id, skill_id, severity, frequency), prerequisites: (skill_id, needs), hours: (skill_id, hours) of the
+    skills that can be planned (without it: all, hours null), done: (user_id, skill_id) of finished steps. (user_id,
+    skill_id, step, completed, hours, after): after are the prerequisites within the plan, in order of id.
+
+    Among the steps whose prerequisites within the plan are placed or finished, the most severe, most frequent, smallest
+    id comes next; a cycle falls back to that order. Finished steps move to the front, each part in that order, so what
+    a step needs stands above it. One user's gaps are one group: bounded by the number of skills."""
+    own = gaps.select("user_id", "skill_id", "severity", "frequency").distinct()
+    own = own.join(hours.select("skill_id", F.col("hours").cast("double").alias("hours")), "skill_id") if hours is not None else own.withColumn("hours", F.lit(None).cast("double"))
+    finished = done.select("user_id", "skill_id").distinct().withColumn("completed", F.lit(True)) if done is not None else own.select("user_id", "skill_id").limit(0).withColumn("completed", F.lit(True))
+    inside = own.join(prerequisites, "skill_id").join(own.select("user_id", F.col("skill_id").alias("needs")), ["user_id", "needs"], "left_semi").groupBy("user_id", "skill_id").agg(F.collect_set("needs").alias("after"))
+    rows = own.join(inside, ["user_id", "skill_id"], "left").join(finished, ["user_id", "skill_id"], "left").withColumn("completed", F.coalesce("completed", F.lit(False))).withColumn("after", F.array_sort(F.coalesce("after", F.array().cast("array<bigint>"))))
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = {r.skill_id: (SEVERITY[r.severity], -r.frequency, r.skill_id, set(r.needs) if r.needs is not None else set()) for r in pdf.itertuples()}
-        done: set[int] = set()
-        order = []
-        while left:
-            ready = [v for v in left.values() if v[3] <= done] or list(left.values())
-            best = min(ready, key=lambda v: v[:3])[2]
-            order.append(best)
-            done.add(best)
-            del left[best]
-        return pd.DataFrame({"user_id": pdf.user_id.iloc[0], "skill_id": order, "step": range(1, len(order) + 1)})
-
-    return rows.groupBy("user_id").applyInPandas(plan, "user_id long, skill_id long, step int")
+        pdf = pdf.set_index("skill_id", drop=False)
+        rank = {r.skill_id: (SEVERITY[r.severity], -r.frequency, r.skill_id) for r in pdf.itertuples()}
+        needs = {r.skill_id: set(r.after) for r in pdf.itertuples()}
+        over = set(pdf.index[pdf.completed])
+        order: list[int] = []
+        while len(order) < len(rank):
+            placed = over | set(order)
+            left = [k for k in rank if k not in order]
+            order.append(min([k for k in left if needs[k] <= placed] or left, key=rank.__getitem__))
+        order.sort(key=lambda k: k not in over)
+        out = pdf.loc[order, ["user_id", "skill_id", "completed", "hours", "after"]].reset_index(drop=True)
+        return out.assign(step=range(1, len(order) + 1))[["user_id", "skill_id", "step", "completed", "hours", "after"]]
+
+    return rows.groupBy("user_id").applyInPandas(plan, "user_id long, skill_id long, step int, completed boolean, hours double, after array<bigint>")
+
+
+def plan_totals(gaps: DataFrame, plan: DataFrame) -> DataFrame:
+    """(user_id, steps, total_hours, remaining_hours, skipped): of every user with gaps; skipped are those that could not
+    be planned."""
+    asked = gaps.select("user_id", "skill_id").distinct().groupBy("user_id").agg(F.count("*").alias("_n"))
+    hours = F.col("hours")
+    told = plan.groupBy("user_id").agg(F.count("*").alias("steps"), F.sum(hours).alias("total_hours"), F.sum(F.when(~F.col("completed"), hours).otherwise(0)).alias("remaining_hours"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return asked.join(told, "user_id", "left").select("user_id", *map(zero, ("steps", "total_hours", "remaining_hours")), (F.col("_n") - F.coalesce("steps", F.lit(0))).alias("skipped"))
 
 
 def adaptive_ladder(turns: DataFrame, budget: int = 6) -> DataFrame:

@@ -99,6 +99,22 @@ def score_reply_parse(s: SparkSession, d: str) -> DataFrame:
     return G.score_reply_parse(replies, "k", "reply", MARKS).select("k.conv_id", "k.turn", "relevance", "overall")
 
 
+@query("scored_reply", """, c AS (SELECT conv_id, turn, text, length(text) AS n, length(text) % 120 / 100 AS m FROM conversations)
+  SELECT conv_id, turn, CASE WHEN m <= 1 AND turn % 5 < 3 THEN m END AS relevance, CASE WHEN turn % 5 = 4 THEN 'no scores' WHEN m > 1 THEN 'no mark for relevance' WHEN turn % 5 = 3 THEN 'no feedback' END AS rejected,
+  CASE WHEN m <= 1 AND turn % 5 < 3 AND n >= 12 THEN substr(text, 4, 6) || '|' || substr(text, 3, 10) WHEN m <= 1 AND turn % 5 < 3 THEN '' END AS quotes FROM c""")
+def scored_reply(s: SparkSession, d: str) -> DataFrame:
+    """Replies with four citations of a text: two as it is, one shifted and one altered; short texts hold none."""
+    at = lambda a, n, text: F.struct(F.lit(a).alias("start"), F.lit(a + n).alias("end"), text.alias("text"), F.lit("n").alias("note"))
+    part = lambda a, n: F.substring("text", a + 1, n)
+    spans = F.array(at(3, 6, part(3, 6)), at(2, 5, F.concat(part(2, 5), F.lit("!"))), at(2, 10, F.lit(None).cast("string")), at(1, 7, F.concat(F.lit("="), part(2, 6))))
+    spans = F.when(F.length("text") >= 12, spans).otherwise(F.array(at(3, 400, F.lit(" "))))
+    scores = F.struct((F.length("text") % 120 / 100.0).alias("relevance"), *(F.lit(0.5).alias(m) for m in MARKS[1:]))
+    body = F.to_json(F.struct(scores.alias("scores"), F.when(F.col("turn") % 5 == 3, " ").otherwise("fine").alias("feedback"), spans.alias("cited_spans")))
+    replies = table(s, d, "conversations").select(F.struct("conv_id", "turn").alias("k"), "text", F.when(F.col("turn") % 5 == 4, "[]").otherwise(body).alias("reply"))
+    found = G.scored_reply(replies, "k", "reply", "text", MARKS)
+    return found.select("k.conv_id", "k.turn", "relevance", "rejected", F.array_join(F.transform("spans", lambda x: x["text"]), "|").alias("quotes"))
+
+
 @query("suggestion_parse", "SELECT doc_id, CAST(0 AS INTEGER) AS place, lang AS original, source AS suggested FROM documents WHERE lang <> source UNION ALL SELECT doc_id, CASE WHEN lang <> source THEN 1 ELSE 0 END, source, lang FROM documents WHERE lang <> source")
 def suggestion_parse(s: SparkSession, d: str) -> DataFrame:
     pair = lambda a, b: F.struct(F.col(a).alias("original"), F.col(b).alias("suggested"))

@@ -155,18 +155,35 @@ def prerequisite_depth(s: SparkSession, d: str) -> DataFrame:
     return N.prerequisite_depth(halves.union(cycle))
 
 
-@query("learning_plan", f"""{GAPS_SQL}, open AS (SELECT * FROM gaps WHERE gap_status <> 'STRONG' AND severity IN ('CRITICAL', 'HIGH')),
-  placed AS (SELECT o.*, p.skill_id AS need, CASE o.severity WHEN 'CRITICAL' THEN 0 ELSE 1 END AS sev, CASE p.severity WHEN 'CRITICAL' THEN 0 ELSE 1 END AS psev, p.frequency AS pf
-    FROM open o JOIN skills s USING (skill_id) LEFT JOIN open p ON p.user_id = o.user_id AND p.skill_id = s.parent_skill_id)
-  SELECT user_id, count(*) AS steps, count(need) AS with_prerequisite FROM placed GROUP BY ALL""")
+_PLAN_SQL = f"""{GAPS_SQL}, open AS (SELECT g.*, parent_skill_id AS need, CASE severity WHEN 'CRITICAL' THEN 0 ELSE 1 END AS sev FROM gaps g JOIN skills USING (skill_id)
+    WHERE gap_status <> 'STRONG' AND severity IN ('CRITICAL', 'HIGH') AND skill_id % 9 <> 0),
+  needed AS (SELECT o.*, CASE WHEN need IN (SELECT skill_id FROM open p WHERE p.user_id = o.user_id) THEN need END AS after_, skill_id % 5 = 0 AS completed FROM open o),
+  walk AS (WITH RECURSIVE w AS (SELECT DISTINCT user_id, 0::BIGINT AS n, []::BIGINT[] AS placed FROM needed
+    UNION ALL SELECT user_id, n + 1, list_append(placed, best) FROM (SELECT w.user_id, w.n, w.placed,
+      arg_min(o.skill_id, (CASE WHEN o.after_ IS NULL OR o.after_ % 5 = 0 OR list_contains(w.placed, o.after_) THEN 0 ELSE 1 END, o.sev, -o.frequency, o.skill_id)) AS best
+      FROM w JOIN needed o ON o.user_id = w.user_id AND NOT list_contains(w.placed, o.skill_id) GROUP BY ALL)) SELECT user_id, n, placed[n] AS skill_id FROM w WHERE n > 0)"""
+
+
+@query("learning_plan", f"""{_PLAN_SQL} SELECT user_id, skill_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY NOT completed, n) AS INTEGER) AS step, completed, (skill_id % 40 + 8)::DOUBLE AS hours, coalesce(after_::VARCHAR, '') AS after
+  FROM walk JOIN needed USING (user_id, skill_id)""")
 def learning_plan(s: SparkSession, d: str) -> DataFrame:
-    """Each user's plan, summed up: how many steps, and how many come after a prerequisite within the plan."""
+    return _plan(s, d)[1].withColumn("after", F.array_join(F.transform("after", lambda x: x.cast("string")), " "))
+
+
+@query("plan_totals", f"""{_PLAN_SQL}, asked_ AS (SELECT user_id, count(*) AS n FROM gaps WHERE gap_status <> 'STRONG' AND severity IN ('CRITICAL', 'HIGH') GROUP BY ALL),
+  told AS (SELECT user_id, count(*) AS steps, sum(skill_id % 40 + 8)::DOUBLE AS total_hours, coalesce(sum(skill_id % 40 + 8) FILTER (NOT completed), 0)::DOUBLE AS remaining_hours FROM needed GROUP BY ALL)
+  SELECT user_id, coalesce(steps, 0) AS steps, coalesce(total_hours, 0) AS total_hours, coalesce(remaining_hours, 0) AS remaining_hours, n - coalesce(steps, 0) AS skipped FROM asked_ LEFT JOIN told USING (user_id)""")
+def plan_totals(s: SparkSession, d: str) -> DataFrame:
+    return N.plan_totals(*_plan(s, d))
+
+
+def _plan(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Gaps and plan: every ninth skill cannot be planned, every fifth is finished."""
     gaps = skill_gaps(s, d).where("gap_status <> 'STRONG' and severity in ('CRITICAL', 'HIGH')")
-    needs = B.skills(s, d).where("parent_skill_id is not null").select("skill_id", F.col("parent_skill_id").alias("needs"))
-    plan = N.learning_plan(gaps, needs)
-    before = plan.select("user_id", F.col("skill_id").alias("needs"), F.col("step").alias("_before"))
-    after = plan.join(needs, "skill_id", "left").join(before, ["user_id", "needs"], "left")
-    return after.groupBy("user_id").agg(F.count("*").alias("steps"), F.count_if(F.col("_before") < F.col("step")).alias("with_prerequisite"))
+    skills = B.skills(s, d)
+    needs = skills.where("parent_skill_id is not null").select("skill_id", F.col("parent_skill_id").alias("needs"))
+    hours = skills.where("skill_id % 9 <> 0").select("skill_id", (F.col("skill_id") % 40 + 8).alias("hours"))
+    return gaps, N.learning_plan(gaps, needs, hours, gaps.where("skill_id % 5 = 0").select("user_id", "skill_id"))
 
 
 @query("adaptive_ladder", """, t AS (SELECT conv_id, turn, length(text) % 101 / 100.0 AS score, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),

@@ -340,6 +340,15 @@ def test_plan_respects_prerequisites_and_survives_cycles(spark):
     needs = spark.createDataFrame([(2, 1), (4, 5), (5, 4)], "skill_id long, needs long")
     got = {u: [r.skill_id for r in N.learning_plan(gaps, needs).where(F.col("user_id") == u).orderBy("step").collect()] for u in (1, 2)}
     assert got == {1: [3, 1, 2], 2: [5, 4]}
+    hours = spark.createDataFrame([(1, 10.0), (2, 4.0), (4, 3.0)], "skill_id long, hours double")
+    done = spark.createDataFrame([(1, 1), (9, 9)], "user_id long, skill_id long")
+    plan = N.learning_plan(gaps, needs, hours, done)
+    assert [tuple(r) for r in plan.orderBy("user_id", "step").collect()] == [(1, 1, 1, True, 10.0, []), (1, 2, 2, False, 4.0, [1]), (2, 4, 1, False, 3.0, [])]
+    assert sorted(map(tuple, N.plan_totals(gaps, plan).collect())) == [(1, 2, 14.0, 4.0, 1), (2, 1, 3.0, 3.0, 1)]
+    # a finished step frees what needs it at once; the finished one stands first all the same
+    both = spark.createDataFrame([(1, 1, "LOW", 0.1), (1, 2, "CRITICAL", 0.9)], "user_id long, skill_id long, severity string, frequency double")
+    freed = N.learning_plan(both, needs, None, done)
+    assert [(r.skill_id, r.completed, r.after) for r in freed.orderBy("step").collect()] == [(1, True, []), (2, False, [1])]
 
 
 @settings(max_examples=10, deadline=None)
@@ -360,3 +369,16 @@ def test_a_busy_customer_has_25_career_entries_of_a_kind(spark, tmp_path):
     orders = [(4 * k, 1 if k < 40 else 2, dt.date(1992 + k // 12, k % 12 + 1, 1), 1.0) for k in range(43)]
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
     assert {r.user_id: r["count"] for r in career_entities(spark, str(tmp_path)).groupBy("user_id").count().collect()} == {1: 25, 2: 3}
+
+
+def test_scored_replies(spark):
+    answer = "I would  shard the table, then measure."
+    good = '{"scores": {"a": 0.5, "b": 1}, "feedback": " ok ", "strengths": ["x", " ", "y"], "cited_spans": ['
+    spans = '{"start": 8, "end": 24, "text": " shard the\\n table", "note": "n"}, {"start": 9, "end": 23, "text": "shard the table"}, {"start": 2, "end": 99}, {"start": 5, "end": 5}, {"start": 0, "end": 7, "text": " "}]}'
+    rows = [(1, good + spans), (2, "```json\n" + good + "]}\n```"), (3, good.replace("0.5", "1.5") + "]}"), (4, good.replace(" ok ", " ") + "]}"), (5, "[1]"), (6, None), (7, good.replace('"b": 1', '"c": 1') + "]}")]
+    df = spark.createDataFrame(rows, "k int, reply string").withColumn("answer", F.lit(answer))
+    got = {r.k: r for r in G.scored_reply(df, "k", "reply", "answer", ("a", "b")).collect()}
+    assert {k: r.rejected for k, r in got.items()} == {1: None, 2: None, 3: "no mark for a", 4: "no feedback", 5: "no scores", 6: "no reply", 7: "no mark for b"}
+    assert (got[1].a, got[1].overall, got[1].feedback, got[1].strengths, got[1].improvements) == (0.5, 0.75, "ok", ["x", "y"], [])
+    assert [(s.start, s.end, s.text, s.note) for s in got[1].spans] == [(8, 24, answer[8:24], "n"), (0, 7, "I would", "")]
+    assert (got[2].spans, got[3].overall, got[3].spans) == ([], None, None)
