@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from matchspark.functions import scoring as S
 from matchspark.functions.scoring import skill_rarity
 from matchspark.functions.text import trigram_similarity, trigrams
 from matchspark.operators.demand import related_skills
+from matchspark.operators.ranking import rank_page
 from matchspark.session import on_workers
 
 #: Rows of a side that one tile holds, about; and rows that are multiplied at once.
@@ -220,3 +222,57 @@ def match_lists(buckets: DataFrame, skills: DataFrame) -> DataFrame:
     entry = F.struct((F.col("requirement") != "REQUIRED").alias("later"), "name", "skill_id")
     of = lambda b: F.transform(F.array_sort(F.collect_list(F.when(F.col("bucket") == b, entry))), lambda x: x["name"]).alias(b.lower())
     return named.groupBy("user_id", "job_id").agg(*map(of, ("MATCHED", "PARTIAL", "MISSING")))
+
+
+#: What this way to score is called; results of different ways are not to be compared.
+RANKING_VERSION = "v1"
+
+
+def match(pairs: DataFrame, candidates: DataFrame, jobs: DataFrame, job_skills: DataFrame, held: DataFrame, skills: DataFrame, demand: DataFrame, span: tuple[float, float], at: Column, lists: bool = True) -> DataFrame:
+    """Every pair (user_id, job_id, similarity; one row each) scored in the six dimensions, from tables:
+
+    candidates (user_id, years, education_rank, wants_remote, will_relocate, home, floor, floor_currency; and, if there
+    are such columns, places and preferred: arrays of words of places), jobs (job_id, min_years, max_years,
+    min_education, country_code, work_mode, salary_min, salary_max, salary_currency, salary_period; place_words like
+    places), job_skills (job_id, skill_id, requirement), held (user_id, skill_id), skills (skill_id, name,
+    parent_skill_id), demand (skill_id, demand_score).
+
+    Gives, besides the pair: each dimension and its status, overall, scored_weight, the numbers of skills in each bucket
+    and, with lists, their names (matched, partial, missing), ranking_version and computed_at (at). A posting that lists
+    no skills NEEDS_DATA, a candidate without any NEEDS_PROFILE, and where the skills weigh nothing
+    it NEEDS_DATA: these count as neutral and not as scored. What is joined is cut down to the pairs first: postings and skills that no pair
+    has take no part."""
+    none, c = F.array().cast("array<string>"), F.col
+    asked = job_skills.join(pairs.select("job_id").distinct(), "job_id", "left_semi")
+    buckets = match_partition(pairs, asked, held, skills)
+    scored = skill_score(buckets, demand)
+    if lists:
+        scored = scored.join(match_lists(buckets, skills), ["user_id", "job_id"], "left")
+    words = lambda df, name: df if name in df.columns else df.withColumn(name, none)
+    people = words(words(candidates, "places"), "preferred").join(held.select("user_id").distinct().withColumn("_has", F.lit(True)), "user_id", "left")
+    postings = words(jobs, "place_words")
+    postings = postings if "salary_min" in jobs.columns else postings.withColumn("salary_min", F.lit(None).cast("double"))
+    people = people.select("user_id", "years", "education_rank", "wants_remote", "will_relocate", "home", "floor", "floor_currency", "places", "preferred", "_has")
+    postings = postings.select("job_id", "min_years", "max_years", "min_education", "country_code", "work_mode", "salary_min", "salary_max", "salary_currency", "salary_period", "place_words")
+    wide = pairs.join(people, "user_id").join(postings, "job_id").join(scored, ["user_id", "job_id"], "left")
+    dims = {
+        "semantic": S.semantic(c("similarity"), span),
+        "experience": S.experience(c("years"), c("min_years"), c("max_years")),
+        "education": S.education(c("education_rank"), S.education_rank(c("min_education"))),
+        "location": S.location(c("preferred"), c("wants_remote"), c("home"), c("will_relocate"), c("place_words"), c("country_code"), c("work_mode")),
+        "salary": S.salary(c("salary_min"), c("salary_max"), c("salary_currency"), c("salary_period"), c("floor"), c("floor_currency")),
+    }
+    for name, (score, status) in dims.items():
+        wide = wide.withColumn(name, score).withColumn(f"{name}_status", status)
+    lists_none = c("n_matched").isNull()
+    wide = wide.withColumn("skill_status", F.when(lists_none, "NEEDS_DATA").when(c("_has").isNull(), "NEEDS_PROFILE").when(c("skill").isNull(), "NEEDS_DATA").otherwise("SCORED"))
+    wide = wide.withColumn("skill", F.when(c("skill_status") == "SCORED", S.half_even(c("skill"), 4)).otherwise(F.lit(S.NEUTRAL)))
+    wide = wide.withColumn("overall", S.overall()).withColumn("scored_weight", S.scored_weight())
+    return wide.withColumn("ranking_version", F.lit(RANKING_VERSION)).withColumn("computed_at", at).drop("_has", "places", "preferred", "place_words")
+
+
+def recommend(matches: DataFrame, seen: DataFrame, first: int = 1, size: int = 20) -> DataFrame:
+    """(user_id, job_id, overall, scored_weight, rank, total): a page of each user's matches, best first, without what
+    is in seen (user_id, job_id)."""
+    fresh = matches.select("user_id", "job_id", "overall", "scored_weight").join(seen.select("user_id", "job_id").distinct(), ["user_id", "job_id"], "left_anti")
+    return rank_page(fresh, "user_id", "overall", "job_id", first, size)

@@ -10,10 +10,10 @@ from matchspark.functions import text as T
 from matchspark.operators import demand as D
 from matchspark.operators import matching as M
 from matchspark.operators import postings as P
-from matchspark.operators import ranking as R
 from matchspark.operators import records as L
 from matchspark.plans import base as B
 from matchspark.plans.base import as_of, query, table
+from matchspark.session import written
 
 #: The given vectors are random: their similarities need another span, floor and threshold than real ones.
 SPAN, FLOOR, NEAR = (-0.25, 0.45), 0.2, 0.35
@@ -136,7 +136,7 @@ weighed AS (SELECT *, CASE requirement WHEN 'REQUIRED' THEN 1.0 ELSE 0.5 END * c
   CASE bucket WHEN 'MATCHED' THEN 1.0 WHEN 'PARTIAL' THEN 0.5 ELSE 0.0 END::DOUBLE AS m FROM buckets LEFT JOIN demand USING (skill_id)),
 skill_scores AS (SELECT user_id, job_id, sum(w * m) / sum(w) AS skill, count(*) FILTER (bucket = 'MATCHED') AS n_matched, count(*) FILTER (bucket = 'PARTIAL') AS n_partial, count(*) FILTER (bucket = 'MISSING') AS n_missing FROM weighed GROUP BY ALL)"""
 MATCH_SQL = f"""{SKILL_SQL}, wide AS (SELECT r.*, c.years, c.education_rank, c.wants_remote, c.will_relocate, c.country_code AS home, c.min_salary * 30 AS floor, c.salary_currency AS floor_currency,
-  j.min_years, j.max_years, j.country_code, j.work_mode, j.salary_max, j.salary_currency, j.salary_period, j.job_id % 6 AS need, k.skill AS raw_skill, n_matched, n_partial, n_missing
+  j.min_years, j.max_years, j.country_code, j.work_mode, j.salary_max, j.salary_currency, j.salary_period, j.job_id % 6 AS need, CASE WHEN r.user_id IN (SELECT user_id FROM candidate_skills) THEN k.skill END AS raw_skill, n_matched, n_partial, n_missing
   FROM recall r JOIN candidates c USING (user_id) JOIN jobs j USING (job_id) LEFT JOIN skill_scores k ON k.user_id = r.user_id AND k.job_id = r.job_id),
 dims AS (SELECT *, round_even(greatest(0.0, least(1.0, (similarity - -0.25) / 0.7)), 4) AS semantic,
   CASE WHEN raw_skill IS NULL THEN 0.5 ELSE round_even(raw_skill, 4) END AS skill,
@@ -179,28 +179,21 @@ def score_skill(s: SparkSession, d: str) -> DataFrame:
     return _skill_scores(s, d, _recall(s, d)).withColumn("skill", F.round("skill", 4))
 
 
-def _matches(s: SparkSession, d: str) -> DataFrame:
-    """Recall, then all six dimensions for each recalled pair; the vectors stay behind in the recall."""
-    pairs = _recall(s, d).select("user_id", "job_id", "similarity")
-    c, none = F.col, F.array().cast("array<string>")
-    users = B.candidates(s, d).select("user_id", "years", "education_rank", "wants_remote", "will_relocate", F.col("country_code").alias("home"), (F.col("min_salary") * 30).alias("floor"), F.col("salary_currency").alias("floor_currency"))
-    wide = pairs.join(users, "user_id").join(B.jobs(s, d), "job_id").join(_skill_scores(s, d, pairs), ["user_id", "job_id"], "left")
-    dims = {
-        "semantic": S.semantic(c("similarity"), SPAN),
-        "experience": S.experience(c("years"), c("min_years"), c("max_years")),
-        "education": S.education(c("education_rank"), S.education_rank(c("min_education"))),
-        "location": S.location(none, c("wants_remote"), c("home"), c("will_relocate"), none, c("country_code"), c("work_mode")),
-        "salary": S.salary(F.lit(None).cast("double"), c("salary_max"), c("salary_currency"), c("salary_period"), c("floor"), c("floor_currency")),
-    }
-    for name, (score, status) in dims.items():
-        wide = wide.withColumn(name, score).withColumn(f"{name}_status", status)
-    wide = wide.withColumn("skill_status", F.when(c("skill").isNull(), "NEEDS_DATA").otherwise("SCORED")).withColumn("skill", S.half_even(F.coalesce("skill", F.lit(S.NEUTRAL)), 4))
-    return wide.withColumn("overall", S.overall()).withColumn("scored_weight", S.scored_weight())
-
-
-@query("match_many", f"{MATCH_SQL} SELECT * FROM matches")
+def _matches(s: SparkSession, d: str, lists: bool = False) -> DataFrame:
+    """Recall, then all six dimensions for each recalled pair; the vectors stay behind in the recall, which runs once."""
+    pairs = written(_recall(s, d).select("user_id", "job_id", "similarity"))
+    people = B.candidates(s, d).select("user_id", "years", "education_rank", "wants_remote", "will_relocate", F.col("country_code").alias("home"), (F.col("min_salary") * 30).alias("floor"), F.col("salary_currency").alias("floor_currency"))
+    demand = D.skill_demand(_live(s, d), B.job_skills(s, d), B.skills(s, d))
+    return M.match(pairs, people, B.jobs(s, d), B.job_skills(s, d), B.candidate_skills(s, d), B.skills(s, d), demand, SPAN, as_of(), lists)
+
+
+@query("match_many", f"""{MATCH_SQL}, lists AS (SELECT user_id, job_id, {_LIST_SQL} FROM buckets JOIN skills USING (skill_id) GROUP BY ALL)
+SELECT m.*, CASE WHEN n_matched IS NULL THEN 'NEEDS_DATA' WHEN m.user_id NOT IN (SELECT user_id FROM candidate_skills) THEN 'NEEDS_PROFILE' ELSE 'SCORED' END AS skill_status,
+  matched, partial, missing, 'v1' AS ranking_version, '{B.AS_OF} 00:00:00' AS computed_at FROM matches m LEFT JOIN lists USING (user_id, job_id)""")
 def match_many(s: SparkSession, d: str) -> DataFrame:
-    return _matches(s, d).select("user_id", "job_id", *S.WEIGHTS, "scored_weight", "n_matched", "n_partial", "n_missing", "overall")
+    out = _matches(s, d, lists=True)
+    lists = (F.array_join(c, ";").alias(c) for c in ("matched", "partial", "missing"))
+    return out.select("user_id", "job_id", *S.WEIGHTS, "scored_weight", "n_matched", "n_partial", "n_missing", "overall", "skill_status", *lists, "ranking_version", F.date_format("computed_at", "yyyy-MM-dd HH:mm:ss").alias("computed_at"))
 
 
 @query("match_breakdown", f"{MATCH_SQL} SELECT user_id, job_id, dimension, score, weight, CAST(t AS DOUBLE) / 10 AS contribution FROM contributions")
@@ -212,9 +205,8 @@ def match_breakdown(s: SparkSession, d: str) -> DataFrame:
   count(*) OVER (PARTITION BY user_id) AS total FROM matches m WHERE NOT EXISTS (SELECT 1 FROM applications p WHERE p.user_id = m.user_id AND p.job_id = m.job_id AND p.status = 'APPLIED')) WHERE rank <= 20""")
 def recommend(s: SparkSession, d: str) -> DataFrame:
     """For every user with a vector: the first page of live postings not applied to, best match first."""
-    applied = B.applications(s, d).where("status = 'APPLIED'").select("user_id", "job_id")
-    fresh = _matches(s, d).select("user_id", "job_id", "overall", "scored_weight").join(applied, ["user_id", "job_id"], "left_anti")
-    return R.rank_page(fresh, "user_id", "overall", "job_id", 1, 20).withColumn("rank", F.col("rank").cast("long"))
+    applied = B.applications(s, d).where("status = 'APPLIED'")
+    return M.recommend(_matches(s, d), applied).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("score_experience", """SELECT job_id, CASE WHEN job_id % 5 = 0 THEN 0.5 WHEN job_id % 13 < min_years THEN round_even(greatest(0.0, 1 - (min_years - job_id % 13) / min_years), 4)

@@ -13,7 +13,8 @@ from matchspark.operators import grounding as G
 from matchspark.operators import records as L
 from matchspark.plans import base as B
 from matchspark.plans.base import query, table
-from matchspark.plans.matching import MATCH_SQL, RECALL_SQL, match_many, recall_top_k
+from matchspark.plans.matching import MATCH_SQL, RECALL_SQL, recall_top_k
+from matchspark.plans.matching import _matches as match_many
 from matchspark.plans.upserts import OLD_NEW_SQL, _new, _old
 from matchspark.sources import readers
 from matchspark.streaming import jobs

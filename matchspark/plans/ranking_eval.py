@@ -12,7 +12,8 @@ from matchspark.operators import evaluation as V
 from matchspark.operators import records as L
 from matchspark.plans import base as B
 from matchspark.plans.base import query, table
-from matchspark.plans.matching import MATCH_SQL, match_breakdown, match_many
+from matchspark.plans.matching import MATCH_SQL, match_breakdown
+from matchspark.plans.matching import _matches as match_many
 from matchspark.plans.parsing import STOP_SQL
 
 SCORED_SQL = ", scored AS (SELECT company_id, job_id, coalesce(salary_max, 0) + min_years * 10000 AS score, (job_id * 7) % 4 AS label FROM jobs WHERE status = 'ACTIVE')"

@@ -382,3 +382,22 @@ def test_scored_replies(spark):
     assert (got[1].a, got[1].overall, got[1].feedback, got[1].strengths, got[1].improvements) == (0.5, 0.75, "ok", ["x", "y"], [])
     assert [(s.start, s.end, s.text, s.note) for s in got[1].spans] == [(8, 24, answer[8:24], "n"), (0, 7, "I would", "")]
     assert (got[2].spans, got[3].overall, got[3].spans) == ([], None, None)
+
+
+def test_what_a_match_lacks(spark):
+    """Without requirements a posting needs data, without skills a candidate needs a profile; both count as neutral."""
+    pairs = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.5), (2, 1, None)], "user_id long, job_id long, similarity double")
+    people = spark.createDataFrame([(1, 3, 3, True, True, "X", None, None), (2, None, 3, True, True, "X", None, None)], "user_id long, years int, education_rank int, wants_remote boolean, will_relocate boolean, home string, floor double, floor_currency string")
+    jobs = spark.createDataFrame([(k, 2, 4, "NONE", "X", "REMOTE", None, None, None) for k in (1, 2)], "job_id long, min_years int, max_years int, min_education string, country_code string, work_mode string, salary_max double, salary_currency string, salary_period string")
+    asked = spark.createDataFrame([(1, 7, "REQUIRED"), (1, 8, "PREFERRED"), (9, 7, "REQUIRED")], "job_id long, skill_id long, requirement string")
+    held = spark.createDataFrame([(1, 7)], "user_id long, skill_id long")
+    skills = spark.createDataFrame([(7, "b", None), (8, "a", None)], "skill_id long, name string, parent_skill_id long")
+    demand = spark.createDataFrame([(7, 0.5), (8, 0.5)], "skill_id long, demand_score double")
+    got = {(r.user_id, r.job_id): r for r in M.match(pairs, people, jobs, asked, held, skills, demand, (0.0, 1.0), F.lit("2024-01-01").cast("timestamp")).collect()}
+    assert {k: r.skill_status for k, r in got.items()} == {(1, 1): "SCORED", (1, 2): "NEEDS_DATA", (2, 1): "NEEDS_PROFILE"}
+    assert (round(got[1, 1].skill, 4), got[1, 2].skill, got[2, 1].skill) == (0.6667, 0.5, 0.5)
+    assert (got[1, 1].matched, got[1, 1].missing, got[2, 1].missing) == (["b"], ["a"], ["b", "a"])
+    assert round(got[1, 1].scored_weight - got[1, 2].scored_weight, 2) == 0.25
+    assert (got[2, 1].semantic_status, got[2, 1].ranking_version, got[2, 1].computed_at) == ("NEEDS_DATA", M.RANKING_VERSION, dt.datetime(2024, 1, 1))
+    page = M.recommend(spark.createDataFrame([(1, k, float(k % 3), 1.0) for k in range(6)], "user_id long, job_id long, overall double, scored_weight double"), pairs.select("user_id", "job_id"), 2, 2)
+    assert [(r.job_id, r["rank"], r.total) for r in page.orderBy("rank").collect()] == [(4, 2, 4), (0, 3, 4)]
