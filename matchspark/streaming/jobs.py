@@ -216,7 +216,7 @@ def application_state_batch(events: DataFrame) -> DataFrame:
     """The same over a whole table, as a fold of each application's events in column functions."""
     said = events.groupBy("user_id", "job_id").agg(F.array_sort(F.collect_list(F.struct("occurred_at", "event_id", "to_status"))).alias("e"))
     none = lambda t: F.lit(None).cast(t)
-    start = F.struct(none("string").alias("status"), F.lit(False).alias("is_saved"), none("timestamp").alias("applied_at"), F.lit(0).cast("long").alias("moves"), F.lit(0).cast("long").alias("refused"), F.array().cast("array<string>").alias("refused_moves"))
+    start = F.struct(none("string").alias("status"), F.lit(False).alias("is_saved"), none(events.schema["occurred_at"].dataType.simpleString()).alias("applied_at"), F.lit(0).cast("long").alias("moves"), F.lit(0).cast("long").alias("refused"), F.array().cast("array<string>").alias("refused_moves"))
 
     def step(acc: Column, e: Column) -> Column:
         to, status = e["to_status"], acc["status"]

@@ -355,9 +355,10 @@ def test_plan_respects_prerequisites_and_survives_cycles(spark):
 @given(st.lists(st.sampled_from(["SAVED", "APPLIED", "INTERVIEW", "REJECTED"]), min_size=1, max_size=12))
 def test_application_fold(spark, moves):
     df = spark.createDataFrame([(1, 1, i, i, m) for i, m in enumerate(moves)], "user_id long, job_id long, occurred_at long, event_id long, to_status string")
-    status, ok = None, 0
+    status, ok, saved = None, 0, False
     for m in moves:
-        status, fine = fold_status(status, m)
+        status, fine = fold_status(status, m, saved)
+        saved |= fine and m == "SAVED"
         ok += fine
     row = application_state_batch(df).first()
     assert (row.status, row.moves, row.refused) == (status, ok, len(moves) - ok)
