@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -335,6 +336,58 @@ def test_a_base_span_with_very_many_mentions_keeps_its_label():
     assert field.marginals(pii.Graph(text, pii.base_spans(text)))[0].argmax() == pii.KINDS.index("phone")
 
 
+def all_at_once(field, g, rounds=400):
+    """Longhand messages: every one of them in every round, damped by a half."""
+    n, k = len(g.nodes), pii.N_LABELS
+    linked = {j for pair in g.links for j in pair}
+    unary = np.zeros((n, k))
+    for j, (_, _, given) in enumerate(g.nodes):
+        unary[j] = field.emit[g.looks[j]]
+        unary[j] += field.chain[pii.NONE if g.plain_before[j] else k, :k] if g.plain_before[j] or j == 0 else 0
+        unary[j] += field.chain[:k, pii.NONE if g.plain_after[j] else k] if g.plain_after[j] or j == n - 1 else 0
+        unary[j] += field.skip[k, :k] if j not in linked else 0
+        if given >= 0:
+            unary[j] = np.where(np.arange(k) == given, 0.0, -np.inf)
+    edges = [(j, j + 1, field.chain[:k, :k]) for j in range(n - 1) if g.adjacent[j]] + [(a, b, field.skip[:k, :k]) for a, b in g.links]
+    sent = [(a, b, pot, i + len(edges)) for i, (a, b, pot) in enumerate(edges)] + [(b, a, pot.T, i) for i, (a, b, pot) in enumerate(edges)]
+    msg = np.zeros((len(sent), k))
+    for _ in range(rounds):
+        belief = unary.copy()
+        for (_, b, _, _), m in zip(sent, msg, strict=True):
+            belief[b] += m
+        new = np.array([np.logaddexp.reduce((belief[a] - msg[back])[:, None] + pot, axis=0) for a, _, pot, back in sent]).reshape(-1, k)
+        msg = (msg + new - new.max(1, keepdims=True)) / 2
+    for (_, b, _, _), m in zip(sent, msg, strict=True):
+        unary[b] += m
+    e = np.exp(unary - unary.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def test_messages_at_rest_change_nothing():
+    rng = np.random.default_rng(8)
+    k = pii.N_LABELS
+    said = ["555-2748", "5552748", "+1 (068) 555-2748", "a.bcd@x.org", "a.bcd@", "v7.0", "word", "abc12345"]
+    texts = [" ".join(rng.choice(said, size)) for size in (1, 2, 8, 20, 40) for _ in range(3)]
+    for text in [*texts, "a.bcd@x.org a.bcd@x.org word 77 word"]:
+        g = pii.Graph(text, pii.base_spans(text))
+        skip = rng.normal(size=(k + 1, k + 1)) / 4
+        field = pii.SkipChain(rng.normal(size=(pii.N_LOOKS, k)), rng.normal(size=(k + 1, k + 1)) / 4, (skip + skip.T) / 2)
+        if g.nodes:
+            assert np.allclose(field.marginals(g), all_at_once(field, g), atol=5e-3), text
+
+
+@pytest.mark.parametrize("text", [" ".join(["5550101234"] * 20_000), "call +1 555 010 1234 " + " ".join(["x 5550101234"] * 20_000), " ".join(["again 5550101234 or 555-0101234"] * 10_000)])
+def test_very_many_alike_mentions_take_time_in_line_with_the_text(text):
+    """In the field of an empty table, where a label spreads from mention to mention over the whole text."""
+    field = pii._fit(np.zeros((0, 5), np.int64), np.zeros(0))
+    g = pii.Graph(text, pii.base_spans(text))
+    began = time.monotonic()
+    label = field.marginals(g).argmax(1)
+    assert time.monotonic() - began < 60
+    free = [int(y) for (_, _, given), y in zip(g.nodes, label, strict=True) if given < 0]
+    assert set(free) == {pii.KINDS.index("phone") if "+1" in text else pii.NONE}
+
+
 # --- 3 packing ----------------------------------------------------------------------------------------------------
 
 
