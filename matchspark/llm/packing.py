@@ -13,13 +13,14 @@ The pipeline's sequences carry their tokens into the batches; the query op3_pack
 
 Defined results: a null or empty text has no tokens and no sequences; a text of any length is packed whole. Rows with
 equal ids are texts of their own; their sequences are told apart by row_key, a hash of id and text, and repeated rows
-are packed as often as they are there. A null id is packed like any other. Of equally good sets of
+are packed as often as they are there, dealt into parts by their repetitions. A null id is packed like any other. Of equally good sets of
 boundaries the one with the shorter first buckets is taken. An empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -51,30 +52,36 @@ def encoding(path: str) -> tiktoken.Encoding:
 
 def sequences(docs: DataFrame, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, tokens: bool = False) -> DataFrame:
     """(id_col, part, first_token, n_tokens, row_key, salt): a row for each sequence of a text; row_key is a hash of id
-    and text, salt one of row_key and part. With tokens, the sequence's token ids besides."""
+    and text, salt one of row_key, part and how often its task met the row before, so that a row repeated very often is
+    dealt into many parts. With tokens, the sequence's token ids besides."""
     kind = docs.schema[id_col].dataType.simpleString()
     path = vocabulary or f"{tokenizer_dir()}/byte_bpe_50k.tiktoken"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
+        met: Counter[int] = Counter()
         for chunk in chunks(batches, text_col):
             each = [enc.encode_ordinary(t.decode("utf-8", "replace")) for t in chunk.texts()]
             n = np.array([len(x) for x in each], np.int64)
             parts = -(-n // max_tokens)
             of = np.repeat(np.arange(len(n)), parts)
+            before = np.zeros(len(n), np.int64)
+            for i, key in enumerate(chunk.batch.column(2).to_pylist()):
+                before[i] = met[key]
+                met[key] += 1
             part = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
             first = part * max_tokens
             size = np.minimum(max_tokens, n[of] - first).astype(np.int32)
-            out = [chunk.batch.column(0).take(pa.array(of)), pa.array(part.astype(np.int32)), pa.array(first), pa.array(size), chunk.batch.column(2).take(pa.array(of))]
+            out = [chunk.batch.column(0).take(pa.array(of)), pa.array(part.astype(np.int32)), pa.array(first), pa.array(size), chunk.batch.column(2).take(pa.array(of)), pa.array(before[of])]
             if tokens:
                 ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(each), np.int32, int(n.sum())))))
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    names = [id_col, "part", "first_token", "n_tokens", "row_key", *(["tokens"] if tokens else [])]
+    names = [id_col, "part", "first_token", "n_tokens", "row_key", "_before", *(["tokens"] if tokens else [])]
     rows = docs.select(id_col, text_col, F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("row_key"))
-    cut_up = rows.mapInArrow(run, f"{id_col} {kind}, part int, first_token long, n_tokens int, row_key long" + (", tokens array<int>" if tokens else ""))
-    return cut_up.withColumn("salt", F.xxhash64("row_key", "part"))
+    cut_up = rows.mapInArrow(run, f"{id_col} {kind}, part int, first_token long, n_tokens int, row_key long, _before long" + (", tokens array<int>" if tokens else ""))
+    return cut_up.withColumn("salt", F.xxhash64("row_key", "part", "_before")).drop("_before")
 
 
 def optimal_boundaries(length: np.ndarray, count: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:

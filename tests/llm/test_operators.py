@@ -438,6 +438,20 @@ def test_batches_carry_the_tokens_of_each_row(spark, sf, texts):
     assert back == Counter((r.doc_id, r.text) for r in docs.collect() if r.text)
 
 
+def test_a_row_repeated_very_often_is_dealt_into_many_parts(spark):
+    docs = spark.createDataFrame([(None if i % 3 else i, "the same text" if i % 3 else f"text {i}") for i in range(6000)], "doc_id long, text string").repartition(4)
+    seqs = packing.sequences(docs)
+    got = packing.pack(seqs, token_budget=60).toPandas()
+    assert len(got) == 6000 and got.doc_id.isna().sum() == 4000
+    assert got.groupby("batch_id").padded_length.sum().max() <= 60
+    assert not got.duplicated(["batch_id", "slot"]).any()
+    repeated = got[got.doc_id.isna()].copy()
+    parts = repeated.batch_id.str.rpartition("-")[0].value_counts()
+    assert len(parts) > 10 and parts.max() < 600
+    again = packing.pack(seqs, token_budget=60).toPandas()
+    assert sorted(map(str, again.itertuples(index=False))) == sorted(map(str, got.itertuples(index=False)))
+
+
 # --- 4 decontamination --------------------------------------------------------------------------------------------
 
 
