@@ -353,8 +353,8 @@ def _masked(text: str, spans: list[Span]) -> str:
 
 
 def find(docs: DataFrame, field: SkipChain, id_col: str | None = "doc_id", text_col: str = "text", mask: bool = False) -> DataFrame:
-    """A row for each text: counts by kind and spans; with mask, all columns of docs and the text with its spans
-    replaced by <KIND> instead."""
+    """A row for each text: counts of its base spans by kind, which follow from the text alone, and all spans, those that
+    the field adds included; with mask, all columns of docs and the text with its spans replaced by <KIND> instead."""
     sent = docs.sparkSession.sparkContext.broadcast((field.emit, field.chain, field.skip))
 
     def spans_of(chunk) -> Iterator[tuple[int, str, list[Span], list[Span]]]:  # noqa: ANN001
@@ -372,7 +372,7 @@ def find(docs: DataFrame, field: SkipChain, id_col: str | None = "doc_id", text_
             sha, spans = [nothing] * n, [""] * n
             for i, _, base, more in spans_of(chunk):
                 every = sorted(base + more, key=lambda s: (s[0], s[2], s[1]))
-                for _, _, k in every:
+                for _, _, k in base:
                     counts[k, i] += 1
                 sha[i] = hashlib.sha256(_text_of(base).encode()).hexdigest()
                 spans[i] = _text_of(every)
@@ -395,6 +395,6 @@ def find(docs: DataFrame, field: SkipChain, id_col: str | None = "doc_id", text_
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, the counts by kind, base_sha256 and spans of every row of documents."""
+    """doc_id, the counts of base spans by kind, base_sha256 and all spans of every row of documents."""
     docs = table(spark, sf_dir, "documents")
     return find(docs, learn_field(docs))

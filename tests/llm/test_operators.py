@@ -265,6 +265,15 @@ def test_pii_keeps_base_and_adds_what_is_alike(spark, sf, texts):
     assert str(text.index("2.0")) not in spans
 
 
+def test_counts_are_those_of_base_spans(spark):
+    """What the field adds stands in spans alone: the counts follow from the patterns, whatever other rows hold."""
+    text = "call +1 (068) 555-2748 now. again 555-2748 please"
+    docs = spark.createDataFrame([(1, text)] + [(i, f"ring +1 (0{i:02d}) 555-{i:04d} or v{i}.0 or card 4111111111111111") for i in range(10, 60)], "doc_id long, text string")
+    row = rows(pii.find(docs, pii.learn_field(docs)))[1]
+    assert row.spans.count("phone:") == 2
+    assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == (0, 0, 0, 1)
+
+
 def test_belief_propagation_is_exact_on_a_tree():
     rng = np.random.default_rng(5)
     k = pii.N_LABELS
