@@ -140,9 +140,10 @@ def grounds(docs: DataFrame, doc: str, text: str, forms: DataFrame | None = None
     return made
 
 
-def fabricated(suggestions: DataFrame, sources: DataFrame, doc: str, text: str, forms: DataFrame | None = None, key: str | None = None, openers: DataFrame | None = None) -> DataFrame:
+def fabricated(suggestions: DataFrame, sources: DataFrame, doc: str, text: str, forms: DataFrame | None = None, key: str | None = None, openers: DataFrame | None = None, quoted: DataFrame | None = None) -> DataFrame:
     """(key, kind, value, fabricated) of every claim of the suggestions: fabricated if its doc's source makes it in no
-    accepted form. key names a suggestion where a doc has several."""
+    accepted form. key names a suggestion where a doc has several. quoted (key, text): what each suggestion repeats of
+    its source, which grounds that suggestion as well, wherever the quotation begins."""
     key = key or doc
     made = claims(suggestions, key, text, forms, openers)
     if key != doc:
@@ -150,14 +151,18 @@ def fabricated(suggestions: DataFrame, sources: DataFrame, doc: str, text: str,
     look = F.when(F.col("kind").isin("organization", "credential"), "name").otherwise(F.col("kind"))
     asked = made.select(*{key, doc}, "kind", "value", look.alias("_kind"), F.explode("accepted").alias("accepted"))
     known = grounds(sources, doc, text, forms).withColumnRenamed("kind", "_kind").withColumn("_ok", F.lit(True))
-    return asked.join(known, [doc, "_kind", "accepted"], "left").groupBy(key, "kind", "value").agg((~F.bool_or(F.coalesce("_ok", F.lit(False)))).alias("fabricated"))
+    met = asked.join(known, [doc, "_kind", "accepted"], "left")
+    if quoted is not None:
+        own = grounds(quoted, key, text, forms).withColumnRenamed("kind", "_kind").withColumn("_own", F.lit(True))
+        met = met.join(own, [key, "_kind", "accepted"], "left").withColumn("_ok", F.coalesce("_ok", "_own"))
+    return met.groupBy(key, "kind", "value").agg((~F.bool_or(F.coalesce("_ok", F.lit(False)))).alias("fabricated"))
 
 
-def claim_grounding(suggestions: DataFrame, sources: DataFrame, doc: str, text: str, forms: DataFrame | None = None, key: str | None = None, openers: DataFrame | None = None) -> DataFrame:
-    """(key, n_claims, n_fabricated, kinds, passed): a suggestion passes if its source makes all its claims; kinds are
-    those of what it does not make, in order."""
+def claim_grounding(suggestions: DataFrame, sources: DataFrame, doc: str, text: str, forms: DataFrame | None = None, key: str | None = None, openers: DataFrame | None = None, quoted: DataFrame | None = None) -> DataFrame:
+    """(key, n_claims, n_fabricated, kinds, passed): a suggestion passes if its source, or what it quotes of it, makes
+    all its claims; kinds are those of what they do not make, in order."""
     key = key or doc
-    judged = fabricated(suggestions, sources, doc, text, forms, key, openers)
+    judged = fabricated(suggestions, sources, doc, text, forms, key, openers, quoted)
     counted = judged.groupBy(key).agg(F.count("*").alias("n_claims"), F.count_if("fabricated").alias("n_fabricated"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("fabricated"), F.col("kind")))), ",").alias("kinds"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     passed = (F.coalesce("n_fabricated", F.lit(0)) == 0).alias("passed")
@@ -194,11 +199,13 @@ def replace_span(text: Column, needle: Column, replacement: Column) -> Column:
 def anchor_suggestions(suggestions: DataFrame, sources: DataFrame, doc: str, text: str = "text", forms: DataFrame | None = None, openers: DataFrame | None = None) -> DataFrame:
     """suggestions (doc, place, original, suggested) against their sources (doc, text). (doc, place, original,
     suggested, start, end, outcome, position): "dropped" where the original does not stand in the source, "rejected"
-    where the rewrite claims what the source does not, else "kept", numbered by place."""
+    where the rewrite claims what neither the source nor the original does (which may begin within a word of the
+    source, "ten" in "often"), else "kept", numbered by place."""
     placed = suggestions.join(sources.select(doc, F.col(text).alias("_source")), doc, "left").withColumn("_at", find_span(F.col("_source"), F.col("original")))
     key = F.struct(doc, "place")
-    asked = placed.where(F.col("_at").isNotNull()).select(key.alias("_key"), doc, F.col("suggested").alias(text))
-    passed = claim_grounding(asked, sources.join(asked.select(doc).distinct(), doc, "left_semi"), doc, text, forms, "_key", openers).select("_key", "passed")
+    found = placed.where(F.col("_at").isNotNull()).select(key.alias("_key"), doc, "original", "suggested")
+    asked, quoted = (found.select("_key", doc, F.col(c).alias(text)) for c in ("suggested", "original"))
+    passed = claim_grounding(asked, sources.join(asked.select(doc).distinct(), doc, "left_semi"), doc, text, forms, "_key", openers, quoted).select("_key", "passed")
     judged = placed.withColumn("_key", key).join(passed, "_key", "left")
     outcome = F.when(F.col("_at").isNull(), "dropped").when(F.col("passed"), "kept").otherwise("rejected")
     out = judged.select(doc, "place", "original", "suggested", "_at.start", "_at.end", outcome.alias("outcome"))

@@ -402,3 +402,11 @@ def test_what_a_match_lacks(spark):
     assert (got[2, 1].semantic_status, got[2, 1].ranking_version, got[2, 1].computed_at) == ("NEEDS_DATA", M.RANKING_VERSION, dt.datetime(2024, 1, 1))
     page = M.recommend(spark.createDataFrame([(1, k, float(k % 3), 1.0) for k in range(6)], "user_id long, job_id long, overall double, scored_weight double"), pairs.select("user_id", "job_id"), 2, 2)
     assert [(r.job_id, r["rank"], r.total) for r in page.orderBy("rank").collect()] == [(4, 2, 4), (0, 3, 4)]
+
+
+def test_a_quotation_grounds_its_own_suggestion(spark):
+    """The original begins within a word, "ten" in "often": keeping it claims nothing, a ten of one's own is rejected."""
+    source = spark.createDataFrame([(1, "Often asked of us")], "doc_id long, text string")
+    rows = [(1, 0, "ten asked", "ten asked"), (1, 1, "ten asked", "ten asked, twice or two"), (1, 2, "asked of", "asked ten of")]
+    found = G.anchor_suggestions(spark.createDataFrame(rows, "doc_id long, place int, original string, suggested string"), source, "doc_id")
+    assert {r.place: (r.outcome, r.position) for r in found.collect()} == {0: ("kept", 1), 1: ("rejected", None), 2: ("rejected", None)}
