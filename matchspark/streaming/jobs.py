@@ -170,40 +170,15 @@ def fold_status(status: str | None, to: str, saved: bool = True) -> tuple[str |
     return (to if ok else status), ok
 
 
-_STATE = "user_id long, job_id long, status string, depth int, is_saved boolean, applied_at timestamp, moves long, refused long, refused_moves array<string>"
-
-
 def application_state(events: DataFrame) -> DataFrame:
     """(user_id, job_id, status, depth, is_saved, applied_at, moves, refused, refused_moves) in update mode: events are
-    folded in the order of (occurred_at, event_id) within a batch, onto the state that earlier batches left. applied_at
+    folded in the order of (occurred_at, event_id) within a batch, after those of earlier batches. applied_at
     is set by the first move to a stage beyond SAVED and cleared by a move back. refused_moves, "event: from > to", are
-    those of the batch; see refused."""
-
-    def step(key: tuple[int, int], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, saved, applied, moves, refused = state.get if state.exists else (None, False, None, 0, 0)
-        rows = pd.concat(list(parts)).sort_values(["occurred_at", "event_id"])
-        bad = []
-        for e in rows.itertuples():
-            after, ok = fold_status(status, e.to_status, saved)
-            if not ok:
-                bad.append(f"{e.event_id}: {status} > {e.to_status}")
-                refused += 1
-                continue
-            moves += 1
-            saved = saved or after == "SAVED"
-            if after == "SAVED":
-                applied = None
-            elif after in DEPTH and applied is None:
-                applied = e.occurred_at.to_pydatetime()
-            status = after
-        state.update((status, saved, applied, moves, refused))
-        at = pd.Series([applied]).astype("datetime64[us]")
-        yield pd.DataFrame({"user_id": [key[0]], "job_id": [key[1]], "status": [status], "depth": pd.array([DEPTH.get(status)], "Int32"), "is_saved": [saved], "applied_at": at, "moves": [moves], "refused": [refused], "refused_moves": [bad]})
-
-    on_workers(events.sparkSession)
-    return events.groupBy("user_id", "job_id").applyInPandasWithState(
-        step, _STATE, "status string, is_saved boolean, applied_at timestamp, moves long, refused long", "update", GroupStateTimeout.NoTimeout
-    )
+    those of the batch; see refused.
+
+    The state of an application is its events, each with the time of its batch, as Spark's own aggregate: folding them
+    is column work, with no call of Python for each of very many applications."""
+    return _folded(events, F.current_timestamp())
 
 
 def refused(states: DataFrame) -> DataFrame:
@@ -213,8 +188,13 @@ def refused(states: DataFrame) -> DataFrame:
 
 
 def application_state_batch(events: DataFrame) -> DataFrame:
-    """The same over a whole table, as a fold of each application's events in column functions."""
-    said = events.groupBy("user_id", "job_id").agg(F.array_sort(F.collect_list(F.struct("occurred_at", "event_id", "to_status"))).alias("e"))
+    """The same over a whole table."""
+    return _folded(events, F.lit(None).cast("timestamp"))
+
+
+def _folded(events: DataFrame, batch: Column) -> DataFrame:
+    """A fold of each application's events in column functions; of the refused moves those of its last batch."""
+    said = events.withColumn("batch", batch).groupBy("user_id", "job_id").agg(F.array_sort(F.collect_list(F.struct("batch", "occurred_at", "event_id", "to_status"))).alias("e"))
     none = lambda t: F.lit(None).cast(t)
     start = F.struct(none("string").alias("status"), F.lit(False).alias("is_saved"), none(events.schema["occurred_at"].dataType.simpleString()).alias("applied_at"), F.lit(0).cast("long").alias("moves"), F.lit(0).cast("long").alias("refused"), F.array().cast("array<string>").alias("refused_moves"))
 
@@ -223,14 +203,16 @@ def application_state_batch(events: DataFrame) -> DataFrame:
         ok = status.isNull() | ((to != status) & (~status.isin(*TERMINAL) | (to == "APPLIED")) & ((to != "SAVED") | acc["is_saved"]))
         applied = F.when(to == "SAVED", None).when(to.isin(*DEPTH), F.coalesce(acc["applied_at"], e["occurred_at"])).otherwise(acc["applied_at"])
         bad = F.format_string("%d: %s > %s", e["event_id"], status, to)
+        now = e["batch"].eqNullSafe(F.col("_last"))
         return F.struct(
             F.when(ok, to).otherwise(status).alias("status"), (acc["is_saved"] | (ok & (to == "SAVED"))).alias("is_saved"), F.when(ok, applied).otherwise(acc["applied_at"]).alias("applied_at"),
-            (acc["moves"] + ok.cast("long")).alias("moves"), (acc["refused"] + (~ok).cast("long")).alias("refused"), F.when(ok, acc["refused_moves"]).otherwise(F.concat(acc["refused_moves"], F.array(bad))).alias("refused_moves"),
+            (acc["moves"] + ok.cast("long")).alias("moves"), (acc["refused"] + (~ok).cast("long")).alias("refused"), F.when(ok | ~now, acc["refused_moves"]).otherwise(F.concat(acc["refused_moves"], F.array(bad))).alias("refused_moves"),
         )
 
     depth = F.lit(None).cast("int")
     for name, d in DEPTH.items():
         depth = F.when(F.col("s.status") == name, d).otherwise(depth)
+    said = said.withColumn("_last", F.element_at("e", -1)["batch"])
     folded = said.select("user_id", "job_id", F.aggregate("e", start, step).alias("s"))
     return folded.select("user_id", "job_id", "s.status", depth.alias("depth"), "s.is_saved", "s.applied_at", "s.moves", "s.refused", "s.refused_moves")
 

@@ -143,6 +143,17 @@ def test_application_state_over_batches(spark, tmp_path):
     assert bad == {(r.user_id, r.event_id, r.from_status, r.to_status) for r in J.refused(J.application_state_batch(df.drop("n"))).collect()}
 
 
+def test_application_state_is_column_work(spark, tmp_path):
+    """No Python is called for each application, of which there are very many; late events come after their batch's."""
+    at = lambda n: dt.datetime(2024, 1, 1, 0, n)
+    rows = [(1, 1, 1, 1, "APPLIED", at(9)), (5, 2, 1, 1, "APPLIED", at(1)), (10, 3, 1, 1, "OFFER", at(2))]
+    df = spark.createDataFrame(rows, "n int, event_id long, user_id long, job_id long, to_status string, occurred_at timestamp")
+    states = J.application_state(in_files(spark, tmp_path, df, THIRDS).drop("n"))
+    assert "Pandas" not in states._jdf.queryExecution().analyzed().toString()
+    got = J.drain(states, "update", "column-test").orderBy(F.col("moves") + F.col("refused"))
+    assert [(r.status, r.applied_at, r.moves, r.refused, r.refused_moves) for r in got.collect()] == [("APPLIED", at(9), 1, 0, []), ("APPLIED", at(9), 1, 1, ["2: APPLIED > APPLIED"]), ("OFFER", at(9), 2, 1, [])]
+
+
 def test_demand_over_batches(spark, tmp_path):
     skills = spark.createDataFrame([(k,) for k in range(5)], "skill_id long")
     named = spark.createDataFrame([(n, k) for n in range(20) for k in range(5) if n % (k + 2) == 0] + [(3, 1), (3, 1), (4, None)], "job_id long, skill_id long")
