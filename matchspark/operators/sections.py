@@ -50,20 +50,38 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_PIECE))
 
 
+#: So many different first pieces of forms of one length are sent to the lines.
+SENT_STARTS = 2_000
+
+
 def skill_spans(lines: DataFrame, forms: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, line_no, first, last, form, skill_id): mentions of forms (form, skill_id) as runs of a line's pieces
     (words and punctuation, from 1). Longer forms claim their places first, then those further left; a mention stands
     if no place of it is claimed. Of forms that are alike the smallest skill_id counts.
 
-    Runs of pieces, as long as some form is, are joined with the forms by equality, whatever their number; claims are
-    settled among mentions that overlap, which are few, never over a whole text."""
+    Runs of pieces, as long as some form is, are joined with the forms by equality, whatever their number. If the
+    forms of each length begin with up to SENT_STARTS different pieces only the runs that begin so are made, as no others
+    can meet a form. Claims are settled among mentions that overlap, which are few, never over a whole text."""
     known = forms.select(F.array_join(pieces(F.col("form")), " ").alias("form"), "skill_id").where("form <> ''").groupBy("form").agg(F.min("skill_id").alias("skill_id"))
-    sizes = [r[0] for r in known.select(F.size(F.split("form", " "))).distinct().collect()]  # as many as the longest form has words, at most
+    words = F.split("form", " ")
+    starts = known.select(F.size(words).alias("n"), F.get(words, F.lit(0)).alias("start")).distinct()
+    place = F.row_number().over(W.partitionBy("n").orderBy("start"))
+    # as many rows as the longest form has words, at most, with up to SENT_STARTS + 1 pieces each
+    sizes = {r.n: r.starts for r in starts.withColumn("_k", place).where(F.col("_k") <= SENT_STARTS + 1).groupBy("n").agg(F.collect_list("start").alias("starts")).collect()}
     nowhere = F.array().cast("array<int>")
 
+    few = all(len(x) <= SENT_STARTS for x in sizes.values())
+
     def runs(w: Column) -> Column:
-        of = lambda n: F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(nowhere), lambda i: F.struct(i.alias("first"), (i + n - 1).alias("last"), F.array_join(F.slice(w, i, n), " ").alias("form")))
-        return F.flatten(F.array(*(of(n) for n in sorted(sizes)))) if sizes else F.array().cast("array<struct<first:int,last:int,form:string>>")
+        every = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w))).otherwise(nowhere)
+        if few:
+            every = F.filter(every, lambda i: F.get(w, i - 1).isin(sorted({x for xs in sizes.values() for x in xs})))
+
+        def of(n: int, at: Column) -> Column:
+            fits = F.filter(at, lambda i: (i <= F.size(w) - n + 1) & (F.get(w, i - 1).isin(sizes[n]) if few else F.lit(True)))
+            return F.transform(fits, lambda i: F.struct(i.alias("first"), (i + n - 1).alias("last"), F.array_join(F.slice(w, i, n), " ").alias("form")))
+
+        return bound(every, lambda at: F.flatten(F.array(*(of(n, at) for n in sorted(sizes))))) if sizes else F.array().cast("array<struct<first:int,last:int,form:string>>")
 
     grams = lines.select(doc, "line_no", F.explode(bound(pieces(F.col("line")), runs)).alias("g")).select(doc, "line_no", "g.*")
     hits = grams.join(known, "form")
