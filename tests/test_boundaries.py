@@ -410,3 +410,35 @@ def test_a_quotation_grounds_its_own_suggestion(spark):
     rows = [(1, 0, "ten asked", "ten asked"), (1, 1, "ten asked", "ten asked, twice or two"), (1, 2, "asked of", "asked ten of")]
     found = G.anchor_suggestions(spark.createDataFrame(rows, "doc_id long, place int, original string, suggested string"), source, "doc_id")
     assert {r.place: (r.outcome, r.position) for r in found.collect()} == {0: ("kept", 1), 1: ("rejected", None), 2: ("rejected", None)}
+
+
+@pytest.mark.parametrize("sent", [0, 1, 2_000])
+def test_only_runs_that_begin_like_a_form_are_made(spark, monkeypatch, sent):
+    monkeypatch.setattr(X, "SENT_STARTS", sent)
+    lines = spark.createDataFrame([(1, 0, "node.js and go, go lang of c++ and node"), (1, 1, ""), (2, 0, "lang go lang")], "doc_id long, line_no int, line string")
+    forms = spark.createDataFrame([("go", 1), ("go lang", 2), ("C++", 3), ("node.js", 4), ("of c++ and node", 5)], "form string, skill_id int")
+    spans = X.skill_spans(lines, forms)
+    got = sorted((r.doc_id, r.line_no, r.first, r.last, r.skill_id) for r in spans.collect())
+    assert got == [(1, 0, 1, 1, 4), (1, 0, 3, 3, 1), (1, 0, 5, 6, 2), (1, 0, 7, 10, 5), (2, 0, 2, 3, 2)]
+    asked = " IN (" in spans._jdf.queryExecution().analyzed().toString().upper()
+    assert asked == (sent == 2_000)
+
+
+def test_plans_of_many_users_take_no_call_each(spark):
+    gaps = spark.createDataFrame([(u, k, "HIGH" if k % 2 else "LOW", k % 3) for u in range(40) for k in range(u % 7)], "user_id long, skill_id long, severity string, frequency int")
+    needs = spark.createDataFrame([(1, 2), (2, 4), (3, 3), (5, 0), (0, 5)], "skill_id long, needs long")
+    done = gaps.where("skill_id = 4 and user_id % 2 = 0").select("user_id", "skill_id")
+    plan = N.learning_plan(gaps, needs, None, done)
+    assert "FlatMapGroups" not in plan._jdf.queryExecution().analyzed().toString()
+    before = {1: {2}, 2: {4}, 3: {3}, 5: {0}, 0: {5}}
+    want = {}
+    for u in range(40):
+        own = list(range(u % 7))
+        over = {4} & set(own) if u % 2 == 0 else set()
+        order = []
+        while len(order) < len(own):
+            left = [k for k in own if k not in order]
+            order.append(min([k for k in left if before.get(k, set()) & set(own) <= over | set(order)] or left, key=lambda k: (k % 2 == 0, -(k % 3), k)))
+        order.sort(key=lambda k: k not in over)
+        want |= {(u, k): i for i, k in enumerate(order, 1)}
+    assert {(r.user_id, r.skill_id): r.step for r in plan.collect()} == want
