@@ -49,19 +49,20 @@ def quantities(text: Column) -> Column:
     words have no unit."""
     one = lambda m, g: F.regexp_extract(m, f"(?i){QUANTITY}", g)
 
-    def value(m: Column) -> Column:
-        suffix = F.lower(one(m, 3))
+    def value(x: Column) -> Column:
+        suffix, digits = x["suffix"], x["digits"]
         scale = F.lit(1)
         for name, times in SCALES:
             scale = F.when(suffix == name, times).otherwise(scale)
-        digits = F.replace(one(m, 2), F.lit(","), F.lit(""))
         number = F.coalesce((digits.try_cast("decimal(22,6)") * scale).cast("decimal(38,6)").cast("string"), digits)
-        unit = F.when((suffix == "%") | suffix.startswith("percent"), "%").when(suffix == "x", "x").otherwise(one(m, 1))
+        unit = F.when((suffix == "%") | suffix.startswith("percent"), "%").when(suffix == "x", "x").otherwise(x["mark"])
         return F.concat_ws(" ", number, unit)
 
-    figures = F.transform(F.regexp_extract_all(text, F.lit(f"(?i){QUANTITY}"), 0), value)
-    low = F.lower(text)
-    words = F.filter(F.array(*(F.when(low.rlike(rf"\b{w}\b"), f"{n}.000000 ") for w, n in NUMBER_WORDS)), lambda x: x.isNotNull())
+    parts = lambda m: F.struct(one(m, 1).alias("mark"), F.replace(one(m, 2), F.lit(","), F.lit("")).alias("digits"), F.lower(one(m, 3)).alias("suffix"))
+    figures = F.transform(F.regexp_extract_all(text, F.lit(f"(?i){QUANTITY}"), 0), lambda m: bound(parts(m), value))
+    # most texts hold few of the words, in any place, so the pattern is tried on those only
+    said = lambda low, w: F.contains(low, F.lit(w)) & low.rlike(rf"\b{w}\b")
+    words = bound(F.lower(text), lambda low: F.filter(F.array(*(F.when(said(low, w), f"{n}.000000 ") for w, n in NUMBER_WORDS)), lambda x: x.isNotNull()))
     return F.concat(figures, words)
 
 
@@ -79,11 +80,17 @@ def names(text: Column) -> Column:
 
     def name(p: Column, before: Column) -> Column:
         gap = F.regexp_extract(p, "^[^A-Za-z]*", 0)
-        token = F.regexp_replace(F.substring(p, F.length(gap) + 1, F.length(p)), r"[.'\-&+#]+$", "")
-        opens = (before.isNull() & (F.trim(F.translate(gap, "\n\t\r", "   ")) == "")) | F.concat(F.coalesce(before, F.lit("")), gap).rlike(_SENTENCE_END)
-        acronym = (F.length(token) > 1) & (F.upper(token) == token)
-        keep = token.rlike("^[A-Z]") & ~gap.rlike("[0-9]$") & ~F.lower(token).isin(*NOT_NAMES)
-        return F.when(keep, F.struct(token.alias("token"), (opens & ~acronym).alias("opens")))
+        rest = lambda g: F.regexp_replace(F.substring(p, F.length(g) + 1, F.length(p)), r"[.'\-&+#]+$", "")
+
+        def told(x: Column) -> Column:
+            gap, token = x["gap"], x["token"]
+            opens = (before.isNull() & (F.trim(F.translate(gap, "\n\t\r", "   ")) == "")) | F.concat(F.coalesce(before, F.lit("")), gap).rlike(_SENTENCE_END)
+            acronym = (F.length(token) > 1) & (F.upper(token) == token)
+            keep = ~gap.rlike("[0-9]$") & ~F.lower(token).isin(*NOT_NAMES)
+            return F.when(keep, F.struct(token.alias("token"), (opens & ~acronym).alias("opens")))
+
+        # the first letter of a piece is its token's
+        return F.when(p.rlike("^[^A-Za-z]*[A-Z]"), bound(bound(gap, lambda g: F.struct(g.alias("gap"), rest(g).alias("token"))), told))
 
     paired = bound(found, lambda ps: F.transform(ps, lambda p, i: name(p, F.when(i > 0, F.get(ps, i - 1)))))
     return F.filter(paired, lambda x: x.isNotNull())
@@ -101,61 +108,92 @@ def spoken(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\w%$€£₹+#.]+", " ")), " ")
 
 
-def claims(docs: DataFrame, doc: str, text: str, forms: DataFrame | None = None, openers: DataFrame | None = None) -> DataFrame:
-    """(doc, kind, value, accepted): the distinct claims of each text. Kinds: number, date, skill (of forms, if given),
-    organization and credential. accepted are the forms in which a source may make the claim.
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is worked out once a row, and not again for each mention or each row made from it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
-    A capital at the start of a sentence says nothing, so such a word is a name unless it is in the table openers
-    (word, in lower case); without a table every such word is one. A word that the table lacks costs a suggestion, a
-    name that it has by mistake would let an invented employer through."""
-    t = plain_marks(F.col(text))
-    own = docs.select(doc, t.alias("_t"))
+
+def _own(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, _t): texts with plain marks."""
+    return _once(docs.select(doc, F.col(text).alias("_given")), "_t", plain_marks(F.col("_given"))).drop("_given")
+
+
+def _made(docs: DataFrame, doc: str, text: str, forms: DataFrame | None, openers: DataFrame | None) -> DataFrame:
+    """The rows of claims, each at least once."""
+    own = _own(docs, doc, text)
     credential = F.lower("_t").rlike(rf"\b({'|'.join(CREDENTIAL_WORDS)})\b")
-    each = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.array(v).alias("accepted")))
+    each = lambda kind, values: F.transform(F.array_distinct(values), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.array(v).alias("accepted")))
 
     v = F.col("token")
-    named = own.select(doc, credential.alias("_credential"), F.inline(names(F.col("_t")))).distinct()
+    named = _once(_once(own, "_credential", credential), "_names", names(F.col("_t"))).select(doc, "_credential", F.inline("_names"))
     if openers is not None:
         known = openers.select(F.col("word").alias("_word")).distinct()
-        named = named.join(known, F.when(F.col("opens"), F.lower(v)) == F.col("_word"), "left_anti")
+        # only words that open are looked up, so all others stay where they are
+        named = named.where(~F.col("opens")).union(named.where("opens").join(known, F.lower(v) == F.col("_word"), "left_anti"))
     kind = F.when(F.lower(v).isin(*CREDENTIAL_ACRONYMS) | F.col("_credential"), "credential").otherwise("organization")
     accepted = F.filter(F.array_distinct(F.array(F.lower(v), F.lower(F.regexp_replace(v, "('s|s)$", "")))), lambda x: x != "")
-    made = own.select(doc, F.inline(F.concat(each("number", quantities(F.col("_t"))), each("date", dates(F.col("_t"))))))
+    made = _once(own, "_each", F.concat(each("number", quantities(F.col("_t"))), each("date", dates(F.col("_t"))))).select(doc, F.inline("_each"))
     made = made.union(named.select(doc, kind.alias("kind"), v.alias("value"), accepted.alias("accepted")))
     if forms is not None:
         spans = skill_spans(own.select(doc, F.posexplode(F.split("_t", "\n")).alias("line_no", "line")), forms, doc)
         made = made.union(spans.select(doc, F.lit("skill"), F.col("skill_id").cast("string").alias("v"), F.array(F.col("skill_id").cast("string"))))
-    return made.distinct()
+    return made
+
+
+def claims(docs: DataFrame, doc: str, text: str, forms: DataFrame | None = None, openers: DataFrame | None = None) -> DataFrame:
+    """(doc, kind, value, accepted): the distinct claims of each text. Kinds: number, date, skill (of forms, if given),
+    organization and credential. accepted are the forms in which a source may make the claim.
+
+    A capital at the start of a sentence says nothing, so such a word is a name unless it is in the table openers
+    (word, in lower case); without a table every such word is one. A word that the table lacks costs a suggestion, a
+    name that it has by mistake would let an invented employer through."""
+    return _made(docs, doc, text, forms, openers).distinct()
+
+
+def _mark(kind: Column) -> Column:
+    """What is put before a form, so that a number grounds no date and so on."""
+    return F.when(kind == "number", "n").when(kind == "date", "d").when(kind == "skill", "s").otherwise("w")
 
 
 def grounds(docs: DataFrame, doc: str, text: str, forms: DataFrame | None = None) -> DataFrame:
-    """(doc, kind, accepted): what a source lets others claim; names are looked up among all its words."""
-    t = plain_marks(F.col(text))
-    own = docs.select(doc, t.alias("_t"))
-    each = lambda kind, values: F.transform(F.array_distinct(values), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("accepted")))
-    made = own.select(doc, F.inline(F.concat(each("number", quantities(F.col("_t"))), each("date", dates(F.col("_t"))), each("name", spoken(F.col("_t"))))))
-    if forms is not None:
-        spans = skill_spans(own.select(doc, F.posexplode(F.split("_t", "\n")).alias("line_no", "line")), forms, doc)
-        made = made.union(spans.select(doc, F.lit("skill"), F.col("skill_id").cast("string")).distinct())
-    return made
+    """(doc, _known, _skills): what a source lets others claim. _known: its numbers, dates and words, marked by kind, one
+    a line, so that a text travels as one value of about its own length and not as a row of each word; names are looked
+    up among all its words. _skills: array of the marked ids."""
+    own = _own(docs, doc, text)
+    marked = lambda mark, values: F.transform(F.array_distinct(values), lambda v: F.concat(F.lit(mark), v))
+    known = F.concat(marked("n", quantities(F.col("_t"))), marked("d", dates(F.col("_t"))), marked("w", spoken(F.col("_t"))))
+    made = own.select(doc, F.array_join(known, "\n").alias("_known"))
+    if forms is None:
+        return made.withColumn("_skills", F.lit(None).cast("array<string>"))
+    spans = skill_spans(own.select(doc, F.posexplode(F.split("_t", "\n")).alias("line_no", "line")), forms, doc)
+    held = spans.groupBy(doc).agg(F.collect_set(F.concat(F.lit("s"), F.col("skill_id").cast("string"))).alias("_skills"))
+    return made.join(held, doc, "left")
 
 
 def fabricated(suggestions: DataFrame, sources: DataFrame, doc: str, text: str, forms: DataFrame | None = None, key: str | None = None, openers: DataFrame | None = None, quoted: DataFrame | None = None) -> DataFrame:
     """(key, kind, value, fabricated) of every claim of the suggestions: fabricated if its doc's source makes it in no
     accepted form. key names a suggestion where a doc has several. quoted (key, text): what each suggestion repeats of
-    its source, which grounds that suggestion as well, wherever the quotation begins."""
+    its source, which grounds that suggestion as well, wherever the quotation begins.
+
+    A suggestion's claims are one row that meets its source as one row. What the source lacks is found by hash; the
+    claims are then held against these forms one by one, so a suggestion costs the product of its claims and of those
+    that nothing grounds."""
     key = key or doc
-    made = claims(suggestions, key, text, forms, openers)
+    claim = F.struct("kind", "value", F.transform("accepted", lambda a: F.concat(_mark(F.col("kind")), a)).alias("accepted"))
+    held = _made(suggestions, key, text, forms, openers).groupBy(key).agg(F.collect_set(claim).alias("_claims"))
     if key != doc:
-        made = made.join(suggestions.select(key, doc), key)
-    look = F.when(F.col("kind").isin("organization", "credential"), "name").otherwise(F.col("kind"))
-    asked = made.select(*{key, doc}, "kind", "value", look.alias("_kind"), F.explode("accepted").alias("accepted"))
-    known = grounds(sources, doc, text, forms).withColumnRenamed("kind", "_kind").withColumn("_ok", F.lit(True))
-    met = asked.join(known, [doc, "_kind", "accepted"], "left")
+        held = held.join(suggestions.select(key, doc).distinct(), key)
+    of_source = grounds(sources, doc, text, forms)
+    held = held.join(of_source.select(doc, F.col("_known").alias("_known0"), F.col("_skills").alias("_skills0")), doc, "left")
     if quoted is not None:
-        own = grounds(quoted, key, text, forms).withColumnRenamed("kind", "_kind").withColumn("_own", F.lit(True))
-        met = met.join(own, [key, "_kind", "accepted"], "left").withColumn("_ok", F.coalesce("_ok", "_own"))
-    return met.groupBy(key, "kind", "value").agg((~F.bool_or(F.coalesce("_ok", F.lit(False)))).alias("fabricated"))
+        of_quote = grounds(quoted, key, text, forms)
+        held = held.join(of_quote.select(key, F.col("_known").alias("_known1"), F.col("_skills").alias("_skills1")), key, "left")
+    n = 1 if quoted is None else 2
+    known = F.concat(*(F.split(F.coalesce(f"_known{i}", F.lit("")), "\n") for i in range(n)), *(F.coalesce(f"_skills{i}", F.array().cast("array<string>")) for i in range(n)))
+    lacking = F.array_except(F.flatten(F.transform("_claims", lambda c: c["accepted"])), known)
+    told = lambda lacks: F.transform("_claims", lambda c: F.struct(c["kind"].alias("kind"), c["value"].alias("value"), F.forall(c["accepted"], lambda a: F.array_contains(lacks, a)).alias("_fabricated")))
+    each = held.select(key, F.inline(bound(lacking, told)))
+    return each.groupBy(key, "kind", "value").agg(F.bool_and("_fabricated").alias("fabricated"))
 
 
 def claim_grounding(suggestions: DataFrame, sources: DataFrame, doc: str, text: str, forms: DataFrame | None = None, key: str | None = None, openers: DataFrame | None = None, quoted: DataFrame | None = None) -> DataFrame:

@@ -52,6 +52,8 @@ def pieces(text: Column) -> Column:
 
 #: So many different first pieces of forms of one length are sent to the lines.
 SENT_STARTS = 2_000
+#: So many forms are sent to the runs.
+SENT_FORMS = 100_000
 
 
 def skill_spans(lines: DataFrame, forms: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -64,10 +66,11 @@ def skill_spans(lines: DataFrame, forms: DataFrame, doc: str = "doc_id") -> Data
     can meet a form. Claims are settled among mentions that overlap, which are few, never over a whole text."""
     known = forms.select(F.array_join(pieces(F.col("form")), " ").alias("form"), "skill_id").where("form <> ''").groupBy("form").agg(F.min("skill_id").alias("skill_id"))
     words = F.split("form", " ")
-    starts = known.select(F.size(words).alias("n"), F.get(words, F.lit(0)).alias("start")).distinct()
+    starts = known.groupBy(F.size(words).alias("n"), F.get(words, F.lit(0)).alias("start")).agg(F.count("*").alias("_forms"))
     place = F.row_number().over(W.partitionBy("n").orderBy("start"))
     # as many rows as the longest form has words, at most, with up to SENT_STARTS + 1 pieces each
-    sizes = {r.n: r.starts for r in starts.withColumn("_k", place).where(F.col("_k") <= SENT_STARTS + 1).groupBy("n").agg(F.collect_list("start").alias("starts")).collect()}
+    told = starts.withColumn("_k", place).groupBy("n").agg(F.collect_list(F.when(F.col("_k") <= SENT_STARTS + 1, F.col("start"))).alias("starts"), F.sum("_forms").alias("forms")).collect()
+    sizes = {r.n: r.starts for r in told}
     nowhere = F.array().cast("array<int>")
 
     few = all(len(x) <= SENT_STARTS for x in sizes.values())
@@ -84,7 +87,8 @@ def skill_spans(lines: DataFrame, forms: DataFrame, doc: str = "doc_id") -> Data
         return bound(every, lambda at: F.flatten(F.array(*(of(n, at) for n in sorted(sizes))))) if sizes else F.array().cast("array<struct<first:int,last:int,form:string>>")
 
     grams = lines.select(doc, "line_no", F.explode(bound(pieces(F.col("line")), runs)).alias("g")).select(doc, "line_no", "g.*")
-    hits = grams.join(known, "form")
+    # up to SENT_FORMS forms go to the runs, which then stay where they are
+    hits = grams.join(F.broadcast(known) if sum(r.forms for r in told) <= SENT_FORMS else known, "form")
     before = W.partitionBy(doc, "line_no").orderBy("first", "last").rowsBetween(W.unboundedPreceding, -1)
     upto = W.partitionBy(doc, "line_no").orderBy("first", "last").rowsBetween(W.unboundedPreceding, 0)
     apart = (F.col("first") > F.coalesce(F.max("last").over(before), F.lit(0))).cast("int")
