@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from matchspark.functions.text import bound, compatible
-from matchspark.operators.sections import MOST_CONFIDENCE, REPEAT_BONUS, capped, skill_spans
+from matchspark.operators.sections import MOST_CONFIDENCE, REPEAT_BONUS, SENT_FORMS, SENT_STARTS, capped, skill_spans
 
 #: What a number can be followed or led by, how much its scale is, and numbers as words.
 QUANTITY = r"([$€£₹])?\s*(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*(%|percent(?:age)?\ points?|percent(?:age)?|(?:mm|bn|k|m|b)\b|thousand|million|billion|x\b)?"
@@ -372,23 +372,38 @@ def contact_fields(text: Column) -> Column:
         return F.when(F.length(x).between(1, 60) & ~F.contains(x, F.lit("@")) & (digits(x) < 5) & ~F.lower(x).rlike(words) & x.rlike(PLACE), x)
 
     found = lambda xs: head(F.filter(xs, lambda x: x.isNotNull()))
-    email, linkedin, github = first(text, EMAIL), first(text, LINKEDIN, 1), first(text, GITHUB, 1)
-    urls = F.filter(F.regexp_extract_all(F.regexp_replace(text, EMAIL, " "), F.lit(ANY_URL), 0), lambda u: ~F.lower(u).rlike("|".join(x.replace(".", r"\.") for x in NO_PORTFOLIO)))
-    site = head(urls)
-    masked = F.replace(text, F.coalesce(email, F.lit("\0")), F.lit(" "))
-    for p in (first(text, LINKEDIN), first(text, GITHUB), F.regexp_replace(site, "^https://", "")):
-        masked = F.replace(masked, F.coalesce(p, F.lit("\0")), F.lit(" "))
     lines = lambda t, n=None: bound(F.filter(F.split(t, "\n"), lambda x: F.trim(x) != ""), lambda xs: xs if n is None else F.slice(xs, 1, n))
-    segments = F.flatten(F.transform(lines(masked, 6), lambda x: F.split(x, r"[|•·–—\t]+")))
-    return F.struct(
-        found(F.transform(lines(masked, 5), name)).alias("name"),
-        email.alias("email"),
-        found(F.transform(lines(text), phone)).alias("phone"),
-        found(F.transform(segments, place)).alias("location"),
-        F.concat(F.lit("https://www.linkedin.com/in/"), linkedin).alias("linkedin"),
-        F.when(~F.lower(github).isin(*GITHUB_RESERVED), F.concat(F.lit("https://github.com/"), github)).alias("github"),
-        F.when(site.rlike("^https?://"), site).otherwise(F.concat(F.lit("https://"), site)).alias("portfolio"),
-    )
+    segments = lambda t: F.flatten(F.transform(lines(t, 6), lambda x: F.split(x, r"[|•·–—\t]+")))
+
+    def addresses(t: Column) -> Column:
+        """What stands in the text as it is; texts that lack an address's mark are not searched for it."""
+        mail, low = F.contains(t, F.lit("@")), F.lower(t)
+        linkedin = lambda g: F.when(F.contains(low, F.lit("linkedin.com/")), first(t, LINKEDIN, g))
+        github = lambda g: F.when(F.contains(low, F.lit("github.com/")), first(t, GITHUB, g))
+        dotted = F.array_join(F.filter(F.split(t, "\n"), lambda x: F.contains(x, F.lit("."))), "\n")  # no address has a line's end
+        urls = F.filter(F.regexp_extract_all(F.regexp_replace(dotted, EMAIL, " "), F.lit(ANY_URL), 0), lambda u: ~F.lower(u).rlike("|".join(x.replace(".", r"\.") for x in NO_PORTFOLIO)))
+        parts = {"email": F.when(mail, first(t, EMAIL)), "linkedin": linkedin(1), "at_linkedin": linkedin(0), "github": github(1), "at_github": github(0), "site": head(urls)}
+        return F.struct(*(c.alias(n) for n, c in parts.items()))
+
+    def masked(t: Column, x: Column) -> Column:
+        for p in (x["email"], x["at_linkedin"], x["at_github"], F.regexp_replace(x["site"], "^https://", "")):
+            t = F.replace(t, F.coalesce(p, F.lit("\0")), F.lit(" "))
+        return t
+
+    def fields(t: Column, x: Column, m: Column) -> Column:
+        site = x["site"]
+        numbered = F.filter(lines(t), lambda line: line.rlike(r"\d"))
+        return F.struct(
+            found(F.transform(lines(m, 5), name)).alias("name"),
+            x["email"].alias("email"),
+            found(F.transform(numbered, phone)).alias("phone"),
+            found(F.transform(segments(m), place)).alias("location"),
+            F.concat(F.lit("https://www.linkedin.com/in/"), x["linkedin"]).alias("linkedin"),
+            F.when(~F.lower(x["github"]).isin(*GITHUB_RESERVED), F.concat(F.lit("https://github.com/"), x["github"])).alias("github"),
+            F.when(site.rlike("^https?://"), site).otherwise(F.concat(F.lit("https://"), site)).alias("portfolio"),
+        )
+
+    return bound(text, lambda t: bound(addresses(t), lambda x: bound(masked(t, x), lambda m: fields(t, x, m))))
 
 
 def date_range(line: Column, this_year: int) -> Column:
@@ -434,11 +449,24 @@ def infer_skills(sentences: DataFrame, rules: DataFrame, found: DataFrame, doc:
     """sentences (doc, sentence), rules (word, skill, confidence), found (doc, skill). The best inference of each skill
     that was not found, at most 0.55 sure. A rule's word may be a phrase, its words one blank apart; rules are met by
     runs of words through an equal join, not tried one by one."""
-    sizes = sorted(r[0] for r in rules.select(F.size(F.split("word", " "))).distinct().collect())  # as many as the longest phrase has words
-    run = lambda w, n: F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(w, i, n), " "))
-    runs = bound(F.split(F.lower("sentence"), r"[^a-z0-9+#]+"), lambda w: F.array_distinct(F.flatten(F.array(*(run(w, n) for n in sizes or [1])))))
-    words = sentences.select(doc, "sentence", F.explode(runs).alias("word"))
-    hits = words.join(rules, "word").groupBy(doc, "skill").agg(F.least(F.lit(0.55), F.max("confidence")).alias("confidence"), F.substring(F.min("sentence"), 1, 240).alias("evidence"))
+    parts = F.split("word", " ")
+    starts = rules.groupBy(F.size(parts).alias("n"), F.get(parts, F.lit(0)).alias("start")).agg(F.count("*").alias("_rules"))
+    place = F.row_number().over(W.partitionBy("n").orderBy("start"))
+    # as many rows as the longest phrase has words, with up to SENT_STARTS + 1 words each
+    told = starts.withColumn("_k", place).groupBy("n").agg(F.collect_list(F.when(F.col("_k") <= SENT_STARTS + 1, F.col("start"))).alias("starts"), F.sum("_rules").alias("rules")).collect()
+    sizes, few = {r.n: r.starts for r in told}, all(len(r.starts) <= SENT_STARTS for r in told)
+
+    def run(w: Column, n: int) -> Column:
+        at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+        if few:  # no other run can meet a rule
+            at = F.filter(at, lambda i: F.get(w, i - 1).isin(sizes[n]))
+        return F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))
+
+    runs = bound(F.split(F.lower("sentence"), r"[^a-z0-9+#]+"), lambda w: F.array_distinct(F.flatten(F.array(*(run(w, n) for n in sorted(sizes)))))) if sizes else F.array().cast("array<string>")
+    # what a sentence begins with keeps the order of sentences, so no row carries more of it
+    words = sentences.select(doc, F.substring("sentence", 1, 240).alias("_evidence"), F.explode(runs).alias("word"))
+    met = words.join(F.broadcast(rules) if sum(r.rules for r in told) <= SENT_FORMS else rules, "word")
+    hits = met.groupBy(doc, "skill").agg(F.least(F.lit(0.55), F.max("confidence")).alias("confidence"), F.min("_evidence").alias("evidence"))
     return hits.join(found.select(doc, "skill"), [doc, "skill"], "left_anti")
 
 
