@@ -23,8 +23,15 @@ def merge_application(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFr
 
 
 def replace_job_skills(old: DataFrame, new: DataFrame, job: str = "job_id", skill: str = "skill_id") -> DataFrame:
-    """A job's new set replaces its old one; a job with no new rows keeps the old."""
-    return old.join(new.select(job).distinct(), job, "left_anti").unionByName(new.dropDuplicates([job, skill]))
+    """A job's new set replaces its old one; a job with no new rows keeps the old. Null is no job that could be replaced.
+
+    Old and new rows are dealt by job and sorted once, so a task holds nothing but its sort, which can spill."""
+    both = old.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
+    all_of = W.partitionBy(job).orderBy(skill).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    replaced = F.col(job).isNotNull() & F.max("_new").over(all_of)
+    nth = F.row_number().over(W.partitionBy(job, skill).orderBy(F.desc("_new")))
+    kept = both.withColumn("_replaced", replaced).withColumn("_nth", nth)
+    return kept.where(F.when(F.col("_new"), F.col("_nth") == 1).otherwise(~F.col("_replaced"))).drop("_new", "_replaced", "_nth")
 
 
 def merge_taxonomy(old: DataFrame, new: DataFrame) -> DataFrame:
