@@ -100,9 +100,13 @@ def tfidf_scores(queries: DataFrame, docs: DataFrame, query: str, doc: str) -> D
 
 
 def set_prf(predicted: DataFrame, gold: DataFrame, doc: str, item: str) -> DataFrame:
-    """(doc, hits, precision, recall, f1) of each doc's predicted set against its gold set."""
-    p, g = predicted.select(doc, item).distinct().withColumn("_p", F.lit(1)), gold.select(doc, item).distinct().withColumn("_g", F.lit(1))
-    n = p.join(g, [doc, item], "full").groupBy(doc).agg(F.count("_p").alias("_np"), F.count("_g").alias("_ng"), F.count_if(F.col("_p").isNotNull() & F.col("_g").isNotNull()).alias("hits"))
+    """(doc, hits, precision, recall, f1) of each doc's predicted set against its gold set. Null is like no other item.
+
+    Both sets are summed by item in one pass, with no join and no sort of either."""
+    both = predicted.select(doc, item, F.lit(True).alias("_p"), F.lit(False).alias("_g")).union(gold.select(doc, item, F.lit(False), F.lit(True)))
+    each = both.groupBy(doc, item).agg(F.bool_or("_p").alias("_p"), F.bool_or("_g").alias("_g"))
+    met = F.col("_p") & F.col("_g") & F.col(doc).isNotNull() & F.col(item).isNotNull()
+    n = each.groupBy(doc).agg(F.count_if("_p").alias("_np"), F.count_if("_g").alias("_ng"), F.count_if(met).alias("hits"))
     precision = F.when(F.col("_np") > 0, F.col("hits") / F.col("_np")).when(F.col("_ng") == 0, 1.0).otherwise(0.0)
     recall = F.when(F.col("_ng") > 0, F.col("hits") / F.col("_ng")).otherwise(1.0)
     return n.select(doc, "hits", precision.alias("precision"), recall.alias("recall")).withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
