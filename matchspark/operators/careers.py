@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from matchspark.functions.text import bound, content_key
+from matchspark.session import dealt
 
 #: What headings are decorated with, and how long they are at most.
 DECORATION = r"^[\s\-=_*~#>◆■□●•\[\]|:]+|[\s\-=_*~#<◆■□●•\[\]|:]+$"
@@ -300,22 +302,32 @@ def certification_entries(lines: DataFrame, doc: str, most: int) -> DataFrame:
         confidence=F.when(F.col("_issuer").isNotNull(), EXPLICIT).otherwise(INFERRED), content_key=content_key("cert", full, _short(F.col("_issuer"))))
 
 
-def career_entities(lines: DataFrame, doc: str, this_year: int, most: int = 25) -> DataFrame:
+def career_entities(lines: DataFrame, doc: str, this_year: int, most: int = 25, parts: int | None = None) -> DataFrame:
     """lines (doc, section, line_no, line) as resume_sections gives them. (doc, kind, position, name, ..., start, end,
     is_current, confidence, content_key): entries of the sections EXPERIENCE, EDUCATION, PROJECTS and CERTIFICATIONS.
     Work and education are found by their dated lines, projects by short lines, certifications line by line. At most
-    `most` blocks of each kind are read; of entries with one content key the first stays."""
-    told = lines.where(F.col("section").isin("EXPERIENCE", "EDUCATION", "PROJECTS", "CERTIFICATIONS") & (F.trim("line") != ""))
+    `most` blocks of each kind are read; of entries with one content key the first stays.
+
+    Lines are dealt by doc, into `parts` parts if that is given, and all that follows stays in its part: a task holds the
+    lines of its docs, of one kind of section."""
+    told = dealt(lines.select(doc, "section", "line_no", "line"), parts, doc)
+    told = told.where(F.col("section").isin("EXPERIENCE", "EDUCATION", "PROJECTS", "CERTIFICATIONS") & (F.trim("line") != ""))
     bullet = F.col("line").rlike(CAREER_BULLET)
     bare = F.regexp_replace(F.regexp_replace(F.when(bullet, F.regexp_replace("line", CAREER_BULLET, "")).otherwise(F.col("line")), r"^\s+", ""), r"\s+$", "")
     told = worked_out(told.select(doc, "section", "line_no", bullet.alias("bullet"), F.explode(F.array(bare)).alias("text")), "dates", held_dates(F.col("text"), this_year))
     part = lambda name: told.where(F.col("section") == name)
     blocks = dated_blocks(told.where("section in ('EXPERIENCE', 'EDUCATION')"), [doc, "section"], most)
-    found = work_entries(blocks.where("section = 'EXPERIENCE'"), doc)
-    found = found.union(education_entries(blocks.where("section = 'EDUCATION'"), doc))
-    found = found.union(project_entries(short_line_blocks(part("PROJECTS"), [doc]), doc, most))
-    found = found.union(certification_entries(part("CERTIFICATIONS"), doc, most))
-    once = found.withColumn("_k", F.row_number().over(W.partitionBy(doc, "kind", "content_key").orderBy("block"))).where("_k = 1")
-    placed = once.withColumn("position", F.row_number().over(W.partitionBy(doc, "kind").orderBy("block")))
+    found = [
+        work_entries(blocks.where("section = 'EXPERIENCE'"), doc),
+        education_entries(blocks.where("section = 'EDUCATION'"), doc),
+        project_entries(short_line_blocks(part("PROJECTS"), [doc]), doc, most),
+        certification_entries(part("CERTIFICATIONS"), doc, most),
+    ]
+
+    def numbered(entries: DataFrame) -> DataFrame:
+        once = entries.withColumn("_k", F.row_number().over(W.partitionBy(doc, "content_key").orderBy("block"))).where("_k = 1")
+        return once.withColumn("position", F.row_number().over(W.partitionBy(doc).orderBy("block")))
+
+    placed = reduce(DataFrame.union, map(numbered, found))
     columns = [n for n, _ in ENTRY if n not in ("kind", "block", "dates", "confidence", "content_key")]
     return placed.select(doc, "kind", "position", *columns, "dates.start", "dates.end", F.coalesce("dates.is_current", F.lit(False)).alias("is_current"), "confidence", "content_key")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchspark.operators import careers
 from matchspark.plans.base import query, table
+from matchspark.session import parts_for
 
 _PROSE = "It does a great many things for a great many people."
 
@@ -41,7 +42,7 @@ def resume_lines(s: SparkSession, d: str) -> DataFrame:
   SELECT * EXCLUDE (k), CAST(row_number() OVER (PARTITION BY user_id, kind ORDER BY k) AS INTEGER) AS position FROM one""")
 def career_entities(s: SparkSession, d: str) -> DataFrame:
     """Entries of all four kinds; 25 blocks of a kind at most."""
-    found = careers.career_entities(resume_lines(s, d), "user_id", 2026)
+    found = careers.career_entities(resume_lines(s, d), "user_id", 2026, parts=parts_for(table(s, d, "orders"), 100_000))
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     columns = ("name", "organisation", "location", "degree", "field_of_study", "level", "grade", "url", "description")
     return found.select("user_id", "kind", "position", *columns, F.when(F.col("highlights").isNotNull(), F.size("highlights")).alias("bullets"), day("start").alias("start"), day("end").alias("end_"), "is_current", "confidence", "content_key")
