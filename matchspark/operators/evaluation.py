@@ -69,36 +69,6 @@ def threshold_sweep(df: DataFrame, score: str, truth: str, thresholds: list[floa
     return rows.select("*", F.try_divide(c("tp"), c("tp") + c("fp")).alias("precision"), F.try_divide(c("tp"), c("tp") + c("fn")).alias("recall"), F.try_divide(2 * c("tp"), 2 * c("tp") + c("fp") + c("fn")).alias("f1"))
 
 
-#: Tokens of the queries that are sent to the docs; more are joined by a shuffle.
-SENT_TOKENS = 500_000
-
-
-def tfidf_scores(queries: DataFrame, docs: DataFrame, query: str, doc: str) -> DataFrame:
-    """queries (query, token), docs (doc, token), a row for each occurrence. (query, doc, score): cosine of
-    (1 + ln tf)(ln((N + 1) / (df + 1)) + 1) vectors; tokens that no doc has are dropped. Sparse: only pairs that share
-    a token are met.
-
-    The docs are counted once by (doc, token). Dots and norms are sums over one pass of these counts: each adds its
-    square under no query and its products under the queries that have its token, summed where they are made before
-    they are dealt out."""
-    n = docs.agg(F.countDistinct(doc).alias("_n")).withColumn("_all", F.lit(0))
-    tf = docs.groupBy(doc, "token").agg(F.count("*").alias("_tf"))
-    idf = tf.groupBy("token").agg(F.count("*").alias("_df")).withColumn("_all", F.lit(0)).join(F.broadcast(n), "_all").select("token", (F.ln((F.col("_n") + 1) / (F.col("_df") + 1)) + 1).alias("_idf"))
-    weigh = lambda d, key: d.join(idf, "token").select(key, "token", ((1 + F.ln("_tf")) * F.col("_idf")).alias("_w"))
-    asked = weigh(queries.groupBy(query, "token").agg(F.count("*").alias("_tf")), query)
-    norms = asked.groupBy(query).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_nq"))
-    by_token = asked.groupBy("token").agg(F.collect_list(F.struct(F.col(query).alias("q"), F.col("_w").alias("w"))).alias("_asked"))
-    if queries.select("token").distinct().limit(SENT_TOKENS + 1).count() <= SENT_TOKENS:
-        by_token = F.broadcast(by_token)
-    none = F.lit(None).cast(queries.schema[query].dataType)
-    own = F.array(F.struct(none.alias("q"), (F.col("_w") * F.col("_w")).alias("s")))
-    shared = F.transform("_asked", lambda x: F.struct(x["q"].alias("q"), (x["w"] * F.col("_w")).alias("s")))
-    parts = weigh(tf, doc).join(by_token, "token", "left").select(doc, F.inline(F.when(F.col("_asked").isNull(), own).otherwise(F.concat(own, shared))))
-    summed = parts.groupBy(doc, "q").agg(F.sum("s").alias("_s"))
-    both = summed.withColumn("_nd", F.sqrt(F.max(F.when(F.col("q").isNull(), F.col("_s"))).over(W.partitionBy(doc)))).where("q is not null").withColumnRenamed("q", query)
-    return both.join(norms, query).select(query, doc, (F.col("_s") / (F.col("_nq") * F.col("_nd"))).alias("score"))
-
-
 def set_prf(predicted: DataFrame, gold: DataFrame, doc: str, item: str) -> DataFrame:
     """(doc, hits, precision, recall, f1) of each doc's predicted set against its gold set. Null is like no other item.
 

@@ -7,8 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchspark.functions import text as T
 from matchspark.operators import evaluation as V
+from matchspark.operators import lexical as X
 from matchspark.operators import records as L
 from matchspark.plans import base as B
 from matchspark.plans.base import query, table
@@ -92,9 +92,8 @@ TOKENS_SQL = rf", tokens AS (SELECT doc_id, unnest(list_filter(regexp_extract_al
   final AS (SELECT item_id, doc_id, round(dot / (nq * nd), 6) AS score FROM scores JOIN (SELECT item_id, sqrt(sum(w * w)) AS nq FROM qw GROUP BY ALL) USING (item_id) JOIN (SELECT doc_id, sqrt(sum(w * w)) AS nd FROM dw GROUP BY ALL) USING (doc_id))
   SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM final) WHERE rank <= 10""")
 def tfidf_rank(s: SparkSession, d: str) -> DataFrame:
-    words = lambda t, key: table(s, d, t).select(key, F.explode(T.tokenize(F.col("text"))).alias("token"))
-    scores = _round(V.tfidf_scores(words("benchmark", "item_id"), words("documents", "doc_id"), "item_id", "doc_id"), "score")
-    return V.ranked_labels(scores, ["item_id"], "score", "doc_id").where("rank <= 10").withColumn("rank", F.col("rank").cast("long"))
+    best = X.tfidf_rank(table(s, d, "benchmark"), table(s, d, "documents"), "item_id", "doc_id")
+    return best.withColumn("rank", F.col("rank").cast("long"))
 
 
 PRED_SQL = ", predicted AS (SELECT job_id, skill_id FROM job_skills WHERE (job_id + skill_id) % 5 <> 0 UNION SELECT job_id, skill_id + 1 FROM job_skills WHERE skill_id % 7 = 0), gold AS (SELECT job_id, skill_id FROM job_skills)"
