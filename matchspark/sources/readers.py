@@ -10,11 +10,13 @@ PAYLOAD = (
     "struct<data: struct<jobs: array<struct<job_id: string, job_uid: string, job_title: string, employer_name: string, job_apply_link: string, "
     "job_description: string, job_city: string, job_state: string, job_country: string, job_posted_at_datetime_utc: string>>>>"
 )
+#: A string may be as long as Spark's own; by itself Spark rejects lines with one of over 20 million characters.
+ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
 
 
 def read_postings_batch(spark: SparkSession, path: str, schema: str = POSTING) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) of a JSON-lines batch; a bad record is reported with its reason and stops nothing."""
-    raw = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    raw = spark.read.schema(f"{schema}, _bad string").options(mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", **ANY_LENGTH).json(path)
     reason = F.when(F.col("_bad").isNotNull(), "Record is not valid JSON.").when(F.trim(F.coalesce("description", F.lit(""))) == "", "Record has no description.")
     judged = raw.withColumn("reject_reason", reason)
     return judged.where("reject_reason is null").drop("_bad", "reject_reason"), judged.where("reject_reason is not null").select("external_id", "reject_reason", "_bad")
@@ -44,7 +46,7 @@ def read_label_map(raw: DataFrame, column: str = "labels") -> DataFrame:
 
 
 def read_jsonl_pairs(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).options(**ANY_LENGTH).json(path)
 
 
 def snapshot(jobs: DataFrame, job_skills: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
