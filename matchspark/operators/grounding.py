@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from matchspark.functions.text import bound, compatible
-from matchspark.operators.sections import MOST_CONFIDENCE, REPEAT_BONUS, SENT_FORMS, SENT_STARTS, capped, skill_spans
+from matchspark.functions.text import ascii_only, bound, compatible
+from matchspark.operators.sections import MOST_CONFIDENCE, REPEAT_BONUS, SENT_FORMS, SENT_STARTS, capped, form_runs, skill_spans
+from matchspark.session import written
 
 #: What a number can be followed or led by, how much its scale is, and numbers as words.
 QUANTITY = r"([$€£₹])?\s*(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*(%|percent(?:age)?\ points?|percent(?:age)?|(?:mm|bn|k|m|b)\b|thousand|million|billion|x\b)?"
@@ -32,21 +34,41 @@ CREDENTIAL_ACRONYMS = ("pmp", "cissp", "ccna", "ccnp", "cka", "ckad", "cfa", "cp
 RESUME_CONFIDENCE = {"SKILLS": 0.95, "PROJECTS": 0.80, "EXPERIENCE": 0.78, "CERTIFICATIONS": 0.75, "SUMMARY": 0.65, "EDUCATION": 0.60, "UNKNOWN": 0.55}
 RESUME_CLAIM_SECTIONS, RESUME_GENERIC_IN_PROSE, REVIEW_BELOW = ("SKILLS", "CERTIFICATIONS"), 0.50, 0.60
 
-#: Characters that word processors put for plain ones, what a name's token is, and what ends a sentence.
+#: Characters that word processors put for plain ones, and what a name's token is.
 _TYPED, _PLAIN = "‘’“”–—−× ", "''\"\"---x "
 _TOKEN = r"[A-Za-z][\w&.+#'-]*"
-_SENTENCE_END = r"[.!?:;\n]\s*$"
+#: A name's token that begins with a capital, with the figures and marks that lead it and, if that is all that stands
+#: between, the end of a sentence before it. The first character is read by a plain set, which leaves most places at once.
+_NAME = (
+    r"[ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_&+#'.!?:;\n-]"
+    r"(?:(?<=[.!?:;\n])[ \t\f\r]*+(?<![\w&.+#'-])[\d_&.+#'-]*+[A-Z]|(?<![\w&.+#'-][\x00-\x7F])(?:(?<=[A-Z])|[\d_&.+#'-]*+[A-Z]))(?:[\w&.+#'-]*\w)?"
+)
+#: The same quantities, looked for from their first mark or digit on.
+_QUANTITY = r"(?i)(?=[\d$€£₹])" + re.sub(r"\((?!\?)", "(?:", QUANTITY)
+_YEAR = r"[12][09](?<=(?<!\d)(?:19|20))\d\d(?!\d)"
 
 
 def plain_marks(text: Column) -> Column:
     """text in compatible form (ligatures, full-width digits and the like as plain characters), with plain quotes,
-    dashes, blanks and multiplication signs."""
-    return F.translate(compatible(text), _TYPED, _PLAIN)
+    dashes, blanks and multiplication signs. ASCII texts have nothing to replace."""
+    return F.when(ascii_only(text), text).otherwise(F.translate(compatible(text), _TYPED, _PLAIN))
 
 
-def quantities(text: Column) -> Column:
+def _cut(text: Column) -> Column:
+    """array of a text's words (letters, digits and _), repeats included; a pattern without Unicode's classes, several
+    times as fast, does for ASCII texts."""
+    return F.when(ascii_only(text), F.split(text, r"\W+")).otherwise(F.split(text, r"[^\p{L}\p{M}\p{N}_]+"))
+
+
+def marked_words(text: Column) -> Column:
+    """array of the numbers, months and words of credentials that a text names as words, in lower case, once each."""
+    known = dict.fromkeys([*(w for w, _ in NUMBER_WORDS), *MONTH_NAMES, *CREDENTIAL_WORDS])
+    return F.array_intersect(_cut(F.lower(text)), F.array(*map(F.lit, known)))
+
+
+def quantities(text: Column, words: Column) -> Column:
     """array of "value unit": scaled decimals with six places; the unit is %, x, a currency mark or nothing. Numbers as
-    words have no unit."""
+    words (among the marked words) have no unit."""
     one = lambda m, g: F.regexp_extract(m, f"(?i){QUANTITY}", g)
 
     def value(x: Column) -> Column:
@@ -59,53 +81,45 @@ def quantities(text: Column) -> Column:
         return F.concat_ws(" ", number, unit)
 
     parts = lambda m: F.struct(one(m, 1).alias("mark"), F.replace(one(m, 2), F.lit(","), F.lit("")).alias("digits"), F.lower(one(m, 3)).alias("suffix"))
-    figures = F.transform(F.regexp_extract_all(text, F.lit(f"(?i){QUANTITY}"), 0), lambda m: bound(parts(m), value))
-    # most texts hold few of the words, in any place, so the pattern is tried on those only
-    said = lambda low, w: F.contains(low, F.lit(w)) & low.rlike(rf"\b{w}\b")
-    words = bound(F.lower(text), lambda low: F.filter(F.array(*(F.when(said(low, w), f"{n}.000000 ") for w, n in NUMBER_WORDS)), lambda x: x.isNotNull()))
-    return F.concat(figures, words)
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(_QUANTITY), 0))
+    numbers = F.create_map(*(F.lit(x) for w, n in NUMBER_WORDS for x in (w, f"{n}.000000 ")))
+    told = F.filter(F.transform(words, lambda w: F.try_element_at(numbers, w)), lambda x: x.isNotNull())
+    return F.concat(F.transform(found, lambda m: bound(parts(m), value)), told)
 
 
-def dates(text: Column) -> Column:
-    """array of the years from 1900 to 2099 and the months, in lower case, that a text names."""
-    years = F.filter(F.regexp_extract_all(text, F.lit(r"(\d+)")), lambda x: x.rlike(r"^(19|20)\d\d$"))
-    return F.concat(years, F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(\w+)")), lambda x: x.isin(MONTH_NAMES)))
+def dates(text: Column, words: Column) -> Column:
+    """array of the years from 1900 to 2099 and the months, in lower case (among the marked words), that a text names."""
+    return F.concat(F.regexp_extract_all(text, F.lit(_YEAR), 0), F.filter(words, lambda w: w.isin(MONTH_NAMES)))
 
 
 def names(text: Column) -> Column:
     """array of struct(token, opens): the capitalised words that may be names, but not those that hang off a number.
     opens: whether the capital may be due to the sentence that the word opens; words in capitals throughout owe it to
     nothing else."""
-    found = F.regexp_extract_all(text, F.lit(f"[^A-Za-z]*{_TOKEN}"), 0)
+    # a text opens its first sentence
+    found = F.array_distinct(F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(_NAME), 0))
 
-    def name(p: Column, before: Column) -> Column:
-        gap = F.regexp_extract(p, "^[^A-Za-z]*", 0)
-        rest = lambda g: F.regexp_replace(F.substring(p, F.length(g) + 1, F.length(p)), r"[.'\-&+#]+$", "")
+    def told(x: Column) -> Column:
+        token, lead = x["token"], x["lead"]
+        acronym = (F.length(token) > 1) & (F.upper(token) == token)
+        keep = ~lead.rlike(r"[0-9]\z") & ~F.lower(token).isin(*NOT_NAMES)
+        return F.when(keep, F.struct(token.alias("token"), (lead.rlike(r"[.!?:;\n][ \t\n\f\r]*\z") & ~acronym).alias("opens")))
 
-        def told(x: Column) -> Column:
-            gap, token = x["gap"], x["token"]
-            opens = (before.isNull() & (F.trim(F.translate(gap, "\n\t\r", "   ")) == "")) | F.concat(F.coalesce(before, F.lit("")), gap).rlike(_SENTENCE_END)
-            acronym = (F.length(token) > 1) & (F.upper(token) == token)
-            keep = ~gap.rlike("[0-9]$") & ~F.lower(token).isin(*NOT_NAMES)
-            return F.when(keep, F.struct(token.alias("token"), (opens & ~acronym).alias("opens")))
-
-        # the first letter of a piece is its token's
-        return F.when(p.rlike("^[^A-Za-z]*[A-Z]"), bound(bound(gap, lambda g: F.struct(g.alias("gap"), rest(g).alias("token"))), told))
-
-    paired = bound(found, lambda ps: F.transform(ps, lambda p, i: name(p, F.when(i > 0, F.get(ps, i - 1)))))
-    return F.filter(paired, lambda x: x.isNotNull())
+    after = lambda m: F.regexp_extract(m, "[A-Z].*", 0)
+    parted = lambda m: bound(after(m), lambda token: F.struct(F.left(m, F.length(m) - F.length(token)).alias("lead"), token.alias("token")))
+    return F.array_distinct(F.filter(F.transform(found, lambda m: bound(parted(m), told)), lambda x: x.isNotNull()))
 
 
 def ordinary_words(docs: DataFrame, doc: str, text: str, least: int = 2) -> DataFrame:
     """(word): words that at least so many texts have in lower case: a corpus's own table of words that name nobody
     when they open a sentence."""
-    seen = docs.select(doc, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([a-z]+)\b")))).alias("word"))
-    return seen.groupBy("word").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("word")
+    seen = docs.select(doc, F.explode(F.array_distinct(_cut(F.col(text)))).alias("word"))
+    return seen.groupBy("word").agg(F.count("*").alias("_n")).where((F.col("_n") >= least) & F.col("word").rlike("^[a-z]+$")).select("word")
 
 
 def spoken(text: Column) -> Column:
-    """array of a source's words, as names are looked up in it."""
-    return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\w%$€£₹+#.]+", " ")), " ")
+    """array of a source's different words, as names are looked up in it."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), r"\W(?<![%$€£₹+#.])")), "")
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -114,29 +128,46 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def _own(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, _t): texts with plain marks."""
-    return _once(docs.select(doc, F.col(text).alias("_given")), "_t", plain_marks(F.col("_given"))).drop("_given")
+    """(doc, _t, _words): texts with plain marks and their marked words."""
+    own = _once(docs.select(doc, F.col(text).alias("_given")), "_t", plain_marks(F.col("_given"))).drop("_given")
+    return _once(own, "_words", marked_words(F.col("_t")))
+
+
+def _skills(own: DataFrame, read: DataFrame, doc: str, forms: DataFrame, runs: str | None) -> DataFrame:
+    """(doc, skill_id) that each text of own mentions; read has the _runs of forms' pieces of each if runs tells them.
+    A run tells the same wherever it stands, so each is settled once for all texts."""
+    if runs is None:
+        return skill_spans(own.select(doc, F.posexplode(F.split("_t", "\n")).alias("line_no", "line")), forms, doc).select(doc, "skill_id")
+    each = read.select(doc, F.explode("_runs").alias("_run"))
+    spans = skill_spans(each.select("_run").distinct().select("_run", F.lit(0).alias("line_no"), F.col("_run").alias("line")), forms, "_run")
+    return each.join(spans.select("_run", "skill_id").distinct(), "_run").select(doc, "skill_id")
 
 
-def _made(docs: DataFrame, doc: str, text: str, forms: DataFrame | None, openers: DataFrame | None) -> DataFrame:
-    """The rows of claims, each at least once."""
-    own = _own(docs, doc, text)
-    credential = F.lower("_t").rlike(rf"\b({'|'.join(CREDENTIAL_WORDS)})\b")
-    each = lambda kind, values: F.transform(F.array_distinct(values), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.array(v).alias("accepted")))
+def _runs(runs: str | None) -> list[Column]:
+    return [F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(runs), 0)).alias("_runs")] if runs else []
+
+
+def _made(docs: DataFrame, doc: str, text: str, forms: DataFrame | None, openers: DataFrame | None, runs: str | None) -> DataFrame:
+    """The rows of claims, each at least once. Texts are read once, and what they hold is kept as a table."""
+    own, words = _own(docs, doc, text), F.col("_words")
+    each = lambda kind, values: F.transform(F.array_distinct(values), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    credential = F.arrays_overlap(words, F.array(*map(F.lit, CREDENTIAL_WORDS))).alias("_credential")
+    figures = F.concat(each("number", quantities(F.col("_t"), words)), each("date", dates(F.col("_t"), words))).alias("_figures")
+    read = written(own.select(doc, credential, figures, names(F.col("_t")).alias("_names"), *_runs(runs)))
 
     v = F.col("token")
-    named = _once(_once(own, "_credential", credential), "_names", names(F.col("_t"))).select(doc, "_credential", F.inline("_names"))
+    named = read.select(doc, "_credential", F.inline("_names"))
     if openers is not None:
         known = openers.select(F.col("word").alias("_word")).distinct()
         # only words that open are looked up, so all others stay where they are
         named = named.where(~F.col("opens")).union(named.where("opens").join(known, F.lower(v) == F.col("_word"), "left_anti"))
     kind = F.when(F.lower(v).isin(*CREDENTIAL_ACRONYMS) | F.col("_credential"), "credential").otherwise("organization")
     accepted = F.filter(F.array_distinct(F.array(F.lower(v), F.lower(F.regexp_replace(v, "('s|s)$", "")))), lambda x: x != "")
-    made = _once(own, "_each", F.concat(each("number", quantities(F.col("_t"))), each("date", dates(F.col("_t"))))).select(doc, F.inline("_each"))
+    made = read.select(doc, F.inline("_figures")).select(doc, "kind", "value", F.array("value").alias("accepted"))
     made = made.union(named.select(doc, kind.alias("kind"), v.alias("value"), accepted.alias("accepted")))
     if forms is not None:
-        spans = skill_spans(own.select(doc, F.posexplode(F.split("_t", "\n")).alias("line_no", "line")), forms, doc)
-        made = made.union(spans.select(doc, F.lit("skill"), F.col("skill_id").cast("string").alias("v"), F.array(F.col("skill_id").cast("string"))))
+        skill = F.col("skill_id").cast("string")
+        made = made.union(_skills(own, read, doc, forms, runs).select(doc, F.lit("skill"), skill.alias("v"), F.array(skill)))
     return made
 
 
@@ -147,7 +178,11 @@ def claims(docs: DataFrame, doc: str, text: str, forms: DataFrame | None = None,
     A capital at the start of a sentence says nothing, so such a word is a name unless it is in the table openers
     (word, in lower case); without a table every such word is one. A word that the table lacks costs a suggestion, a
     name that it has by mistake would let an invented employer through."""
-    return _made(docs, doc, text, forms, openers).distinct()
+    return _made(docs, doc, text, forms, openers, _pattern(forms)).distinct()
+
+
+def _pattern(forms: DataFrame | None) -> str | None:
+    return None if forms is None else form_runs(forms)
 
 
 def _mark(kind: Column) -> Column:
@@ -159,15 +194,19 @@ def grounds(docs: DataFrame, doc: str, text: str, forms: DataFrame | None = None
     """(doc, _known, _skills): what a source lets others claim. _known: its numbers, dates and words, marked by kind, one
     a line, so that a text travels as one value of about its own length and not as a row of each word; names are looked
     up among all its words. _skills: array of the marked ids."""
-    own = _own(docs, doc, text)
-    marked = lambda mark, values: F.transform(F.array_distinct(values), lambda v: F.concat(F.lit(mark), v))
-    known = F.concat(marked("n", quantities(F.col("_t"))), marked("d", dates(F.col("_t"))), marked("w", spoken(F.col("_t"))))
-    made = own.select(doc, F.array_join(known, "\n").alias("_known"))
+    return _grounds(docs, doc, text, forms, _pattern(forms))
+
+
+def _grounds(docs: DataFrame, doc: str, text: str, forms: DataFrame | None, runs: str | None) -> DataFrame:
+    own, t, words = _own(docs, doc, text), F.col("_t"), F.col("_words")
+    marked = lambda mark, values: F.transform(values, lambda v: F.concat(F.lit(mark), v))
+    known = F.concat(marked("n", F.array_distinct(quantities(t, words))), marked("d", F.array_distinct(dates(t, words))), marked("w", spoken(t)))
+    made = own.select(doc, F.array_join(known, "\n").alias("_known"), *_runs(runs))
     if forms is None:
         return made.withColumn("_skills", F.lit(None).cast("array<string>"))
-    spans = skill_spans(own.select(doc, F.posexplode(F.split("_t", "\n")).alias("line_no", "line")), forms, doc)
-    held = spans.groupBy(doc).agg(F.collect_set(F.concat(F.lit("s"), F.col("skill_id").cast("string"))).alias("_skills"))
-    return made.join(held, doc, "left")
+    made = written(made)
+    held = _skills(own, made, doc, forms, runs).groupBy(doc).agg(F.collect_set(F.concat(F.lit("s"), F.col("skill_id").cast("string"))).alias("_skills"))
+    return made.select(doc, "_known").join(held, doc, "left")
 
 
 def fabricated(suggestions: DataFrame, sources: DataFrame, doc: str, text: str, forms: DataFrame | None = None, key: str | None = None, openers: DataFrame | None = None, quoted: DataFrame | None = None) -> DataFrame:
@@ -178,15 +217,15 @@ def fabricated(suggestions: DataFrame, sources: DataFrame, doc: str, text: str,
     A suggestion's claims are one row that meets its source as one row. What the source lacks is found by hash; the
     claims are then held against these forms one by one, so a suggestion costs the product of its claims and of those
     that nothing grounds."""
-    key = key or doc
+    key, runs = key or doc, _pattern(forms)
     claim = F.struct("kind", "value", F.transform("accepted", lambda a: F.concat(_mark(F.col("kind")), a)).alias("accepted"))
-    held = _made(suggestions, key, text, forms, openers).groupBy(key).agg(F.collect_set(claim).alias("_claims"))
+    held = _made(suggestions, key, text, forms, openers, runs).groupBy(key).agg(F.collect_set(claim).alias("_claims"))
     if key != doc:
         held = held.join(suggestions.select(key, doc).distinct(), key)
-    of_source = grounds(sources, doc, text, forms)
+    of_source = _grounds(sources, doc, text, forms, runs)
     held = held.join(of_source.select(doc, F.col("_known").alias("_known0"), F.col("_skills").alias("_skills0")), doc, "left")
     if quoted is not None:
-        of_quote = grounds(quoted, key, text, forms)
+        of_quote = _grounds(quoted, key, text, forms, runs)
         held = held.join(of_quote.select(key, F.col("_known").alias("_known1"), F.col("_skills").alias("_skills1")), key, "left")
     n = 1 if quoted is None else 2
     known = F.concat(*(F.split(F.coalesce(f"_known{i}", F.lit("")), "\n") for i in range(n)), *(F.coalesce(f"_skills{i}", F.array().cast("array<string>")) for i in range(n)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -101,6 +102,39 @@ def skill_spans(lines: DataFrame, forms: DataFrame, doc: str = "doc_id") -> Data
     return settled.select(doc, "line_no", F.inline(F.aggregate("_hits", none, claim))).select(doc, "line_no", "first", "last", "form", "skill_id")
 
 
+#: So many different pieces of forms make a pattern of their own.
+SENT_PIECES = 200
+
+
+def form_runs(forms: DataFrame) -> str | None:
+    """A pattern whose matches in a lower-cased text are its longest runs of pieces that occur in forms, within a line.
+    Mentions lie within such a run and runs claim nothing of each other, so a run tells by itself what is mentioned in
+    it, wherever it stands. None if the forms have more than SENT_PIECES pieces."""
+    told = [r.p for r in forms.select(F.explode(pieces(F.col("form"))).alias("p")).distinct().limit(SENT_PIECES + 1).collect()]
+    if len(told) > SENT_PIECES:
+        return None
+    word, other = r"[\p{L}\p{N}+#]", r"[^\p{L}\p{N}+#\s\-_/]"
+    # by how a piece begins: what may not stand before its first character (which has been read), and after its last
+    kinds = {
+        "word": (rf"(?<![a-z].)(?<!{word}.)(?<!(?:^|[\p{{L}}\p{{N}}+#\s\-_/])\..)", rf"(?!\.?{word})"),
+        "dotted": (r"(?<![^\s\-_/].)", rf"(?!\.?{word})"),
+        "dot": (rf"(?<!{other}.)", rf"(?!{other}|{word})"),
+        "marks": (rf"(?<!{other}.)", rf"(?!{other})"),
+    }
+    of: dict[str, dict[str, list[str]]] = {}
+    for p in sorted(told, key=lambda p: (-len(p), p)):
+        marks = p.strip(".") == "" or not (p[1:] if p[0] == "." else p)[0].isalnum() and (p[1:] if p[0] == "." else p)[0] not in "+#"
+        kind = "dot" if p == "." else "marks" if marks else "dotted" if p[0] == "." else "word"
+        of.setdefault(kind, {}).setdefault(p[0], []).append(re.escape(p[1:]))
+    if not of:
+        return "(?!)"
+    rests = lambda by: "|".join(f"(?<={re.escape(c)})(?:{'|'.join(rest)})" for c, rest in by.items())
+    # the first character is read by a plain set, which leaves most places at once
+    firsts = "".join(sorted({re.escape(c) for by in of.values() for c in by}))
+    piece = f"[{firsts}](?:" + "|".join(f"{kinds[k][0]}(?:{rests(by)}){kinds[k][1]}" for k, by in of.items()) + ")"
+    return rf"{piece}(?:[ \t\x0B\f\r\-_/]*+{piece})*+"
+
+
 #: A number of years on the line of a mention, and the most that is believed.
 SKILL_YEARS = r"(?i)(\d{1,2})\s*\+?\s*(?:-|–|to)?\s*(?:\d{1,2})?\s*\+?\s*(?:years?|yrs?)"
 MOST_SKILL_YEARS = 30

@@ -19,7 +19,8 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
 
 def _numbers(df: DataFrame) -> DataFrame:
     """ASCII only, so that both engines see the same word boundaries."""
-    return df.withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "x"))
+    text = F.col("text")
+    return df.withColumn("text", F.when(T.ascii_only(text), text).otherwise(F.regexp_replace(text, r"[^\x00-\x7F]", "x")))
 
 
 _ASCII = r"regexp_replace({}, '[^\x00-\x7F]', 'x', 'g')"
