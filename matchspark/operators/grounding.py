@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -38,14 +41,12 @@ RESUME_CLAIM_SECTIONS, RESUME_GENERIC_IN_PROSE, REVIEW_BELOW = ("SKILLS", "CERTI
 _TYPED, _PLAIN = "‘’“”–—−× ", "''\"\"---x "
 _TOKEN = r"[A-Za-z][\w&.+#'-]*"
 #: A name's token that begins with a capital, with the figures and marks that lead it and, if that is all that stands
-#: between, the end of a sentence before it. The first character is read by a plain set, which leaves most places at once.
+#: between, the end of a sentence before it. All patterns begin with a set of characters, which leaves most places at once.
 _NAME = (
-    r"[ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_&+#'.!?:;\n-]"
+    r"[A-Z0-9_&+#'.!?:;\n-]"
     r"(?:(?<=[.!?:;\n])[ \t\f\r]*+(?<![\w&.+#'-])[\d_&.+#'-]*+[A-Z]|(?<![\w&.+#'-][\x00-\x7F])(?:(?<=[A-Z])|[\d_&.+#'-]*+[A-Z]))(?:[\w&.+#'-]*\w)?"
 )
-#: The same quantities, looked for from their first mark or digit on.
-_QUANTITY = r"(?i)(?=[\d$€£₹])" + re.sub(r"\((?!\?)", "(?:", QUANTITY)
-_YEAR = r"[12][09](?<=(?<!\d)(?:19|20))\d\d(?!\d)"
+_YEAR = r"[12][09](?<=19|20)(?<!\d..)\d\d(?!\d)"
 
 
 def plain_marks(text: Column) -> Column:
@@ -54,21 +55,69 @@ def plain_marks(text: Column) -> Column:
     return F.when(ascii_only(text), text).otherwise(F.translate(compatible(text), _TYPED, _PLAIN))
 
 
-def _cut(text: Column) -> Column:
-    """array of a text's words (letters, digits and _), repeats included; a pattern without Unicode's classes, several
-    times as fast, does for ASCII texts."""
-    return F.when(ascii_only(text), F.split(text, r"\W+")).otherwise(F.split(text, r"[^\p{L}\p{M}\p{N}_]+"))
-
-
-def marked_words(text: Column) -> Column:
-    """array of the numbers, months and words of credentials that a text names as words, in lower case, once each."""
-    known = dict.fromkeys([*(w for w, _ in NUMBER_WORDS), *MONTH_NAMES, *CREDENTIAL_WORDS])
-    return F.array_intersect(_cut(F.lower(text)), F.array(*map(F.lit, known)))
-
-
-def quantities(text: Column, words: Column) -> Column:
-    """array of "value unit": scaled decimals with six places; the unit is %, x, a currency mark or nothing. Numbers as
-    words (among the marked words) have no unit."""
+def _read(text: Column, claims: bool, runs: str | None) -> Column:
+    """struct of what a text with plain marks holds, each once: words (array: numbers, months and words of credentials, in
+    lower case), quantities and years (arrays, as they stand), runs (array: matches of that pattern in lower case), and of
+    a suggestion names (array: the capitalised words that may be names, but not those that hang off a number) and openings
+    (array: those whose capital may be due to the sentence that they open; words in capitals throughout owe it to nothing
+    else), of a source spoken (its words, as names are looked up in it, one a line).
+
+    Texts go to Python in Arrow batches, once, and only these few come back. Words are letters, digits and _."""
+    fields = {"words": "array<string>", "quantities": "array<string>", "years": "array<string>"}
+    fields |= {"names": "array<string>", "openings": "array<string>"} if claims else {"spoken": "string"}
+    fields |= {"runs": "array<string>"} if runs else {}
+    marks, known, not_names = str.maketrans(_TYPED, _PLAIN), frozenset((*(w for w, _ in NUMBER_WORDS), *MONTH_NAMES, *CREDENTIAL_WORDS)), frozenset(NOT_NAMES)
+    # a word's end is one in any alphabet, digits and blanks are ASCII's
+    quantity, year, name, ended = re.compile(QUANTITY.replace(r"\b", r"(?u:\b)"), re.A | re.I), re.compile(_YEAR, re.A), re.compile(_NAME, re.A), re.compile(r"[.!?:;\n][ \t\n\f\r]*\Z")
+    begun, run = re.compile(r"[\d$€£₹]", re.A), re.compile(runs or "")
+    # what parts words, and what parts those of a source
+    gaps = {i: " " for i in range(128) if not (chr(i).isalnum() or chr(i) == "_")}
+    said_gaps = {i: " " for i in gaps if chr(i) not in "%$+#."}
+
+    def quantities_of(text: str) -> list[str]:
+        found, at = {}, 0
+        while start := begun.search(text, at):
+            m = quantity.match(text, start.start())
+            at = (m or start).end()
+            if m:
+                found[m.group()] = None
+        return list(found)
+
+    def names_of(text: str) -> tuple[list[str], list[str]]:
+        found: tuple[dict, dict] = {}, {}
+        # a text opens its first sentence
+        for m in set(name.findall("\n" + text)):
+            at = next(i for i, c in enumerate(m) if "A" <= c <= "Z")
+            lead, token = m[:at], m[at:]
+            if not lead[-1:].isdigit() and token.lower() not in not_names:
+                found[ended.search(lead) is not None and not (len(token) > 1 and token.upper() == token)][token] = None
+        return list(found[0]), list(found[1])
+
+    @F.pandas_udf(", ".join(f"{k} {v}" for k, v in fields.items()))
+    def read(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for given in texts:
+            text = given or ""
+            if not text.isascii():
+                text = unicodedata.normalize("NFKC", text).translate(marks)
+            plain, low = text.isascii(), text.lower()
+            cut = low.translate(gaps).split() if plain else re.split(r"\W+", low)
+            row = [sorted(known.intersection(cut)), quantities_of(text), list(dict.fromkeys(year.findall(text)))]
+            if claims:
+                row += names_of(text)
+            else:
+                row.append("\n".join(dict.fromkeys(low.translate(said_gaps).split() if plain else filter(None, re.split(r"[^\w%$€£₹+#.]+", low, flags=re.A)))))
+            if runs:
+                row.append(list(dict.fromkeys(run.findall(low))))
+            rows.append(row)
+        return pd.DataFrame(rows, columns=list(fields))
+
+    return read(text)
+
+
+def quantities(found: Column, words: Column) -> Column:
+    """array of "value unit" of quantities as they stand and of a text's words: scaled decimals with six places; the unit
+    is %, x, a currency mark or nothing. Numbers as words have no unit."""
     one = lambda m, g: F.regexp_extract(m, f"(?i){QUANTITY}", g)
 
     def value(x: Column) -> Column:
@@ -81,93 +130,61 @@ def quantities(text: Column, words: Column) -> Column:
         return F.concat_ws(" ", number, unit)
 
     parts = lambda m: F.struct(one(m, 1).alias("mark"), F.replace(one(m, 2), F.lit(","), F.lit("")).alias("digits"), F.lower(one(m, 3)).alias("suffix"))
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(_QUANTITY), 0))
     numbers = F.create_map(*(F.lit(x) for w, n in NUMBER_WORDS for x in (w, f"{n}.000000 ")))
     told = F.filter(F.transform(words, lambda w: F.try_element_at(numbers, w)), lambda x: x.isNotNull())
     return F.concat(F.transform(found, lambda m: bound(parts(m), value)), told)
 
 
-def dates(text: Column, words: Column) -> Column:
-    """array of the years from 1900 to 2099 and the months, in lower case (among the marked words), that a text names."""
-    return F.concat(F.regexp_extract_all(text, F.lit(_YEAR), 0), F.filter(words, lambda w: w.isin(MONTH_NAMES)))
-
-
-def names(text: Column) -> Column:
-    """array of struct(token, opens): the capitalised words that may be names, but not those that hang off a number.
-    opens: whether the capital may be due to the sentence that the word opens; words in capitals throughout owe it to
-    nothing else."""
-    # a text opens its first sentence
-    found = F.array_distinct(F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(_NAME), 0))
-
-    def told(x: Column) -> Column:
-        token, lead = x["token"], x["lead"]
-        acronym = (F.length(token) > 1) & (F.upper(token) == token)
-        keep = ~lead.rlike(r"[0-9]\z") & ~F.lower(token).isin(*NOT_NAMES)
-        return F.when(keep, F.struct(token.alias("token"), (lead.rlike(r"[.!?:;\n][ \t\n\f\r]*\z") & ~acronym).alias("opens")))
-
-    after = lambda m: F.regexp_extract(m, "[A-Z].*", 0)
-    parted = lambda m: bound(after(m), lambda token: F.struct(F.left(m, F.length(m) - F.length(token)).alias("lead"), token.alias("token")))
-    return F.array_distinct(F.filter(F.transform(found, lambda m: bound(parted(m), told)), lambda x: x.isNotNull()))
+def dates(years: Column, words: Column) -> Column:
+    """array of the years from 1900 to 2099 and the months, in lower case (among a text's words), that it names."""
+    return F.concat(years, F.filter(words, lambda w: w.isin(MONTH_NAMES)))
 
 
 def ordinary_words(docs: DataFrame, doc: str, text: str, least: int = 2) -> DataFrame:
     """(word): words that at least so many texts have in lower case: a corpus's own table of words that name nobody
     when they open a sentence."""
-    seen = docs.select(doc, F.explode(F.array_distinct(_cut(F.col(text)))).alias("word"))
+    text = F.col(text)
+    words = F.when(ascii_only(text), F.split(text, r"\W+")).otherwise(F.split(text, r"[^\p{L}\p{M}\p{N}_]+"))
+    seen = docs.select(doc, F.explode(F.array_distinct(words)).alias("word"))
     return seen.groupBy("word").agg(F.count("*").alias("_n")).where((F.col("_n") >= least) & F.col("word").rlike("^[a-z]+$")).select("word")
 
 
-def spoken(text: Column) -> Column:
-    """array of a source's different words, as names are looked up in it."""
-    return F.array_remove(F.array_distinct(F.split(F.lower(text), r"\W(?<![%$€£₹+#.])")), "")
-
-
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column that is worked out once a row, and not again for each mention or each row made from it."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
-def _own(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, _t, _words): texts with plain marks and their marked words."""
-    own = _once(docs.select(doc, F.col(text).alias("_given")), "_t", plain_marks(F.col("_given"))).drop("_given")
-    return _once(own, "_words", marked_words(F.col("_t")))
-
-
-def _skills(own: DataFrame, read: DataFrame, doc: str, forms: DataFrame, runs: str | None) -> DataFrame:
-    """(doc, skill_id) that each text of own mentions; read has the _runs of forms' pieces of each if runs tells them.
+def _skills(docs: DataFrame, read: DataFrame, doc: str, text: str, forms: DataFrame, runs: str | None) -> DataFrame:
+    """(doc, skill_id) that each text mentions; read has the _runs of forms' pieces of each if a pattern tells them.
     A run tells the same wherever it stands, so each is settled once for all texts."""
     if runs is None:
-        return skill_spans(own.select(doc, F.posexplode(F.split("_t", "\n")).alias("line_no", "line")), forms, doc).select(doc, "skill_id")
+        return skill_spans(docs.select(doc, F.posexplode(F.split(plain_marks(F.col(text)), "\n")).alias("line_no", "line")), forms, doc).select(doc, "skill_id")
     each = read.select(doc, F.explode("_runs").alias("_run"))
     spans = skill_spans(each.select("_run").distinct().select("_run", F.lit(0).alias("line_no"), F.col("_run").alias("line")), forms, "_run")
     return each.join(spans.select("_run", "skill_id").distinct(), "_run").select(doc, "skill_id")
 
 
-def _runs(runs: str | None) -> list[Column]:
-    return [F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(runs), 0)).alias("_runs")] if runs else []
+def _kept(docs: DataFrame, doc: str, text: str, claims: bool, runs: str | None) -> DataFrame:
+    """(doc, _words, _numbers, _dates and the rest of what was read), as a table: texts are read once."""
+    told = docs.select(doc, _read(F.col(text), claims, runs).alias("_r")).select(doc, "_r.*")
+    numbers, days = quantities(F.col("quantities"), F.col("words")), dates(F.col("years"), F.col("words"))
+    rest = ("names", "openings") if claims else ("spoken",)
+    return written(told.select(doc, F.col("words").alias("_words"), F.array_distinct(numbers).alias("_numbers"), days.alias("_dates"), *(F.col(c).alias(f"_{c}") for c in (*rest, *(["runs"] if runs else [])))))
 
 
 def _made(docs: DataFrame, doc: str, text: str, forms: DataFrame | None, openers: DataFrame | None, runs: str | None) -> DataFrame:
-    """The rows of claims, each at least once. Texts are read once, and what they hold is kept as a table."""
-    own, words = _own(docs, doc, text), F.col("_words")
-    each = lambda kind, values: F.transform(F.array_distinct(values), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
-    credential = F.arrays_overlap(words, F.array(*map(F.lit, CREDENTIAL_WORDS))).alias("_credential")
-    figures = F.concat(each("number", quantities(F.col("_t"), words)), each("date", dates(F.col("_t"), words))).alias("_figures")
-    read = written(own.select(doc, credential, figures, names(F.col("_t")).alias("_names"), *_runs(runs)))
-
+    """The rows of claims, each at least once."""
+    read = _kept(docs, doc, text, True, runs)
+    credential = F.arrays_overlap("_words", F.array(*map(F.lit, CREDENTIAL_WORDS))).alias("_credential")
     v = F.col("token")
-    named = read.select(doc, "_credential", F.inline("_names"))
+    named, opened = (read.select(doc, credential, F.explode(c).alias("token")) for c in ("_names", "_openings"))
     if openers is not None:
-        known = openers.select(F.col("word").alias("_word")).distinct()
         # only words that open are looked up, so all others stay where they are
-        named = named.where(~F.col("opens")).union(named.where("opens").join(known, F.lower(v) == F.col("_word"), "left_anti"))
+        opened = opened.join(openers.select(F.col("word").alias("_word")).distinct(), F.lower(v) == F.col("_word"), "left_anti")
+    named = named.union(opened)
     kind = F.when(F.lower(v).isin(*CREDENTIAL_ACRONYMS) | F.col("_credential"), "credential").otherwise("organization")
     accepted = F.filter(F.array_distinct(F.array(F.lower(v), F.lower(F.regexp_replace(v, "('s|s)$", "")))), lambda x: x != "")
-    made = read.select(doc, F.inline("_figures")).select(doc, "kind", "value", F.array("value").alias("accepted"))
+    figures = (read.select(doc, F.lit(k).alias("kind"), F.explode(c).alias("value")) for k, c in (("number", "_numbers"), ("date", "_dates")))
+    made = reduce(DataFrame.union, figures).select(doc, "kind", "value", F.array("value").alias("accepted"))
     made = made.union(named.select(doc, kind.alias("kind"), v.alias("value"), accepted.alias("accepted")))
     if forms is not None:
         skill = F.col("skill_id").cast("string")
-        made = made.union(_skills(own, read, doc, forms, runs).select(doc, F.lit("skill"), skill.alias("v"), F.array(skill)))
+        made = made.union(_skills(docs, read, doc, text, forms, runs).select(doc, F.lit("skill"), skill.alias("v"), F.array(skill)))
     return made
 
 
@@ -198,15 +215,15 @@ def grounds(docs: DataFrame, doc: str, text: str, forms: DataFrame | None = None
 
 
 def _grounds(docs: DataFrame, doc: str, text: str, forms: DataFrame | None, runs: str | None) -> DataFrame:
-    own, t, words = _own(docs, doc, text), F.col("_t"), F.col("_words")
+    read = _kept(docs, doc, text, False, runs)
     marked = lambda mark, values: F.transform(values, lambda v: F.concat(F.lit(mark), v))
-    known = F.concat(marked("n", F.array_distinct(quantities(t, words))), marked("d", F.array_distinct(dates(t, words))), marked("w", spoken(t)))
-    made = own.select(doc, F.array_join(known, "\n").alias("_known"), *_runs(runs))
+    words = F.when(F.col("_spoken") != "", F.concat(F.lit("w"), F.replace("_spoken", F.lit("\n"), F.lit("\nw"))))
+    known = F.concat_ws("\n", marked("n", F.col("_numbers")), marked("d", F.col("_dates")), words)
+    made = read.select(doc, known.alias("_known"))
     if forms is None:
         return made.withColumn("_skills", F.lit(None).cast("array<string>"))
-    made = written(made)
-    held = _skills(own, made, doc, forms, runs).groupBy(doc).agg(F.collect_set(F.concat(F.lit("s"), F.col("skill_id").cast("string"))).alias("_skills"))
-    return made.select(doc, "_known").join(held, doc, "left")
+    held = _skills(docs, read, doc, text, forms, runs).groupBy(doc).agg(F.collect_set(F.concat(F.lit("s"), F.col("skill_id").cast("string"))).alias("_skills"))
+    return made.join(held, doc, "left")
 
 
 def fabricated(suggestions: DataFrame, sources: DataFrame, doc: str, text: str, forms: DataFrame | None = None, key: str | None = None, openers: DataFrame | None = None, quoted: DataFrame | None = None) -> DataFrame:

@@ -107,17 +107,18 @@ SENT_PIECES = 200
 
 
 def form_runs(forms: DataFrame) -> str | None:
-    """A pattern whose matches in a lower-cased text are its longest runs of pieces that occur in forms, within a line.
+    """A pattern of Python's whose matches in a lower-cased text are its longest runs of pieces that occur in forms, within a line.
     Mentions lie within such a run and runs claim nothing of each other, so a run tells by itself what is mentioned in
     it, wherever it stands. None if the forms have more than SENT_PIECES pieces."""
     told = [r.p for r in forms.select(F.explode(pieces(F.col("form"))).alias("p")).distinct().limit(SENT_PIECES + 1).collect()]
     if len(told) > SENT_PIECES:
         return None
-    word, other = r"[\p{L}\p{N}+#]", r"[^\p{L}\p{N}+#\s\-_/]"
+    blanks = r" \t\n\x0b\f\r"
+    word, other = r"(?:[^\W_]|[+#])", rf"[^\w+#\-/{blanks}]"
     # by how a piece begins: what may not stand before its first character (which has been read), and after its last
     kinds = {
-        "word": (rf"(?<![a-z].)(?<!{word}.)(?<!(?:^|[\p{{L}}\p{{N}}+#\s\-_/])\..)", rf"(?!\.?{word})"),
-        "dotted": (r"(?<![^\s\-_/].)", rf"(?!\.?{word})"),
+        "word": (rf"(?<![a-z].)(?<!{word}.)(?<!^\..)(?<![\w+#\-/{blanks}]\..)", rf"(?!\.?{word})"),
+        "dotted": (rf"(?<![^{blanks}\-_/].)", rf"(?!\.?{word})"),
         "dot": (rf"(?<!{other}.)", rf"(?!{other}|{word})"),
         "marks": (rf"(?<!{other}.)", rf"(?!{other})"),
     }
@@ -132,7 +133,7 @@ def form_runs(forms: DataFrame) -> str | None:
     # the first character is read by a plain set, which leaves most places at once
     firsts = "".join(sorted({re.escape(c) for by in of.values() for c in by}))
     piece = f"[{firsts}](?:" + "|".join(f"{kinds[k][0]}(?:{rests(by)}){kinds[k][1]}" for k, by in of.items()) + ")"
-    return rf"{piece}(?:[ \t\x0B\f\r\-_/]*+{piece})*+"
+    return rf"{piece}(?:[ \t\x0b\f\r\-_/]*+{piece})*+"
 
 
 #: A number of years on the line of a mention, and the most that is believed.
